@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, simhash
+from . import decontaminate, mixing, sharding, simhash
 from .common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,8 @@ def op1_bounded_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
     return found.select("doc_id", "source", "mix_block", "mix_slot", "mix_pos")
+
+
+@_query
+def op2_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
