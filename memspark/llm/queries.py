@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, sharding, simhash, toxicity
+from . import decontaminate, mixing, quality, sharding, simhash, toxicity
 from .common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,10 @@ def op7_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
     found = toxicity.score(docs, machine)
     return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@_query
+def op3_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, model).drop("text")
