@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, sharding, simhash, toxicity
+from . import decontaminate, mixing, pii, quality, sharding, simhash, toxicity
 from .common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,13 @@ def op3_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.judge(docs, model).drop("text")
+
+
+@_query
+def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("pii")
+    return found.select(
+        "doc_id", *[pii.count(spans, k).alias(f"n_{k}") for k in pii.BASE_KINDS],
+        F.sha2(pii.written(spans, pii.BASE_KINDS), 256).alias("base_sha256"), pii.written(spans).alias("spans"),
+    )
