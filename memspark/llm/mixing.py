@@ -131,3 +131,11 @@ def mix(
     slot = F.col(base) + F.floor(nth / F.col(parts)) * F.col(period) + F.col("mix_slot")
     rows = rows.withColumn("mix_slot", slot).withColumn("mix_pos", slot * block_rows + F.col(rank) % block_rows)
     return rows.drop(src, cell, rank, phase, idx, first, end, base, parts, period)
+
+
+def arrange(docs: DataFrame, **options) -> DataFrame:
+    """docs in the order of the schedule, columns as given: partitions, and so the files of a write,
+    follow one another, and rows inside them."""
+    pos = free_name(docs, "_pos")
+    mixed = mix(docs, **options).withColumnRenamed("mix_pos", pos)
+    return mixed.repartitionByRange(pos).sortWithinPartitions(pos).select(*docs.columns)

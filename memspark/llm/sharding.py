@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import free_name
+from .common import free_name, ranked
 
 CELLS = 1 << 12
 SUB = 4
@@ -143,3 +143,19 @@ def shard(
         .withColumn("grown_shard", F.lit(None).cast("int"))
         .drop(point, group, before, nth, lo, hi, first)
     )
+
+
+def shard_in_order(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs, read from files, with size, text_crc32, law, shard and slot; slots keep the files' order.
+
+    Rows are told apart by file and place, so repeated ids and equal rows need no care. Only
+    sizes and places are ranked; the texts are shuffled once, to meet their shard.
+    """
+    name, nth, cell = (free_name(docs, x) for x in ("_file", "_row", "_cell"))
+    docs = docs.drop("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    rows = docs.select("*", F.col("_metadata.file_name").alias(name), F.col("_metadata.row_index").alias(nth))
+    thin = rows.select(name, nth, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    placed = shard(thin, shards, **options).drop("text", "doc_id", "slot", "grown_shard")
+    placed = placed.withColumn(cell, F.struct(name, F.floor(F.col(nth) / 4096)))
+    placed = ranked(placed, "shard", cell, [F.col(nth)], "slot").drop(cell)
+    return rows.join(placed, [name, nth]).drop(name, nth)
