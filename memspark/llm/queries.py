@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, pii, quality, sharding, simhash, tokens, toxicity
+from . import chat, decontaminate, mixing, pii, quality, sharding, simhash, substring, tokens, toxicity
 from .common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,8 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
+
+
+@_query
+def op4_suffix_family_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_spans(table(spark, sf_dir, "documents"))
