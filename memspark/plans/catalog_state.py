@@ -1,0 +1,358 @@
+"""Queries over ledger, journal, WAL, tasks and transcripts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..adapters import Views, duck
+from ..operators import console, ledger, tasks, wal
+from ..values import ACTION_VIEWS, ACTIONS, SESSION_DEPTH
+from .registry import query
+
+NOW = "TIMESTAMP_NTZ'2024-01-20 12:00:00'"
+DUCK_NOW = "TIMESTAMP '2024-01-20 12:00:00'"
+
+
+def _ts(c: str) -> F.Column:
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
+def _names(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+@query(duck("ledger") + " SELECT count(*) FILTER (extracted = 'no') AS queued, count(*) FILTER (extracted = 'in-progress') AS in_progress,"
+       " count(*) FILTER (extracted = 'done') AS done FROM ledger")
+def queue_status(v: Views):
+    return ledger.queue_status(v.ledger)
+
+
+@query(duck("ledger") + " SELECT entry_id, session_id, extracted FROM ledger WHERE ts >= TIMESTAMP '1998-01-01 00:00:00'")
+def ledger_read_since(v: Views):
+    return ledger.read_since(v.ledger, F.expr("TIMESTAMP_NTZ'1998-01-01 00:00:00'")).select("entry_id", "session_id", "extracted")
+
+
+@query(duck("ledger") + " SELECT entry_id, CASE extracted WHEN 'in-progress' THEN 'no' ELSE extracted END AS extracted FROM ledger")
+def doctor_requeue(v: Views):
+    return ledger.requeue(v.ledger).select("entry_id", "extracted")
+
+
+@query(duck("ledger", "edges") + " SELECT entry_id FROM ledger WHERE extracted = 'done' AND entry_id NOT IN (SELECT episode FROM edges)")
+def doctor_reconcile(v: Views):
+    return ledger.reconcile_done(v.ledger, v.edges).select("entry_id")
+
+
+@query(duck("journal") + f" SELECT strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts, round((epoch_us({DUCK_NOW}) - epoch_us(max(ts))) / 3.6e9, 6) AS age_hours,"
+       f" (epoch_us({DUCK_NOW}) - epoch_us(max(ts))) / 3.6e9 >= 24 AS stale FROM journal WHERE ts < {DUCK_NOW}")
+def deadman(v: Views):
+    past = v.journal.where(f"ts < {NOW}")
+    return ledger.deadman(past, F.expr(NOW)).select(_ts("last_ts").alias("last_ts"), F.round("age_hours", 6).alias("age_hours"), "stale")
+
+
+@query(duck("ledger") + " SELECT entry_id, session_id FROM ledger WHERE extracted = 'no' ORDER BY ts, entry_id LIMIT 5")
+def drain_batch(v: Views):
+    return ledger.drain_batch(v.ledger).select("entry_id", "session_id")
+
+
+@query("WITH s AS (SELECT o_custkey, count(*) AS n, bool_or(o_orderpriority = '1-URGENT') AS hard FROM orders GROUP BY 1)"
+       " SELECT o_custkey AS session_id, n >= 5 OR (hard AND n > 0) AS flush FROM s")
+def flush_policy(v: Views):
+    per = v.ledger.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("summary") == "1-URGENT").alias("hard"))
+    return per.select("session_id", ledger.should_flush(F.col("n"), F.col("hard")).alias("flush"))
+
+
+@query(duck("ledger") + " SELECT entry_id, 'EP-' || strftime(ts, '%Y-%m-%d') || '.' || lpad(CAST(n AS VARCHAR), CAST(greatest(4, length(CAST(n AS VARCHAR))) AS INT), '0') AS episode_id"
+       " FROM (SELECT entry_id, ts, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, entry_id) + CASE WHEN CAST(ts AS DATE) = DATE '1995-01-02' THEN 9998 ELSE 0 END AS n FROM ledger)")
+def episode_ids(v: Views):
+    used = v.spark.createDataFrame([("EP-1995-01-02.9998",), ("EP-1995-01-02.0007",), ("not an id",)], "episode_id string")
+    return ledger.episode_ids(v.ledger.withColumn("tie", F.col("entry_id")), used).select("entry_id", "episode_id")
+
+
+@query(duck("ledger") + " SELECT session_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS cursor FROM ledger GROUP BY session_id")
+def session_cursor(v: Views):
+    rows = v.ledger.select("session_id", _ts("ts").alias("ts"), F.when(F.col("entry_id") % 2 == 0, _ts("ts")).otherwise("").alias("span_end"))
+    return ledger.session_cursor(rows)
+
+
+@query("WITH c AS (SELECT o_custkey, max(o_orderdate) AS cursor FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)"
+       " SELECT o_orderkey AS entry_id FROM orders o LEFT JOIN c USING (o_custkey) WHERE o_orderstatus = 'O' AND (cursor IS NULL OR o_orderdate > cursor)")
+def save_delta_skip(v: Views):
+    done = v.ledger.where("extracted = 'done'").withColumn("span_end", _ts("ts")).withColumn("ts", F.col("span_end"))
+    incoming = v.ledger.where("extracted = 'no'").withColumn("span_end", _ts("ts"))
+    return ledger.new_material(incoming, ledger.session_cursor(done)).select("entry_id")
+
+
+@query(duck("ledger", "wal") + " SELECT least(count(DISTINCT session_id), 3) AS sessions, count(DISTINCT session_id) = 0 AND (SELECT count(*) FROM wal) > 0 AS unsaved,"
+       " CASE WHEN count(DISTINCT session_id) > 0 THEN 'loaded' ELSE 'empty' END AS state FROM ledger")
+def memory_state(v: Views):
+    return ledger.memory_state(v.ledger, v.wal, SESSION_DEPTH)
+
+
+@query(duck("journal") + f" SELECT entry_id, action FROM journal WHERE action IN ({_names(ACTIONS)}) AND scope % 2 = 0")
+def journal_valid(v: Views):
+    odd = v.journal.withColumn("action", F.when(F.col("scope") % 2 == 1, "made-up").otherwise(F.col("action")))
+    return console.valid_journal(odd).select("entry_id", "action")
+
+
+@query(duck("ledger", "journal") + ", c AS (SELECT scope, action, count(*) AS n FROM journal GROUP BY 1, 2),"
+       " l AS (SELECT scope, sum(n) AS n, string_agg(action || ':' || CAST(n AS VARCHAR), ',' ORDER BY action) AS actions FROM c GROUP BY 1)"
+       " SELECT entry_id, CAST(coalesce(n, 0) AS BIGINT) AS n_actions, coalesce(actions, '') AS actions FROM ledger LEFT JOIN l ON session_id = scope")
+def report_cards(v: Views):
+    return console.report_cards(v.ledger.withColumnRenamed("session_id", "scope"), v.journal).select("entry_id", "n_actions", "actions")
+
+
+@query(duck("journal") + " SELECT count(*) FILTER (action IN ('gate-flag', 'gate-resolve')) AS gate_events,"
+       " round(count(*) FILTER (action = 'gate-flag') / count(*) FILTER (action IN ('gate-flag', 'gate-resolve')), 6) AS flag_rate,"
+       " count(*) FILTER (action = 'verdict') AS verdicts, count(*) FILTER (action = 'revert') AS reverts FROM journal")
+def health_strip(v: Views):
+    return console.health(v.journal)
+
+
+@query(duck("journal") + " SELECT strftime(ts, '%Y-%m-%d') AS day, action, count(*) AS n FROM journal GROUP BY ROLLUP (strftime(ts, '%Y-%m-%d'), action)")
+def health_rollup(v: Views):
+    return console.health_by_day(v.journal)
+
+
+@query(duck("journal") + " SELECT entry_id, CASE WHEN value > 50 THEN 'scrub' ELSE action END AS action FROM journal WHERE value > 50")
+def security_view(v: Views):
+    rows = v.journal.withColumn("action", F.when(F.col("value") > 50, "scrub").otherwise(F.col("action")))
+    return console.security_view(rows).select("entry_id", "action")
+
+
+@query(duck("journal") + " SELECT entry_id, action FROM journal WHERE action = 'worker-error'")
+def infra_view(v: Views):
+    return console.infra_view(v.journal).select("entry_id", "action")
+
+
+@query("SELECT a AS action FROM (VALUES " + ", ".join(f"('{a}')" for a in ACTIONS) + ") t(a) WHERE a LIKE 'snapshot%'")
+def obs_coverage(v: Views):
+    return console.uncovered(v.spark, {a: s for a, s in ACTION_VIEWS.items() if not a.startswith("snapshot")})
+
+
+@query(duck("ledger") + " SELECT entry_id, session_id, summary, extracted <> 'done' AS unverified FROM ledger WHERE ts >= TIMESTAMP '1998-08-01 00:00:00' - INTERVAL 6 DAY")
+def diary_items(v: Views):
+    return console.diary_items(v.ledger, F.expr("TIMESTAMP_NTZ'1998-08-01 00:00:00'")).drop("ts")
+
+
+_SECTIONS_SQL = duck("ledger") + """, l AS (SELECT session_id % 10 AS owner,
+  string_agg('- ' || summary || CASE WHEN extracted <> 'done' THEN ' [unverified]' ELSE '' END, chr(10) ORDER BY ts, entry_id) AS top,
+  string_agg('- ' || summary, chr(10) ORDER BY ts, entry_id) AS threads FROM ledger WHERE session_id % 10 < 3 AND ts >= TIMESTAMP '1997-06-01' GROUP BY 1),
+f AS (SELECT session_id % 10 AS owner, session_id, min(struct_pack(a := ts, b := entry_id)) AS first FROM ledger WHERE session_id % 10 < 3 AND ts >= TIMESTAMP '1997-06-01' GROUP BY 1, 2),
+r AS (SELECT owner, string_agg('- ' || CAST(session_id AS VARCHAR), chr(10) ORDER BY first DESC) AS recent FROM f GROUP BY 1),
+s AS (SELECT owner, 'TOP OF MIND' AS section, top AS body FROM l UNION ALL SELECT owner, 'OPEN THREADS', threads FROM l UNION ALL SELECT owner, 'RECENT SESSIONS', recent FROM r)
+"""
+
+
+def _items(v: Views):
+    rows = v.ledger.where("session_id % 10 < 3 AND ts >= TIMESTAMP_NTZ'1997-06-01 00:00:00'")
+    return rows.select((F.col("session_id") % 10).alias("owner"), "ts", "entry_id", "session_id", "summary", (F.col("extracted") != "done").alias("unverified"))
+
+
+@query(_SECTIONS_SQL + "SELECT owner, section, md5(body) AS body_md5, CAST(ceil(length(body) / 4.0) AS BIGINT) AS tokens FROM s")
+def diary_sections(v: Views):
+    out = console.diary_sections(_items(v))
+    return out.select("owner", "section", F.md5("body").alias("body_md5"), console.estimate_tokens(F.col("body")).alias("tokens"))
+
+
+@query(_SECTIONS_SQL + """, z AS (SELECT owner, section, length(section) + length(body) + 4 AS size,
+  CASE section WHEN 'TOP OF MIND' THEN 1 WHEN 'RECENT SESSIONS' THEN 2 WHEN 'OPEN THREADS' THEN 3 ELSE 0 END AS place FROM s),
+k AS (SELECT owner, CASE WHEN ceil((sum(size) + 4) / 4.0) <= 6000 THEN 0
+  WHEN ceil((sum(size) FILTER (place <> 1) + 2) / 4.0) <= 6000 THEN 1
+  WHEN ceil(sum(size) FILTER (place = 3) / 4.0) <= 6000 THEN 2 ELSE 3 END AS k FROM z GROUP BY 1)
+SELECT owner, section FROM z JOIN k USING (owner) WHERE place > k OR place = 0""")
+def diary_budget(v: Views):
+    return console.budgeted(console.diary_sections(_items(v)), 6000).select("owner", "section")
+
+
+@query("SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM documents")
+def token_estimate(v: Views):
+    return v.docs.select("doc_id", console.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+# ---- WAL and transcripts
+
+@query(duck("wal") + " SELECT record, strftime(ts, '%Y-%m-%d') AS date, count(*) AS n_lines FROM wal GROUP BY 1, 2")
+def wal_segments(v: Views):
+    return wal.segments(v.wal).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
+_WINDOWS_SQL = duck("wal") + """, w AS (SELECT o_orderkey AS window_id,
+  CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE TIMESTAMP '2024-01-01' + to_hours(CAST(o_orderkey % 90 AS INT)) END AS start_ts,
+  TIMESTAMP '2024-01-01' + to_hours(CAST(o_orderkey % 90 + o_orderkey % 30 - 2 AS INT)) AS end_ts FROM orders WHERE o_orderkey <= 500)
+"""
+
+
+def _windows(v: Views):
+    k = F.col("o_orderkey")
+    base = F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'")
+
+    def hours(x):
+        return base + F.make_dt_interval(F.lit(0), x.cast("int"))
+
+    rows = v.table("orders").where(k <= 500)
+    return rows.select(k.alias("window_id"), F.when(k % 11 != 0, hours(k % 90)).alias("start_ts"), hours(k % 90 + k % 30 - 2).alias("end_ts"))
+
+
+@query(_WINDOWS_SQL + """SELECT window_id, count(wal.seq) AS n_lines,
+  md5(coalesce(string_agg(text, chr(10) ORDER BY ts, session_id, seq), '')) AS text_md5
+  FROM w LEFT JOIN wal ON ts <= end_ts AND ((start_ts IS NULL AND CAST(ts AS DATE) = CAST(end_ts AS DATE)) OR ts >= start_ts) GROUP BY window_id""")
+def wal_window_text(v: Views):
+    return wal.window_texts(_windows(v), v.wal).select("window_id", "n_lines", F.md5("text").alias("text_md5"))
+
+
+@query(_WINDOWS_SQL + """SELECT window_id AS entry_id, window_id % 20 AS session_id, strftime(end_ts, '%Y-%m-%d %H:%M:%S') AS ts, 'jot ' || CAST(window_id AS VARCHAR) AS summary,
+  '' AS episode_id, 'no' AS extracted FROM w""")
+def annotations(v: Views):
+    saves = _windows(v).select(F.col("window_id").alias("entry_id"), (F.col("window_id") % 20).alias("session_id"), "start_ts", "end_ts",
+                               F.concat(F.lit("jot "), F.col("window_id").cast("string")).alias("jot"))
+    return wal.annotations(saves).select("entry_id", "session_id", _ts("ts").alias("ts"), "summary", "episode_id", "extracted")
+
+
+@query(_WINDOWS_SQL + """, t AS (SELECT window_id, string_agg(text, chr(10) ORDER BY ts, session_id, seq) AS text
+  FROM w JOIN wal ON ts <= end_ts AND ((start_ts IS NULL AND CAST(ts AS DATE) = CAST(end_ts AS DATE)) OR ts >= start_ts) GROUP BY window_id)
+SELECT window_id AS entry_id, md5(coalesce(CASE WHEN window_id % 2 = 0 THEN t.text ELSE d.text END, '')) AS content_md5
+  FROM w LEFT JOIN t USING (window_id) LEFT JOIN documents d ON d.doc_id = window_id""")
+def prepared_episodes(v: Views):
+    entries = _windows(v).withColumnRenamed("window_id", "entry_id").withColumn("annotation", F.col("entry_id") % 2 == 0).withColumn("episode_id", F.col("entry_id"))
+    out = wal.prepared(entries, v.wal, v.docs.select(F.col("doc_id").alias("episode_id"), F.col("text").alias("body")))
+    return out.select("entry_id", F.md5("content").alias("content_md5"))
+
+
+@query(duck("transcript") + """, c AS (SELECT session_id, CASE WHEN session_id % 4 = 0 THEN 99 ELSE session_id % 4 END AS captured, count(*) AS n FROM transcript GROUP BY session_id)
+SELECT session_id, seq FROM transcript JOIN c USING (session_id) WHERE seq >= CASE WHEN n < captured THEN 0 ELSE captured END""")
+def incremental_slice(v: Views):
+    cursors = v.transcript.select("session_id").distinct().withColumn("captured", F.when(F.col("session_id") % 4 == 0, 99).otherwise(F.col("session_id") % 4))
+    return wal.suffix(v.transcript, cursors).select("session_id", "seq")
+
+
+@query(duck("transcript") + """, l AS (SELECT session_id, arg_max(text, seq) FILTER (type = 'assistant_text') AS a, arg_max(text, seq) FILTER (type = 'user') AS u FROM transcript GROUP BY 1)
+SELECT session_id, md5(coalesce(nullif(a, ''), u, '')) AS summary_md5 FROM l""")
+def provisional_summary(v: Views):
+    from ..operators.transcript import provisional_summary as summary
+
+    return summary(v.transcript).select("session_id", F.md5("summary").alias("summary_md5"))
+
+
+_SPANS = """, r AS (SELECT session_id, seq, CASE WHEN seq % 5 = 4 THEN 'soon' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN seq % 2 = 0 THEN 'Z' ELSE '+00:00' END END AS raw,
+  CASE WHEN seq % 5 <> 4 THEN ts END AS t FROM wal)
+"""
+
+
+def _stamped(v: Views):
+    iso = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("seq") % 2 == 0, "Z").otherwise("+00:00"))
+    return v.wal.select("session_id", "seq", F.when(F.col("seq") % 5 == 4, "soon").otherwise(iso).alias("timestamp"))
+
+
+@query(duck("wal") + _SPANS + "SELECT session_id, arg_min(raw, t) AS start_raw, arg_max(raw, t) AS end_raw, count(*) AS n_records FROM r GROUP BY 1")
+def session_span(v: Views):
+    from ..operators.transcript import session_spans
+
+    return session_spans(_stamped(v)).select("session_id", "start_raw", "end_raw", "n_records")
+
+
+@query(duck("wal") + _SPANS + ", s AS (SELECT session_id, min(t) AS t FROM r GROUP BY 1)"
+       " SELECT session_id, row_number() OVER (ORDER BY t, session_id) AS place FROM s")
+def session_plan(v: Views):
+    from ..operators.transcript import session_spans
+
+    plan = session_spans(_stamped(v))
+    from ..operators.order import with_ordinal
+
+    return with_ordinal(plan, F.date_trunc("day", F.col("start_ts")), [F.col("start_ts"), F.col("session_id")], "place").select("session_id", "place")
+
+
+@query(duck("wal") + ", p AS (SELECT session_id, min(ts) AS t FROM wal GROUP BY 1) SELECT session_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS start_ts FROM p"
+       " WHERE session_id NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 3 = 0)")
+def backfill_pending(v: Views):
+    plan = v.wal.groupBy("session_id").agg(F.min("ts").alias("sort_key")).withColumn("path", F.concat(F.col("session_id").cast("string"), F.lit(".jsonl")))
+    twice = plan.unionByName(plan.withColumn("path", F.concat(F.lit("copy-"), F.col("path"))))
+    return wal.pending_sessions(twice, v.ledger.where("session_id % 3 = 0")).select("session_id", _ts("sort_key").alias("start_ts"))
+
+
+_CAPTURE = duck("transcript") + """, p AS (
+SELECT session_id, seq, projection, CASE type WHEN 'user' THEN 'dialogue.user' ELSE 'dialogue.assistant' END AS kind, text AS content
+FROM transcript, (VALUES ('flight_recorder'), ('memory_grade')) f(projection) WHERE type IN ('user', 'assistant_text'))
+"""
+
+
+@query(_CAPTURE + "SELECT session_id, seq, projection, kind, md5(content) AS content_md5 FROM p")
+def capture_projections(v: Views):
+    from ..operators.transcript import events_of, project
+
+    out = project(events_of(v.transcript))
+    return out.select("session_id", "seq", "projection", "kind", F.md5("content").alias("content_md5"))
+
+
+@query(_CAPTURE + "SELECT session_id, md5(string_agg(content, chr(10) ORDER BY seq)) AS text_md5 FROM p WHERE projection = 'memory_grade' AND content <> '' GROUP BY 1")
+def session_memory_text(v: Views):
+    from ..operators.transcript import events_of, memory_text, project
+
+    return memory_text(project(events_of(v.transcript))).select("session_id", F.md5("text").alias("text_md5"))
+
+
+# ---- tasks
+
+_FOLD = duck("task_events") + """, f AS (SELECT *, min(ordinal) FILTER (event = 'task.created') OVER (PARTITION BY task_id) AS fc FROM task_events),
+e AS (SELECT *, (event = 'task.due_moved' OR (event = 'task.created' AND due IS NOT NULL) OR ordinal = fc) AS dated FROM f WHERE ordinal >= fc),
+s AS (SELECT task_id, any_value(kind) AS kind, min(project) AS project,
+  coalesce(arg_max(title, ordinal) FILTER (event = 'task.created' AND title <> ''), '') AS title,
+  CAST(max(ordinal) FILTER (dated) AS BIGINT) AS due_at,
+  coalesce(arg_max(replace(event, 'task.', ''), ordinal) FILTER (event IN ('task.done', 'task.cancelled')), 'open') AS raw_status
+  FROM e GROUP BY task_id),
+st AS (SELECT s.task_id, s.kind, s.project, s.title, e.due, CASE WHEN s.task_id % 2 = 0 THEN 'open' ELSE raw_status END AS status, raw_status FROM s JOIN e ON e.task_id = s.task_id AND e.ordinal = due_at)
+"""
+
+
+def _states(v: Views, reopen: bool = True):
+    states = tasks.fold(v.task_events)
+    # nearly every task of the test table ends closed; half are taken as open, so that the later steps have work
+    return states.withColumn("status", F.when(F.col("task_id") % 2 == 0, "open").otherwise(F.col("status"))) if reopen else states
+
+
+@query(_FOLD + "SELECT task_id, kind, project, title, strftime(due, '%Y-%m-%d %H:%M:%S') AS due, raw_status AS status FROM st")
+def task_states(v: Views):
+    return _states(v, False).select("task_id", "kind", "project", "title", _ts("due").alias("due"), "status")
+
+
+_URGENCY = f"""CASE WHEN status <> 'open' OR due IS NULL THEN 0.0 WHEN {DUCK_NOW} > due THEN 2.0
+  WHEN (epoch_us(due) - epoch_us({DUCK_NOW})) / 86400000000.0 >= 14 THEN 0.0 ELSE 1.0 - (epoch_us(due) - epoch_us({DUCK_NOW})) / 86400000000.0 / 14 END"""
+_EFFECTIVE = f"CASE WHEN status = 'open' AND kind = 'commitment' AND coalesce({DUCK_NOW} > due, false) THEN 'broken' ELSE status END"
+
+
+@query(_FOLD + f"SELECT task_id, round({_URGENCY}, 6) AS urgency, {_EFFECTIVE} AS effective FROM st")
+def task_urgency(v: Views):
+    return tasks.department(_states(v), F.expr(NOW), include_terminal=True).select("task_id", "urgency", "effective")
+
+
+@query(_FOLD + f", d AS (SELECT task_id, due, round({_URGENCY}, 6) AS urgency, {_EFFECTIVE} AS effective FROM st)"
+       " SELECT task_id, urgency, effective FROM d WHERE effective IN ('open', 'broken') ORDER BY urgency DESC, due ASC NULLS LAST, task_id LIMIT 20")
+def task_ranking(v: Views):
+    return tasks.ranking(_states(v), F.expr(NOW), 20).select("task_id", "urgency", "effective")
+
+
+@query(_FOLD + "SELECT coalesce(nullif(project, ''), '(none)') AS project, count(*) AS n_tasks, count(*) FILTER (status = 'open') AS n_open FROM st GROUP BY 1")
+def tasks_by_project(v: Views):
+    return tasks.by_project(_states(v))
+
+
+@query(duck("task_events") + " SELECT ordinal, 'TS-' || strftime(ts, '%Y-%m-%d') || '.' || CAST(row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY ordinal) - 1 AS VARCHAR) AS task_id"
+       " FROM task_events WHERE event = 'task.created'")
+def task_ids(v: Views):
+    made = v.task_events.where("event = 'task.created'").drop("task_id")
+    return tasks.task_ids(made).select("ordinal", "task_id")
+
+
+@query("""WITH c AS (SELECT event_id AS seq, ts, user_id, 'TS-cap-' || CAST(user_id AS VARCHAR) AS task_id, CASE event_type WHEN 'signup' THEN 'task_created' ELSE 'task_completed' END AS type FROM events WHERE event_type IN ('signup', 'purchase')),
+b AS (SELECT task_id, min(seq) AS seq FROM c WHERE type = 'task_created' GROUP BY 1),
+h AS (SELECT DISTINCT task_id FROM c WHERE user_id % 7 = 0), x AS (SELECT DISTINCT task_id FROM c WHERE user_id % 14 = 0),
+k AS (SELECT task_id, min(seq) AS born FROM (SELECT * FROM b UNION ALL SELECT task_id, -1 FROM h) GROUP BY 1)
+SELECT task_id, seq, 'task.created' AS event FROM b WHERE task_id NOT IN (SELECT task_id FROM h)
+UNION ALL SELECT task_id, min(seq), 'task.done' FROM c JOIN k USING (task_id) WHERE type = 'task_completed' AND seq > born AND task_id NOT IN (SELECT task_id FROM x) GROUP BY task_id""")
+def task_emit(v: Views):
+    rows = v.table("events").where("event_type in ('signup', 'purchase')")
+    captured = rows.select(F.lit("s").alias("session_id"), F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("task_ref"), "ts", "user_id",
+                           F.when(F.col("event_type") == "signup", "task_created").otherwise("task_completed").alias("type"))
+    name = F.concat(F.lit("TS-cap-"), F.col("task_ref"))
+    log = captured.where("user_id % 7 = 0").select(name.alias("task_id"), F.lit("task.created").alias("event")).unionByName(
+        captured.where("user_id % 14 = 0").select(name.alias("task_id"), F.lit("task.done").alias("event")))
+    return tasks.emit_from_capture(captured, log).select("task_id", "seq", "event")
