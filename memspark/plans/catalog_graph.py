@@ -22,9 +22,9 @@ n AS (SELECT prev AS p, arg_max(entry_id, struct_pack(a := ts, b := entry_id)) A
 """
 
 
-@query(_LINKS + "SELECT entry_id, prev, next FROM p LEFT JOIN n ON entry_id = n.p")
+@query(_LINKS + "SELECT entry_id, coalesce(CAST(prev AS VARCHAR), '') AS prev, coalesce(CAST(next AS VARCHAR), '') AS next FROM p LEFT JOIN n ON entry_id = n.p")
 def structural_links(v: Views):
-    return links.structural_links(v.ledger)
+    return links.structural_links(v.ledger).select("entry_id", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("prev", "next")])
 
 
 @query(_LINKS + "SELECT entry_id AS src, prev AS dst, 'PREV_ENTRY' AS label FROM p WHERE prev IS NOT NULL UNION ALL SELECT p, next, 'NEXT_ENTRY' FROM n")
@@ -48,10 +48,10 @@ tl AS (SELECT entry_id, array_to_string(list_sort(list_distinct(list(other))), '
 rl AS (SELECT entry_id, array_to_string(list_sort(list(other)), ',') AS refs FROM s WHERE score >= 0.45 AND score < 0.75 GROUP BY 1),
 c AS (SELECT entry_id, arg_max(other, struct_pack(a := score, b := p_rn)) AS continues FROM s WHERE score >= 0.75 AND same GROUP BY 1),
 i AS (SELECT entry_id FROM tl UNION SELECT entry_id FROM rl)
-SELECT i.entry_id, coalesce(topics, '') AS topics, coalesce(refs, '') AS refs, continues FROM i LEFT JOIN tl USING (entry_id) LEFT JOIN rl USING (entry_id) LEFT JOIN c USING (entry_id)""")
+SELECT i.entry_id, coalesce(topics, '') AS topics, coalesce(refs, '') AS refs, coalesce(CAST(continues AS VARCHAR), '') AS continues FROM i LEFT JOIN tl USING (entry_id) LEFT JOIN rl USING (entry_id) LEFT JOIN c USING (entry_id)""")
 def semantic_links(v: Views):
     found = links.semantic_links(_vector_rows(v)).where((F.size("same_topic") > 0) | (F.size("references") > 0))
-    return found.select("entry_id", F.array_join(F.col("same_topic").cast("array<string>"), ",").alias("topics"), F.array_join(F.col("references").cast("array<string>"), ",").alias("refs"), "continues")
+    return found.select("entry_id", F.array_join(F.col("same_topic").cast("array<string>"), ",").alias("topics"), F.array_join(F.col("references").cast("array<string>"), ",").alias("refs"), F.coalesce(F.col("continues").cast("string"), F.lit("")).alias("continues"))
 
 
 @query(_VECTORS + f" SELECT a.entry_id, b.entry_id AS other, round({_COSINE}, 6) AS score FROM r a JOIN r b ON b.rn BETWEEN a.rn - 50 AND a.rn - 1")
@@ -180,12 +180,12 @@ def semantic_topk(v: Views):
     return recall.semantic_topk(_vector_queries(v), items)
 
 
-_BM25 = """, tok AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), w -> w <> '') AS w FROM d),
+_BM25 = """, tok AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM d),
 st AS (SELECT avg(len(w)) AS avg_len, count(*) AS n_docs FROM tok),
 tf AS (SELECT item_id, len(w) AS len, unnest(w) AS term FROM tok),
 tc AS (SELECT item_id, len, term, count(*) AS tf FROM tf GROUP BY 1, 2, 3),
 df AS (SELECT term, count(*) AS df FROM tc GROUP BY 1),
-qt AS (SELECT DISTINCT query_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), w -> w <> '')) AS term FROM q),
+qt AS (SELECT DISTINCT query_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> '')) AS term FROM q),
 s AS (SELECT query_id, item_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score
   FROM tc JOIN df USING (term) JOIN qt USING (term), st GROUP BY 1, 2),
 b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s)
