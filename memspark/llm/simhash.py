@@ -1,10 +1,11 @@
 """Near-duplicate detection: SimHash fingerprints joined by covering locality-sensitive hashing.
 
 Every bit position i of the fingerprint carries a random code c(i) of radius + 1 bits. For each
-non-zero v of radius + 1 bits, table v keeps the bit positions with <c(i), v> = 0 (mod 2) and
+non-zero v of radius + 1 bits, table v keeps the bit positions with <c(i), v> = 1 (mod 2) and
 masks the others. The codes of at most `radius` differing positions span a space of dimension
-radius or less, so some non-zero v is orthogonal to all of them, and the two fingerprints agree
-in table v: no pair within the radius is missed (2^(radius+1) - 1 = 31 tables for radius 4).
+radius or less, so some non-zero v is orthogonal to all of them: table v masks them all and the
+two fingerprints agree there. No pair within the radius is missed (2^(radius+1) - 1 = 31 tables
+for radius 4).
 
 Equal fingerprints are one class from the start, so copies never meet as pairs. Inside a bucket
 classes are linked by a breadth-first walk that emits at most size - 1 true links (a spanning
@@ -91,7 +92,7 @@ def covering_masks(radius: int = RADIUS, bits: int = BITS, seed: int = 7) -> lis
     codes = np.arange(bits) % (1 << k)
     rng.shuffle(codes)
     return [
-        sum(1 << i for i, c in enumerate(codes.tolist()) if bin(c & v).count("1") % 2 == 0)
+        sum(1 << i for i, c in enumerate(codes.tolist()) if bin(c & v).count("1") % 2 == 1)
         for v in range(1, 1 << k)
     ]
 
