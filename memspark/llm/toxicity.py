@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from hashlib import blake2b
 from zlib import crc32
 
 import numpy as np
@@ -102,10 +103,13 @@ class Machine:
 
 def _select(rows: list[np.ndarray], y: np.ndarray, most: int) -> list[int]:
     """The features most associated with the label, by the chi-square of the 2 x 2 table."""
-    ids, inverse = np.unique(np.concatenate(rows), return_inverse=True)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    n = np.bincount(inverse, minlength=len(ids)).astype(float)
-    n1 = np.bincount(inverse, weights=y[owner], minlength=len(ids))
+    n_all, n_one = (np.zeros(2 << BITS, dtype=np.int32) for _ in range(2))
+    for r, label in zip(rows, y, strict=True):  # a row has an id once
+        n_all[r] += 1
+        if label:
+            n_one[r] += 1
+    ids = np.flatnonzero(n_all)
+    n, n1 = n_all[ids].astype(float), n_one[ids].astype(float)
     total, total1 = float(len(y)), float(y.sum())
     diff = n1 * total - n * total1
     spread = n * (total - n) * total1 * (total - total1)
@@ -183,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: in
     values, offsets = ids.values.to_numpy(), ids.offsets.to_numpy()
     rows = [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
     # copies count once; the order doesn't depend on the partitions
-    unique = {(r.tobytes(), y): r for r, y in zip(rows, found.column("y").to_pylist(), strict=True)}
+    unique = {(blake2b(r.tobytes(), digest_size=16).digest(), y): r for r, y in zip(rows, found.column("y").to_pylist(), strict=True)}
     order = sorted(unique)
     return fit([unique[k] for k in order], [k[1] for k in order])
 
