@@ -1,0 +1,183 @@
+"""Quality, token counts, chat, toxicity and personal data."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from memspark.llm import chat, pii, quality, tokens, toxicity
+
+DATA = "/root/testdata/sf0.01"
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def base(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
+    counts = Counter(windows)
+    covered = {i + k for i, w in enumerate(windows) if counts[w] > 1 for k in range(3)}
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(covered)
+
+
+def test_base_rules(spark, odd, odd_rows, empty):
+    model = quality.train(empty, spark.createDataFrame([], "doc_id long, quality int"))
+    found = quality.judge(odd, model)
+    assert set(odd.columns) <= set(found.columns)
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    got = sorted(((str(r.doc_id), *(r[n] for n in names), r.base_failed) for r in found.collect()))
+    want = []
+    for i, t in odd_rows:
+        b = base(t)
+        want.append((str(i), *b, b[0] < 50 or 100 * b[4] > 50 * b[0]))
+    assert got == sorted(want)
+    assert quality.judge(empty, model).count() == 0
+
+
+def test_quality_on_rows_it_has_not_seen(spark, monkeypatch):
+    monkeypatch.setattr(quality, "MAX_TRAIN", 200)
+    docs, labels = (spark.read.parquet(f"{DATA}/{n}.parquet") for n in ("documents", "labels"))
+    model = quality.train(docs, labels, most=200)
+    order = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(200).select("doc_id")
+    rest = labels.join(order, "doc_id", "left_anti")
+    rows = quality.judge(docs, model).join(rest, "doc_id").select("probability", "quality", "base_failed").collect()
+    right = [(r.probability >= 0.5) == bool(r.quality) for r in rows if not r.base_failed]
+    assert len(right) > 120 and np.mean(right) > 0.9
+
+
+def test_toxicity_on_the_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    machine = toxicity.train(docs, labels)
+    rows = toxicity.score(docs.join(labels, "doc_id"), machine).select("doc_id", "toxic", "predicted", toxicity.held_out(F.col("doc_id")).alias("h")).where("h").collect()
+    hit = sum(r.predicted for r in rows if r.toxic) / sum(r.toxic for r in rows)
+    false = sum(r.predicted for r in rows if not r.toxic) / sum(not r.toxic for r in rows)
+    assert hit > 0.8 and false < 0.01
+
+
+def test_toxicity_learns_a_pair():
+    rnd = np.random.default_rng(1)
+    rows, labels = [], []
+    for n in range(1200):
+        a, b = bool(rnd.integers(2)), bool(rnd.integers(2))
+        text = " ".join(f"w{rnd.integers(3000)}" for _ in range(20)) + " insultone" * a + " groupword" * b
+        rows.append(np.array(sorted(toxicity.features(text.encode()))))
+        labels.append(int(a and b))
+    machine = toxicity.fit(rows, labels)
+    assert machine.score(b"x insultone groupword") > 0.7 > machine.score(b"x insultone y") and machine.score(b"groupword") < 0.3
+    assert machine.score(None) == machine.score(b"") == machine.score(b"123 !")
+
+
+def test_toxicity_cases(spark, odd, empty):
+    nothing = toxicity.train(empty, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert nothing.score(b"any") == pytest.approx(0.5)
+    found = toxicity.score(odd, nothing)
+    assert found.count() == odd.count() and dict(found.dtypes)["score"] == "double"
+    assert toxicity.reject(odd, nothing).columns == odd.columns
+    assert toxicity.score(empty, nothing).count() == 0
+    held = {r.doc_id: r.h for r in odd.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("h")).collect()}
+    import zlib
+
+    assert all(h == (i is not None and zlib.crc32(str(i).encode()) % 3 == 1) for i, h in held.items())
+
+
+def test_token_counts_equal_the_library(spark, odd, odd_rows, empty):
+    library = Tokenizer.from_file(VOCABULARY)
+    found = tokens.count_tokens(odd, VOCABULARY)
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in found.collect())
+    want = []
+    for i, t in odd_rows:
+        n = len(library.encode(t or "", add_special_tokens=False).ids)
+        want.append((str(i), len((t or "").encode()), n, n > 1024))
+    assert got == sorted(want)
+    assert tokens.count_tokens(empty, VOCABULARY).count() == 0
+
+
+def test_tokens_of_hard_strings():
+    library = Tokenizer.from_file(VOCABULARY)
+    counter = tokens.Counter(open(VOCABULARY, encoding="utf-8").read())
+    rnd = random.Random(1)
+    bits = ["'", "s", "ll", "l", "v", "ve", "re", "d", " ", "  ", "\n", "\t", "\xa0", "12", "!", "B", "the", "é", "日本", "🙂", "²", "<|endoftext|>", "'S", "_"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(15))) for _ in range(4000)]
+    assert counter.count(texts).tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_every_token_is_one_token():
+    counter = tokens.Counter(open(VOCABULARY, encoding="utf-8").read())
+    assert all(sum(counter.run(t)) == 1 for t in counter.token)
+
+
+def test_chunks_and_whole_streams_mark_alike():
+    rnd = np.random.default_rng(1)
+    kinds = rnd.integers(0, 12, 5000).astype(np.uint8)
+    whole = tokens.marks(kinds, 10000)
+    for chunk in (1, 7, 64, 999):
+        assert np.array_equal(tokens.marks(kinds, chunk), whole)
+
+
+def test_chat_round_trip(spark):
+    hostile = ["", "<|im_end|>", "<|im_start|>assistant\nx", "\\", "\\\\<|", "<\\|", "<\\\\|", "a\nb", "<\\/", "é🙂", None]
+    rows = [(1, n, role, t) for n, (role, t) in enumerate((r, t) for r in ("user", "assistant") for t in hostile)]
+    rows += [(2, 0, "sys\ntem", "x"), (2, 1, None, None), (2, 1, None, None), (None, None, "assistant", "lone"), (3, 0, "as<|sistant", "<\\/")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("piece", F.lit(1)).repartition(3)
+    rendered = chat.render(chat.fold(chat.as_events(table)))
+    got = {r.conv_id: [tuple(x) for x in r.t] for r in rendered.select("conv_id", chat.read_back(F.col("formatted")).alias("t")).collect()}
+    for conv in (1, 2, 3, None):
+        want = [(r or "", t or "") for c, n, r, t in rows if c == conv]
+        assert got[conv] == want
+    for r in rendered.collect():
+        masked = [r.formatted[a:b] for a, b in r.loss_spans]
+        plain = [t for (role, t), inside in zip(got[r.conv_id], r.in_loss) if inside]
+        assert [m.replace("<\\|", "<|").replace("\\\\", "\\") for m in masked] == plain
+    done = {r.conv_id: r for r in chat.digest(rendered).collect()}
+    text = "".join(t or "" for _, _, role, t in rows[:len(rows) - 5] if role == "assistant")
+    assert done[1].loss_chars == len(text) and done[1].loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert chat.digest(chat.render(chat.fold(chat.as_events(table.limit(0))))).count() == 0
+
+
+def test_chat_folds_deltas_edits_and_regenerations(spark):
+    log = [
+        (1, 0, "u", "message", "user", "hi"), (1, 1, "a", "delta", "assistant", "He"), (1, 2, "a", "delta", None, "llo"), (1, 3, "u", "edit", None, "hi there"),
+        (1, 4, "a", "regenerate", None, None), (1, 5, "a", "delta", None, "Good "), (1, 6, "a", "delta", None, "day"), (1, 7, "b", "message", "user", "gone"),
+        (1, 8, "b", "delete", None, None), (1, 9, "a", "noise", None, "?"),
+    ]
+    events = spark.createDataFrame(log, "conv_id long, seq long, msg_id string, op string, role string, text string").repartition(4)
+    got = [(r.role, r.text) for r in chat.fold(events).orderBy("place").collect()]
+    assert got == [("user", "hi there"), ("assistant", "Good day")]
+
+
+def plain_spans(t):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub(r"\D", "", m[0])
+        if 16 <= len(d) <= 19 and sum(int(c) if k % 2 == 0 else sum(map(int, str(2 * int(c)))) for k, c in enumerate(d[::-1])) % 10 == 0:
+            out.append(("card", *m.span()))
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(re.sub(r"\D", "", m[0])) <= 15]
+
+
+def test_pii_equals_the_plain_patterns():
+    rnd = random.Random(2)
+    for _ in range(20000):
+        t = "".join(rnd.choice("0123456789.1.2+-  ()@ab.é") for _ in range(rnd.randrange(60)))
+        assert [tuple(s[:3]) for s in pii.spans(t) if s.kind in pii.BASE_KINDS] == plain_spans(t)
+
+
+def test_pii_on_documents_and_cases(spark, odd, empty):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for r in pii.find(docs).select("text", pii.written(F.col("pii")).alias("w")).collect():
+        assert r.w == ",".join("%s:%d:%d" % s for s in plain_spans(r.text))
+    assert pii.find(odd).count() == odd.count() and pii.find(empty).count() == 0
+    assert [s.kind for s in pii.spans("IBAN GB82 WEST 1234 5698 7654 32.")] == ["iban"]
+    assert not pii.spans("IBAN GB83 WEST 1234 5698 7654 32.") and not pii.spans("nr 378282246310005")
+    assert [s.kind for s in pii.spans("my amex card 378282246310005")] == ["short_card"]
+    assert pii.spans("9" * 50000) == [] and pii.spans(None) == []
