@@ -116,5 +116,5 @@ def parse_briefing(texts: DataFrame) -> DataFrame:
     rows = lines.withColumn("_h", head).withColumn("_at", F.max(F.when(F.col("_h").isNotNull(), F.col("n"))).over(upto))
     rows = rows.withColumn("section", F.last("_h", ignorenulls=True).over(upto)).where("_at is not null")
     body = F.array_sort(F.collect_list(F.when(F.col("_h").isNull(), F.struct("n", "line"))))
-    parts = rows.groupBy("text_id", "_at", "section").agg(F.trim(F.array_join(F.transform(body, lambda x: x["line"]), "\n")).alias("body"))
+    parts = rows.groupBy("text_id", "_at", "section").agg(F.regexp_replace(F.array_join(F.transform(body, lambda x: x["line"]), "\n"), r"^\s+|\s+$", "").alias("body"))
     return parts.groupBy("text_id", "section").agg(F.max_by("body", "_at").alias("body"))

@@ -161,7 +161,7 @@ def transcript_events(records: DataFrame) -> DataFrame:
         none.alias("tool_name"), none.alias("tool_input"), none.alias("call"), F.try_variant_get("v", "$.task_id", "string").alias("task_id"),
     )
     events = users.unionByName(whole).unionByName(spoken).unionByName(forwarded)
-    blank = F.trim(F.coalesce("text", F.lit(""))) == ""
+    blank = ~F.coalesce("text", F.lit("")).rlike(r"(?U)\S")
     events = events.where((F.col("type") == "tool_use") | (F.col("type").isin(*_TASKS)) | ~blank)
     joined = events.join(results, ["session_id", "call"], "left")
     response = F.when(F.col("type") == "tool_use", F.coalesce("response", F.lit("")))

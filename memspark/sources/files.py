@@ -20,10 +20,10 @@ def read_jsonl(spark: SparkSession, paths: str | Sequence[str], recursive: bool
     whole-file reads, transcripts being small; one row per file is split in the cluster.
     """
     files = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.jsonl")
-        .text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
+        spark.read.option("pathGlobFilter", "*.jsonl").text(paths, wholetext=True, recursiveFileLookup=recursive)
+        .select(F.col("_metadata.file_path").alias("path"), "value")
     )
-    lines = files.select("path", F.posexplode(F.split("value", "\r?\n")).alias("pos", "line")).where(F.trim("line") != "")
+    lines = files.select("path", F.posexplode(F.split("value", "\r?\n")).alias("pos", "line")).where(F.col("line").rlike(r"\S"))
     return parse_lines(lines)
 
 
@@ -45,7 +45,7 @@ def newest(files: DataFrame) -> DataFrame:
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Events of a JSON file that is a list or has a list `events`; anything else is an error."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.parse_json("value").alias("v"))
+    whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
     kind = F.schema_of_variant("v")
     listed = F.when(kind.startswith("ARRAY"), F.try_variant_get("v", "$", "array<variant>")).otherwise(F.try_variant_get("v", "$.events", "array<variant>"))
     checked = F.coalesce(listed, F.raise_error(F.lit("a list of events is needed")).cast("array<variant>"))
@@ -59,7 +59,7 @@ def append_log(rows: DataFrame, path: str, by: Sequence[str]) -> None:
 
 def append_wal(rows: DataFrame, path: str) -> None:
     """Lines (record, ts, session_id, text), scrubbed on the way in; blank ones are left out."""
-    clean = rows.withColumn("text", scrub(F.col("text"))).where(F.trim("text") != "")
+    clean = rows.withColumn("text", scrub(F.col("text"))).where(F.col("text").rlike(r"\S"))
     append_log(clean.withColumn("date", F.to_date("ts")), path, ["record", "date"])
 
 
@@ -99,7 +99,7 @@ def write_episodes(rows: DataFrame, path: str) -> None:
 
 def read_episodes(spark: SparkSession, path: str) -> DataFrame:
     """(header STRUCT, body)."""
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     parts = F.split("value", "\n", 3)
     return whole.select(F.from_json(parts[0], HEADER).alias("header"), F.get(parts, F.lit(2)).alias("body"))
 
