@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..adapters import Views, duck
-from ..operators import console, ledger, tasks, wal
+from ..operators import console, ledger, tasks, transcript, wal
+from ..operators.order import with_ordinal
 from ..values import ACTION_VIEWS, ACTIONS, SESSION_DEPTH
 from .registry import query
 
@@ -228,9 +229,7 @@ def incremental_slice(v: Views):
 @query(duck("transcript") + """, l AS (SELECT session_id, arg_max(text, seq) FILTER (type = 'assistant_text') AS a, arg_max(text, seq) FILTER (type = 'user') AS u FROM transcript GROUP BY 1)
 SELECT session_id, md5(coalesce(nullif(a, ''), u, '')) AS summary_md5 FROM l""")
 def provisional_summary(v: Views):
-    from ..operators.transcript import provisional_summary as summary
-
-    return summary(v.transcript).select("session_id", F.md5("summary").alias("summary_md5"))
+    return transcript.provisional_summary(v.transcript).select("session_id", F.md5("summary").alias("summary_md5"))
 
 
 _SPANS = """, r AS (SELECT session_id, seq, CASE WHEN seq % 5 = 4 THEN 'soon' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN seq % 2 = 0 THEN 'Z' ELSE '+00:00' END END AS raw,
@@ -245,19 +244,13 @@ def _stamped(v: Views):
 
 @query(duck("wal") + _SPANS + "SELECT session_id, arg_min(raw, t) AS start_raw, arg_max(raw, t) AS end_raw, count(*) AS n_records FROM r GROUP BY 1")
 def session_span(v: Views):
-    from ..operators.transcript import session_spans
-
-    return session_spans(_stamped(v)).select("session_id", "start_raw", "end_raw", "n_records")
+    return transcript.session_spans(_stamped(v)).select("session_id", "start_raw", "end_raw", "n_records")
 
 
 @query(duck("wal") + _SPANS + ", s AS (SELECT session_id, min(t) AS t FROM r GROUP BY 1)"
        " SELECT session_id, row_number() OVER (ORDER BY t, session_id) AS place FROM s")
 def session_plan(v: Views):
-    from ..operators.transcript import session_spans
-
-    plan = session_spans(_stamped(v))
-    from ..operators.order import with_ordinal
-
+    plan = transcript.session_spans(_stamped(v))
     return with_ordinal(plan, F.date_trunc("day", F.col("start_ts")), [F.col("start_ts"), F.col("session_id")], "place").select("session_id", "place")
 
 
@@ -277,17 +270,13 @@ FROM transcript, (VALUES ('flight_recorder'), ('memory_grade')) f(projection) WH
 
 @query(_CAPTURE + "SELECT session_id, seq, projection, kind, md5(content) AS content_md5 FROM p")
 def capture_projections(v: Views):
-    from ..operators.transcript import events_of, project
-
-    out = project(events_of(v.transcript))
+    out = transcript.project(transcript.events_of(v.transcript))
     return out.select("session_id", "seq", "projection", "kind", F.md5("content").alias("content_md5"))
 
 
 @query(_CAPTURE + "SELECT session_id, md5(string_agg(content, chr(10) ORDER BY seq)) AS text_md5 FROM p WHERE projection = 'memory_grade' AND content <> '' GROUP BY 1")
 def session_memory_text(v: Views):
-    from ..operators.transcript import events_of, memory_text, project
-
-    return memory_text(project(events_of(v.transcript))).select("session_id", F.md5("text").alias("text_md5"))
+    return transcript.memory_text(transcript.project(transcript.events_of(v.transcript))).select("session_id", F.md5("text").alias("text_md5"))
 
 
 # ---- tasks
