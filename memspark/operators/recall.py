@@ -60,7 +60,7 @@ def semantic_topk(queries: DataFrame, items: DataFrame, n: int = TOP_N) -> DataF
     pairs = items.crossJoin(_small(queries))
     scored = pairs.select("query_id", "item_id", F.round(cosine(F.col("query_vector"), F.col("vector")), 6).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+    return scored.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= n)
 
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, n: int = TOP_N) -> DataFrame:
@@ -82,7 +82,7 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, n: int = TOP_N) -> DataFrame:
     norm = F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / F.col("avg_len"))
     scored = scored.groupBy("query_id", "item_id").agg(F.round(F.sum(idf * F.col("tf") * (BM25_K1 + 1) / norm), 6).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+    return scored.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= n)
 
 
 def verdicts(hits: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def search(semantic: DataFrame, keyword: DataFrame, edges: DataFrame, queries: D
         F.count_if(F.col("channel") == "semantic").alias("s"), F.count_if(F.col("channel") == "keyword").alias("k"),
     )
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "pos", "edge_id")
-    hits = union.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    hits = union.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= n)
     hits = hits.select("query_id", "edge_id", "score", "rank", serving_label().alias("label"))
     # every edge that passed the gate still holds, so it confirms itself in the graph
     seen = union.groupBy("query_id").agg((F.sum("s") > 0).alias("semantic"), (F.sum("k") > 0).alias("keyword"), F.lit(True).alias("graph"))
@@ -133,7 +133,7 @@ def expand(anchors: DataFrame, edges: DataFrame, n: int | None = None) -> DataFr
     asked = anchors.where("tier <> 'none'").select("anchor_id", "episode")
     found = asked.join(gate(edges), "episode")
     order = Window.partitionBy("anchor_id").orderBy(F.col("weight").desc(), "edge_id")
-    out = found.withColumn("rank", F.row_number().over(order))
+    out = found.withColumn("rank", F.row_number().over(order).cast("long"))
     out = out if n is None else out.where(F.col("rank") <= n)
     return out.select("anchor_id", "edge_id", serving_label().alias("label"), "rank")
 
@@ -160,7 +160,7 @@ def payload(hits: DataFrame, answers: DataFrame) -> DataFrame:
     joined = answers.join(lists, "query_id", "left")
     body = F.struct(
         F.col("score").alias("score"), F.col("label").alias("label"),
-        F.transform(F.coalesce("edges", F.array().cast("array<struct<rank:int,edge_id:string,label:string>>")), lambda e: F.struct(e["edge_id"].alias("edge_id"), e["label"].alias("label"))).alias("edges"),
+        F.transform(F.coalesce("edges", F.array().cast("array<struct<rank:bigint,edge_id:string,label:string>>")), lambda e: F.struct(e["edge_id"].alias("edge_id"), e["label"].alias("label"))).alias("edges"),
     )
     return joined.select("query_id", F.to_json(body).alias("payload"))
 

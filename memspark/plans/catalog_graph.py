@@ -231,7 +231,7 @@ def _search(v: Views):
     score = F.round(1.0 / (1.0 + F.abs(F.col("weight") / 10 - F.col("price"))), 6)
     near = some.crossJoin(F.broadcast(queries)).select("query_id", "edge_id", score.alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "edge_id")
-    semantic = near.withColumn("rank", F.row_number().over(best)).where("rank <= 5")
+    semantic = near.withColumn("rank", F.row_number().over(best).cast("long")).where("rank <= 5")
     keyword = recall.bm25_topk(queries.select("query_id", "text"), some.select(F.col("edge_id").alias("item_id"), F.col("fact").alias("text")))
     return recall.search(semantic, keyword.withColumnRenamed("item_id", "edge_id"), v.edges, queries)
 
