@@ -33,8 +33,9 @@ LENGTH = 80
 STEP = 40
 EDIT_RATE = 0.05
 MIN_LENGTH = 32
-INDEX_CHARS = 8_000_000
-_TABLE_BITS = 22
+INDEX_CHARS = 1_000_000
+#: The first filter is a table of 2^TABLE_BITS flags, or of sixteen for each q-gram.
+TABLE_BITS = 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
 #: Code points of documents handled at once; a longer document is handled alone.
@@ -133,8 +134,10 @@ class Index:
         self.keys, first = np.unique(keys[order], return_index=True)
         self.first = np.append(first, len(keys))
         self.owner, self.offset = owner[order], offset[order]
-        self.seen = np.zeros(1 << _TABLE_BITS, dtype=bool)
-        self.seen[(self.keys >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
+        bits = max(TABLE_BITS, (16 * len(self.keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.seen = np.zeros(1 << bits, dtype=bool)
+        self.seen[(self.keys >> self.shift).astype(np.int64)] = True
         self.span = int((self.m + self.k).max(initial=0))
         self.fewest = int(self.least.min(initial=1))
 
@@ -144,7 +147,7 @@ class Index:
         if n <= 0 or not len(self.keys):
             return []
         grams = qgrams(codes)
-        hit = self.seen[(grams >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] & (doc[:n] == doc[Q - 1:])
+        hit = self.seen[(grams >> self.shift).astype(np.int64)] & (doc[:n] == doc[Q - 1:])
         at = np.flatnonzero(hit)
         place = np.searchsorted(self.keys, grams[at])
         place[place == len(self.keys)] = 0
