@@ -431,7 +431,8 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return rows.groupBy(F.col("chunk").alias(f"{name}_chunk")).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "blob"))).alias(name))
 
     def bucketed(rows: DataFrame) -> DataFrame:
-        return rows.repartition("bucket").sortWithinPartitions("bucket", "chunk").select("bucket", "chunk", "blob")
+        # a task for each bucket, so that what a task reads and holds doesn't grow with the input
+        return rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "chunk").select("bucket", "chunk", "blob")
 
     prints = packed.select(*wide).mapInArrow(send_prints, message)
     shared = materialize(bucketed(prints).mapInArrow(mark_shared, message), "shared")
