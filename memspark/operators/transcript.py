@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import path_is_sensitive, scrub
+from ..values import ASSISTANT_AUTHOR, USER_AUTHOR
 
 EXCLUDED = ("system_prompt", "harness")
 #: event type -> (kind of entry, author or none)
-_DIALOGUE = {"user": ("dialogue.user", "principal"), "assistant_text": ("dialogue.assistant", "daimon")}
+_DIALOGUE = {"user": ("dialogue.user", USER_AUTHOR), "assistant_text": ("dialogue.assistant", ASSISTANT_AUTHOR)}
 _TASKS = {"task_created": "task.created", "task_completed": "task.completed"}
 TYPES = (*EXCLUDED, *_DIALOGUE, "assistant_thinking", "tool_use", *_TASKS)
 FIELDS = ("author", "tool_name", "tool_input", "tool_response", "description", "task_id")
@@ -58,7 +59,7 @@ def project(events: DataFrame) -> DataFrame:
         F.col("type").isin(*_TASKS), both(kind, text, F.create_map(F.lit("task_id"), F.col("task_id")))
     ).when(
         F.col("type") == "assistant_thinking",
-        F.array(entry("flight_recorder", F.lit("thinking"), text, F.create_map(F.lit("author"), F.lit("daimon"), F.lit("truth"), F.lit("false")))),
+        F.array(entry("flight_recorder", F.lit("thinking"), text, F.create_map(F.lit("author"), F.lit(ASSISTANT_AUTHOR), F.lit("truth"), F.lit("false")))),
     ).when(
         F.col("type") == "tool_use",
         F.array(

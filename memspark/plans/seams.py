@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import words
 from ..operators.gate import worker_verdict
+from ..values import FINDINGS_WRITER
 
 
 class Extractor(Protocol):
@@ -98,7 +99,7 @@ def fan_out(tasks: DataFrame, run_one: Callable[[str], Iterable[str]]) -> DataFr
     return done.select("task_id", F.explode("findings").alias("finding"))
 
 
-def commit_findings(findings: DataFrame, writer: str, path: str, owner: str = "Daimon") -> None:
+def commit_findings(findings: DataFrame, writer: str, path: str, owner: str = FINDINGS_WRITER) -> None:
     """Only the owner may write."""
     if writer != owner:
         raise PermissionError(f"only {owner} may commit findings")

@@ -37,6 +37,11 @@ LINK_LABELS = {
     "same_topic": "SAME_TOPIC", "supersedes": "SUPERSEDES", "caused_by": "CAUSED_BY",
 }
 
+# fixed values: the authors written into projections, and the only one who may commit findings
+USER_AUTHOR = "principal"
+ASSISTANT_AUTHOR = "daimon"
+FINDINGS_WRITER = "Daimon"
+
 # fixed values: recall
 TIER_DEPTHS = {
     "none": "nothing", "episodic": "episode_facts", "deep": "identity_episodic_errors", "full": "three_channel_search",
