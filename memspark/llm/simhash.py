@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, free_name, materialize, prepare, text_bytes
+from .nearcopies import near_copies
 
 BITS = 64
 RADIUS = 4
@@ -197,13 +198,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(of_class, "fp").select("doc_id", "fp", "component_id")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """docs with the row of the smallest doc_id of each component; columns as given.
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the row of the smallest doc_id of each component of near copies (five-word shingles,
+    Jaccard similarity 0.8 or more: see nearcopies); columns as given.
 
     Rows with a null id are kept only if no row of their component has one, then all of them
     (nothing tells them apart). Equal rows of one id count as copies: one stays.
     """
-    found = near_duplicates(docs, id_col, text_col, radius)
+    found = near_copies(docs, id_col, text_col)
     mark = free_name(docs, "_component")
     keep = found.where("doc_id = component_id").select(F.col("component_id").alias(mark)).distinct()
     lone = found.where("component_id is null").limit(1).count()

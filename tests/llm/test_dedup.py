@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 from conftest import prose
 
-from memspark.llm import common, decontaminate, simhash, substring
+from memspark.llm import common, decontaminate, nearcopies, simhash, substring
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -53,6 +53,54 @@ def test_simhash_empty_and_kept_columns(spark, odd, empty):
     assert len(ids) == len(set(ids)) and {0, 1, 2, 3} <= set(ids) and not {100, 101, 102, 103} & set(ids)
 
 
+def five_words(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def test_dedup_joins_texts_at_jaccard_of_four_fifths(spark):
+    """Copies with a few changed words: far apart as fingerprints, near as sets of five-word shingles."""
+    rnd = random.Random(8)
+    rows = []
+    for n in range(12):
+        words = [rnd.choice("abcdefghijklmnop") + str(rnd.randrange(60)) for _ in range(120)]
+        for c in range(7):
+            other = list(words)
+            for p in rnd.sample(range(120), c):
+                other[p] = f"new{rnd.randrange(10**6)}"
+            rows.append((100 * c + n, " ".join(other)))
+    rows += [(900, "One  two"), (901, "one two"), (902, None), (903, " "), (904, "one three")]
+    sets = [five_words(t) for _, t in rows]
+    of = groups(sets, lambda a, b: jaccard(a, b) >= 0.8)
+    want = {min(i for (i, _), h in zip(rows, of) if h == g) for g in of}
+    assert len(want) < len(rows) - 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in simhash.dedup(docs).collect()} == want
+
+
+def test_dedup_checks_every_pair_of_a_bucket(spark, monkeypatch):
+    """A and B are near, the smallest member of their buckets is near to neither; also cut into blocks."""
+    rnd = random.Random(12)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    for n in range(40):
+        words = list(base)
+        for p in rnd.sample(range(200), rnd.choice([1, 4, 9, 14])):
+            words[p] = f"x{rnd.randrange(10**6)}"
+        rows.append((n, " ".join(words)))
+    sets = [five_words(t) for _, t in rows]
+    of = groups(sets, lambda a, b: jaccard(a, b) >= 0.8)
+    want = sorted(min(i for (i, _), h in zip(rows, of) if h == g) for g in set(of))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for size in (512, 4):
+        monkeypatch.setattr(nearcopies, "BLOCK", size)
+        assert sorted(r.doc_id for r in simhash.dedup(docs).collect()) == want
+
+
 def test_covering_masks_miss_no_pair_within_the_radius():
     masks = simhash.covering_masks()
     rnd = random.Random(1)
