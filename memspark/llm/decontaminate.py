@@ -1,13 +1,16 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
 Texts are normalised: letters and digits in lower case, every other run one blank. Each benchmark
-item is cut into windows of LENGTH code points every STEP, the last one flush with its end (a
-shorter item is one window). A window of m code points that occurs in a document with k edits or
+item is covered by windows of LENGTH code points every STEP, the last one flush with its end (a
+shorter item is one window), and by windows of WORDS words that begin at every word. So a passage
+of WORDS words taken from anywhere in an item is found, and one of LENGTH + STEP - 1 code points
+whatever its words. A window of m code points that occurs in a document with k edits or
 fewer shares m + 1 - q (k + 1) of its q-grams with it at least, all within k of one diagonal.
 
 1. Filter: only stretches of a document in which enough q-grams occur in any window go on.
-2. Count: their hits are counted by window and diagonal band; bands are 2 (k + 1) wide and
-   overlap by half, so all hits of one occurrence fall into one band. Bands below the bound go.
+2. Count: their hits are laid on diagonal bands of the items joined end to end; bands are
+   2 (k + 1) wide and overlap by half, so all hits of one occurrence fall into one band. Only windows
+   with as many hits in a band as the bound asks for go on.
 3. Verify: banded alignment of the window with the stretch must end within k edits.
 
 The windows' q-gram index is broadcast in pieces of at most INDEX_CHARS code points: a larger
@@ -30,7 +33,9 @@ from .common import prepare
 
 Q = 12
 LENGTH = 80
-STEP = 40
+STEP = 4
+#: Words of the shorter windows; they have MIN_LENGTH code points at least, and 2 LENGTH at most.
+WORDS = 13
 EDIT_RATE = 0.05
 MIN_LENGTH = 32
 INDEX_CHARS = 1_000_000
@@ -105,11 +110,29 @@ def bound(m: int, q: int = Q, rate: float = EDIT_RATE) -> tuple[int, int]:
     return k, max(1, m + 1 - q * (k + 1))
 
 
+def _spans(norm: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each window of a normalised item."""
+    n = len(norm)
+    spans = {(s, min(n, s + LENGTH)) for s in range(0, max(1, n - LENGTH + 1), STEP)} | {(max(0, n - LENGTH), n)}
+    ends = np.append(np.flatnonzero(norm == 32), n)
+    begins = np.append(0, ends[:-1] + 1)
+    for i in range(len(begins) - WORDS + 1):
+        s = int(begins[i])
+        j = max(i + WORDS - 1, int(np.searchsorted(ends, s + MIN_LENGTH)))
+        if j < len(ends) and ends[j] - s <= 2 * LENGTH:
+            spans.add((s, int(ends[j])))
+    return sorted(spans)
+
+
 class Index:
-    """The windows of some items and where each q-gram occurs in them."""
+    """The windows of some items and where each q-gram occurs in the items joined end to end."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
         self.windows: list[tuple[int, int, np.ndarray]] = []
+        self.text = 0  # code points of all items
+        begins: list[int] = []
+        inside: list[np.ndarray] = []
+        keys: list[np.ndarray] = []
         for item, text in items:
             norm, _ = normalise(codes_of(text or ""))
             while len(norm) and norm[-1] == 32:
@@ -118,22 +141,25 @@ class Index:
                 norm = norm[1:]
             if len(norm) < MIN_LENGTH:
                 continue
-            starts = list(range(0, max(1, len(norm) - LENGTH + 1), STEP))
-            if len(norm) > LENGTH and starts[-1] != len(norm) - LENGTH:
-                starts.append(len(norm) - LENGTH)
-            self.windows += [(item, s, norm[s:s + LENGTH]) for s in starts]
+            base = self.text
+            spans = _spans(norm)
+            self.windows += [(item, s, norm[s:e]) for s, e in spans]
+            begins += [base + s for s, _ in spans]
+            inside += [np.arange(base, base + len(norm) - Q + 1)]
+            keys += [qgrams(norm)]
+            self.text += len(norm)
+        order = np.argsort(begins, kind="stable")
+        self.windows = [self.windows[i] for i in order]
+        self.at = np.array(begins, dtype=np.int64)[order]
         self.m = np.array([len(w) for *_, w in self.windows], dtype=np.int64)
         limits = [bound(int(m)) for m in self.m]
         self.k = np.array([k for k, _ in limits], dtype=np.int64)
         self.least = np.array([t for _, t in limits], dtype=np.int64)
-        grams = [qgrams(w) for *_, w in self.windows]
-        keys = np.concatenate(grams) if grams else np.empty(0, np.uint64)
-        owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        offset = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, first = np.unique(keys[order], return_index=True)
-        self.first = np.append(first, len(keys))
-        self.owner, self.offset = owner[order], offset[order]
+        grams = np.concatenate(keys) if keys else np.empty(0, np.uint64)
+        order = np.argsort(grams, kind="stable")
+        self.keys, first = np.unique(grams[order], return_index=True)
+        self.first = np.append(first, len(grams))
+        self.pos = (np.concatenate(inside) if inside else np.empty(0, np.int64))[order]
         bits = max(TABLE_BITS, (16 * len(self.keys)).bit_length())
         self.shift = np.uint64(64 - bits)
         self.seen = np.zeros(1 << bits, dtype=bool)
@@ -181,23 +207,38 @@ class Index:
     def _count(self, codes, doc, at, place, lists):
         each = np.repeat(np.arange(len(at)), lists)
         entry = np.arange(len(each)) - np.repeat(np.cumsum(lists) - lists, lists) + self.first[place][each]
-        window = self.owner[entry]
-        diagonal = at[each] - self.offset[entry] + LENGTH  # not negative
-        width = self.k[window] + 1
-        band = diagonal // width
-        # an occurrence's diagonals lie within k of its own: in this band and the next, or the one before
-        both_w = np.concatenate([window, window])
-        both_b = np.concatenate([band, band - 1])
-        key = both_w.astype(np.int64) * (len(codes) + 4 * LENGTH) + both_b + 1
-        keys, counts = np.unique(key, return_counts=True)
-        w = keys // (len(codes) + 4 * LENGTH)
-        b = keys % (len(codes) + 4 * LENGTH) - 1
-        enough = counts >= self.least[w]
-        w, b = w[enough], b[enough]
-        return self._verify(codes, doc, w, b)
-
-    def _verify(self, codes, doc, w, b):
-        """The occurrences within k edits in each retained band."""
+        pos = self.pos[entry]
+        diagonal = at[each] - pos + self.text  # not negative
+        block = self.text + self.span + 1
+        found = []
+        for k in np.unique(self.k):
+            mine = np.flatnonzero(self.k == k)
+            begin, reach, need = self.at[mine], int(self.m[mine].max()) - Q, int(self.least[mine].min())
+            width = int(k) + 1
+            band = diagonal // width
+            # an occurrence's diagonals lie within k of its own: in this band and the next, or the one before
+            key = np.unique(np.concatenate([band + 1, band]) * block + np.concatenate([pos, pos]))
+            if len(key) < need:
+                continue
+            near = np.flatnonzero(key[need - 1:] - key[:len(key) - need + 1] <= reach)
+            base = key[near] // block * block
+            low = np.searchsorted(begin, key[near + need - 1] - reach - base)
+            high = np.searchsorted(begin, key[near] - base, side="right")
+            # bounds rise inside a band: take each window once
+            again = np.flatnonzero(np.diff(base) == 0) + 1
+            low[again] = np.maximum(low[again], high[again - 1])
+            count = np.maximum(high - low, 0)
+            w = mine[np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+            home = np.repeat(base, count)
+            hits = (np.searchsorted(key, home + self.at[w] + self.m[w] - Q, side="right")
+                    - np.searchsorted(key, home + self.at[w]))
+            enough = hits >= self.least[w]
+            w, b = w[enough], home[enough] // block - 1
+            found += self._verify(codes, doc, w, b * width - self.text + self.at[w])
+        return found
+
+    def _verify(self, codes, doc, w, left):
+        """The occurrences within k edits in each retained band; left: its first place for the window's begin."""
         if not len(w):
             return []
         out = []
@@ -205,20 +246,19 @@ class Index:
         for c, x in enumerate(w.tolist()):  # equal text needs no alignment
             _, _, window = self.windows[x]
             width, m = int(self.k[x]) + 1, len(window)
-            for at in range(max(0, int(b[c]) * width - LENGTH), int(b[c] + 2) * width - LENGTH):
+            for at in range(max(0, int(left[c])), int(left[c]) + 2 * width):
                 if at + m <= len(codes) and codes[at] == window[0] and doc[at] == doc[at + m - 1] and np.array_equal(codes[at:at + m], window):
                     out.append((x, int(doc[at]), at, at + m, 0))
                     rest[c] = False
                     break
-        w, b = w[rest], b[rest]
+        w, left = w[rest], left[rest]
         for i in range(0, len(w), 4096):
-            out += self._align(codes, doc, w[i:i + 4096], b[i:i + 4096])
+            out += self._align(codes, doc, w[i:i + 4096], left[i:i + 4096])
         return out
 
-    def _align(self, codes, doc, w, b):
+    def _align(self, codes, doc, w, left):
         """Banded alignment of each window with its stretch, all at once, row by row."""
         width = self.k[w] + 1
-        left = b * width - LENGTH  # first diagonal of the band
         n_diag = int(2 * width.max())
         longest = int(self.m[w].max())
         text = np.zeros((len(w), longest), dtype=np.uint32)

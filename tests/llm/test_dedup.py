@@ -225,6 +225,21 @@ def test_decontamination_in_several_passes(spark, monkeypatch):
     assert whole and whole <= found
 
 
+def test_short_excerpts_are_found_at_every_offset():
+    """13 to 20 words, and 84 code points without a blank, from any place of an item; foreign text is not."""
+    rnd = random.Random(21)
+    words = prose(rnd, 70).replace(".", "").split()
+    solid = "".join(rnd.choice("abcdefghij") for _ in range(300))
+    index = decontaminate.Index([(1, " ".join(words)), (2, solid)])
+    texts = [(1, " ".join(words[i:i + n])) for n in (13, 15, 17, 20) for i in range(len(words) - n + 1)]
+    texts += [(2, solid[i:i + 84]) for i in range(len(solid) - 83)]
+    group = [(n, f"{prose(rnd, 20)} {t} {prose(rnd, 20)}") for n, (_, t) in enumerate(texts)]
+    found = {(d, item) for d, item, *_ in decontaminate.find_in(index, group)}
+    assert found >= {(n, item) for n, (item, _) in enumerate(texts)}
+    clean = [(n, prose(rnd, 60)) for n in range(100)]
+    assert not decontaminate.find_in(index, clean)
+
+
 def edit_distance_inside(pattern, text):
     row = list(range(len(pattern) + 1))
     best = row[-1]
