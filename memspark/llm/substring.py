@@ -9,15 +9,20 @@ smaller id is removed. Documents are packed into chunks of about CHUNK bytes.
    which occur in other chunks too. Only runs with such anchors, or with anchors of several
    documents of the chunk, go on: the rest of the text is never shuffled.
 3. Index. The remaining runs' texts are dealt by anchor; a chunk sends a text once, with the
-   smallest id that has it. In each bucket the chunks' texts arrive as batches: a batch gets its
-   suffix array (the windows' starts in the order of their first bytes, then of a fingerprint, cut
-   at LENGTH bytes), is merge-scanned against the levels, where equal windows meet and the
-   smallest id stays, and joins the family: levels of like size merge, so there are
-   logarithmically many and each window is merged logarithmically often.
+   smallest id that has it. In each bucket the texts arrive in batches. A batch gets its suffix
+   array (the windows' starts in the order of their bytes, LENGTH of them, which is the whole of a
+   match), is merge-scanned against each level of the family, and what is new in it joins as a
+   level; levels of like size merge, two sorted runs into one, so there are logarithmically many
+   and each window is merged logarithmically often.
 4. Every run learns which of its windows a smaller id has, and the chunks remove what they cover.
 
-Windows are compared by their first bytes and 112 bits of fingerprints. A passage that many
-documents share is sent once per chunk and bucket; buckets are as many as the text needs.
+dedup_spans() resolves a whole table at once, its families live in the buckets' tasks.
+SuffixIndex keeps the levels of its families in a folder: append() scans a new table against them,
+adds it, and merges levels of like size.
+
+Texts are compared byte by byte; hashes only choose the bucket, and the filter's 4-byte prints only
+let too much through. A passage that many documents share is sent once per chunk and bucket; there
+a message costs its text while it is read, and 12 bytes for each of its texts until the bucket ends.
 
 Cases: null text is empty; null ids count as larger than all others, equal ids do not remove each
 other's bytes; texts below LENGTH bytes stay as they are; equal rows each get a row; an empty
@@ -27,23 +32,28 @@ table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import itertools
+import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare, text_bytes
+from .common import drop_scratch, materialize, prepare, text_bytes
 
 LENGTH = 50
 GRAM = 24
 CHUNK = 4 << 20
 #: Bytes of text for each bucket.
 BUCKET = 8 << 20
+#: Bytes of new texts that make a batch of a family.
+BATCH = 1 << 20
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _BLOCK = 1 << 20
 _NO_ID = np.iinfo(np.int64).max
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_BASES = (0x100000001B3, 0x5851F42D4C957F2D)
+_BASE = 0x100000001B3
 
 
 def polynomial(buf: np.ndarray, n: int, base: int) -> np.ndarray:
@@ -78,7 +88,7 @@ def anchors(buf: np.ndarray) -> np.ndarray:
     out = np.empty(n, np.uint64)
     grams = LENGTH - GRAM + 1
     for at in range(0, n, _BLOCK):
-        m = mixed(polynomial(buf[at:at + _BLOCK + LENGTH - 1], GRAM, _BASES[0]))
+        m = mixed(polynomial(buf[at:at + _BLOCK + LENGTH - 1], GRAM, _BASE))
         have = 1
         while 2 * have <= grams:
             m = np.minimum(m[:-have], m[have:])
@@ -168,70 +178,115 @@ def _groups(keys: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndar
             yield int(keys[a]), values[a:b]
 
 
-class Batch:
-    """Texts and the suffix array of their windows."""
-
-    def __init__(self, texts: list[bytes], ids: np.ndarray):
-        lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        buf = np.frombuffer(b"".join(texts), np.uint8)
-        self.windows = lengths - LENGTH + 1
-        inside = np.ones(len(buf), dtype=bool)
-        ends = np.cumsum(lengths)
-        for k in range(1, LENGTH):
-            inside[ends - k] = False
-        at = np.flatnonzero(inside)
-        lead = (buf[at].astype(np.uint64) << np.uint64(56)) | (buf[at + 1].astype(np.uint64) << np.uint64(48))
-        self.key = lead | (mixed(polynomial(buf, LENGTH, _BASES[0])[at]) >> np.uint64(16))
-        self.second = mixed(polynomial(buf, LENGTH, _BASES[1])[at])
-        self.id = np.repeat(ids, self.windows)
-
-    def level(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return _ordered(self.key, self.second, self.id)
-
-
-def _ordered(key: np.ndarray, second: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows in order, equal ones once with the smallest id."""
-    order = np.argsort(key, kind="stable")
-    k, s = key[order], second[order]
-    same = k[1:] == k[:-1]
-    if (same & (s[1:] != s[:-1])).any():
-        order = np.lexsort((second, key))
-        k, s = key[order], second[order]
-        same = (k[1:] == k[:-1]) & (s[1:] == s[:-1])
-    first = np.concatenate([[True], ~same]) if len(k) else np.empty(0, bool)
-    at = np.flatnonzero(first)
-    least = np.minimum.reduceat(ids[order], at) if len(at) else ids[:0]
-    return k[at], s[at], least
+class Level:
+    """A suffix array: the starts of distinct windows in the order of their bytes, and the least id of each."""
 
+    def __init__(self, text: np.ndarray, at: np.ndarray, ids: np.ndarray):
+        self.text, self.at, self.ids = text, at, ids
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def windows(self) -> np.ndarray:
+        """The windows' bytes, in order. All are equally long, so numpy's order of them is that of their bytes."""
+        return _views(self.text)[self.at]
+
+    def compact(self) -> Level:
+        """The same without the text that no window covers."""
+        delta = np.zeros(len(self.text) + 1, np.int32)
+        np.add.at(delta, self.at, 1)
+        np.add.at(delta, self.at + LENGTH, -1)
+        covered = np.cumsum(delta[:-1]) > 0
+        return Level(self.text[covered], (np.cumsum(covered) - 1)[self.at], self.ids)
+
+    def pack(self) -> bytes:
+        import zstandard
+
+        raw = b"".join([len(self.text).to_bytes(8, "little"), self.text.tobytes(), self.at.astype("<u4").tobytes(), self.ids.astype("<i8").tobytes()])
+        return zstandard.ZstdCompressor(level=3).compress(raw)
+
+    @classmethod
+    def unpack(cls, blob: bytes) -> Level:
+        import zstandard
+
+        raw = zstandard.ZstdDecompressor().decompress(blob)
+        size = int.from_bytes(raw[:8], "little")
+        n = (len(raw) - 8 - size) // 12
+        at = np.frombuffer(raw, "<u4", n, 8 + size).astype(np.int64)
+        return cls(np.frombuffer(raw, np.uint8, size, 8), at, np.frombuffer(raw, "<i8", n, 8 + size + 4 * n))
 
-class Family:
-    """Levels of suffix arrays, each more than twice as long as the next."""
 
-    def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def _views(text: np.ndarray) -> np.ndarray:
+    """Every LENGTH-byte string of a text, overlapping and not copied."""
+    return np.ndarray((max(0, len(text) - LENGTH + 1),), f"S{LENGTH}", buffer=text, strides=(1,))
 
-    def add(self, batch: Batch) -> None:
-        new = batch.level()
-        while self.levels and len(self.levels[-1][0]) <= 2 * len(new[0]):
-            old = self.levels.pop()
-            new = _ordered(*(np.concatenate(x) for x in zip(old, new, strict=True)))
-        self.levels.append(new)
 
-    def least(self, batch: Batch) -> np.ndarray:
+def _once(text: np.ndarray, at: np.ndarray, ids: np.ndarray, found: np.ndarray) -> tuple[Level, np.ndarray]:
+    """A level of windows in order (found: their bytes), equal ones once with the least id; and each one's place."""
+    fresh = np.concatenate([[True], found[1:] != found[:-1]]) if len(found) else np.empty(0, bool)
+    first = np.flatnonzero(fresh)
+    least = np.minimum.reduceat(ids, first) if len(first) else ids[:0]
+    return Level(text, at[first], least), np.cumsum(fresh) - 1
+
+
+def suffix_array(texts: list[bytes], ids: np.ndarray) -> tuple[Level, np.ndarray]:
+    """The level of some texts (LENGTH bytes or more each), and the place in it of each of their windows."""
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    text = np.frombuffer(b"".join(texts), np.uint8)
+    windows = lengths - LENGTH + 1
+    starts = np.repeat(np.cumsum(lengths) - lengths - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
+    found = _views(text)[starts]
+    order = np.argsort(found, kind="stable")
+    level, at = _once(text, starts[order], np.repeat(ids, windows)[order], found[order])
+    place = np.empty(len(order), np.int32)
+    place[order] = at
+    return level, place
+
+
+def scan(level: Level, batch: Level) -> tuple[np.ndarray, np.ndarray]:
+    """The windows that two sorted arrays have in common, as their places in each."""
+    old, new = level.windows(), batch.windows()
+    at = np.searchsorted(old, new)
+    inside = np.flatnonzero(at < len(old))
+    both = inside[old[at[inside]] == new[inside]]
+    return at[both], both
+
+
+def merge(a: Level, b: Level) -> Level:
+    """One level of two: their orders are merged, not sorted anew."""
+    found = np.concatenate([a.windows(), b.windows()])
+    order = np.argsort(found, kind="stable")  # numpy's stable sort merges what comes as two ordered runs
+    at = np.concatenate([a.at, b.at + len(a.text)])
+    ids = np.concatenate([a.ids, b.ids])
+    return _once(np.concatenate([a.text, b.text]), at[order], ids[order], found[order])[0].compact()
+
+
+class Family:
+    """Levels of suffix arrays, each more than twice as long as the next."""
+
+    def __init__(self, levels: Iterable[Level] = ()):
+        self.levels = list(levels)
+
+    def add(self, batch: Level) -> Level:
+        """Merge-scan a batch against every level; its windows that no level has with as small an id join."""
+        fresh = np.ones(len(batch), dtype=bool)
+        for level in self.levels:
+            old, new = scan(level, batch)
+            fresh[new] &= batch.ids[new] < level.ids[old]
+        new = Level(batch.text, batch.at[fresh], batch.ids[fresh]).compact()
+        joined = new
+        if len(joined):
+            while self.levels and len(self.levels[-1]) <= 2 * len(joined):
+                joined = merge(self.levels.pop(), joined)
+            self.levels.append(joined)
+        return new
+
+    def least(self, batch: Level) -> np.ndarray:
         """The smallest id that has each window of the batch."""
-        out = batch.id.copy()
-        for key, second, ids in self.levels:
-            at = np.searchsorted(key, batch.key)
-            open_ = np.arange(len(at))
-            while len(open_):  # a second round only where different windows share a key
-                place = at[open_]
-                here = place < len(key)
-                here[here] &= key[place[here]] == batch.key[open_[here]]
-                open_, place = open_[here], place[here]
-                hit = second[place] == batch.second[open_]
-                out[open_[hit]] = np.minimum(out[open_[hit]], ids[place[hit]])
-                open_ = open_[~hit]
-                at[open_] += 1
+        out = batch.ids.copy()
+        for level in self.levels:
+            old, new = scan(level, batch)
+            out[new] = np.minimum(out[new], level.ids[old])
         return out
 
 
@@ -254,40 +309,65 @@ def unpack(blob: bytes) -> tuple[list[bytes], np.ndarray]:
     return [raw[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)], ids
 
 
-def resolve(batches: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
-    """For each (chunk, packed texts) of a bucket: (chunk, a bit for each window: a smaller id has it)."""
+def resolve(messages: Iterable[tuple[int, bytes]], family: Family | None = None, added: list[Level] | None = None) -> Iterator[tuple[int, bytes]]:
+    """For each (chunk, packed texts) of a bucket: (chunk, a bit for each window: a smaller id has it).
+
+    Messages are read once, each distinct text is kept once. Texts make a batch when they have
+    BATCH bytes. family: levels from before; what joins it is also appended to added.
+    """
+    family = family or Family()
     number: dict[bytes, int] = {}
-    least = np.empty(0, np.int64)
-    cuts = [0]
-    parts = []
-    for chunk, blob in batches:
-        texts, ids = unpack(blob)
-        of = np.fromiter((number.setdefault(t, len(number)) for t in texts), dtype=np.int64, count=len(texts))
-        if len(number) > len(least):
-            least = np.concatenate([least, np.full(len(number) - len(least), _NO_ID)])
-            cuts.append(len(number))
-        np.minimum.at(least, of, ids)
-        parts.append((chunk, of, ids))
-    distinct = list(number)
-    del number
-    family = Family()
-    made = []
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # the texts that each chunk brought first
-        batch = Batch(distinct[a:b], least[a:b])
-        family.add(batch)
-        made.append(batch)
-    windows = np.concatenate([b.windows for b in made]) if made else np.empty(0, np.int64)
-    found = np.concatenate([family.least(b) for b in made]) if made else np.empty(0, np.int64)
-    ends = np.cumsum(windows)
-    for chunk, of, ids in parts:
-        n = windows[of]
+    least: list[int] = []
+    windows: list[int] = []
+    parts: list[tuple[int, np.ndarray, np.ndarray]] = []
+    made: list[tuple[Level, np.ndarray]] = []
+    texts: list[bytes] = []
+    again: dict[bytes, int] = {}  # texts of earlier batches that now come with a smaller id
+    size = flushed = 0
+
+    def flush() -> None:
+        nonlocal size, flushed
+        if texts or again:
+            batch, place = suffix_array(texts + list(again), np.array(least[flushed:] + list(again.values()), np.int64))
+            new = family.add(batch)
+            if added is not None and len(new):
+                added.append(new)
+            made.append((batch, place[:sum(windows[flushed:])]))
+            flushed, size = len(least), 0
+            texts.clear()
+            again.clear()
+
+    for chunk, blob in messages:
+        some, own = unpack(blob)
+        of = np.empty(len(some), np.int32)
+        for i, (t, x) in enumerate(zip(some, own.tolist(), strict=True)):
+            n = of[i] = number.setdefault(t, len(least))
+            if n == len(least):
+                texts.append(t)
+                least.append(x)
+                windows.append(len(t) - LENGTH + 1)
+                size += len(t)
+            elif x < least[n]:
+                least[n] = x
+                if n < flushed:
+                    size += len(t) * (t not in again)
+                    again[t] = x
+        parts.append((chunk, of, own))
+        if size >= BATCH:
+            flush()
+    flush()
+    del number, texts
+    found = np.concatenate([family.least(b)[place] for b, place in made]) if made else np.empty(0, np.int64)
+    counts = np.array(windows, np.int64)
+    ends = np.cumsum(counts)
+    for chunk, of, own in parts:
+        n = counts[of]
         at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ends[of] - n, n)
-        yield chunk, np.packbits(found[at] < np.repeat(ids, n)).tobytes()
+        yield chunk, np.packbits(found[at] < np.repeat(own, n)).tobytes()
 
 
-def removed(chunk: Chunk, shared: dict[int, bytes], bits: dict[int, bytes], buckets: int) -> np.ndarray:
-    """Which bytes of a chunk go."""
-    runs = chunk.chosen(shared, buckets)
+def removed(chunk: Chunk, runs: np.ndarray, bits: dict[int, bytes], buckets: int) -> np.ndarray:
+    """Which bytes of a chunk go, from the answers about the windows of these runs."""
     texts, least, of = chunk.texts(runs)
     windows = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) - LENGTH + 1
     ends = np.cumsum(windows)
@@ -374,18 +454,41 @@ def _opened(b, row: int) -> tuple[Chunk, np.ndarray]:
     return Chunk(known, lengths, data), nulls
 
 
-def _by_key(batches) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
-    """(bucket, [(chunk, blob)]) from rows (bucket, chunk, blob) in order of bucket."""
-    now, rows = None, []
+def _by_key(batches) -> Iterator[tuple[int, Iterator[tuple[int, bytes]]]]:
+    """(bucket, its (chunk, blob) one by one) from rows (bucket, chunk, blob) in order of bucket."""
+    rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    for bucket, group in itertools.groupby(rows, key=lambda row: row[0]):
+        yield bucket, ((chunk, blob) for _, chunk, blob in group)
+
+
+def send_runs(chunk: Chunk, runs: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
+    """(bucket, packed texts) of these runs of a chunk."""
+    texts, least, of = chunk.texts(runs)
+    return [(x, pack([texts[i] for i in rows.tolist()], least[rows])) for x, rows in _by_bucket(chunk, runs, of, len(texts), buckets)]
+
+
+def _gathered(rows: DataFrame, name: str) -> DataFrame:
+    """One row per chunk: its (bucket, blob) as a map, a bit for each of the chunk's anchors or windows."""
+    return rows.groupBy(F.col("chunk").alias(f"{name}_chunk")).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "blob"))).alias(name))
+
+
+def _map(b, name: str, row: int) -> dict[int, bytes]:
+    return dict(b.column(name)[row].as_py() or [])
+
+
+def _finish(batches, buckets: int):
+    """Results of the chunks in rows (chunk, ids, lengths, data, bits and, if filtered, shared)."""
+    import pyarrow as pa
+
+    names = [x.split()[0] for x in RESULT.split(", ")]
     for b in batches:
-        for bucket, chunk, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if bucket != now:
-                if rows:
-                    yield now, rows
-                now, rows = bucket, []
-            rows.append((chunk, blob))
-    if rows:
-        yield now, rows
+        for row in range(len(b)):
+            chunk, nulls = _opened(b, row)
+            runs = chunk.chosen(_map(b, "shared", row), buckets) if "shared" in b.schema.names else np.arange(len(chunk.first))
+            gone = removed(chunk, runs, _map(b, "bits", row), buckets)
+            columns = zip(*results(chunk, nulls, gone), strict=True)
+            kinds = [pa.int64()] * 4 + [pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
 def _table(rows: list[tuple], names: list[str]):
@@ -414,7 +517,8 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield _table([(x, number, p.tobytes()) for x, p in chunk.prints(buckets)], ["bucket", "chunk", "blob"])
 
     def mark_shared(batches):
-        for bucket, rows in _by_key(batches):
+        for bucket, found in _by_key(batches):
+            rows = list(found)
             prints = [np.frombuffer(p, np.uint32) for _, p in rows]
             values, counts = np.unique(np.concatenate(prints), return_counts=True)
             shared = values[counts > 1]
@@ -426,10 +530,6 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 out.append((bucket, chunk, np.packbits(marks).tobytes()))
             yield _table(out, ["bucket", "chunk", "blob"])
 
-    def gather(rows: DataFrame, name: str) -> DataFrame:
-        # one value per chunk, of a bit for each of the chunk's anchors or windows
-        return rows.groupBy(F.col("chunk").alias(f"{name}_chunk")).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "blob"))).alias(name))
-
     def bucketed(rows: DataFrame) -> DataFrame:
         # a task for each bucket, so that what a task reads and holds doesn't grow with the input
         return rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "chunk").select("bucket", "chunk", "blob")
@@ -437,40 +537,140 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     prints = packed.select(*wide).mapInArrow(send_prints, message)
     shared = materialize(bucketed(prints).mapInArrow(mark_shared, message), "shared")
 
-    def maps(b, name: str, row: int) -> dict[int, bytes]:
-        return dict(b.column(name)[row].as_py() or [])
-
     def send_texts(batches):
         for b in batches:
             for row in range(len(b)):
                 chunk, _ = _opened(b, row)
                 number = b.column("chunk")[row].as_py()
-                runs = chunk.chosen(maps(b, "shared", row), buckets)
-                texts, least, of = chunk.texts(runs)
-                out = [
-                    (x, number, pack([texts[i] for i in rows.tolist()], least[rows]))
-                    for x, rows in _by_bucket(chunk, runs, of, len(texts), buckets)
-                ]
-                yield _table(out, ["bucket", "chunk", "blob"])
+                runs = chunk.chosen(_map(b, "shared", row), buckets)
+                yield _table([(x, number, blob) for x, blob in send_runs(chunk, runs, buckets)], ["bucket", "chunk", "blob"])
 
     def index(batches):
         for bucket, rows in _by_key(batches):
             for chunk, bits in resolve(rows):
                 yield _table([(bucket, chunk, bits)], ["bucket", "chunk", "blob"])
 
-    def finish(batches):
-        import pyarrow as pa
+    known = packed.select(*wide).join(_gathered(shared, "shared"), F.col("chunk") == F.col("shared_chunk"), "left").select(*wide, "shared")
+    bits = bucketed(known.mapInArrow(send_texts, message)).mapInArrow(index, message)
+    told = known.join(_gathered(bits, "bits"), F.col("chunk") == F.col("bits_chunk"), "left").select(*wide, "shared", "bits")
+    return told.mapInArrow(lambda batches: _finish(batches, buckets), RESULT)
+
+
+class SuffixIndex:
+    """The family kept in a folder: each level is a table of (bucket, n, blob), a Level for each bucket.
+
+    Every append writes one level and merges levels while the last is not more than twice as large
+    as the new one. A manifest names the levels in use; it is written last, so an append that fails
+    leaves the index as it was.
+    """
+
+    def __init__(self, spark, folder: str, buckets: int = 64):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = [str(f.getPath().getName()) for f in self._files.listStatus(self._path(self.folder))] if self._files.exists(self._path(self.folder)) else []
+        self.version = max((int(n.split("-")[1]) for n in names if n.startswith("manifest-")), default=0)
+        self.buckets, self.levels = buckets, []
+        if self.version:
+            rows = spark.read.parquet(f"{self.folder}/manifest-{self.version:06d}").orderBy("nth").collect()  # a row for each level
+            self.buckets, self.levels = rows[0]["buckets"], [(r["name"], r["n"]) for r in rows if r["name"]]
+
+    def _level(self, name: str) -> DataFrame:
+        return self.spark.read.schema("bucket int, n long, blob binary").parquet(f"{self.folder}/{name}")
+
+    def _write(self, level: DataFrame) -> tuple[str, int]:
+        name = f"level-{uuid.uuid4().hex}"
+        level.write.parquet(f"{self.folder}/{name}")
+        return name, self._level(name).agg(F.sum("n")).first()[0] or 0
+
+    def _commit(self, levels: list[tuple[str, int]]) -> None:
+        old, self.levels, self.version = self.levels, levels, self.version + 1
+        rows = [(self.buckets, i, *level) for i, level in enumerate(levels)] or [(self.buckets, 0, None, 0)]
+        self.spark.createDataFrame(rows, "buckets int, nth int, name string, n long").coalesce(1).write.parquet(
+            f"{self.folder}/manifest-{self.version:06d}")
+        for name in {n for n, _ in old} - {n for n, _ in levels}:
+            self._files.delete(self._path(f"{self.folder}/{name}"), True)
+        self._files.delete(self._path(f"{self.folder}/manifest-{self.version - 1:06d}"), True)
+
+    def _bucketed(self, rows: DataFrame, *order: str) -> DataFrame:
+        return rows.repartitionById(self.buckets, F.col("bucket")).sortWithinPartitions("bucket", *order)
+
+    def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """Add a table; what dedup_spans() returns for its rows, with the tables added before counted in.
+
+        Results of earlier tables stay as they were: tables should come in the order of their ids.
+        """
+        prepare(self.spark)
+        buckets = self.buckets
+        packed = chunks(docs, id_col, text_col)
+        wide = ["chunk", "ids", "lengths", "data"]
+        names = ["bucket", "chunk", "blob"]
+
+        def send(batches):
+            for b in batches:
+                for row in range(len(b)):
+                    chunk, _ = _opened(b, row)
+                    out = send_runs(chunk, np.arange(len(chunk.first)), buckets)
+                    yield _table([(x, b.column("chunk")[row].as_py(), blob) for x, blob in out], names)
+
+        def index(batches):
+            for bucket, rows in _by_key(batches):
+                levels = []
+                messages = _levels_first(rows, levels)
+                added: list[Level] = []
+                for chunk, bits in resolve(messages, Family(levels), added):
+                    yield _table([(bucket, chunk, bits)], names)
+                if added:
+                    new = added[0]
+                    for more in added[1:]:
+                        new = merge(new, more)
+                    yield _table([(bucket, -len(new), new.pack())], names)
+
+        # levels come before the chunks' messages, numbered below zero
+        rows = packed.select(*wide).mapInArrow(send, "bucket int, chunk long, blob binary")
+        for i, (name, _) in enumerate(self.levels):
+            rows = rows.union(self._level(name).select("bucket", F.lit(i - len(self.levels)).cast("long").alias("chunk"), "blob"))
+        answers = materialize(self._bucketed(rows, "chunk").select(*names).mapInArrow(index, "bucket int, chunk long, blob binary"), "answers")
+        new = answers.where("chunk < 0").select("bucket", (-F.col("chunk")).alias("n"), "blob")
+        levels = [*self.levels, self._write(new)]
+        while len(levels) > 1 and levels[-2][1] <= 2 * levels[-1][1]:
+            levels[-2:] = [self._write(self._merged(levels[-2][0], levels[-1][0]))]
+        written = {n for n, _ in levels} | {n for n, _ in self.levels}
+        self._commit(levels)
+        for f in self._files.listStatus(self._path(self.folder)):  # levels that merged at once
+            name = str(f.getPath().getName())
+            if name.startswith("level-") and name not in {n for n, _ in levels} | written:
+                self._files.delete(f.getPath(), True)
+        told = packed.select(*wide).join(_gathered(answers.where("chunk >= 0"), "bits"), F.col("chunk") == F.col("bits_chunk"), "left")
+        found = materialize(told.select(*wide, "bits").mapInArrow(lambda batches: _finish(batches, buckets), RESULT), "spans")
+        drop_scratch(answers)
+        drop_scratch(packed)
+        return found
+
+    def _merged(self, a: str, b: str) -> DataFrame:
+        def run(batches):
+            rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            for bucket, group in itertools.groupby(rows, key=lambda row: row[0]):
+                level, *rest = [Level.unpack(blob) for _, blob in group]
+                for more in rest:
+                    level = merge(level, more)
+                yield _level_row(bucket, level)
+
+        both = self._level(a).union(self._level(b)).select("bucket", "blob")
+        return self._bucketed(both).mapInArrow(run, "bucket int, n long, blob binary")
+
+
+def _level_row(bucket: int, level: Level):
+    import pyarrow as pa
 
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-        for b in batches:
-            for row in range(len(b)):
-                chunk, nulls = _opened(b, row)
-                gone = removed(chunk, maps(b, "shared", row), maps(b, "bits", row), buckets)
-                columns = zip(*results(chunk, nulls, gone), strict=True)
-                kinds = [pa.int64()] * 4 + [pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([bucket], pa.int32()), pa.array([len(level)], pa.int64()), pa.array([level.pack()], pa.binary())], names=["bucket", "n", "blob"])
 
-    known = packed.select(*wide).join(gather(shared, "shared"), F.col("chunk") == F.col("shared_chunk"), "left").select(*wide, "shared")
-    bits = bucketed(known.mapInArrow(send_texts, message)).mapInArrow(index, message)
-    told = known.join(gather(bits, "bits"), F.col("chunk") == F.col("bits_chunk"), "left").select(*wide, "shared", "bits")
-    return told.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+def _levels_first(rows: Iterator[tuple[int, bytes]], levels: list[Level]) -> Iterator[tuple[int, bytes]]:
+    """Takes the levels off the front of a bucket's rows; the messages that follow."""
+    for chunk, blob in rows:
+        if chunk >= 0:
+            return itertools.chain([(chunk, blob)], rows)
+        levels.append(Level.unpack(blob))
+    return iter(())

@@ -177,16 +177,66 @@ def test_substrings_on_documents(spark):
     assert sorted((str(r[0]), *r[1:]) for r in substring.dedup_spans(split).collect()) == removal(rows)
 
 
-def test_family_keeps_few_levels():
+def test_levels_are_suffix_arrays_in_true_order(monkeypatch):
     rnd = random.Random(3)
     family = substring.Family()
-    total = set()
+    total: dict[bytes, int] = {}
+    scans = []
+    monkeypatch.setattr(substring, "scan", lambda a, b, f=substring.scan: scans.append(a) or f(a, b))
     for i in range(40):
-        texts = [bytes(rnd.choice(b"ab") for _ in range(70)) for _ in range(5)]
-        total |= {t[p:p + 50] for t in texts for p in range(21)}
-        family.add(substring.Batch(texts, np.full(5, i)))
-    assert len(family.levels) <= 8 and sum(len(k) for k, *_ in family.levels) <= 2 * len(total)
-    assert all(len(a[0]) > 2 * len(b[0]) for a, b in zip(family.levels, family.levels[1:]))
+        texts = [bytes(rnd.choice(b"\x00ab") for _ in range(70)) for _ in range(5)]
+        texts += list(total)[:3] if i % 7 == 0 else []  # windows met before
+        for t in texts:
+            for p in range(len(t) - 49):
+                total[t[p:p + 50]] = min(total.get(t[p:p + 50], 100), 100 - i)
+        batch, place = substring.suffix_array(texts, np.full(len(texts), 100 - i))
+        before = list(family.levels)
+        scans.clear()
+        family.add(batch)
+        assert scans == before  # each level was scanned once, before the batch joined
+        whole = b"".join(texts)
+        starts = [sum(map(len, texts[:n])) + p for n, t in enumerate(texts) for p in range(len(t) - 49)]
+        assert [whole[s:s + 50] for s in starts] == [w.ljust(50, b"\x00") for w in batch.windows()[place].tolist()]
+    assert len(family.levels) <= 8 and all(len(a) > 2 * len(b) for a, b in zip(family.levels, family.levels[1:]))
+    found: dict[bytes, int] = {}
+    for level in family.levels:
+        words = [w.ljust(50, b"\x00") for w in level.windows().tolist()]
+        assert words == sorted(set(words))
+        for w, x in zip(words, level.ids.tolist()):
+            found[w] = min(x, found.get(w, x))
+    assert found == total
+
+
+def test_substrings_in_small_batches(spark, odd, odd_rows, monkeypatch):
+    monkeypatch.setattr(substring, "CHUNK", 500)
+    monkeypatch.setattr(substring, "BATCH", 200)
+    whole = sorted(odd_rows, key=lambda r: str(r[0]), reverse=True)  # ids do not rise with the chunks
+    split = spark.createDataFrame(whole, "doc_id long, text string").coalesce(1)
+    found = sorted((str(r[0]), *r[1:]) for r in substring.dedup_spans(split).collect())
+    assert found == removal(odd_rows)
+
+
+def test_suffix_index_takes_batches(spark, odd, odd_rows, tmp_path):
+    """Batches given one by one and all at once give what brute force gives."""
+    known = sorted((r for r in odd_rows if r[0] is not None), key=lambda r: r[0])
+    ids = sorted({r[0] for r in known})
+    expected = removal(known)
+    for cuts in ([0, len(ids)], [0, 3, 8, 9, len(ids)]):
+        index = substring.SuffixIndex(spark, f"{tmp_path}/index-{len(cuts)}", buckets=3)
+        found = []
+        for a, b in zip(cuts, cuts[1:]):
+            part = [r for r in known if r[0] in ids[a:b]]
+            found += [tuple(r) for r in index.append(spark.createDataFrame(part, "doc_id long, text string")).collect()]
+            index = substring.SuffixIndex(spark, index.folder)  # what counts is in the folder
+        assert sorted((str(r[0]), *r[1:]) for r in found) == expected
+        sizes = [n for _, n in index.levels]
+        assert sizes and all(x > 2 * y for x, y in zip(sizes, sizes[1:]))
+        names = {p.name for p in (tmp_path / f"index-{len(cuts)}").iterdir() if p.name.startswith("level-")}
+        assert names == {n for n, _ in index.levels}
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert index.append(empty).count() == 0
+    again = index.append(spark.createDataFrame([(10_000, "new words only"), (10_001, known[0][1])], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in again} == {10_000: 0, 10_001: len(known[0][1].encode())}
 
 
 def edited(rnd, text, rate):
