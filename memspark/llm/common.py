@@ -137,6 +137,15 @@ def components(edges: DataFrame) -> DataFrame:
     return leaves.union(roots.select("node", F.col("node").alias("label")))
 
 
+def one_text(rows: DataFrame, *others: str) -> DataFrame:
+    """(doc_id, text, others) with one row for each doc_id: the text of the least hash, the least of the others.
+
+    Aggregates before it shuffles, so an id of very many rows is no burden.
+    """
+    key = F.xxhash64("text")
+    return rows.groupBy("doc_id").agg(F.min_by("text", F.struct(key, F.col("text"))).alias("text"), *[F.min(c).alias(c) for c in others])
+
+
 def arrow_rows(columns: dict, schema) -> "object":
     """A record batch of the given schema from Python lists or numpy arrays."""
     import pyarrow as pa
@@ -154,5 +163,5 @@ def text_bytes(column) -> list:
 
 __all__ = [
     "arrow_rows", "checkpoint_dir", "components", "drop_scratch", "free_name",
-    "materialize", "prepare", "ranked", "table", "text_bytes",
+    "materialize", "one_text", "prepare", "ranked", "table", "text_bytes",
 ]

@@ -1,13 +1,13 @@
 """Quality rules: a calibrated logistic regression over hashed word and character n-grams.
 
-A text's features are its words and its byte 3-grams, hashed into 2^BITS buckets each and counted
-as parts of all words and of all 3-grams. The regression is fitted on three quarters of a bounded
+A text's features are its words, its pairs of neighbouring words and its 3-grams of code points, hashed
+into 2^BITS buckets each and counted as parts of all words, pairs and 3-grams. The regression is fitted on three quarters of a bounded
 sample of labelled rows (MAX_TRAIN with the smallest hash of doc_id) and its scores are turned
 into probabilities by a logistic curve (Platt) fitted on the last quarter. Texts are kept at
 KEEP or more, unless a base rule fails them. Scoring runs over Arrow batches.
 
 Cases: null text counts as empty (no words: fails the base rule); null labels are ignored; several
-labels of one id: the smallest; without labels of both kinds the probability is the smoothed
+labels of one id: the smallest; several texts of one id: the one with the least hash is learnt; without labels of both kinds the probability is the smoothed
 rate of label 1; equal rows fare equally; an empty table gives an empty result; further columns
 are kept, names that clash with the new ones are replaced.
 """
@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, prepare, text_bytes
+from .common import free_name, one_text, prepare, text_bytes
 
 MAX_TRAIN = 4000
 BITS = 18
@@ -35,6 +35,8 @@ SYMBOLS = b"#*$%&|<>"
 #: Features are parts of a whole and so very small; this brings their weights near 1.
 SCALE = 20.0
 _SIZE = 1 << BITS
+#: Words, pairs of words, 3-grams.
+KINDS = 3
 
 
 def base(text: bytes | None) -> tuple[int, int, int, int, int]:
@@ -69,24 +71,29 @@ def repeated(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def word_ids(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(crc32, words), dtype=np.int64, count=len(words)) & (_SIZE - 1)
+def _bucket(h: np.ndarray, kind: int) -> np.ndarray:
+    """Buckets of 32-bit hashes; each kind of feature has _SIZE of them."""
+    return ((h * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int64) + kind * _SIZE
 
 
-def gram_ids(text: bytes) -> np.ndarray:
-    """Buckets of the byte 3-grams, after those of words."""
-    b = np.frombuffer(text, np.uint8).astype(np.uint32)
-    if len(b) < 3:
-        return np.empty(0, np.int64)
-    g = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
-    return ((g * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int64) + _SIZE
+def feature_ids(text: bytes) -> list[np.ndarray]:
+    """Buckets of the words, of the pairs of words and of the 3-grams of code points."""
+    words = text.split()
+    h = np.fromiter(map(crc32, words), dtype=np.uint32, count=len(words))
+    pairs = (h[:-1] * np.uint32(0x85EBCA6B)) ^ h[1:]
+    if text.isascii():
+        c = np.frombuffer(text, np.uint8).astype(np.uint32)
+    else:
+        c = np.frombuffer(text.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    grams = ((c[:-2] * np.uint32(0x01000193)) ^ c[1:-1]) * np.uint32(0x01000193) ^ c[2:] if len(c) > 2 else c[:0]
+    return [_bucket(x, kind) for kind, x in enumerate((h, pairs, grams))]
 
 
 def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """Sorted ids and values of a text."""
     text = text or b""
     ids, values = [], []
-    for part in (word_ids(text.split()), gram_ids(text)):
+    for part in feature_ids(text):
         if len(part):
             i, n = np.unique(part, return_counts=True)
             ids.append(i)
@@ -106,7 +113,7 @@ class Model:
     def logit(self, text: bytes | None) -> float:
         text = text or b""
         out = self.bias
-        for part in (word_ids(text.split()), gram_ids(text)):
+        for part in feature_ids(text):
             if len(part):
                 out += SCALE * float(self.weights[part].mean())
         return out
@@ -121,7 +128,7 @@ def _sigmoid(z):
 
 def fit(ids: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, calibrate: np.ndarray) -> Model:
     """calibrate: True for the rows that are kept for the calibration."""
-    constant = Model(np.zeros(2 * _SIZE, np.float32), 0.0)
+    constant = Model(np.zeros(KINDS * _SIZE, np.float32), 0.0)
     rate = (y.sum() + 1) / (len(y) + 2)
     constant.shift = float(np.log(rate / (1 - rate)))
     learn = np.flatnonzero(~calibrate)
@@ -145,7 +152,7 @@ def fit(ids: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, calibrat
         a, c = 1 - 0.9 ** step, 1 - 0.999 ** step
         w -= 0.05 * (m / a) / (np.sqrt(s / c) + 1e-8)
         b -= 0.05 * (mb / a) / (np.sqrt(sb / c) + 1e-8)
-    weights = np.zeros(2 * _SIZE, np.float32)
+    weights = np.zeros(KINDS * _SIZE, np.float32)
     weights[used] = w
     model = Model(weights, float(b))
     rest = np.flatnonzero(calibrate)
@@ -200,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most:
                 )
 
     found = (
-        texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
+        one_text(texts.join(F.broadcast(chosen), "doc_id"), "y").select("doc_id", "y", "text")
         .mapInArrow(run, "doc_id long, y int, ids array<int>, values array<float>").toArrow()
     )
     doc, y = found.column("doc_id").to_numpy(), found.column("y").to_numpy().astype(float)
@@ -222,7 +229,7 @@ def judge(docs: DataFrame, model: Model, text_col: str = "text", keep: float = K
     """docs with n_words, the four base counts, base_failed, probability and kept."""
     spark = docs.sparkSession
     prepare(spark)
-    shared = spark.sparkContext.broadcast(model)  # 2^(BITS + 1) weights: 2 MB
+    shared = spark.sparkContext.broadcast(model)  # KINDS * 2^BITS weights: 3 MB
     kind = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, probability double"
     names = [x.split()[0] for x in kind.split(", ")]
 

@@ -2,17 +2,20 @@
 
 A text is cut into terms (runs of letters; ASCII lower-cased, digits and ASCII punctuation part
 them). Its features are binary: a hashed term occurs, and it occurs twice or more. From a bounded
-sample of labelled rows the FEATURES most associated with the label are kept and a factorization
-machine is fitted: the score of a text is sigmoid(w0 + sum w_i + sum over pairs <v_i, v_j>), so a
-pair of terms can count although neither does alone.
+sample of labelled rows a factorization machine is fitted: the score of a text is
+sigmoid(w0 + sum w_i + sum over pairs <v_i, v_j>), so a pair of terms can count although neither
+does alone. Features are taken on two grounds: their own association with the label (FEATURES of
+them), and their interaction with another term, tested on all pairs of the PAIR_TERMS commonest
+terms of the sample (PAIR_FEATURES of them). So a term that means nothing by itself is learnt too.
 
-The sample: the MAX_TRAIN labelled rows with the smallest hash of doc_id. Labels are learnt only
-from rows whose crc32(doc_id as text) mod 3 is not 1.
+The sample: the MAX_TRAIN labelled rows with the smallest hash of doc_id, one text for each id.
+Labels are learnt only from rows whose crc32(doc_id as text) mod 3 is not 1.
 
 Cases: null text counts as empty and gets the score of no features; null ids are scored, not held
-out; several labels of one id: the largest; null labels are ignored; without labels of both
-kinds every score is the smoothed rate of label 1; equal rows score equally; an empty table gives
-an empty result; further columns are kept, names that clash with the new ones are replaced.
+out; several labels of one id: the largest; several texts of one id: the one with the least hash
+is learnt; null labels are ignored; without labels of both kinds every score is the smoothed rate
+of label 1; equal rows score equally; an empty table gives an empty result; further columns are
+kept, names that clash with the new ones are replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, text_bytes
+from .common import one_text, prepare, text_bytes
 
 MAX_TRAIN = 12_000
 FEATURES = 512
@@ -37,11 +40,14 @@ _MASK = (1 << BITS) - 1
 #: A term's beginnings of so many bytes are features too.
 PREFIXES = (4, 5, 6)
 MEMO = 400_000
-#: A feature must be in so many training rows, and in this part of them: rarer ones are learnt by heart.
-MIN_DOCS = 4
-MIN_SHARE = 0.002
+#: A feature must be in so many training rows: rarer ones are learnt by heart.
+MIN_DOCS = 8
 #: Least chi-square with one degree of freedom; chance reaches it once in some 10^4 terms.
 MIN_CHI = 15.0
+#: Pairs of the commonest terms are tested for interaction; chance reaches MIN_PAIR_CHI once in 10^7 pairs.
+PAIR_TERMS = 1024
+PAIR_FEATURES = 128
+MIN_PAIR_CHI = 30.0
 THRESHOLD = 0.7
 ROUNDS = 200
 
@@ -101,31 +107,77 @@ class Machine:
         return 1.0 / (1.0 + float(np.exp(-np.clip(logit, -30, 30))))
 
 
-def _select(rows: list[np.ndarray], y: np.ndarray, most: int) -> list[int]:
-    """The features most associated with the label, by the chi-square of the 2 x 2 table."""
+def _select(rows: list[np.ndarray], y: np.ndarray) -> list[int]:
+    """The features most associated with the label, then those of the strongest interactions."""
     n_all, n_one = (np.zeros(2 << BITS, dtype=np.int32) for _ in range(2))
     for r, label in zip(rows, y, strict=True):  # a row has an id once
         n_all[r] += 1
         if label:
             n_one[r] += 1
-    ids = np.flatnonzero(n_all)
+    ids = np.flatnonzero(n_all >= MIN_DOCS)
     n, n1 = n_all[ids].astype(float), n_one[ids].astype(float)
     total, total1 = float(len(y)), float(y.sum())
     diff = n1 * total - n * total1
     spread = n * (total - n) * total1 * (total - total1)
-    chi = np.where((n >= max(MIN_DOCS, MIN_SHARE * total)) & (spread > 0), diff * diff * total / np.maximum(spread, 1), 0)
+    chi = np.where(spread > 0, diff * diff * total / np.maximum(spread, 1), 0)
     chi[chi < MIN_CHI] = 0
-    best = np.lexsort((ids, -chi))[:most]
-    return [int(ids[b]) for b in best if chi[b] > 0]
-
-
-def fit(rows: list[np.ndarray], labels: Iterable[int], seed: int = 3) -> Machine:
-    """A machine from feature ids and labels (0 or 1) of the rows, by full-batch Adam steps."""
+    best = np.lexsort((ids, -chi))[:FEATURES]
+    alone = [int(ids[b]) for b in best if chi[b] > 0]
+    common = np.lexsort((ids, -np.minimum(n, total - n)))[:PAIR_TERMS]
+    return list(dict.fromkeys(alone + _interacting(rows, y, np.sort(ids[common]))))
+
+
+def _interacting(rows: list[np.ndarray], y: np.ndarray, terms: np.ndarray) -> list[int]:
+    """The terms of the pairs whose joint effect on the label differs most from the sum of their own effects."""
+    if len(terms) < 2:
+        return []
+    both = np.zeros((2, len(terms), len(terms)), dtype=np.float32)
+    alone = np.zeros((2, len(terms)))
+    sizes = np.array([(y == 0).sum(), (y == 1).sum()], dtype=float)
+    for label in (0, 1):
+        of_label = np.flatnonzero(y == label)
+        for at in range(0, len(of_label), 1024):
+            x = np.zeros((min(1024, len(of_label) - at), len(terms)), dtype=np.float32)
+            for i, r in enumerate(of_label[at:at + 1024]):
+                x[i] = np.isin(terms, rows[r], assume_unique=True)
+            both[label] += x.T @ x
+            alone[label] += x.sum(axis=0)
+    effect, noise, enough = np.zeros(both.shape[1:]), np.zeros(both.shape[1:]), np.ones(both.shape[1:], dtype=bool)
+    for a, b in ((1, 1), (1, 0), (0, 1), (0, 0)):
+        # rows by label in which the first term occurs (a) or not, and the second (b) or not
+        count = [
+            both[k] if a and b else alone[k][:, None] - both[k] if a else alone[k][None, :] - both[k] if b
+            else sizes[k] - alone[k][:, None] - alone[k][None, :] + both[k]
+            for k in (0, 1)
+        ]
+        n = count[0] + count[1]
+        rate = (count[1] + 1) / (n + 2)
+        effect += rate if a == b else -rate
+        noise += rate * (1 - rate) / np.maximum(n, 1)
+        enough &= n >= MIN_DOCS
+    chi = np.where(enough, effect * effect / noise, 0)
+    chi[np.tril_indices(len(terms))] = 0
+    found: dict[int, None] = {}
+    flat = chi.ravel()
+    near = np.flatnonzero(flat >= MIN_PAIR_CHI)
+    for p in near[np.lexsort((near, -flat[near]))].tolist():
+        for t in divmod(p, len(terms)):
+            found[int(terms[t])] = None
+        if len(found) >= PAIR_FEATURES:
+            break
+    return list(found)
+
+
+def fit(rows: list[np.ndarray], labels: Iterable[int], seed: int = 3, factors: int = FACTORS) -> Machine:
+    """A machine from feature ids and labels (0 or 1) of the rows, by full-batch Adam steps.
+
+    factors: 0 gives the linear model of the same features.
+    """
     y = np.fromiter(labels, dtype=float)
     if not len(y) or y.min() == y.max():
         rate = (y.sum() + 1) / (len(y) + 2)
         return Machine(float(np.log(rate / (1 - rate))))
-    kept = _select(rows, y, FEATURES)
+    kept = _select(rows, y)
     column = {f: c for c, f in enumerate(kept)}
     x = np.zeros((len(y), len(kept)), dtype=np.float32)
     for r, ids in enumerate(rows):
@@ -135,7 +187,7 @@ def fit(rows: list[np.ndarray], labels: Iterable[int], seed: int = 3) -> Machine
     params = {
         "w0": np.array([np.log(y.mean() / (1 - y.mean()))]),
         "w": np.zeros(len(kept)),
-        "v": rng.normal(0, 0.05, (len(kept), FACTORS)),
+        "v": rng.normal(0, 0.05, (len(kept), factors)),
     }
     first = {k: np.zeros_like(p) for k, p in params.items()}
     second = {k: np.zeros_like(p) for k, p in params.items()}
@@ -159,7 +211,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: int = MAX_TRAIN) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: int = MAX_TRAIN, factors: int = FACTORS) -> Machine:
     """A machine from the labelled rows outside the held-out third, `most` of them at most."""
     spark = docs.sparkSession
     prepare(spark)
@@ -177,11 +229,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: in
 
         for b in batches:
             ids = [sorted(features(t)) for t in text_bytes(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["y", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(ids, pa.list_(pa.int32()))], names=["y", "ids"])
 
-    found = (
-        texts.join(F.broadcast(chosen), "doc_id").select("y", "text").mapInArrow(run, "y int, ids array<int>").toArrow()
-    )
+    found = one_text(texts.join(F.broadcast(chosen), "doc_id"), "y").mapInArrow(run, "y int, ids array<int>").toArrow()
     ids = found.column("ids").combine_chunks()
     ids = ids if hasattr(ids, "offsets") else ids.chunk(0)
     values, offsets = ids.values.to_numpy(), ids.offsets.to_numpy()
@@ -189,7 +239,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: in
     # copies count once; the order doesn't depend on the partitions
     unique = {(blake2b(r.tobytes(), digest_size=16).digest(), y): r for r, y in zip(rows, found.column("y").to_pylist(), strict=True)}
     order = sorted(unique)
-    return fit([unique[k] for k in order], [k[1] for k in order])
+    return fit([unique[k] for k in order], [k[1] for k in order], factors=factors)
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:

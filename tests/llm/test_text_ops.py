@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from memspark.llm import chat, pii, quality, tokens, toxicity
+from memspark.llm import chat, common, pii, quality, tokens, toxicity
 
 DATA = "/root/testdata/sf0.01"
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -55,6 +55,29 @@ def test_quality_on_rows_it_has_not_seen(spark, monkeypatch):
     assert len(right) > 120 and np.mean(right) > 0.9
 
 
+def test_quality_probabilities_are_calibrated(spark):
+    """Brier score and reliability on rows that neither the weights nor the curve were fitted on."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    back = F.crc32(F.concat(F.lit("back"), F.col("doc_id").cast("string"))) % 3 == 0
+    model = quality.train(docs, labels.where(~back))
+    rows = docs.join(labels.where(back), "doc_id").select("text", "quality").collect()
+    p = np.array([model.probability((r.text or "").encode()) for r in rows])
+    y = np.array([r.quality for r in rows])
+    assert len(y) > 800 and np.mean((p - y) ** 2) < 0.3 * y.mean() * (1 - y.mean())
+    for lo, hi in ((0, 0.2), (0.2, 0.8), (0.8, 1.01)):
+        inside = (p >= lo) & (p < hi)
+        assert inside.sum() < 30 or abs(p[inside].mean() - y[inside].mean()) < 0.12
+
+
+def test_quality_features_are_words_pairs_and_grams():
+    text = "日本 語の one two"
+    words, pairs, grams = quality.feature_ids(text.encode())
+    assert (len(words), len(pairs), len(grams)) == (4, 3, len(text) - 2)
+    assert pairs[1] != quality.feature_ids("語の 日本 one".encode())[1][0] != pairs[0]  # order counts
+    assert quality.feature_ids(b"one two")[1][0] == pairs[2]
+    assert all(a.max() < b.min() for a, b in zip((words, pairs), (pairs, grams)))
+
+
 def test_toxicity_on_the_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
     machine = toxicity.train(docs, labels)
@@ -64,19 +87,52 @@ def test_toxicity_on_the_held_out_rows(spark):
     assert hit > 0.8 and false < 0.01
 
 
-def test_toxicity_learns_a_pair():
-    rnd = np.random.default_rng(1)
+def pair_rows(seed, label, n=1500):
+    rnd = np.random.default_rng(seed)
     rows, labels = [], []
-    for n in range(1200):
+    for _ in range(n):
         a, b = bool(rnd.integers(2)), bool(rnd.integers(2))
-        text = " ".join(f"w{rnd.integers(3000)}" for _ in range(20)) + " insultone" * a + " groupword" * b
-        rows.append(np.array(sorted(toxicity.features(text.encode()))))
-        labels.append(int(a and b))
-    machine = toxicity.fit(rows, labels)
-    assert machine.score(b"x insultone groupword") > 0.7 > machine.score(b"x insultone y") and machine.score(b"groupword") < 0.3
+        text = " ".join(f"w{'abcdefgh'[rnd.integers(8)]}{'ijklmnop'[rnd.integers(8)]}" for _ in range(12)) + " insultone" * a + " groupword" * b
+        rows.append(text.encode())
+        labels.append(int(label(a, b)))
+    return rows, np.array(labels)
+
+
+def right(machine, rows, labels, threshold=0.5):
+    return np.mean([(machine.score(t) >= threshold) == bool(y) for t, y in zip(rows, labels)])
+
+
+def test_toxicity_learns_pairs_that_no_linear_model_can():
+    """Exactly one of two terms: neither is associated with the label by itself."""
+    rows, labels = pair_rows(1, lambda a, b: a != b)
+    seen, y = pair_rows(2, lambda a, b: a != b)
+    ids = [np.array(sorted(toxicity.features(t)), dtype=np.int32) for t in rows]
+    machine, linear = toxicity.fit(ids, labels), toxicity.fit(ids, labels, factors=0)
+    assert right(machine, seen, y) > 0.95 and right(linear, seen, y) < 0.6
+    terms = [toxicity.hashed(t)[0] for t in (b"insultone", b"groupword")]
+    assert all(t in machine.column for t in terms)
+
+
+def test_toxicity_of_both_terms_only():
+    rows, labels = pair_rows(1, lambda a, b: a and b)
+    machine = toxicity.fit([np.array(sorted(toxicity.features(t)), dtype=np.int32) for t in rows], labels)
+    seen, y = pair_rows(2, lambda a, b: a and b)
+    assert right(machine, seen, y, 0.7) > 0.95
     assert machine.score(None) == machine.score(b"") == machine.score(b"123 !")
 
 
+def test_a_labelled_id_of_many_rows_counts_once(spark):
+    """What reaches the driver is one row for each labelled id, however often the id comes."""
+    rows = [(1, f"copy {i % 2} of a text") for i in range(3000)] + [(i, f"text number {i}") for i in range(2, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 30)], "doc_id long, quality int")
+    chosen = labels.withColumnRenamed("quality", "y")
+    found = common.one_text(docs.join(chosen, "doc_id"), "y").collect()
+    assert len(found) == 29 and {r.text for r in found if r.doc_id == 1} <= {"copy 0 of a text", "copy 1 of a text"}
+    models = [quality.train(docs.repartition(n), labels) for n in (2, 5)]
+    assert models[0].probability(b"text number 5") == models[1].probability(b"text number 5")
+
+
 def test_toxicity_cases(spark, odd, empty):
     nothing = toxicity.train(empty, spark.createDataFrame([], "doc_id long, toxic int"))
     assert nothing.score(b"any") == pytest.approx(0.5)
