@@ -4,29 +4,36 @@ Texts are normalised: letters and digits in lower case, every other run one blan
 item is covered by windows of LENGTH code points every STEP, the last one flush with its end (a
 shorter item is one window), and by windows of WORDS words that begin at every word. So a passage
 of WORDS words taken from anywhere in an item is found, and one of LENGTH + STEP - 1 code points
-whatever its words. A window of m code points that occurs in a document with k edits or
-fewer shares m + 1 - q (k + 1) of its q-grams with it at least, all within k of one diagonal.
+whatever its words. Equal windows are one, owned by the item of the smallest id. A window of m
+code points that occurs in a document with k edits or fewer shares m + 1 - q (k + 1) of its
+q-grams with it at least, all within k of one diagonal.
 
 1. Filter: only stretches of a document in which enough q-grams occur in any window go on.
 2. Count: their hits are laid on diagonal bands of the items joined end to end; bands are
    2 (k + 1) wide and overlap by half, so all hits of one occurrence fall into one band. Only windows
    with as many hits in a band as the bound asks for go on.
-3. Verify: banded alignment of the window with the stretch must end within k edits.
+3. Verify: equal text needs no alignment. Of the other candidates those whose middle lies in equal
+   text are left out, as the place is known to be a benchmark's; the rest must end within k edits
+   by banded alignment.
 
-The windows' q-gram index is broadcast in pieces of at most INDEX_CHARS code points: a larger
-benchmark takes several passes over the documents.
+A result is a stretch of a document that windows of one item cover.
 
-Cases: null and empty texts match nothing; items without MIN_LENGTH normalised code points are
-skipped (too short to tell); equal rows and equal items match separately; an empty table on
-either side gives an empty result; further columns are ignored by matches(), kept by remove().
+The windows' q-gram index is broadcast in pieces of at most INDEX_CHARS code points, one at a time
+on the driver: a larger benchmark takes several passes over the documents.
+
+Cases: null and empty texts match nothing; items of fewer than MIN_LENGTH normalised code points
+must occur without an edit, those of fewer than Q are skipped (too short to tell); null ids match
+like others, equal rows match separately; an empty table on either side gives an empty result;
+further columns are ignored by matches(), kept by remove(), whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache, reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare
@@ -38,7 +45,7 @@ STEP = 4
 WORDS = 13
 EDIT_RATE = 0.05
 MIN_LENGTH = 32
-INDEX_CHARS = 1_000_000
+INDEX_CHARS = 4_000_000
 #: The first filter is a table of 2^TABLE_BITS flags, or of sixteen for each q-gram.
 TABLE_BITS = 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -46,7 +53,7 @@ _BASE = np.uint64(0x100000001B3)
 #: Code points of documents handled at once; a longer document is handled alone.
 _CHUNK = 1 << 18
 _PAIRS = 1 << 20
-_SCHEMA = "doc_id long, item_id long, item_start int, item_end int, doc_start long, doc_end long, edits int"
+_SCHEMA = "doc_id long, item_id long, doc_start long, doc_end long, n_windows int, edits int"
 
 
 @lru_cache(maxsize=1)
@@ -104,7 +111,7 @@ def qgrams(codes: np.ndarray, q: int = Q) -> np.ndarray:
 
 def bound(m: int, q: int = Q, rate: float = EDIT_RATE) -> tuple[int, int]:
     """Edits allowed in a window of m code points, and the shared q-grams that they leave (1 at least)."""
-    k = int(rate * m)
+    k = int(rate * m) if m >= MIN_LENGTH else 0
     while k and m + 1 - q * (k + 1) < 1:
         k -= 1
     return k, max(1, m + 1 - q * (k + 1))
@@ -124,42 +131,71 @@ def _spans(norm: np.ndarray) -> list[tuple[int, int]]:
     return sorted(spans)
 
 
+def trimmed(text: str | None) -> np.ndarray:
+    """The normalised code points of an item, without blanks at its ends."""
+    norm, _ = normalise(codes_of(text or ""))
+    inside = np.flatnonzero(norm != 32)
+    return norm[inside[0]:inside[-1] + 1] if len(inside) else norm[:0]
+
+
+def cut(item: int, norm: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """A normalised item in parts of at most `most` code points that keep every window whole."""
+    step = max(STEP, (most - 4 * LENGTH) // STEP * STEP)
+    for at in range(0, max(1, len(norm) - 4 * LENGTH), step):
+        yield item, norm[at:at + step + 4 * LENGTH]
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
+def _prefix(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of code points times powers of the base, and those powers: hashes of any stretch."""
+    power = np.full(len(codes) + 1, _BASE, dtype=np.uint64)
+    power[0] = 1
+    power = np.multiply.accumulate(power)
+    sums = np.zeros(len(codes) + 1, dtype=np.uint64)
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
+    return sums, power
+
+
 class Index:
-    """The windows of some items and where each q-gram occurs in the items joined end to end."""
-
-    def __init__(self, items: list[tuple[int, str | None]]):
-        self.windows: list[tuple[int, int, np.ndarray]] = []
-        self.text = 0  # code points of all items
-        begins: list[int] = []
-        inside: list[np.ndarray] = []
-        keys: list[np.ndarray] = []
-        for item, text in items:
-            norm, _ = normalise(codes_of(text or ""))
-            while len(norm) and norm[-1] == 32:
-                norm = norm[:-1]
-            if len(norm) and norm[0] == 32:
-                norm = norm[1:]
-            if len(norm) < MIN_LENGTH:
+    """The windows of some normalised items and where each q-gram occurs in the items joined end to end."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]]):
+        owner: dict[bytes, None] = {}
+        begins: list[tuple[int, int, int]] = []
+        base = 0
+        kept: list[np.ndarray] = []
+        for item, norm in items:
+            if len(norm) < Q:
                 continue
-            base = self.text
-            spans = _spans(norm)
-            self.windows += [(item, s, norm[s:e]) for s, e in spans]
-            begins += [base + s for s, _ in spans]
-            inside += [np.arange(base, base + len(norm) - Q + 1)]
-            keys += [qgrams(norm)]
-            self.text += len(norm)
-        order = np.argsort(begins, kind="stable")
-        self.windows = [self.windows[i] for i in order]
-        self.at = np.array(begins, dtype=np.int64)[order]
-        self.m = np.array([len(w) for *_, w in self.windows], dtype=np.int64)
-        limits = [bound(int(m)) for m in self.m]
-        self.k = np.array([k for k, _ in limits], dtype=np.int64)
-        self.least = np.array([t for _, t in limits], dtype=np.int64)
-        grams = np.concatenate(keys) if keys else np.empty(0, np.uint64)
+            for s, e in _spans(norm):
+                window = norm[s:e].tobytes()
+                if window not in owner:
+                    owner[window] = None
+                    begins.append((base + s, e - s, item))
+            kept.append(norm)
+            base += len(norm)
+        begins.sort()
+        self.codes = np.concatenate(kept) if kept else np.empty(0, np.uint32)
+        self.text = len(self.codes)
+        self.at, self.m, self.item = (np.array(x, dtype=np.int64) for x in zip(*begins, strict=True)) if begins else (np.empty(0, np.int64),) * 3
+        limits = {m: bound(m) for m in set(self.m.tolist())}
+        self.k = np.array([limits[m][0] for m in self.m.tolist()], dtype=np.int64)
+        self.least = np.array([limits[m][1] for m in self.m.tolist()], dtype=np.int64)
+        # only q-grams inside a window count
+        inside = np.zeros(self.text + 1, dtype=np.int64)
+        np.add.at(inside, self.at, 1)
+        np.add.at(inside, self.at + self.m - Q + 1, -1)
+        grams = qgrams(self.codes)
+        pos = np.flatnonzero(np.cumsum(inside[:len(grams)]) > 0)
+        grams = grams[pos]
         order = np.argsort(grams, kind="stable")
         self.keys, first = np.unique(grams[order], return_index=True)
         self.first = np.append(first, len(grams))
-        self.pos = (np.concatenate(inside) if inside else np.empty(0, np.int64))[order]
+        self.pos = pos[order]
         bits = max(TABLE_BITS, (16 * len(self.keys)).bit_length())
         self.shift = np.uint64(64 - bits)
         self.seen = np.zeros(1 << bits, dtype=bool)
@@ -167,8 +203,14 @@ class Index:
         self.span = int((self.m + self.k).max(initial=0))
         self.fewest = int(self.least.min(initial=1))
 
-    def find(self, codes: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(window, document, start, end, edits) in normalised positions; doc: of each code point."""
+    def window(self, w: int) -> np.ndarray:
+        return self.codes[self.at[w]:self.at[w] + self.m[w]]
+
+    def find(self, codes: np.ndarray, doc: np.ndarray, every: bool = False) -> list[tuple[int, int, int, int, int]]:
+        """(window, document, start, end, edits) in normalised positions; doc: of each code point.
+
+        every: align also the windows whose middle lies in equal text.
+        """
         n = len(codes) - Q + 1
         if n <= 0 or not len(self.keys):
             return []
@@ -189,35 +231,38 @@ class Index:
             np.add.at(cover, (np.arange(len(at)) + after)[dense], -1)
             inside = np.cumsum(cover[:-1]) > 0
             at, place = at[inside], place[inside]
-        found: list[tuple[int, int, int, int, int]] = []
         lists = self.first[place + 1] - self.first[place]
         # pieces of bounded work; windows' lengths overlap so that no band is torn
-        start = 0
+        found, start = [], 0
         while start < len(at):
             total = np.cumsum(lists[start:])
-            stop = start + max(1, int(np.searchsorted(total, _PAIRS)))
-            stop_pos = at[stop - 1]
-            stop = int(np.searchsorted(at, stop_pos, side="right"))
-            found += self._count(codes, doc, at[start:stop], place[start:stop], lists[start:stop])
+            stop = start + int(np.searchsorted(total, _PAIRS))
+            stop = max(stop, int(np.searchsorted(at, at[start] + 4 * reach)))
+            w, left = self._count(at[start:stop], place[start:stop], lists[start:stop])
+            found.append(w * (len(codes) + 2 * (self.span + 1)) + left + self.span + 1)
             if stop >= len(at):
                 break
-            start = max(start + 1, int(np.searchsorted(at, stop_pos - 2 * reach)))
-        return list(dict.fromkeys(found))
-
-    def _count(self, codes, doc, at, place, lists):
+            start = int(np.searchsorted(at, at[stop - 1] - 2 * reach))
+        wide = len(codes) + 2 * (self.span + 1)  # a candidate's first place is no further outside
+        both = _distinct(np.concatenate(found)) if found else np.empty(0, np.int64)
+        w, left = both // wide, both % wide - self.span - 1
+        return self._verify(codes, doc, w, left, every)
+
+    def _count(self, at, place, lists):
+        """The candidates that have enough hits in a band: windows, and the first place for the begin of each."""
         each = np.repeat(np.arange(len(at)), lists)
         entry = np.arange(len(each)) - np.repeat(np.cumsum(lists) - lists, lists) + self.first[place][each]
         pos = self.pos[entry]
         diagonal = at[each] - pos + self.text  # not negative
         block = self.text + self.span + 1
-        found = []
+        found = [np.empty((2, 0), np.int64)]
         for k in np.unique(self.k):
             mine = np.flatnonzero(self.k == k)
             begin, reach, need = self.at[mine], int(self.m[mine].max()) - Q, int(self.least[mine].min())
             width = int(k) + 1
             band = diagonal // width
             # an occurrence's diagonals lie within k of its own: in this band and the next, or the one before
-            key = np.unique(np.concatenate([band + 1, band]) * block + np.concatenate([pos, pos]))
+            key = _distinct(np.concatenate([band + 1, band]) * block + np.concatenate([pos, pos]))
             if len(key) < need:
                 continue
             near = np.flatnonzero(key[need - 1:] - key[:len(key) - need + 1] <= reach)
@@ -234,27 +279,39 @@ class Index:
                     - np.searchsorted(key, home + self.at[w]))
             enough = hits >= self.least[w]
             w, b = w[enough], home[enough] // block - 1
-            found += self._verify(codes, doc, w, b * width - self.text + self.at[w])
-        return found
+            found.append(np.stack([w, b * width - self.text + self.at[w]]))
+        return np.concatenate(found, axis=1)
 
-    def _verify(self, codes, doc, w, left):
-        """The occurrences within k edits in each retained band; left: its first place for the window's begin."""
+    def _verify(self, codes, doc, w, left, every):
+        """The occurrences within k edits in each candidate band; left: its first place for the window's begin."""
         if not len(w):
             return []
         out = []
-        rest = np.ones(len(w), dtype=bool)
-        for c, x in enumerate(w.tolist()):  # equal text needs no alignment
-            _, _, window = self.windows[x]
-            width, m = int(self.k[x]) + 1, len(window)
-            for at in range(max(0, int(left[c])), int(left[c]) + 2 * width):
-                if at + m <= len(codes) and codes[at] == window[0] and doc[at] == doc[at + m - 1] and np.array_equal(codes[at:at + m], window):
-                    out.append((x, int(doc[at]), at, at + m, 0))
+        # equal text: by polynomial hashes on each diagonal, then code point by code point
+        sums, power = _prefix(codes)
+        own, own_power = _prefix(self.codes)
+        m, rest = self.m[w], np.ones(len(w), dtype=bool)
+        value = own[self.at[w] + m] - own[self.at[w]]
+        covered = np.zeros(len(codes) + 1, dtype=np.int64)
+        for d in range(int(2 * self.k.max() + 2)):
+            at = left + d
+            maybe = np.flatnonzero(rest & (d < 2 * self.k[w] + 2) & (at >= 0) & (at + m <= len(codes)))
+            a = at[maybe]
+            same = (sums[a + m[maybe]] - sums[a]) * own_power[self.at[w[maybe]]] == value[maybe] * power[a]
+            for c in maybe[same].tolist():
+                x, p = int(w[c]), int(at[c])
+                if doc[p] == doc[p + m[c] - 1] and np.array_equal(codes[p:p + m[c]], self.window(x)):
+                    out.append((x, int(doc[p]), p, p + int(m[c]), 0))
                     rest[c] = False
-                    break
+                    covered[p] += 1
+                    covered[p + m[c]] -= 1
+        if not every:
+            middle = np.clip(left + self.k[w] + m // 2, 0, len(codes) - 1)
+            rest &= np.cumsum(covered)[middle] == 0
         w, left = w[rest], left[rest]
         for i in range(0, len(w), 4096):
             out += self._align(codes, doc, w[i:i + 4096], left[i:i + 4096])
-        return out
+        return list(dict.fromkeys(out))
 
     def _align(self, codes, doc, w, left):
         """Banded alignment of each window with its stretch, all at once, row by row."""
@@ -263,7 +320,7 @@ class Index:
         longest = int(self.m[w].max())
         text = np.zeros((len(w), longest), dtype=np.uint32)
         for row, x in enumerate(w.tolist()):
-            text[row, :self.m[x]] = self.windows[x][2]
+            text[row, :self.m[x]] = self.window(x)
         cols = np.arange(n_diag)
         far = 1 << 20
         inside = cols[None, :] < (2 * width)[:, None]
@@ -306,95 +363,111 @@ class Index:
         ]
 
 
-def _batches(ids: list, texts: list):
-    """Documents in groups of about _CHUNK code points."""
-    group, size = [], 0
-    for i, t in zip(ids, texts, strict=True):
+def _batches(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+    """(places, texts) of the documents that have text, in groups of about _CHUNK code points."""
+    places, group, size = [], [], 0
+    for i, t in enumerate(texts):
         if not t:
             continue
-        group.append((i, t))
+        places.append(i)
+        group.append(t)
         size += len(t)
         if size >= _CHUNK:
-            yield group
-            group, size = [], 0
+            yield places, group
+            places, group, size = [], [], 0
     if group:
-        yield group
+        yield places, group
 
 
-def find_in(index: Index, group: list[tuple]) -> list[tuple]:
-    """Matches (doc_id, item, item_start, item_end, doc_start, doc_end, edits) of some (doc_id, text)."""
-    joined = "\x00".join(t for _, t in group)
+def find_in(index: Index, texts: list[str]) -> list[tuple]:
+    """(place in texts, item, start, end, windows, edits): stretches that windows of one item cover; edits: the fewest."""
+    joined = "\x00".join(texts)
     codes = codes_of(joined)
-    lengths = np.array([len(t) + 1 for _, t in group])
+    lengths = np.array([len(t) + 1 for t in texts])
     starts = np.cumsum(lengths) - lengths
     norm, at = normalise(codes)
-    doc = np.repeat(np.arange(len(group)), np.diff(np.searchsorted(at, np.append(starts, len(codes) + 1))))
-    out = []
+    doc = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(at, np.append(starts, len(codes) + 1))))
+    found = []
     for w, d, s, e, edits in index.find(norm, doc):
-        item, item_start, window = index.windows[w]
         s, e = max(0, s), min(len(at), max(s + 1, e))
-        out.append((
-            group[d][0], item, item_start, item_start + len(window),
-            int(at[s] - starts[d]), int(at[e - 1] - starts[d]) + 1, edits,
-        ))
-    return out
+        found.append((d, int(index.item[w]), int(at[s] - starts[d]), int(at[e - 1] - starts[d]) + 1, edits))
+    out: list[list[int]] = []
+    for d, item, s, e, edits in sorted(found):
+        if out and out[-1][:2] == [d, item] and s <= out[-1][3]:
+            out[-1][3:] = [max(e, out[-1][3]), out[-1][4] + 1, min(edits, out[-1][5])]
+        else:
+            out.append([d, item, s, e, 1, edits])
+    return [tuple(x) for x in out]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per verified window: ids, its place in the normalised item, code points of the document, edits."""
-    spark = docs.sparkSession
-    prepare(spark)
-    pair = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = []
-    piece: list[tuple] = []
+_memo: dict[str, object] = {}
+
+
+def _index(items: list[tuple[int, np.ndarray]]) -> Index:
+    """The index of broadcast items, built once in a worker."""
+    if _memo.get("items") is not items:
+        _memo.update(items=items, index=Index(items))
+    return _memo["index"]
+
+
+def pieces(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """The normalised items in order of their ids, INDEX_CHARS code points at a time."""
+    piece: list[tuple[int, np.ndarray]] = []
     size = 0
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).orderBy("item_id", "text")
+    for row in rows.toLocalIterator():
+        for item, norm in cut(-1 if row[0] is None else row[0], trimmed(row[1]), INDEX_CHARS):
+            if size and size + len(norm) > INDEX_CHARS:
+                yield piece
+                piece, size = [], 0
+            piece.append((item, norm))
+            size += len(norm)
+    yield piece
+
+
+def _broadcasts(spark: SparkSession, benchmark: DataFrame) -> list:
+    prepare(spark)
+    return [spark.sparkContext.broadcast(piece) for piece in pieces(benchmark)]
 
-    def search(items: list[tuple]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(items)
 
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per stretch: doc_id, item_id, code points of the document, windows in it, the fewest edits."""
+    pair = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def search(shared) -> DataFrame:
         def run(batches):
-            import pandas as pd
             import pyarrow as pa
 
-            index = Index(shared.value)
             names = [x.split()[0] for x in _SCHEMA.split(", ")]
-            kinds = {"int": "int32", "long": "int64"}
+            kinds = [pa.int32() if x.endswith("int") else pa.int64() for x in _SCHEMA.split(", ")]
+            index = _index(shared.value)
             for b in batches:
-                ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-                for group in _batches(ids, texts):
-                    rows = find_in(index, group)
+                ids = b.column(0).to_pylist()
+                for places, texts in _batches(b.column(1).to_pylist()):
+                    rows = [(ids[places[d]], *rest) for d, *rest in find_in(index, texts)]
                     if rows:
-                        frame = pd.DataFrame(rows, columns=names)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(frame[n].where(frame[n].notna(), None).tolist(), type=getattr(pa, kinds[x.split()[1]])())
-                             for n, x in zip(names, _SCHEMA.split(", "), strict=True)], names=names)
+                        columns = zip(*rows, strict=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
         return pair.mapInArrow(run, _SCHEMA)
 
-    # the items come to the driver piece by piece; no piece is larger than the bound
-    for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
-        text = row[1] or ""
-        for part in _pieces(text):
-            piece.append((row[0], part))
-            size += len(part)
-        if size >= INDEX_CHARS:
-            found.append(search(piece))
-            piece, size = [], 0
-    if piece or not found:
-        found.append(search(piece))
-    return reduce(DataFrame.union, found)
+    return reduce(DataFrame.union, [search(x) for x in _broadcasts(docs.sparkSession, benchmark)])
+
+
+def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs without the rows that hold a passage of the benchmark; columns as given. Rows are judged
+    one by one where they lie: ids play no part and nothing is shuffled."""
+    at = docs.columns.index("text")
 
+    def clean(shared, rows: DataFrame) -> DataFrame:
+        def run(batches):
+            import pyarrow as pa
 
-def _pieces(text: str) -> list[str]:
-    """A very long item in overlapping parts that keep every window whole."""
-    if len(text) <= INDEX_CHARS:
-        return [text]
-    step = INDEX_CHARS // 2
-    return [text[i:i + step + 4 * LENGTH] for i in range(0, len(text), step)]
+            index = _index(shared.value)
+            for b in batches:
+                bad = {places[d] for places, texts in _batches(b.column(at).to_pylist()) for d, *_ in find_in(index, texts)}
+                yield b.filter(pa.array([i not in bad for i in range(len(b))], pa.bool_())) if bad else b
 
+        return rows.mapInArrow(run, rows.schema)
 
-def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a passage of the benchmark; columns as given. Rows with a null id
-    cannot be told apart from each other and go together if one of them matches."""
-    bad = matches(docs, benchmark).select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad_id")), "left_anti")
+    return reduce(lambda rows, shared: clean(shared, rows), _broadcasts(docs.sparkSession, benchmark), docs)
