@@ -48,7 +48,7 @@ CHUNK = 4 << 20
 #: Bytes of text for each bucket.
 BUCKET = 8 << 20
 #: Bytes of new texts that make a batch of a family.
-BATCH = 1 << 20
+BATCH = 4 << 20
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _BLOCK = 1 << 20
 _NO_ID = np.iinfo(np.int64).max
@@ -202,7 +202,8 @@ class Level:
     def pack(self) -> bytes:
         import zstandard
 
-        raw = b"".join([len(self.text).to_bytes(8, "little"), self.text.tobytes(), self.at.astype("<u4").tobytes(), self.ids.astype("<i8").tobytes()])
+        x = self.compact()
+        raw = b"".join([len(x.text).to_bytes(8, "little"), x.text.tobytes(), x.at.astype("<u4").tobytes(), x.ids.astype("<i8").tobytes()])
         return zstandard.ZstdCompressor(level=3).compress(raw)
 
     @classmethod
@@ -258,28 +259,39 @@ def merge(a: Level, b: Level) -> Level:
     order = np.argsort(found, kind="stable")  # numpy's stable sort merges what comes as two ordered runs
     at = np.concatenate([a.at, b.at + len(a.text)])
     ids = np.concatenate([a.ids, b.ids])
-    return _once(np.concatenate([a.text, b.text]), at[order], ids[order], found[order])[0].compact()
+    return _once(np.concatenate([a.text, b.text]), at[order], ids[order], found[order])[0]
 
 
 class Family:
-    """Levels of suffix arrays, each more than twice as long as the next."""
+    """Levels of suffix arrays, each more than twice as long as the next.
+
+    improved: whether a batch had a window with a smaller id than the levels before it.
+    """
 
     def __init__(self, levels: Iterable[Level] = ()):
         self.levels = list(levels)
+        self.improved = False
 
-    def add(self, batch: Level) -> Level:
-        """Merge-scan a batch against every level; its windows that no level has with as small an id join."""
+    def add(self, batch: Level) -> tuple[Level, np.ndarray]:
+        """Merge-scan a batch against every level; its windows that no level has with as small an id join.
+
+        Returns what joined, and the smallest id so far of each window of the batch.
+        """
         fresh = np.ones(len(batch), dtype=bool)
+        least = batch.ids.copy()
         for level in self.levels:
             old, new = scan(level, batch)
-            fresh[new] &= batch.ids[new] < level.ids[old]
-        new = Level(batch.text, batch.at[fresh], batch.ids[fresh]).compact()
+            less = batch.ids[new] < level.ids[old]
+            self.improved |= bool(less.any())
+            fresh[new] &= less
+            least[new] = np.minimum(least[new], level.ids[old])
+        new = Level(batch.text, batch.at[fresh], batch.ids[fresh])
         joined = new
         if len(joined):
             while self.levels and len(self.levels[-1]) <= 2 * len(joined):
                 joined = merge(self.levels.pop(), joined)
             self.levels.append(joined)
-        return new
+        return new, least
 
     def least(self, batch: Level) -> np.ndarray:
         """The smallest id that has each window of the batch."""
@@ -320,7 +332,7 @@ def resolve(messages: Iterable[tuple[int, bytes]], family: Family | None = None,
     least: list[int] = []
     windows: list[int] = []
     parts: list[tuple[int, np.ndarray, np.ndarray]] = []
-    made: list[tuple[Level, np.ndarray]] = []
+    made: list[tuple[Level, np.ndarray, np.ndarray]] = []
     texts: list[bytes] = []
     again: dict[bytes, int] = {}  # texts of earlier batches that now come with a smaller id
     size = flushed = 0
@@ -329,10 +341,10 @@ def resolve(messages: Iterable[tuple[int, bytes]], family: Family | None = None,
         nonlocal size, flushed
         if texts or again:
             batch, place = suffix_array(texts + list(again), np.array(least[flushed:] + list(again.values()), np.int64))
-            new = family.add(batch)
+            new, smallest = family.add(batch)
             if added is not None and len(new):
                 added.append(new)
-            made.append((batch, place[:sum(windows[flushed:])]))
+            made.append((batch, place[:sum(windows[flushed:])], smallest))
             flushed, size = len(least), 0
             texts.clear()
             again.clear()
@@ -357,7 +369,9 @@ def resolve(messages: Iterable[tuple[int, bytes]], family: Family | None = None,
             flush()
     flush()
     del number, texts
-    found = np.concatenate([family.least(b)[place] for b, place in made]) if made else np.empty(0, np.int64)
+    # where ids rise with the batches, what a batch met when it came is final
+    found = [(family.least(b) if family.improved else smallest)[place] for b, place, smallest in made]
+    found = np.concatenate(found) if found else np.empty(0, np.int64)
     counts = np.array(windows, np.int64)
     ends = np.cumsum(counts)
     for chunk, of, own in parts:
