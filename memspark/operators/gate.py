@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.replies import safe_json
 from ..functions.text import attributed_names, n_words, number_date_tokens
-from ..values import AUDIT_RATE, BREACH, SCREEN_WINDOW_CHARS, TRIVIAL_WORDS
-
-#: What a worker's unreadable answer counts as.
-DEFAULTS = {"screen": "FLAG", "verifier": "OVERRULE", "judge": "REVERT", "merge": "BOUNDARY"}
+from ..values import AUDIT_RATE, BREACH, SCREEN_WINDOW_CHARS, TRIVIAL_WORDS, WORKER_REPLIES
 
 
 def detect(edges: DataFrame, episodes: DataFrame, expired: DataFrame) -> DataFrame:
@@ -26,7 +24,8 @@ def birth_verdicts(edges: DataFrame, journal: DataFrame) -> DataFrame:
 
 
 def promoted(verdict: Column) -> Column:
-    return F.when(verdict == "provisional", "confirmed").otherwise(verdict)
+    """A passed edge is confirmed, unless it is held."""
+    return F.when(verdict == "quarantined", verdict).otherwise(F.lit("confirmed"))
 
 
 def quarantined(verdict: Column) -> Column:
@@ -47,16 +46,54 @@ def remedy_effect(cls: Column, fact: Column, remedy: Column) -> Column:
     return F.when(remedy != "amend", "none").when(is_persona_anchor(cls, fact), "quarantine").otherwise("amend")
 
 
-def gate_outcomes(commits: DataFrame) -> DataFrame:
-    """commits (.., screen, ruling, remedy, verifier_failed, class, fact) with the edge's verdict, the journal's
-    actions, and whether an upheld finding was left unapplied."""
-    flag = F.col("screen") == "FLAG"
-    failed = flag & F.col("verifier_failed")
-    upheld = flag & ~F.col("verifier_failed") & (F.col("ruling") == "UPHOLD")
-    effect = remedy_effect(F.col("class"), F.col("fact"), F.col("remedy"))
-    after = F.when(failed | (upheld & (effect == "quarantine")), "quarantined").otherwise("confirmed")
-    actions = F.when(failed, "gate-flag,verdict").when(flag, "gate-flag,gate-resolve,verdict").otherwise("verdict")
-    return commits.withColumn("after", after).withColumn("actions", actions).withColumn("upheld_unapplied", upheld & (effect == "none"))
+def run_gate(commits: DataFrame, created: DataFrame) -> DataFrame:
+    """What the gate does to each created edge.
+
+    commits: (commit_id, screen, ruling, verifier_failed, remedy, remedy_target, content), created:
+    (commit_id, edge_id, verdict, class, fact). Returns created with route (pass, held, resolved),
+    effect (of the remedy, on its target alone), after and fact_after.
+
+    A screen that is not a PASS is a FLAG, nulls included. A flag that nobody can judge holds every
+    edge. After a ruling, whichever it is, the remedy is applied to its target if the commit made
+    that; all edges that are not quarantined by then are confirmed.
+    """
+    flagged = ~F.coalesce(F.col("screen") == "PASS", F.lit(False))
+    route = F.when(~flagged, "pass").when(F.coalesce("verifier_failed", F.lit(True)), "held").otherwise("resolved")
+    rows = created.join(commits.withColumn("route", route), "commit_id")
+    aimed = (F.col("route") == "resolved") & F.coalesce(F.col("remedy_target") == F.col("edge_id"), F.lit(False))
+    effect = F.when(aimed, remedy_effect(F.col("class"), F.concat_ws(" ", "edge_id", "fact"), F.coalesce("remedy", F.lit("none")))).otherwise("none")
+    rows = rows.withColumn("effect", effect)
+    verdict = F.coalesce("verdict", F.lit("provisional"))
+    after = F.when((F.col("route") == "held") | (F.col("effect") == "quarantine"), "quarantined").otherwise(promoted(verdict))
+    fact = F.when(F.col("effect") == "amend", F.coalesce(F.nullif("content", F.lit("")), F.col("fact"))).otherwise(F.col("fact"))
+    return rows.withColumn("after", after).withColumn("fact_after", fact)
+
+
+def gate_journal(commits: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(commit_id, action, target, before, after): what run_gate() writes into the journal.
+
+    A flag and its resolution for the commit, one more resolution for an amended edge, and a verdict
+    for each edge whose state is set.
+    """
+    aimed = outcomes.groupBy("commit_id").agg(F.max(F.col("remedy_target").eqNullSafe(F.col("edge_id"))).alias("_aimed"))
+    flagged = ~F.coalesce(F.col("screen") == "PASS", F.lit(False))
+    failed = F.coalesce("verifier_failed", F.lit(True))
+    result = (
+        F.when(~flagged, "pass").when(failed, "quarantined").when(F.coalesce("_aimed", F.lit(False)), "remedy-applied")
+        .otherwise(F.lower(F.coalesce("ruling", F.lit(WORKER_REPLIES["verifier"][2]))))
+    )
+    none = F.lit(None).cast("string")
+
+    def row(action: str, after: Column, target: Column = none, before: Column = none) -> Column:
+        return F.struct(F.lit(action).alias("action"), target.alias("target"), before.alias("before"), after.alias("after"))
+
+    whole = commits.join(aimed, "commit_id", "left").select(
+        "commit_id", F.inline(F.filter(F.array(F.when(flagged, row("gate-flag", none)), row("gate-resolve", result)), lambda r: r.isNotNull())))
+    amended = F.when(F.col("effect") == "amend", row("gate-resolve", F.lit("amended"), F.col("edge_id"), F.col("fact")))
+    changed = (F.col("effect") == "quarantine") | ~F.col("verdict").eqNullSafe(F.col("after"))
+    state = F.when(changed, row("verdict", F.col("after"), F.col("edge_id"), F.coalesce("verdict", F.lit("provisional"))))
+    edges = outcomes.select("commit_id", F.inline(F.filter(F.array(amended, state), lambda r: r.isNotNull())))
+    return whole.unionByName(edges)
 
 
 def reverts(rulings: DataFrame) -> DataFrame:
@@ -112,9 +149,21 @@ def control_chart(audits: DataFrame) -> DataFrame:
 
 
 def worker_verdict(worker: Column, reply: Column) -> Column:
-    """The verdict in a worker's JSON reply, or the worker's cautious default."""
-    said = F.get_json_object(F.when(F.try_parse_json(reply).isNotNull(), reply), "$.verdict")
+    """The verdict in a worker's reply: of the worker's own field and among its words, else its cautious default."""
+    said = safe_json(reply)
     out = F.lit(None).cast("string")
-    for name, default in DEFAULTS.items():
-        out = F.when(worker == name, F.lit(default)).otherwise(out)
-    return F.coalesce(said, out)
+    for name, (field, words, default) in WORKER_REPLIES.items():
+        value = F.get_json_object(said, f"$.{field}")
+        valid = value.isin(*words) if words else value.isNotNull()
+        out = F.when(worker == name, F.when(valid, value).otherwise(F.lit(default))).otherwise(out)
+    return out
+
+
+def remedy_of(reply: Column) -> Column:
+    """(action, target, content) of a verifier's reply; nothing is to be done where it names no action."""
+    said = safe_json(reply)
+    return F.struct(
+        F.coalesce(F.get_json_object(said, "$.remedy.action"), F.lit("none")).alias("action"),
+        F.coalesce(F.get_json_object(said, "$.remedy.target"), F.lit("")).alias("target"),
+        F.get_json_object(said, "$.remedy.content").alias("content"),
+    )

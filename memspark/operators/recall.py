@@ -141,15 +141,28 @@ def expand(anchors: DataFrame, edges: DataFrame, n: int | None = None) -> DataFr
 def touch(turns: DataFrame, anchors: DataFrame) -> DataFrame:
     """turns (turn_id, text) with the first anchor (anchor, ord) they name and the tier to recall at.
 
-    A condition on patterns needs every turn to meet every anchor, unless words narrow it: turns
-    and anchors meet on the anchor's first word, then the whole anchor is looked for.
+    Turns and anchors meet on hashes of whole anchors' words: a turn gives the hash of each of its
+    runs of as many words as some anchor has, so common words alone bring nothing together. Only
+    the turns that have such a run are then searched for the anchor itself. Anchors without ASCII
+    words meet every turn; they are broadcast, and must be few.
     """
-    head = F.get(words(F.col("anchor")), F.lit(0))
-    keyed = anchors.select("anchor", "ord", F.coalesce(head, F.lit("")).alias("_w"))
-    spread = turns.select("turn_id", "text", F.explode(F.array_union(F.array_distinct(words(F.col("text"))), F.array(F.lit("")))).alias("_w"))
-    named = spread.join(_small(keyed), "_w").where(contains_word(F.col("text"), F.col("anchor")))
-    first = named.groupBy("turn_id").agg(F.min_by("anchor", "ord").alias("anchor"))
-    out = turns.join(first, "turn_id", "left")
+    own = words(F.col("anchor"))
+    keyed = anchors.select("anchor", "ord", F.size(own).alias("n"), F.xxhash64(own).alias("_h"))
+    lengths = keyed.where("n > 0").agg(F.sort_array(F.collect_set("n")).alias("_n"))
+    spoken = turns.select("turn_id", words(F.col("text")).alias("w")).crossJoin(F.broadcast(lengths))  # one row
+
+    def runs(n: Column) -> Column:
+        starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, n)))
+
+    hashes = F.array_distinct(F.flatten(F.transform("_n", runs)))
+    found = spoken.select("turn_id", F.explode(hashes).alias("_h")).join(_small(keyed.where("n > 0")), "_h").select("turn_id", "ord", "anchor")
+    named = found.groupBy("turn_id").agg(F.array_sort(F.collect_set(F.struct("ord", "anchor"))).alias("_a"))
+    bare = keyed.where("n = 0").agg(F.array_sort(F.collect_list(F.struct("ord", "anchor"))).alias("_bare"))
+    out = turns.join(named.withColumnRenamed("turn_id", "_id"), F.col("turn_id") == F.col("_id"), "left").drop("_id").crossJoin(F.broadcast(bare))
+    every = F.array_sort(F.concat(F.coalesce("_a", F.array().cast(named.schema["_a"].dataType)), F.col("_bare")))
+    first = F.get(F.filter(every, lambda a: contains_word(F.col("text"), a["anchor"])), F.lit(0))["anchor"]
+    out = out.withColumn("anchor", first).drop("_a", "_bare")
     tier = F.when(F.col("anchor").isNotNull(), "episodic").when(is_trivial(F.col("text")), "none").otherwise("full")
     return out.withColumn("tier", tier)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import scrub
 
 def segments(wal: DataFrame) -> DataFrame:
     """Lines per record and day."""
@@ -52,9 +53,9 @@ def suffix(records: DataFrame, cursors: DataFrame) -> DataFrame:
 
 
 def annotations(saves: DataFrame) -> DataFrame:
-    """Ledger rows of saved windows (entry_id, session_id, start_ts, end_ts, jot): no episode, the jot as summary."""
+    """Ledger rows of saved windows (entry_id, session_id, start_ts, end_ts, jot): no episode, the scrubbed jot as summary."""
     return saves.select(
-        "entry_id", "session_id", F.col("end_ts").alias("ts"), F.col("jot").alias("summary"),
+        "entry_id", "session_id", F.col("end_ts").alias("ts"), scrub(F.col("jot")).alias("summary"),
         F.lit("").alias("episode_id"), F.col("start_ts").alias("span_start"), F.col("end_ts").alias("span_end"),
         F.create_map(F.lit("annotation"), F.lit("true"), F.lit("record"), F.lit("memory-grade")).alias("enrichment"),
         F.lit("no").alias("extracted"),

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..adapters import Views, duck
 from ..operators import gate, graph, links, recall
-from ..values import ALLOWED_TYPES, PRIOR_EPISODES, RELATIONS, TIER_DEPTHS
+from ..values import ALLOWED_TYPES, GREETINGS, PRIOR_EPISODES, RELATIONS, TIER_DEPTHS
 from .registry import query
 
 _ALLOWED = ", ".join(f"'{t}'" for t in ALLOWED_TYPES)
@@ -60,14 +60,14 @@ def cosine_pairs(v: Views):
     return links.lookback_pairs(_vector_rows(v)).select("entry_id", F.col("p_entry_id").alias("other"), "score")
 
 
-@query(duck("ledger") + """, e AS (SELECT entry_id, session_id FROM ledger WHERE entry_id % 3 = 0),
+@query(duck("ledger") + """, e AS (SELECT entry_id, session_id FROM ledger),
 d AS (SELECT o_orderkey - o_orderkey % 3 AS entry_id, o_orderkey AS ordinal, o_orderkey - 1 AS old_id, o_custkey AS cause_id FROM orders WHERE o_orderkey % 2 = 0),
 l AS (SELECT entry_id, list(old_id ORDER BY ordinal) AS o, list(cause_id ORDER BY ordinal) AS c FROM d GROUP BY 1)
 SELECT entry_id, array_to_string(list_sort(list_distinct(list_concat([0], coalesce(o, []::BIGINT[])))), ',') AS supersedes,
  array_to_string(list_sort(list_distinct(coalesce(c, []::BIGINT[]))), ',') AS caused_by FROM e LEFT JOIN l USING (entry_id)""")
 def supersession(v: Views):
     none = F.array().cast("array<bigint>")
-    entries = v.ledger.where("entry_id % 3 = 0").select("entry_id", F.array(F.lit(0).cast("long")).alias("supersedes"), none.alias("caused_by"))
+    entries = v.ledger.select("entry_id", F.array(F.lit(0).cast("long")).alias("supersedes"), none.alias("caused_by"))
     k = F.col("o_orderkey")
     decisions = v.table("orders").where(k % 2 == 0).select((k - k % 3).alias("entry_id"), k.alias("ordinal"), (k - 1).alias("old_id"), F.col("o_custkey").alias("cause_id"))
     out = links.apply_supersession(entries, decisions)
@@ -109,9 +109,9 @@ def edges_as_of(v: Views):
     return graph.edges_as_of(v.edges, F.expr("TIMESTAMP_NTZ'1996-06-01 00:00:00'")).select("edge_id")
 
 
-@query(duck("edges") + " SELECT edge_id, true AS contested, true AS is_open, 'E' || CAST(episode AS VARCHAR) AS evidence FROM edges WHERE invalid_at IS NOT NULL AND episode % 10 = 0")
+@query(duck("edges") + " SELECT edge_id, true AS contested, true AS is_open, 'E' || CAST(episode AS VARCHAR) AS evidence FROM edges WHERE invalid_at IS NOT NULL")
 def reopen_edges(v: Views):
-    closed = v.edges.where("invalid_at is not null and episode % 10 = 0").withColumn("evidence_against", F.lit(None).cast("array<string>"))
+    closed = v.edges.where("invalid_at is not null").withColumn("evidence_against", F.lit(None).cast("array<string>"))
     out = graph.reopen(closed, F.concat(F.lit("E"), F.col("episode").cast("string")))
     return out.select("edge_id", "contested", (F.col("invalid_at").isNull() & F.col("expired_at").isNull()).alias("is_open"), F.array_join("evidence_against", ",").alias("evidence"))
 
@@ -167,12 +167,12 @@ def tier_depth(v: Views):
     return tiers.select("tier", recall.tier_depth(F.col("tier")).alias("depth"))
 
 
-_TOPK = f"""WITH r AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, round({_COSINE.replace('vector', 'embedding')}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < 10),
+_TOPK = f"""WITH r AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, round({_COSINE.replace('vector', 'embedding')}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM r)"""
 
 
 def _vector_queries(v: Views):
-    return v.vectors.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return v.vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
 @query(_TOPK + " SELECT query_id, item_id, score, rank FROM k WHERE rank <= 5")
@@ -193,10 +193,10 @@ b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, it
 """
 
 
-@query("WITH d AS (SELECT doc_id AS item_id, text FROM documents), q AS (SELECT item_id AS query_id, left(text, 60) AS text FROM benchmark)" + _BM25
+@query("WITH d AS (SELECT doc_id AS item_id, text FROM documents), q AS (SELECT item_id AS query_id, text FROM benchmark WHERE item_id % 20 = 0)" + _BM25
        + "SELECT query_id, item_id, score, rank FROM b WHERE rank <= 5")
 def bm25_topk(v: Views):
-    queries = v.table("benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("text"))
+    queries = v.table("benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text")
     return recall.bm25_topk(queries, v.docs.select(F.col("doc_id").alias("item_id"), "text"))
 
 
@@ -209,11 +209,11 @@ def recall_verdict(v: Views):
     return recall.verdicts(hits)
 
 
-# Two channels over the edges: by likeness of prices to a query's price, and by words of the fact.
-_CHANNELS = duck("edges") + """, q0 AS (SELECT p_partkey AS query_id, 'part ' || CAST(p_partkey AS VARCHAR) AS text, p_retailprice AS price FROM part WHERE p_partkey <= 15),
-d AS (SELECT edge_id AS item_id, fact AS text FROM edges WHERE episode % 4 = 0), q AS (SELECT query_id, text FROM q0)""" + _BM25.replace(
+# Two channels over all edges: by likeness of prices to a query's balance, and by words of the fact.
+_CHANNELS = duck("edges") + """, q0 AS (SELECT s_suppkey AS query_id, 'the ' || CAST(s_suppkey AS VARCHAR) AS text, s_acctbal AS price FROM supplier WHERE s_suppkey % 20 = 0),
+d AS (SELECT edge_id AS item_id, fact AS text FROM edges), q AS (SELECT query_id, text FROM q0)""" + _BM25.replace(
     "b AS (", "kw AS (") + f""", sm AS (SELECT query_id, edge_id AS item_id, round(1.0 / (1.0 + abs(weight / 10 - price)), 6) AS score,
-  row_number() OVER (PARTITION BY query_id ORDER BY round(1.0 / (1.0 + abs(weight / 10 - price)), 6) DESC, edge_id) AS rank FROM edges, q0 WHERE episode % 4 = 0),
+  row_number() OVER (PARTITION BY query_id ORDER BY round(1.0 / (1.0 + abs(weight / 10 - price)), 6) DESC, edge_id) AS rank FROM edges, q0),
 g AS (SELECT * FROM edges WHERE {_SERVED}),
 u0 AS (SELECT query_id, item_id, score, rank AS pos, 's' AS ch FROM sm WHERE rank <= 5 UNION ALL SELECT query_id, item_id, score, rank + 5, 'k' FROM kw WHERE rank <= 5),
 u AS (SELECT query_id, edge_id, max(score) AS score, min(pos) AS pos, any_value({_LABEL}) AS label, count(*) FILTER (ch = 's') AS s, count(*) FILTER (ch = 'k') AS k
@@ -225,14 +225,13 @@ a AS (SELECT query_id, CAST(CASE coalesce(n, 0) WHEN 3 THEN 100 WHEN 2 THEN 70 W
 
 
 def _search(v: Views):
-    part = v.table("part").where("p_partkey <= 15")
-    queries = part.select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("text"), F.col("p_retailprice").alias("price"))
-    some = v.edges.where("episode % 4 = 0")
+    asked = v.table("supplier").where("s_suppkey % 20 = 0")
+    queries = asked.select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("the "), F.col("s_suppkey").cast("string")).alias("text"), F.col("s_acctbal").alias("price"))
     score = F.round(1.0 / (1.0 + F.abs(F.col("weight") / 10 - F.col("price"))), 6)
-    near = some.crossJoin(F.broadcast(queries)).select("query_id", "edge_id", score.alias("score"))
+    near = v.edges.crossJoin(F.broadcast(queries)).select("query_id", "edge_id", score.alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "edge_id")
     semantic = near.withColumn("rank", F.row_number().over(best).cast("long")).where("rank <= 5")
-    keyword = recall.bm25_topk(queries.select("query_id", "text"), some.select(F.col("edge_id").alias("item_id"), F.col("fact").alias("text")))
+    keyword = recall.bm25_topk(queries.select("query_id", "text"), v.edges.select(F.col("edge_id").alias("item_id"), F.col("fact").alias("text")))
     return recall.search(semantic, keyword.withColumnRenamed("item_id", "edge_id"), v.edges, queries)
 
 
@@ -254,33 +253,41 @@ def recall_payload(v: Views):
     return recall.payload(hits, answers)
 
 
-@query(duck("edges") + f""", a AS (SELECT o_orderkey AS anchor_id, CASE o_orderkey % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'episodic' ELSE 'deep' END AS tier FROM orders WHERE o_orderkey <= 300)
+@query(duck("edges") + f""", a AS (SELECT o_orderkey AS anchor_id, CASE o_orderkey % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'episodic' ELSE 'deep' END AS tier FROM orders)
 SELECT anchor_id, edge_id, {_LABEL} AS label, row_number() OVER (PARTITION BY anchor_id ORDER BY weight DESC, edge_id) AS rank FROM a JOIN edges ON episode = anchor_id WHERE tier <> 'none' AND {_SERVED}""")
 def recall_expand(v: Views):
     k = F.col("o_orderkey")
     tier = F.when(k % 3 == 0, "none").when(k % 3 == 1, "episodic").otherwise("deep")
-    anchors = v.table("orders").where(k <= 300).select(k.alias("anchor_id"), tier.alias("tier"), k.alias("episode"))
+    anchors = v.table("orders").select(k.alias("anchor_id"), tier.alias("tier"), k.alias("episode"))
     return recall.expand(anchors, v.edges)
 
 
-@query(r"""WITH b AS (SELECT item_id AS ord, regexp_extract(lower(text), '[a-z]+ [a-z]+ [a-z]+') AS anchor FROM benchmark), a AS (SELECT * FROM b WHERE anchor <> ''),
-t AS (SELECT doc_id AS turn_id, CASE WHEN doc_id % 9 = 0 THEN 'Ok, thanks!' WHEN doc_id % 10 = 0 THEN '' ELSE text END AS text FROM documents),
-m AS (SELECT turn_id, arg_min(anchor, ord) AS anchor FROM t JOIN a ON regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])' || anchor || '($|[^\p{L}\p{N}_])') GROUP BY 1)
-SELECT turn_id, anchor, CASE WHEN anchor IS NOT NULL THEN 'episodic' WHEN text IN ('', 'Ok, thanks!') THEN 'none' ELSE 'full' END AS tier FROM t LEFT JOIN m USING (turn_id)""")
+_ANCHOR = "[a-z]+ [a-z]+ [a-z]+"
+_GREETED = ", ".join(f"'{g}'" for g in GREETINGS)
+
+
+@query(rf"""WITH b AS (SELECT item_id AS ord, regexp_extract(lower(text), '{_ANCHOR}') AS anchor FROM benchmark), a AS (SELECT * FROM b WHERE anchor <> ''),
+t AS (SELECT doc_id AS turn_id, text FROM documents UNION ALL SELECT -1 - conv_id * 1000 - turn, CASE WHEN turn % 2 = 0 THEN text ELSE 'Ok, thanks!' END FROM conversations),
+m AS (SELECT turn_id, arg_min(anchor, ord) AS anchor FROM t JOIN a ON contains(lower(text), anchor)
+  WHERE regexp_matches(text, '(?i)(^|[^\p{{L}}\p{{N}}_])' || anchor || '($|[^\p{{L}}\p{{N}}_])') GROUP BY 1),
+w AS (SELECT turn_id, text, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM t)
+SELECT turn_id, anchor, CASE WHEN anchor IS NOT NULL THEN 'episodic'
+  WHEN len(w) <= 2 AND len(list_filter(w, lambda x: NOT (length(x) <= 3 OR regexp_replace(x, '^[.,!?]+|[.,!?]+$', '', 'g') IN ({_GREETED})))) = 0 THEN 'none' ELSE 'full' END AS tier
+FROM w LEFT JOIN m USING (turn_id)""")
 def touch_tier(v: Views):
-    anchors = v.table("benchmark").select(F.col("item_id").alias("ord"), F.regexp_extract(F.lower("text"), "[a-z]+ [a-z]+ [a-z]+", 0).alias("anchor")).where("anchor <> ''")
-    k = F.col("doc_id")
-    text = F.when(k % 9 == 0, "Ok, thanks!").when(k % 10 == 0, "").otherwise(F.col("text"))
-    return recall.touch(v.docs.select(k.alias("turn_id"), text.alias("text")), anchors).select("turn_id", "anchor", "tier")
+    anchors = v.table("benchmark").select(F.col("item_id").alias("ord"), F.regexp_extract(F.lower("text"), _ANCHOR, 0).alias("anchor")).where("anchor <> ''")
+    said = v.table("conversations").select((-1 - F.col("conv_id") * 1000 - F.col("turn")).alias("turn_id"), F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise("Ok, thanks!").alias("text"))
+    return recall.touch(v.docs.select(F.col("doc_id").alias("turn_id"), "text").unionByName(said), anchors).select("turn_id", "anchor", "tier")
 
 
-@query(duck("ledger") + """, e AS (SELECT entry_id, 'n' || CAST(entry_id AS VARCHAR) || '.' AS name, CASE WHEN entry_id % 2 = 0 THEN [entry_id + 1, entry_id, entry_id + 2] ELSE []::BIGINT[] END AS refs FROM ledger WHERE entry_id <= 400)
-SELECT entry_id, CAST(entry_id AS VARCHAR) || ',' || CAST(entry_id + 1 AS VARCHAR) || ',' || CAST(entry_id + 2 AS VARCHAR) AS ids FROM e WHERE len(refs) > 0 AND contains('see n12. and n33. or n100.', name)""")
+@query(duck("ledger") + """, e AS (SELECT entry_id, 'n' || CAST(entry_id AS VARCHAR) || '.' AS name, CASE WHEN entry_id % 2 = 0 THEN [entry_id + 1, entry_id, entry_id + 2] ELSE []::BIGINT[] END AS refs FROM ledger),
+b AS (SELECT r_name || ' n' || CAST(r_regionkey * 12 AS VARCHAR) || '. and n' || CAST(r_regionkey * 1000 + 34 AS VARCHAR) || '.' AS body FROM region)
+SELECT entry_id, CAST(entry_id AS VARCHAR) || ',' || CAST(entry_id + 1 AS VARCHAR) || ',' || CAST(entry_id + 2 AS VARCHAR) AS ids FROM e WHERE len(refs) > 0 AND EXISTS (SELECT 1 FROM b WHERE contains(body, name))""")
 def diary_anchors(v: Views):
-    k = F.col("entry_id")
+    k, r = F.col("entry_id"), F.col("r_regionkey").cast("long")
     none = F.array().cast("array<bigint>")
-    entries = v.ledger.where("entry_id <= 400").select(k, F.concat(F.lit("n"), k.cast("string"), F.lit(".")).alias("name"), F.when(k % 2 == 0, F.array(k + 1, k, k + 2)).otherwise(none).alias("references"), none.alias("same_topic"), none.alias("supersedes"))
-    bodies = v.spark.createDataFrame([("see n12. and n33. or n100.",)], "body string")
+    entries = v.ledger.select(k, F.concat(F.lit("n"), k.cast("string"), F.lit(".")).alias("name"), F.when(k % 2 == 0, F.array(k + 1, k, k + 2)).otherwise(none).alias("references"), none.alias("same_topic"), none.alias("supersedes"))
+    bodies = v.table("region").select(F.concat("r_name", F.lit(" n"), (r * 12).cast("string"), F.lit(". and n"), (r * 1000 + 34).cast("string"), F.lit(".")).alias("body"))
     return recall.diary_anchors(entries, bodies).select("entry_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
@@ -295,9 +302,9 @@ def detect(v: Views):
     return gate.detect(v.edges, episodes, graph.invalidated_in(v.edges, windows))
 
 
-@query(duck("edges") + " SELECT edge_id AS target, 'verdict' AS action, 'provisional' AS after FROM edges WHERE verdict = 'provisional' AND episode % 2 = 0")
+@query(duck("edges") + " SELECT edge_id AS target, 'verdict' AS action, 'provisional' AS after FROM edges WHERE verdict = 'provisional' AND NOT contested")
 def birth_verdicts(v: Views):
-    journal = v.edges.where("episode % 2 = 1").select(F.col("edge_id").alias("target"), F.lit("verdict").alias("action"))
+    journal = v.edges.where("contested").select(F.col("edge_id").alias("target"), F.lit("verdict").alias("action"))
     return gate.birth_verdicts(v.edges, journal)
 
 
@@ -326,11 +333,41 @@ def _commits(v: Views):
         F.when(k % 2 == 0, "C3").otherwise("C1").alias("class"), F.lit("a fact").alias("fact"))
 
 
-@query(_COMMITS + """SELECT doc_id, CASE WHEN screen = 'FLAG' AND (failed OR (ruling = 'UPHOLD' AND remedy = 'amend' AND class = 'C3')) THEN 'quarantined' ELSE 'confirmed' END AS after,
- CASE WHEN screen = 'FLAG' AND failed THEN 'gate-flag,verdict' WHEN screen = 'FLAG' THEN 'gate-flag,gate-resolve,verdict' ELSE 'verdict' END AS actions,
- screen = 'FLAG' AND NOT failed AND ruling = 'UPHOLD' AND remedy <> 'amend' AS upheld_unapplied FROM c""")
+# Commits from the labels, their created edges from the episodes of the same number.
+_GATE = duck("edges") + """, c0 AS (SELECT doc_id AS commit_id, CASE WHEN doc_id % 13 = 0 THEN NULL WHEN quality = 1 THEN 'PASS' ELSE 'FLAG' END AS screen,
+  CASE toxic WHEN 1 THEN 'UPHOLD' ELSE 'OVERRULE' END AS ruling, doc_id % 7 = 0 AS failed, CASE doc_id % 3 WHEN 0 THEN 'amend' WHEN 1 THEN 'revert' ELSE 'annotate' END AS remedy FROM labels),
+f AS (SELECT episode, min(edge_id) AS first FROM edges GROUP BY 1),
+c AS (SELECT commit_id, CASE WHEN screen = 'PASS' THEN 'pass' WHEN failed THEN 'held' ELSE 'ruled' END AS way, ruling, remedy,
+  CASE WHEN commit_id % 2 = 0 THEN first ELSE 'elsewhere' END AS target FROM c0 LEFT JOIN f ON episode = commit_id),
+x AS (SELECT commit_id, way, edge_id, verdict, fact, way = 'ruled' AND target = edge_id AND remedy = 'amend' AS touched, class IN ('C3', 'C4') AS persona
+  FROM c JOIN edges ON episode = commit_id),
+y AS (SELECT *, CASE WHEN way = 'held' OR (touched AND persona) OR verdict = 'quarantined' THEN 'quarantined' ELSE 'confirmed' END AS after FROM x)
+"""
+
+
+def _gate(v: Views):
+    k = F.col("doc_id")
+    first = v.edges.groupBy("episode").agg(F.min("edge_id").alias("first"))
+    commits = v.table("labels").join(first, k == F.col("episode"), "left").select(
+        k.alias("commit_id"), F.when(k % 13 == 0, None).when(F.col("quality") == 1, "PASS").otherwise("FLAG").alias("screen"),
+        F.when(F.col("toxic") == 1, "UPHOLD").otherwise("OVERRULE").alias("ruling"), (k % 7 == 0).alias("verifier_failed"),
+        F.when(k % 3 == 0, "amend").when(k % 3 == 1, "revert").otherwise("annotate").alias("remedy"),
+        F.when(k % 2 == 0, F.col("first")).otherwise("elsewhere").alias("remedy_target"), F.lit("put right").alias("content"))
+    return commits, v.edges.select(F.col("episode").alias("commit_id"), "edge_id", "verdict", "class", "fact")
+
+
+@query(_GATE + "SELECT commit_id, edge_id, after, CASE WHEN touched AND NOT persona THEN 'put right' ELSE fact END AS fact_after FROM y")
 def gate_outcomes(v: Views):
-    return gate.gate_outcomes(_commits(v)).select("doc_id", "after", "actions", "upheld_unapplied")
+    return gate.run_gate(*_gate(v)).select("commit_id", "edge_id", "after", "fact_after")
+
+
+@query(_GATE + """SELECT commit_id, 'gate-flag' AS action, NULL AS target, NULL AS before, NULL AS after FROM c WHERE way <> 'pass'
+UNION ALL SELECT commit_id, 'gate-resolve', NULL, NULL, CASE way WHEN 'pass' THEN 'pass' WHEN 'held' THEN 'quarantined' ELSE CASE WHEN target IS NOT NULL AND target <> 'elsewhere' THEN 'remedy-applied' ELSE lower(ruling) END END FROM c
+UNION ALL SELECT commit_id, 'gate-resolve', edge_id, fact, 'amended' FROM y WHERE touched AND NOT persona
+UNION ALL SELECT commit_id, 'verdict', edge_id, verdict, after FROM y WHERE verdict <> after OR (touched AND persona)""")
+def gate_journal(v: Views):
+    commits, created = _gate(v)
+    return gate.gate_journal(commits, gate.run_gate(commits, created))
 
 
 @query(duck("edges") + ", r AS (SELECT edge_id FROM edges WHERE invalid_at IS NOT NULL AND contested) SELECT edge_id, 'revert' AS action FROM r UNION ALL SELECT edge_id, 'contest' FROM r")
@@ -358,9 +395,24 @@ def audit_control_chart(v: Views):
     return gate.control_chart(_commits(v).where("screen = 'PASS'").select((F.col("ruling") == "UPHOLD").alias("false_pass")))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN CASE event_id % 4 WHEN 0 THEN 'FLAG' WHEN 1 THEN 'OVERRULE' WHEN 2 THEN 'REVERT' ELSE 'BOUNDARY' END ELSE 'V' || CAST(event_id % 5 AS VARCHAR) END AS verdict FROM events")
+_WORKERS = (("screen", "verdict", "PASS", "FLAG"), ("verifier", "ruling", "UPHOLD", "OVERRULE"), ("judge", "recommendation", "EARNED", "REVERT"), ("merge", "verdict", "SAME", "BOUNDARY"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 8 < 3 THEN good WHEN event_id % 8 = 3 AND w = 3 THEN 'banana' ELSE usual END AS verdict FROM (SELECT event_id, (event_id // 8) % 4 AS w FROM events) JOIN (VALUES "
+       + ", ".join(f"({n}, '{good}', '{usual}')" for n, (_, _, good, usual) in enumerate(_WORKERS)) + ") d(n, good, usual) ON n = w")
 def worker_defaults(v: Views):
+    """Replies in eight shapes: plain, fenced, inside prose, another word, another field, empty, no object, broken."""
     k = F.col("event_id")
-    worker = F.when(k % 4 == 0, "screen").when(k % 4 == 1, "verifier").when(k % 4 == 2, "judge").otherwise("merge")
-    reply = F.when(k % 5 != 0, F.concat(F.lit('{"verdict":"V'), (k % 5).cast("string"), F.lit('"}'))).otherwise("no json here {")
+    worker, body, other, field = (F.lit(None).cast("string"),) * 4
+    for n, (name, key, good, _) in enumerate(_WORKERS):
+        mine = F.floor(k / 8) % 4 == n
+        worker, field = F.when(mine, name).otherwise(worker), F.when(mine, key).otherwise(field)
+        body, other = F.when(mine, f'{{"{key}": "{good}"}}').otherwise(body), F.when(mine, f'{{"answer": "{good}"}}').otherwise(other)
+    shapes = [
+        body, F.concat(F.lit("```json\n"), body, F.lit("\n```")), F.concat(F.lit("So {this} it is: "), body, F.lit(" and [1].")),
+        F.concat(F.lit('{"'), field, F.lit('": "banana"}')), other, F.lit(""), F.lit('["PASS"]'), F.concat(F.lit('{"'), field, F.lit('": ')),
+    ]
+    reply = F.lit(None).cast("string")
+    for n, shape in enumerate(shapes):
+        reply = F.when(k % 8 == n, shape).otherwise(reply)
     return v.table("events").select("event_id", gate.worker_verdict(worker, reply).alias("verdict"))

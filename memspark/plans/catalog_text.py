@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..functions.replies import safe_json as longest_json
 from ..operators import gate, transcript
 from ..sources.files import parse_lines
-from ..values import SENSITIVE_PATHS
+from ..values import ATTRIBUTION_VERBS, ENTROPY_TOKEN, NOT_NAMES, SENSITIVE_PATHS
 from .registry import query
 
 # Documents with made-up secrets and paths put in front, the same in both engines.
@@ -32,10 +32,10 @@ def _seeded(v: Views):
     prefix = F.lit(None).cast("string")
     for i, c in enumerate(cases):
         prefix = F.when(k % _KINDS == i, c).otherwise(prefix)
-    return v.docs.select("doc_id", F.concat(prefix, F.lit("\n"), F.col("text")).alias("text"), prefix.alias("prefix"))
+    return v.docs.select("doc_id", F.concat(prefix, F.lit("\n"), F.col("text")).alias("text"))
 
 
-_SEEDED = f"WITH d AS (SELECT doc_id, {_PREFIX_SQL} AS prefix, {_PREFIX_SQL} || chr(10) || text AS text FROM documents)"
+_SEEDED = f"WITH d AS (SELECT doc_id, {_PREFIX_SQL} || chr(10) || text AS text FROM documents)"
 # RE2 has no lookbehind; the boundary is captured instead.
 _MASK = r"regexp_replace(text, '(^|[^\p{L}\p{N}_])/(?:Users|home)/[^/\s]+', '\1~', 'g')"
 
@@ -66,28 +66,33 @@ def scrub_patterns(v: Views):
     return _seeded(v).select("doc_id", F.md5(tx.scrub_patterns(F.col("text"))).alias("text_md5"))
 
 
-_ENTROPY = """, tok AS (SELECT doc_id, unnest(regexp_extract_all(prefix, '[A-Za-z0-9+/=_-]{20,}')) AS token FROM d),
-ch AS (SELECT doc_id, token, unnest(string_split(token, '')) AS c FROM tok), cn AS (SELECT doc_id, token, c, count(*) AS n FROM ch GROUP BY 1, 2, 3),
-en AS (SELECT doc_id, token, round(-sum(n / length(token) * log2(n / length(token))), 6) AS entropy FROM cn GROUP BY 1, 2)
-"""
+_TOKEN = ENTROPY_TOKEN
+_ENTROPY_OF = "-list_sum(list_transform(list_distinct(string_split(t, '')), lambda c: (length(t) - length(replace(t, c, ''))) / length(t) * log2((length(t) - length(replace(t, c, ''))) / length(t))))"
 
 
-@query(_SEEDED + _ENTROPY + "SELECT doc_id, token, entropy FROM en")
+def _entropy_sql(x: str) -> str:
+    """Column text of the rows in x with its random-looking tokens replaced."""
+    token = rf"<redacted:secret kind=[a-z_]+(?: hash=[0-9a-f]+)?>|{_TOKEN}"
+    keep = rf"starts_with(t, '<redacted:secret') OR regexp_full_match(t, '[0-9a-f]{{7,40}}|[0-9a-f]{{64}}|EP-\d{{4}}-\d{{2}}-\d{{2}}\.\d{{4,}}') OR {_ENTROPY_OF} < 4.0"
+    judged = f"list_transform(regexp_extract_all(text, '{token}'), lambda t: CASE WHEN {keep} THEN t ELSE '<redacted:secret kind=high_entropy>' END)"
+    return (f"(SELECT doc_id, array_to_string(list_transform(list_zip(pieces, judged), lambda z: z[1] || coalesce(z[2], '')), '') AS text"
+            f" FROM (SELECT doc_id, string_split_regex(text, '{token}') AS pieces, {judged} AS judged FROM {x}))")
+
+
+@query(_SEEDED + f" SELECT doc_id, t AS token, round({_ENTROPY_OF}, 6) AS entropy FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{_TOKEN}'))) AS t FROM d)")
 def token_entropy(v: Views):
-    tokens = _seeded(v).select("doc_id", F.explode(F.regexp_extract_all("prefix", F.lit("[A-Za-z0-9+/=_-]{20,}"), F.lit(0))).alias("token"))
+    tokens = _seeded(v).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0)))).alias("token"))
     return tokens.select("doc_id", "token", F.round(tx.shannon_entropy(F.col("token")), 6).alias("entropy"))
 
 
-@query(_SEEDED + _ENTROPY + r""", hi AS (SELECT doc_id, token FROM en WHERE entropy >= 4.0 AND NOT regexp_full_match(token, '[0-9a-f]{7,40}|[0-9a-f]{64}|EP-\d{4}-\d{2}-\d{2}\.\d{4,}'))
-SELECT doc_id, coalesce(replace(prefix, token, '<redacted:secret kind=high_entropy>'), prefix) AS text FROM d LEFT JOIN hi USING (doc_id)""")
+@query(_SEEDED + f" SELECT doc_id, md5(text) AS text_md5 FROM {_entropy_sql('d')}")
 def scrub_entropy(v: Views):
-    return _seeded(v).select("doc_id", tx.scrub_entropy(F.col("prefix")).alias("text"))
+    return _seeded(v).select("doc_id", F.md5(tx.scrub_entropy(F.col("text"))).alias("text_md5"))
 
 
-@query(_SEEDED + r""", s AS (SELECT doc_id, """ + _patterns_sql(_MASK.replace("text", "prefix")) + r""" AS s FROM d)
-SELECT doc_id, CASE WHEN doc_id % 8 = 4 THEN 'tok <redacted:secret kind=high_entropy> end' ELSE s END AS text FROM s""")
+@query(_SEEDED + f", m AS (SELECT doc_id, {_patterns_sql(_MASK)} AS text FROM d) SELECT doc_id, md5(text) AS text_md5 FROM {_entropy_sql('m')}")
 def scrub_documents(v: Views):
-    return _seeded(v).select("doc_id", tx.scrub(F.col("prefix")).alias("text"))
+    return _seeded(v).select("doc_id", F.md5(tx.scrub(F.col("text"))).alias("text_md5"))
 
 
 _TEST_KEY = b"test key"
@@ -110,27 +115,32 @@ def redact_in_place(v: Views):
     return v.docs.where(F.length("text") >= 4).select("doc_id", F.md5(tx.redact(F.col("text"), F.substring("text", 1, 4), F.lit("[gone]"))).alias("text_md5"))
 
 
-_CLAIM = "'On 2024-05-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') || ' Anna said ' || CAST(doc_id % 7 AS VARCHAR) || ',000 items and He told 3.5; Bob wrote.'"
+_DATE = r"\b\d{4}-\d{2}-\d{2}\b"
+_NUMBER = r"\b\d[\d,]*(?:\.\d+)?\b"
 
 
-def _claims(v: Views):
-    k = F.col("doc_id")
-    fact = F.concat(F.lit("On 2024-05-"), F.lpad((k % 28 + 1).cast("string"), 2, "0"), F.lit(" Anna said "), (k % 7).cast("string"), F.lit(",000 items and He told 3.5; Bob wrote."))
-    return v.docs.select("doc_id", fact.alias("fact"))
+def _tokens_sql(x: str) -> str:
+    return (f"list_distinct(list_concat(regexp_extract_all({x}, '{_DATE}'),"
+            f" list_transform(regexp_extract_all(regexp_replace({x}, '{_DATE}', ' ', 'g'), '{_NUMBER}'), lambda t: replace(t, ',', ''))))")
 
 
-@query(f"SELECT doc_id, '2024-05-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') || '|3.5|' || CAST(doc_id % 7 AS VARCHAR) || '000' AS tokens FROM documents"
-       " WHERE doc_id % 7 > 3")
+@query(f"SELECT doc_id, array_to_string(list_sort({_tokens_sql('text')}), '|') AS tokens FROM documents")
 def number_date_tokens(v: Views):
-    out = _claims(v).where("doc_id % 7 > 3").select("doc_id", F.array_sort(tx.number_date_tokens(F.col("fact"))).alias("t"))
-    return out.select("doc_id", F.array_join("t", "|").alias("tokens"))
+    return v.docs.select("doc_id", F.array_join(F.array_sort(tx.number_date_tokens(F.col("text"))), "|").alias("tokens"))
+
+
+# Every document is a claim that is held against the document before it; Anna is the only speaker.
+_SAYS = rf"\b([A-Z][a-zA-Z]+)\s+(?:{'|'.join(ATTRIBUTION_VERBS)})\b"
+_CLAIMS = "WITH c AS (SELECT a.doc_id AS edge_id, a.text || ' Anna said so, Bob wrote on 2024-05-0' || CAST(a.doc_id % 9 + 1 AS VARCHAR) AS fact, coalesce(b.text, '') || ' 2024-05-02' AS corpus FROM documents a LEFT JOIN documents b ON b.doc_id = a.doc_id - 1)"
 
 
-@query("SELECT doc_id AS edge_id, 'number_date_absent' AS kind, CAST(doc_id % 7 AS VARCHAR) || '000' AS token FROM documents WHERE doc_id % 7 <> 2"
-       " UNION ALL SELECT doc_id, 'number_date_absent', '2024-05-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') FROM documents WHERE doc_id % 28 <> 0"
-       " UNION ALL SELECT doc_id, 'non_participant', 'Bob' FROM documents")
+@query(_CLAIMS + f" SELECT edge_id, 'number_date_absent' AS kind, unnest(list_filter(f, lambda t: NOT list_contains(k, t))) AS token FROM (SELECT edge_id, {_tokens_sql('fact')} AS f, {_tokens_sql('corpus')} AS k FROM c)"
+       f" UNION ALL SELECT edge_id, 'non_participant', unnest(list_filter(list_distinct(regexp_extract_all(fact, '{_SAYS}', 1)), lambda n: n NOT IN ('Anna', {', '.join(repr(n) for n in NOT_NAMES)}))) FROM c")
 def tier0_flags(v: Views):
-    facts = _claims(v).select(F.col("doc_id").alias("edge_id"), "fact", F.lit("from 2024-05-01 on, 3.5 of 2000").alias("corpus"), F.array(F.lit("Anna")).alias("speakers"))
+    before = v.docs.select((F.col("doc_id") + 1).alias("doc_id"), F.concat("text", F.lit(" 2024-05-02")).alias("corpus"))
+    said = F.concat("text", F.lit(" Anna said so, Bob wrote on 2024-05-0"), (F.col("doc_id") % 9 + 1).cast("string"))
+    facts = v.docs.select("doc_id", said.alias("fact")).join(before, "doc_id", "left").select(
+        F.col("doc_id").alias("edge_id"), "fact", F.coalesce("corpus", F.lit(" 2024-05-02")).alias("corpus"), F.array(F.lit("Anna")).alias("speakers"))
     return gate.tier0_flags(facts)
 
 

@@ -22,13 +22,12 @@ def extract_queue(entries: DataFrame, wal_lines: DataFrame, episodes: DataFrame,
     return extract(wal.prepared(batch, wal_lines, episodes).select(F.col("entry_id").alias("episode"), "content"), extractor)
 
 
-def supervise(created: DataFrame, journal: DataFrame, rulings: DataFrame) -> dict[str, DataFrame]:
-    """Birth verdicts, gate outcomes and state changes of a commit's edges; rulings by edge_id."""
-    outcome = gate.gate_outcomes(created.join(rulings, "edge_id"))
+def supervise(commits: DataFrame, created: DataFrame, journal: DataFrame) -> dict[str, DataFrame]:
+    """Births, outcomes, journal rows and state changes of commits (see gate.run_gate)."""
+    outcomes = gate.run_gate(commits, created)
     return {
-        "births": gate.birth_verdicts(created, journal),
-        "outcomes": outcome,
-        "transitions": outcome.select("edge_id", F.col("verdict").alias("before"), "after").where("before <> after"),
+        "births": gate.birth_verdicts(created, journal), "outcomes": outcomes, "journal": gate.gate_journal(commits, outcomes),
+        "transitions": outcomes.select("edge_id", F.col("verdict").alias("before"), "after").where("before <> after"),
     }
 
 

@@ -71,7 +71,7 @@ TRIVIAL_WORDS = 20
 SECTIONS = ("TOP OF MIND", "OPEN THREADS", "COMMITMENTS", "RECENT SESSIONS", "OPEN QUESTIONS", "ANCHORS")
 DROP_ORDER = ("TOP OF MIND", "RECENT SESSIONS", "OPEN THREADS")
 
-# fixed values: secrets, most specific first; the number is the group that holds the secret
+# fixed values: secrets, in the order in which they are looked for; the number is the group that holds the secret
 SECRET_PATTERNS = (
     ("aws_access_key_id", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", 0),
     ("github_token", r"\bgh[pousr]_[A-Za-z0-9]{36,}\b", 0),
@@ -100,6 +100,14 @@ SENSITIVE_PATHS = (
     "credentials.json", "service-account", ".pem", ".key",
 )
 
+# fixed values: the field of a worker's reply that holds its verdict, its words (any if empty), and the default
+WORKER_REPLIES = {
+    "screen": ("verdict", ("PASS", "FLAG"), "FLAG"),
+    "verifier": ("ruling", ("UPHOLD", "OVERRULE"), "OVERRULE"),
+    "judge": ("recommendation", ("EARNED", "REVERT"), "REVERT"),
+    "merge": ("verdict", (), "BOUNDARY"),
+}
+
 # fixed values: claims
 ATTRIBUTION_VERBS = ("said", "told", "asked", "replied", "wrote", "noted", "claimed", "stated", "argued")
 NOT_NAMES = (
