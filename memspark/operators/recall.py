@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from ..functions.similarity import cosine, words
+from ..functions.similarity import words
 from ..functions.text import contains_word, is_trivial
 from ..values import ALLOWED_TYPES, CHANNELS, RECALL_SCORES, TIER_DEPTHS, TOP_N
 
@@ -14,6 +19,8 @@ BM25_K1 = 1.2
 BM25_B = 0.75
 #: Rows of a table of queries or anchors that may be broadcast.
 BROADCAST_ROWS = 10_000
+#: Queries whose vectors are held at once.
+QUERY_BLOCK = 2_000
 
 
 def allowed() -> Column:
@@ -52,15 +59,82 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def top(scored: DataFrame, n: int, *ties: str) -> DataFrame:
+    """The n best rows of each query_id by score, ties in the order of the given columns, with their rank.
+
+    The filter is on the plain row number, so that Spark cuts each partition to n rows of a query
+    before it shuffles.
+    """
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), *ties)
+    cut = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+    return cut.withColumn("rank", F.col("rank").cast("long"))
+
+
 def semantic_topk(queries: DataFrame, items: DataFrame, n: int = TOP_N) -> DataFrame:
     """(query_id, item_id, score, rank): the n items likest to each query by cosine, ids break ties.
 
-    Every query must meet every item; queries are many times fewer and come in blocks.
+    Every query must meet every item. Queries come in blocks of QUERY_BLOCK; a pass over the items
+    multiplies each Arrow batch with a block's matrix and keeps n rows of a query, so what leaves a
+    batch does not grow with it.
     """
-    pairs = items.crossJoin(_small(queries))
-    scored = pairs.select("query_id", "item_id", F.round(cosine(F.col("query_vector"), F.col("vector")), 6).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
-    return scored.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= n)
+    kind = queries.schema["query_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+    schema = f"query_id {kind[0]}, item_id {kind[1]}, score double"
+    narrow = items.select("item_id", F.col("vector").cast("array<double>").alias("vector"))
+    id_type = to_arrow_type(queries.schema["query_id"].dataType)
+    passes = [narrow.mapInArrow(_likest(block, id_type, n), schema) for block in _blocks(queries.select("query_id", F.col("query_vector").cast("array<double>")))]
+    return top(reduce(DataFrame.union, passes), n, "item_id")
+
+
+def _blocks(queries: DataFrame) -> Iterator[list]:
+    """The queries, QUERY_BLOCK at a time; one empty block if there are none."""
+    block: list = []
+    found = False
+    for row in queries.toLocalIterator():
+        block.append(tuple(row))
+        if len(block) == QUERY_BLOCK:
+            yield block
+            block, found = [], True
+    if block or not found:
+        yield block
+
+
+def _likest(block: list, id_type, n: int):
+    """An Arrow function: the n likest items of each batch for each query of the block."""
+    def unit(rows: np.ndarray) -> np.ndarray:
+        norm = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+        return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
+
+    ids = [q for q, _ in block]
+    width = max((len(v or ()) for _, v in block), default=0)
+    matrix = unit(np.array([v if v and None not in v and len(v) == width else [0.0] * width for _, v in block], dtype=np.float64).reshape(len(ids), width)).T
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if not ids or not len(b):
+                continue
+            rows = [v if v and len(v) == width and None not in v else [0.0] * width for v in b.column(1).to_pylist()]
+            score = np.round(np.clip(unit(np.array(rows, dtype=np.float64).reshape(len(rows), width)) @ matrix, 0, 1), 6)
+            items = b.column(0).to_pylist()
+            place = np.empty(len(items), np.int64)  # ties go by id
+            place[sorted(range(len(items)), key=lambda i: (items[i] is not None, items[i]))] = np.arange(len(items))
+            q, at = [], []
+            for j in range(len(ids)):
+                best = np.lexsort((place, -score[:, j]))[:n] if len(items) <= 4 * n else _first(score[:, j], place, n)
+                q += [j] * len(best)
+                at += best.tolist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([ids[j] for j in q], id_type), b.column(0).take(pa.array(at, pa.int64())), pa.array(score[at, q], pa.float64())], names=["query_id", "item_id", "score"])
+
+    return run
+
+
+def _first(score: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n best; all that tie with the last are compared."""
+    least = np.partition(score, len(score) - n)[len(score) - n]
+    near = np.flatnonzero(score >= least)
+    return near[np.lexsort((place[near], -score[near]))[:n]]
 
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, n: int = TOP_N) -> DataFrame:
@@ -69,20 +143,18 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, n: int = TOP_N) -> DataFrame:
     Only postings of query words are kept: documents' words are cut down by a semi-join before
     they are counted by document.
     """
-    tokens = docs.select("item_id", words(F.col("text")).alias("w"))
-    sizes = tokens.select("item_id", F.size("w").alias("len"))
-    stats = sizes.agg(F.avg("len").alias("avg_len"), F.count(F.lit(1)).alias("n_docs"))
     terms = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
     asked = _small(terms.select("term").distinct())
+    tokens = docs.select("item_id", words(F.col("text")).alias("w"))
+    stats = tokens.agg(F.avg(F.size("w")).alias("avg_len"), F.count(F.lit(1)).alias("n_docs"))
     tf = tokens.select("item_id", F.size("w").alias("len"), F.explode("w").alias("term")).join(asked, "term", "left_semi")
     tf = tf.groupBy("item_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = tf.join(df, "term").join(terms, "term").crossJoin(F.broadcast(stats))
+    scored = tf.join(df, "term").join(_small(terms), "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / F.col("avg_len"))
     scored = scored.groupBy("query_id", "item_id").agg(F.round(F.sum(idf * F.col("tf") * (BM25_K1 + 1) / norm), 6).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
-    return scored.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= n)
+    return top(scored, n, "item_id")
 
 
 def verdicts(hits: DataFrame) -> DataFrame:
@@ -115,9 +187,7 @@ def search(semantic: DataFrame, keyword: DataFrame, edges: DataFrame, queries: D
         F.max("score").alias("score"), F.min("pos").alias("pos"), F.first("contested").alias("contested"), F.first("verdict").alias("verdict"),
         F.count_if(F.col("channel") == "semantic").alias("s"), F.count_if(F.col("channel") == "keyword").alias("k"),
     )
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "pos", "edge_id")
-    hits = union.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= n)
-    hits = hits.select("query_id", "edge_id", "score", "rank", serving_label().alias("label"))
+    hits = top(union, n, "pos", "edge_id").select("query_id", "edge_id", "score", "rank", serving_label().alias("label"))
     # every edge that passed the gate still holds, so it confirms itself in the graph
     seen = union.groupBy("query_id").agg((F.sum("s") > 0).alias("semantic"), (F.sum("k") > 0).alias("keyword"), F.lit(True).alias("graph"))
     answers = queries.select("query_id").join(seen, "query_id", "left")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..adapters import Views, duck
 from ..operators import gate, graph, links, recall
@@ -209,11 +208,11 @@ def recall_verdict(v: Views):
     return recall.verdicts(hits)
 
 
-# Two channels over all edges: by likeness of prices to a query's balance, and by words of the fact.
-_CHANNELS = duck("edges") + """, q0 AS (SELECT s_suppkey AS query_id, 'the ' || CAST(s_suppkey AS VARCHAR) AS text, s_acctbal AS price FROM supplier WHERE s_suppkey % 20 = 0),
+# Two channels over all edges: by the angle of prices to a query's balance, and by words of the fact.
+_CHANNELS = duck("edges") + """, q0 AS (SELECT s_suppkey AS query_id, 'the ' || CAST(s_suppkey AS VARCHAR) AS text, s_acctbal / 1000 AS price FROM supplier WHERE s_suppkey % 20 = 0),
 d AS (SELECT edge_id AS item_id, fact AS text FROM edges), q AS (SELECT query_id, text FROM q0)""" + _BM25.replace(
-    "b AS (", "kw AS (") + f""", sm AS (SELECT query_id, edge_id AS item_id, round(1.0 / (1.0 + abs(weight / 10 - price)), 6) AS score,
-  row_number() OVER (PARTITION BY query_id ORDER BY round(1.0 / (1.0 + abs(weight / 10 - price)), 6) DESC, edge_id) AS rank FROM edges, q0),
+    "b AS (", "kw AS (") + f""", sm AS (SELECT query_id, edge_id AS item_id, round(greatest(0.0, least(1.0, (weight / 10000 * price + 1.0) / (sqrt(weight / 10000 * (weight / 10000) + 1.0) * sqrt(price * price + 1.0)))), 6) AS score,
+  row_number() OVER (PARTITION BY query_id ORDER BY round(greatest(0.0, least(1.0, (weight / 10000 * price + 1.0) / (sqrt(weight / 10000 * (weight / 10000) + 1.0) * sqrt(price * price + 1.0)))), 6) DESC, edge_id) AS rank FROM edges, q0),
 g AS (SELECT * FROM edges WHERE {_SERVED}),
 u0 AS (SELECT query_id, item_id, score, rank AS pos, 's' AS ch FROM sm WHERE rank <= 5 UNION ALL SELECT query_id, item_id, score, rank + 5, 'k' FROM kw WHERE rank <= 5),
 u AS (SELECT query_id, edge_id, max(score) AS score, min(pos) AS pos, any_value({_LABEL}) AS label, count(*) FILTER (ch = 's') AS s, count(*) FILTER (ch = 'k') AS k
@@ -226,11 +225,11 @@ a AS (SELECT query_id, CAST(CASE coalesce(n, 0) WHEN 3 THEN 100 WHEN 2 THEN 70 W
 
 def _search(v: Views):
     asked = v.table("supplier").where("s_suppkey % 20 = 0")
-    queries = asked.select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("the "), F.col("s_suppkey").cast("string")).alias("text"), F.col("s_acctbal").alias("price"))
-    score = F.round(1.0 / (1.0 + F.abs(F.col("weight") / 10 - F.col("price"))), 6)
-    near = v.edges.crossJoin(F.broadcast(queries)).select("query_id", "edge_id", score.alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "edge_id")
-    semantic = near.withColumn("rank", F.row_number().over(best).cast("long")).where("rank <= 5")
+    queries = asked.select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("the "), F.col("s_suppkey").cast("string")).alias("text"), (F.col("s_acctbal") / 1000).alias("price"))
+    one = F.lit(1.0)
+    semantic = recall.semantic_topk(
+        queries.select("query_id", F.array("price", one).alias("query_vector")),
+        v.edges.select(F.col("edge_id").alias("item_id"), F.array(F.col("weight") / 10000, one).alias("vector"))).withColumnRenamed("item_id", "edge_id")
     keyword = recall.bm25_topk(queries.select("query_id", "text"), v.edges.select(F.col("edge_id").alias("item_id"), F.col("fact").alias("text")))
     return recall.search(semantic, keyword.withColumnRenamed("item_id", "edge_id"), v.edges, queries)
 
