@@ -137,6 +137,19 @@ def components(edges: DataFrame) -> DataFrame:
     return leaves.union(roots.select("node", F.col("node").alias("label")))
 
 
+def least_of_component(classes: DataFrame, comp: DataFrame, salts: int = 16) -> DataFrame:
+    """(fp, least): for each class (fp, least) the smallest `least` of its component (node, label).
+
+    A component may hold very many classes: it is reduced before the shuffle, and its classes meet
+    the result in `salts` places. Classes that comp lacks stand alone.
+    """
+    inside = classes.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "least", "label")
+    linked = inside.where("label is not null").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(salts)).cast("int"))
+    best = linked.groupBy("label").agg(F.min("least").alias("least"))
+    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return inside.where("label is null").select("fp", "least").union(linked.drop("least").join(best, ["label", "salt"]).select("fp", "least"))
+
+
 def one_text(rows: DataFrame, *others: str) -> DataFrame:
     """(doc_id, text, others) with one row for each doc_id: the text of the least hash, the least of the others.
 
@@ -162,6 +175,6 @@ def text_bytes(column) -> list:
 
 
 __all__ = [
-    "arrow_rows", "checkpoint_dir", "components", "drop_scratch", "free_name",
+    "arrow_rows", "checkpoint_dir", "components", "drop_scratch", "free_name", "least_of_component",
     "materialize", "one_text", "prepare", "ranked", "table", "text_bytes",
 ]

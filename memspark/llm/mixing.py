@@ -3,18 +3,24 @@
 Each source's rows, in a hashed order, form blocks. With share u, block j of a source is released
 at slot floor(j / u) and due at ceil((j + 1) / u); each slot takes the released block with the
 earliest deadline, so after every slot each source is within one block of its share. Shares are
-multiples of 1/Q, so a schedule repeats after Q slots and one period, of fixed size, tells the
-slot of any block. When a source runs out, a new phase starts in which the other sources' shares
-are their weights' parts; every row is placed exactly once.
-
-Cases: null is a source of its own; sources without a weight share what the smallest weight has;
-weights of absent sources are ignored; ties of the hashed order are broken by the id, equal rows
-are interchangeable; an empty table gives an empty result; further columns are kept.
+multiples of 1/Q, at least 1/Q, so a schedule repeats after Q slots and one period, of fixed size,
+tells the slot of any block. Every row is placed exactly once.
+
+When one of the PHASES - 1 sources of the largest weight runs out, a new phase starts in which the
+other sources' shares are their weights' parts. When a smaller one runs out, its slots stay empty
+until the phase ends: the others keep their proportions, and stay within one block of their shares
+of all slots, the empty ones counted.
+
+Cases: null is a source of its own; sources without a weight share what the smallest weight has,
+a weight of zero counts as a millionth of that; weights of absent sources are ignored; ties of the
+hashed order are broken by the id, equal rows are interchangeable; an empty table gives an empty
+result; further columns are kept.
 """
 
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 from collections.abc import Mapping
 from fractions import Fraction
 
@@ -28,6 +34,8 @@ BLOCK_ROWS = 16
 ALPHA = 0.5
 #: Pieces in which a source's rows are ranked.
 CELLS = 512
+#: Schedules that are computed, at most; each has max(Q, 4 x sources) slots.
+PHASES = 16
 #: Rows of a schedule that may be broadcast; a larger one is joined by shuffling.
 BROADCAST_ROWS = 1 << 20
 
@@ -66,28 +74,29 @@ def schedule(parts: Mapping[str, int]) -> list[tuple[str, int]]:
 
 
 def phases(blocks: Mapping[str, int], weights: Mapping[str, float], q: int = Q) -> tuple[list[tuple], list[tuple]]:
-    """(source, phase, first block, end block, base slot, parts, period) and (source, phase, block of the period, slot)."""
+    """(source, phase, first block, end block, base slot, parts, period) and (source, phase, slots of its blocks in a period)."""
     left = {s: n for s, n in blocks.items() if n}
     done = dict.fromkeys(left, 0)
+    large = set(sorted(left, key=lambda s: (-weights[s], s))[:PHASES - 1])
     spans, pattern, base, phase = [], [], 0, 0
     while left:
         parts = {next(iter(left)): 1} if len(left) == 1 else shares({s: weights[s] for s in left}, q)
         period = sum(parts.values())
-        order = schedule(parts)
-        at: dict[str, list[int]] = {s: [0] * k for s, k in parts.items()}
-        for slot, (s, j) in enumerate(order):
-            at[s][j] = slot
+        at: dict[str, list[int]] = {s: [] for s in parts}
+        for slot, (s, _) in enumerate(schedule(parts)):
+            at[s].append(slot)
         last = {s: (n - 1) // parts[s] * period + at[s][(n - 1) % parts[s]] for s, n in left.items()}
-        length = min(last.values()) + 1
+        ends = [last[s] for s in large if s in left]
+        length = 1 + (min(ends) if ends else max(last.values()))
         whole, rest = divmod(length, period)
         for s in list(left):
-            n = whole * parts[s] + sum(x < rest for x in at[s])
+            n = min(left[s], whole * parts[s] + bisect_left(at[s], rest))
             spans.append((s, phase, done[s], done[s] + n, base, parts[s], period))
+            pattern.append((s, phase, at[s]))
             done[s] += n
             left[s] -= n
             if not left[s]:
                 del left[s]
-        pattern += [(s, phase, j, slot) for slot, (s, j) in enumerate(order)]
         base, phase = base + length, phase + 1
     return spans, pattern
 
@@ -103,8 +112,7 @@ def mix(
     """
     spark = docs.sparkSession
     docs = docs.drop("mix_block", "mix_slot", "mix_pos")
-    src, cell, rank, phase, idx = (free_name(docs, x) for x in ("_src", "_cell", "_rank", "_phase", "_idx"))
-    first, end, base, parts, period = (free_name(docs, x) for x in ("_first", "_end", "_base", "_parts", "_period"))
+    src, cell, rank, phase, idx, spans_of = (free_name(docs, x) for x in ("_src", "_cell", "_rank", "_phase", "_idx", "_spans"))
     # the marker before a name keeps null apart from every string
     named = F.when(F.col(source_col).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(source_col).cast("string")))
     key = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"))
@@ -117,20 +125,35 @@ def mix(
         target = {s: max(float(weights.get(s[1:] if s[0] == "1" else None, least)), least * 1e-6) for s in counts}
     spans, pattern = phases({s: -(-n // block_rows) for s, n in counts.items()}, target, q)
 
-    def small(data: list[tuple], names: str) -> DataFrame:
-        out = spark.createDataFrame(data, names)
-        return F.broadcast(out) if len(data) <= BROADCAST_ROWS else out
-
-    span = small(spans, f"`{src}` string, `{phase}` int, `{first}` long, `{end}` long, `{base}` long, `{parts}` long, `{period}` long")
-    slots = small(pattern, f"`{src}` string, `{phase}` int, `{idx}` long, mix_slot long")
+    def small(columns: dict[str, list], types: list) -> DataFrame:
+        import pyarrow as pa
+
+        arrays = [pa.array(c, t) for c, t in zip(columns.values(), types, strict=True)]
+        out = spark.createDataFrame(pa.Table.from_arrays(arrays, names=list(columns)))
+        return F.broadcast(out) if len(arrays[0]) <= BROADCAST_ROWS else out
+
+    import pyarrow as pa
+
+    # a source's spans are one row; a block finds its own among them, PHASES at most
+    of: dict[str, list[tuple]] = {}
+    for s, *span in spans:
+        of.setdefault(s, []).append(tuple(span))
+    fields = ("phase", "first", "end", "base", "parts", "period")
+    kind = pa.list_(pa.struct([(f, pa.int64()) for f in fields]))
+    span = small({src: list(of), spans_of: [[dict(zip(fields, x, strict=True)) for x in of[s]] for s in of]}, [pa.string(), kind])
+    slots = small({
+        src: [s for s, _, at in pattern for _ in at], phase: [p for _, p, at in pattern for _ in at],
+        idx: [j for *_, at in pattern for j in range(len(at))], "mix_slot": [x for *_, at in pattern for x in at],
+    }, [pa.string(), pa.int64(), pa.int64(), pa.int64()])
     rows = ranked(rows, src, cell, [key, F.col(id_col)], rank)
-    rows = rows.withColumn("mix_block", F.floor(F.col(rank) / block_rows))
-    rows = rows.join(span, src).where((F.col("mix_block") >= F.col(first)) & (F.col("mix_block") < F.col(end)))
-    nth = F.col("mix_block") - F.col(first)
-    rows = rows.withColumn(idx, nth % F.col(parts)).join(slots, [src, phase, idx])
-    slot = F.col(base) + F.floor(nth / F.col(parts)) * F.col(period) + F.col("mix_slot")
+    rows = rows.withColumn("mix_block", F.floor(F.col(rank) / block_rows)).join(span, src)
+    mine = F.filter(spans_of, lambda x: (x["first"] <= F.col("mix_block")) & (F.col("mix_block") < x["end"]))[0]
+    rows = rows.withColumn(spans_of, mine)
+    nth = F.col("mix_block") - F.col(spans_of)["first"]
+    rows = rows.withColumn(phase, F.col(spans_of)["phase"]).withColumn(idx, nth % F.col(spans_of)["parts"]).join(slots, [src, phase, idx])
+    slot = F.col(spans_of)["base"] + F.floor(nth / F.col(spans_of)["parts"]) * F.col(spans_of)["period"] + F.col("mix_slot")
     rows = rows.withColumn("mix_slot", slot).withColumn("mix_pos", slot * block_rows + F.col(rank) % block_rows)
-    return rows.drop(src, cell, rank, phase, idx, first, end, base, parts, period)
+    return rows.drop(src, cell, rank, phase, idx, spans_of)
 
 
 def arrange(docs: DataFrame, **options) -> DataFrame:

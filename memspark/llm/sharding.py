@@ -91,7 +91,8 @@ def shard(
         "*",
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
         F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
-        F.xxhash64(F.col(id_col).cast("string")).alias(point),
+        # rows without an id are told apart by their texts, so that they do not meet in one place
+        F.when(F.col(id_col).isNull(), F.xxhash64(F.lit(""), text)).otherwise(F.xxhash64(F.col(id_col).cast("string"))).alias(point),
     )
     cell_bits = CELLS.bit_length() - 1
     cell = F.shiftrightunsigned(F.col(point), 64 - cell_bits)
@@ -156,6 +157,8 @@ def shard_in_order(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     rows = docs.select("*", F.col("_metadata.file_name").alias(name), F.col("_metadata.row_index").alias(nth))
     thin = rows.select(name, nth, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     placed = shard(thin, shards, **options).drop("text", "doc_id", "slot", "grown_shard")
-    placed = placed.withColumn(cell, F.struct(name, F.floor(F.col(nth) / 4096)))
+    # files are numbered; from 100,000 on their names no longer sort by number
+    number = F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long")
+    placed = placed.withColumn(cell, F.struct(number.alias("n"), F.col(name).alias("f"), F.floor(F.col(nth) / 4096).alias("c")))
     placed = ranked(placed, "shard", cell, [F.col(nth)], "slot").drop(cell)
     return rows.join(placed, [name, nth]).drop(name, nth)

@@ -25,8 +25,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, free_name, materialize, prepare, text_bytes
-from .nearcopies import near_copies
+from .common import components, free_name, least_of_component, materialize, prepare, text_bytes
+from .nearcopies import near_copies, text_hash
 
 BITS = 64
 RADIUS = 4
@@ -190,28 +190,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = materialize(fingerprints(docs, id_col, text_col), "simhash")
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     comp = materialize(components(links(classes, radius)), "components")
-    labelled = classes.join(comp, classes.fp == comp.node, "left").select(
-        "fp", "rep", F.coalesce("label", "fp").alias("label")
-    )
-    least = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_class = labelled.join(least, "label").select("fp", "component_id")
+    # null ids count as larger than all others
+    order = F.struct(F.col("rep").isNull().alias("no_id"), "rep")
+    of_class = least_of_component(classes.select("fp", order.alias("least")), comp).select("fp", F.col("least.rep").alias("component_id"))
     return fps.join(of_class, "fp").select("doc_id", "fp", "component_id")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the row of the smallest doc_id of each component of near copies (five-word shingles,
-    Jaccard similarity 0.8 or more: see nearcopies); columns as given.
+    """docs with one row of each component of near copies (five-word shingles, Jaccard similarity 0.8 or
+    more: see nearcopies): that of the smallest doc_id, and of the least hash where texts share it;
+    columns as given.
 
-    Rows with a null id are kept only if no row of their component has one, then all of them
-    (nothing tells them apart). Equal rows of one id count as copies: one stays.
+    Rows are told apart by id and text. Rows with a null id count as larger than all others. Equal
+    rows are copies: one stays.
     """
-    found = near_copies(docs, id_col, text_col)
-    mark = free_name(docs, "_component")
-    keep = found.where("doc_id = component_id").select(F.col("component_id").alias(mark)).distinct()
-    lone = found.where("component_id is null").limit(1).count()
-    with_id = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col).cast("long") == F.col(mark), "left_semi")
-    with_id = with_id.dropDuplicates([id_col])
-    return with_id.union(docs.where(F.col(id_col).isNull())) if lone else with_id
+    keep = near_copies(docs, id_col, text_col).select("keeper.*").distinct()
+    one, two, three = (free_name(docs, x) for x in ("_id", "_hash", "_of"))
+    rows = docs.withColumn(three, text_hash(F.col(text_col).cast("string")))
+    keep = keep.select(F.col("doc_id").alias(one), F.col("text_hash").alias(two))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(one)) & (F.col(three) == F.col(two))
+    return rows.join(keep, same, "left_semi").dropDuplicates([id_col, three]).drop(three)
 
 
 def hex_fingerprint(fp) -> "F.Column":

@@ -50,8 +50,9 @@ def test_simhash_empty_and_kept_columns(spark, odd, empty):
     assert simhash.dedup(empty).columns == empty.columns
     kept = simhash.dedup(odd)
     assert kept.columns == odd.columns
-    ids = [r.doc_id for r in kept.where("doc_id is not null").collect()]
-    assert len(ids) == len(set(ids)) and {0, 1, 2, 3} <= set(ids) and not {100, 101, 102, 103} & set(ids)
+    rows = [(r.doc_id, r.text) for r in kept.collect()]
+    ids = [i for i, _ in rows]
+    assert len(rows) == len(set(rows)) and {0, 1, 2, 3} <= set(ids) and not {100, 101, 102, 103} & set(ids)
 
 
 def five_words(text):
@@ -83,6 +84,14 @@ def test_dedup_joins_texts_at_jaccard_of_four_fifths(spark):
     assert {r.doc_id for r in simhash.dedup(docs).collect()} == want
 
 
+def test_dedup_tells_texts_of_one_id_apart(spark):
+    a, b = prose(random.Random(1), 60), prose(random.Random(2), 60)
+    rows = [(2, a), (5, a), (5, b), (5, b), (None, a), (None, "only here"), (None, "only here"), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r.doc_id), str(r.text)) for r in simhash.dedup(docs).collect())
+    assert got == sorted([("2", a), ("5", b), ("None", "only here"), ("7", "None")])
+
+
 def test_dedup_checks_every_pair_of_a_bucket(spark, monkeypatch):
     """A and B are near, the smallest member of their buckets is near to neither; also cut into blocks."""
     rnd = random.Random(12)
