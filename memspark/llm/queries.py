@@ -69,6 +69,7 @@ def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *[pii.count(spans, k).alias(f"n_{k}") for k in pii.BASE_KINDS],
         F.sha2(pii.written(spans, pii.BASE_KINDS), 256).alias("base_sha256"), pii.written(spans).alias("spans"),
+        F.size(spans).cast("long").alias("n_spans"), pii.count(spans, "secret").alias("n_secret"), pii.scores(spans).alias("scores"),
     )
 
 
