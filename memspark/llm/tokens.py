@@ -6,10 +6,17 @@ Two deterministic machines, both compiled from the vocabulary file:
    begin; its transitions carry the marks. A long stream is cut into chunks; a chunk's state map
    says, for each state before it, the state after it. The maps compose by a parallel prefix scan
    and give each chunk its true first state, after which all chunks emit their marks side by side.
-2. The counter reads a piece byte by byte. The last token of a prefix's encoding is the one token
-   that ends there and follows the last token of the shorter prefix without merging with it, so
-   each transition knows how many tokens it adds. It is determinised lazily: counts of pieces met
-   are kept, MEMO at most. Time is linear in the piece, however long.
+2. The counter reads a piece byte by byte; each of its transitions carries the number of tokens it
+   adds (a transition can take some back). Which token ends a prefix's encoding depends on the
+   tokens that end the shorter prefixes it could follow without merging with them (Berglund and van
+   der Merwe, Formalizing BPE tokenization), so a state is what is left of those: for each earlier
+   place from which a token could still come to its end, the place in the vocabulary's trie, the
+   token that ends there, and how many tokens fewer there were. States are determinised as they are
+   met, TABLE transitions at most are kept. Long pieces are cut into blocks: a block's map says,
+   for a state before it, the state after it and the tokens added, and maps compose, so a block
+   that comes again costs one look-up. Time is linear in the piece, however long.
+
+Counts of pieces that come often are kept, MEMO at most.
 
 Strings of added tokens inside a text are one token each and part the text, as is the default of
 the public library for this file.
@@ -32,9 +39,12 @@ from .common import prepare
 
 LIMIT = 1024
 MEMO = 800_000
-#: Lengths at which the states of a piece are kept, for pieces that begin alike.
-KNOTS = (15, 10, 6)
+#: Transitions of the counter that are kept.
+TABLE = 500_000
 CHUNK = 1024
+#: Bytes of a block of a long piece, and the maps of blocks that are kept.
+BLOCK = 256
+MAPS = 20_000
 #: Code points read at once; a longer text is read alone.
 AT_ONCE = 1 << 19
 
@@ -145,15 +155,35 @@ def scan(maps: np.ndarray) -> np.ndarray:
     return maps
 
 
+#: What a vocabulary file may say besides its merges; anything else would change the counts.
+_PLAIN = {
+    "model": {"dropout": (None, 0.0), "continuing_subword_prefix": (None, ""), "end_of_word_suffix": (None, ""), "byte_fallback": (None, False), "ignore_merges": (None, False)},
+    "pre_tokenizer": {"add_prefix_space": (False,), "use_regex": (None, True)},
+}
+
+
+def _check(spec: dict) -> None:
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or before.get("type") != "ByteLevel":
+        raise ValueError("a byte-level BPE vocabulary is needed")
+    if spec.get("normalizer"):
+        raise ValueError("a normalizer is not supported")
+    for part, options in _PLAIN.items():
+        for name, allowed in options.items():
+            if spec[part].get(name) not in allowed:
+                raise ValueError(f"{part}.{name} = {spec[part].get(name)!r} is not supported")
+    for t in spec.get("added_tokens") or []:
+        if t.get("single_word") or t.get("lstrip") or t.get("rstrip"):
+            raise ValueError(f"flags of the added token {t['content']!r} are not supported")
+
+
 class Counter(dict):
-    """Piece -> number of its tokens; lazily determinised."""
+    """Piece -> number of its tokens."""
 
     def __init__(self, vocabulary: str):
         super().__init__()
         spec = json.loads(vocabulary)
-        model = spec["model"]
-        if model["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel":
-            raise ValueError("a byte-level BPE vocabulary is needed")
+        _check(spec)
         byte_of = _byte_alphabet()
 
         def raw(s: str) -> bytes:
@@ -163,7 +193,7 @@ class Counter(dict):
         self.token: dict[bytes, int] = {bytes([b]): b for b in range(256)}
         self.halves: list[tuple[int, int] | None] = [None] * 256
         self.merged: dict[tuple[int, int], int] = {}
-        for pair in model["merges"]:
+        for pair in spec["model"]["merges"]:
             a, b = map(raw, pair if isinstance(pair, list) else pair.split(" "))
             n = len(self.halves)
             if a + b in self.token:
@@ -171,15 +201,31 @@ class Counter(dict):
             self.token[a + b] = n
             self.halves.append((self.token[a], self.token[b]))
             self.merged[self.token[a], self.token[b]] = n
-        #: the last three bytes of a token, or fewer -> length of the longest token that ends so
-        self.reach: dict[bytes, int] = {}
-        for t in self.token:
-            for n in (1, 2, 3):
-                self.reach[t[-n:]] = max(len(t), self.reach.get(t[-n:], 0))
-        #: beginnings of KNOTS bytes -> last tokens and counts of all their own beginnings
-        self.states: dict[bytes, tuple[tuple[int, ...], tuple[int, ...]]] = {}
+        #: the trie: node * 256 + byte -> node; the token that ends at each node, or -1; which nodes go on
+        self.child: dict[int, int] = {}
+        self.ends, self.inner = [-1], [True]
+        for t, n in self.token.items():
+            node = 0
+            for b in t:
+                nxt = self.child.get(node << 8 | b)
+                if nxt is None:
+                    nxt = self.child[node << 8 | b] = len(self.ends)
+                    self.ends.append(-1)
+                    self.inner.append(False)
+                self.inner[node] = True
+                node = nxt
+            self.ends[node] = n
         self.apart: dict[tuple[int, int], bool] = {}
-        self.added = [t["content"] for t in spec["added_tokens"]]
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
+        self.forget()
+
+    def forget(self) -> None:
+        """Back to the first state alone: nothing read, no token before."""
+        self.states: list[tuple[tuple[int, int, int], ...]] = [((0, -1, 0),)]
+        self.number = {self.states[0]: 0}
+        #: state * 256 + byte -> next state * 256 + tokens added + 128
+        self.table: dict[int, int] = {}
+        self.maps: dict[tuple[int, bytes], tuple[int, int]] = {}
 
     def follows(self, a: int, b: int) -> bool:
         """Whether tokens a and b stay as they are side by side.
@@ -211,35 +257,68 @@ class Counter(dict):
         self.apart[a, b] = found
         return found
 
-    def run(self, piece: bytes) -> list[int]:
-        """Tokens that each transition adds (a transition can take some back)."""
-        get, apart, follows, reach = self.token.get, self.apart.get, self.follows, self.reach.get
-        last, count = [-1], [0]
-        # go on from the states of the longest beginning met before
-        for n in KNOTS:
-            if len(piece) > n and (known := self.states.get(piece[:n])):
-                last, count = list(known[0]), list(known[1])
-                break
-        for i in range(len(last), len(piece) + 1):
-            for at in range(max(0, i - reach(piece[max(0, i - 3):i], 2)), i):
-                t = get(piece[at:i])
-                if t is not None:
-                    u = last[at]
-                    ok = apart((u, t)) if u >= 0 else True
-                    if ok or ok is None and follows(u, t):
-                        last.append(t)
-                        count.append(count[at] + 1)
-                        break
-            if i in KNOTS:
-                if len(self.states) >= MEMO // 4:
-                    self.states.clear()
-                self.states[piece[:i]] = tuple(last), tuple(count)
-        return [b - a for a, b in zip(count, count[1:], strict=False)]
+    def transition(self, state: int, byte: int) -> int:
+        """Compile one entry of the table."""
+        child, ends, apart, follows = self.child.get, self.ends, self.apart.get, self.follows
+        on = []
+        last = -1
+        for node, before, fewer in self.states[state]:  # from the longest candidate to the shortest
+            node = child(node << 8 | byte)
+            if node is None:
+                continue
+            if last < 0 and (token := ends[node]) >= 0:
+                ok = True if before < 0 else apart((before, token))
+                if ok or ok is None and follows(before, token):
+                    last, added = token, 1 - fewer
+            on.append((node, before, fewer))
+        rest = tuple((node, before, fewer + added) for node, before, fewer in on if self.inner[node])
+        new = (*rest, (0, last, 0))
+        n = self.number.get(new)
+        if n is None:
+            n = self.number[new] = len(self.states)
+            self.states.append(new)
+        self.table[state << 8 | byte] = found = n << 8 | added + 128
+        return found
+
+    def run(self, state: int, piece: bytes) -> tuple[int, int]:
+        """The state after a piece, and the tokens it adds."""
+        get, key = self.table.get, state << 8
+        count = -128 * len(piece)
+        for b in piece:
+            found = get(key | b)
+            if found is None:
+                found = self.transition(key >> 8, b)
+            key = found & -256
+            count += found & 255
+        return key >> 8, count
+
+    def long(self, piece: bytes) -> int:
+        """Tokens of a piece whose blocks' maps are composed one after the other."""
+        state = count = 0
+        for at in range(0, len(piece), BLOCK):
+            block = piece[at:at + BLOCK]
+            found = self.maps.get((state, block))
+            if found is None:
+                if len(self.table) >= TABLE or len(self.maps) >= MAPS:
+                    now = self.states[state]
+                    self.forget()
+                    state = self.number.setdefault(now, len(self.states))
+                    if state == len(self.states):
+                        self.states.append(now)
+                found = self.maps[state, block] = self.run(state, block)
+            state, more = found
+            count += more
+        return count
 
     def __missing__(self, piece: str) -> int:
         if len(self) >= MEMO:
             self.clear()
-        n = sum(self.run(piece.encode("utf-8", "surrogatepass")))
+        if len(self.table) >= TABLE:
+            self.forget()
+        raw = piece.encode("utf-8", "surrogatepass")
+        if len(raw) > 4 * BLOCK:
+            return self.long(raw)
+        n = self.run(0, raw)[1]
         if len(piece) <= 64:
             self[piece] = n
         return n
