@@ -85,6 +85,20 @@ def scrub(text: Column) -> Column:
     return scrub_entropy(scrub_patterns(mask_home_paths(F.coalesce(text, F.lit("")))))
 
 
+def scrub_matches(text: Column) -> Column:
+    """array<struct<kind, via>>: what scrub() replaces, by kind; placeholders that were there before don't count."""
+    pattern = r"<redacted:secret kind=([a-z_]+)(?: hash=[0-9a-f]+)?>"
+    before = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(1))
+    after = F.regexp_extract_all(scrub(text), F.lit(pattern), F.lit(1))
+
+    def fresh(kind: Column) -> Column:
+        n = F.size(F.filter(after, lambda k: k == kind)) - F.size(F.filter(before, lambda k: k == kind))
+        via = F.when(kind == "high_entropy", "entropy").otherwise("pattern")
+        return F.array_repeat(F.struct(kind.alias("kind"), via.alias("via")), F.greatest(n, F.lit(0)))
+
+    return F.flatten(F.transform(F.array_sort(F.array_distinct(after)), fresh))
+
+
 def hmac_sha256(key: bytes, message: Column) -> Column:
     """HMAC-SHA256 from the definition. Its pads show in plans: use it for public keys only."""
     key = key if len(key) <= 64 else hashlib.sha256(key).digest()

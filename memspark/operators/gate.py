@@ -96,6 +96,45 @@ def gate_journal(commits: DataFrame, outcomes: DataFrame) -> DataFrame:
     return whole.unionByName(edges)
 
 
+def run_ladder(commits: DataFrame, created: DataFrame, shadow: bool = True, rate: float = AUDIT_RATE, cap: int = SCREEN_WINDOW_CHARS) -> tuple[DataFrame, DataFrame]:
+    """The inspection ladder over commits (commit_id, window, ride_along, speakers, screen, ruling, verifier_failed,
+    remedy, remedy_target, content) and their created edges: (outcomes as run_gate's, journal rows).
+
+    The first rung that takes a commit decides: a window beyond cap, a flag of the screen, a hard flag of
+    tier 0 (not in shadow mode, where hard flags are only noted), an audit of a pass. What a rung sends
+    to the verifier is settled by the ruling, held if there is none; an audited pass is confirmed
+    whatever the ruling, which only counts as a false pass when it upholds.
+    """
+    corpus = F.concat(F.coalesce("window", F.lit("")), F.lit("\n"), F.coalesce("ride_along", F.lit("")))
+    facts = created.join(commits.select("commit_id", corpus.alias("corpus"), "speakers"), "commit_id")
+    hard = tier0_flags(facts).join(created.select("edge_id", "commit_id"), "edge_id").groupBy("commit_id").agg(F.collect_list("edge_id").alias("_hard"))
+    n = created.groupBy("commit_id").agg(F.count(F.lit(1)).alias("_n"))
+    rows = commits.join(hard, "commit_id", "left").join(n, "commit_id", "left")
+    n_hard = F.coalesce(F.size("_hard"), F.lit(0))
+    screen = F.when(F.col("screen") == "PASS", "PASS").otherwise("FLAG")
+    route = ladder_route(size_route(F.col("window"), cap) == "verifier", screen, F.lit(0) if shadow else F.greatest(n_hard, F.lit(0)), sampled(F.col("commit_id"), rate))
+    rows = rows.withColumn("rung", route).withColumn("_trip", tripwire(F.coalesce("window", F.lit("")), F.coalesce("_n", F.lit(0))))
+    asked = F.col("rung") != "pass"
+    lost = F.coalesce("verifier_failed", F.lit(True))
+    # for the gate, a rung that asks the verifier is a flag; an audit that can't be judged is still a pass
+    gated = rows.withColumn("screen", F.when(asked & ~((F.col("rung") == "audit") & lost), "FLAG").otherwise("PASS"))
+    outcomes = run_gate(gated.drop("_hard", "_n", "_trip"), created)
+    aimed = outcomes.groupBy("commit_id").agg(F.max(F.col("remedy_target").eqNullSafe(F.col("edge_id"))).alias("_aimed"))
+    ruled = F.when(F.coalesce("_aimed", F.lit(False)), "remedy-applied").otherwise(F.lower(F.coalesce("ruling", F.lit(WORKER_REPLIES["verifier"][2]))))
+    none = F.lit(None).cast("string")
+
+    def row(action: str, reason: Column, after: Column = none, target: Column = none) -> Column:
+        return F.struct(F.lit(action).alias("action"), target.alias("target"), after.alias("after"), reason.alias("reason"))
+
+    empty = F.array().cast("array<struct<action:string,target:string,after:string,reason:string>>")
+    noted = F.transform(F.coalesce("_hard", F.array().cast("array<string>")), lambda e: row("gate-flag", F.lit("tier0-shadow"), target=e)) if shadow else empty
+    trip = F.when(F.col("_trip"), F.array(row("gate-flag", F.lit("tier0-tripwire")))).otherwise(empty)
+    result = row("gate-resolve", none, F.when(~asked, "pass").when(lost, "verifier-unavailable").otherwise(ruled))
+    settled = F.when(asked, F.array(row("gate-flag", F.lit("ladder major")), result)).otherwise(F.array(result))
+    journal = rows.join(aimed, "commit_id", "left").select("commit_id", F.inline(F.concat(noted, trip, settled)))
+    return outcomes, journal
+
+
 def reverts(rulings: DataFrame) -> DataFrame:
     """Two journal rows for each invalidation that is reverted (edge_id, ruling)."""
     back = rulings.where("ruling = 'REVERT'")

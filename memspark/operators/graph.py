@@ -64,6 +64,25 @@ def relation_label(label: Column) -> Column:
     return F.upper(F.regexp_replace(label, r"(?U)\W+", "_"))
 
 
+def supersede(edges: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """edges with superseded_by, and the journal rows of decisions (edge_id, successor, author); the last of an edge's
+    decisions by ordinal counts."""
+    last = decisions.groupBy("edge_id").agg(F.max_by(F.struct("successor", "author"), "ordinal").alias("_d"))
+    known = last.join(edges.select("edge_id"), "edge_id", "left_semi")
+    journal = known.select(F.lit("supersede").alias("action"), F.col("_d.successor").alias("scope"), F.col("edge_id").alias("target"),
+                           F.col("_d.successor").alias("after"), F.coalesce("_d.author", F.lit("stated")).alias("author"))
+    before = F.col("superseded_by") if "superseded_by" in edges.columns else F.lit(None).cast("string")
+    out = edges.join(last, "edge_id", "left").withColumn("superseded_by", F.coalesce(F.col("_d.successor").cast("string"), before)).drop("_d")
+    return out, journal
+
+
+def commit_windows(commits: DataFrame) -> DataFrame:
+    """commits (commit_id, ts) with marker cm-<n> in the order of their time, and the window each spans."""
+    order = Window.orderBy("ts", "commit_id")  # one row per commit of a drain
+    marked = commits.withColumn("marker", F.concat(F.lit("cm-"), (F.row_number().over(order) - 1).cast("string")))
+    return marked.withColumn("start_ts", F.col("ts")).withColumn("end_ts", F.coalesce(F.lead("ts").over(order), F.col("ts")))
+
+
 def ride_along(entries: DataFrame, n: int) -> DataFrame:
     """entries (session_id, ts, entry_id) with the ids of the n before in their session, oldest first."""
     before = Window.partitionBy("session_id").orderBy("ts", "entry_id").rowsBetween(-n, -1)

@@ -26,6 +26,28 @@ def structural_links(ledger: DataFrame) -> DataFrame:
     return linked.join(nexts, F.col("entry_id") == F.col("_p"), "left").select("entry_id", "prev", "next")
 
 
+def prior_of(ledger: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(entry_id, prev) of fresh entries (entry_id, session_id, ts): the latest entry before each, of its session if
+    that has one, else of all. Fresh ones count among each other by their time."""
+    both = ledger.select("entry_id", "session_id", "ts", F.lit(False).alias("_new")).unionByName(fresh.select("entry_id", "session_id", "ts", F.lit(True).alias("_new")))
+    found = structural_links(both).select("entry_id", "prev")
+    return found.join(fresh.select("entry_id"), "entry_id", "left_semi")
+
+
+def link_late(linked: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(entry_id, prev, next) when fresh entries come to linked ones (entry_id, session_id, ts, prev, next), maybe late.
+
+    What was linked keeps its prev. A fresh entry takes the latest one before it; that one's next
+    becomes the fresh entry, the last of them if there are several. Nothing else is rewired.
+    """
+    prior = prior_of(linked, fresh)
+    order = F.struct("ts", "entry_id")
+    nexts = prior.join(fresh, "entry_id").where("prev is not null").groupBy(F.col("prev").alias("_p")).agg(F.max_by("entry_id", order).alias("_next"))
+    kind = linked.schema["next"].dataType
+    rows = linked.select("entry_id", "prev", "next").unionByName(prior.select("entry_id", "prev", F.lit(None).cast(kind).alias("next")))
+    return rows.join(nexts, F.col("entry_id") == F.col("_p"), "left").select("entry_id", "prev", F.coalesce("_next", "next").alias("next"))
+
+
 def lookback_pairs(rows: DataFrame, reach: int = LOOKBACK) -> DataFrame:
     """rows (entry_id, session_id, rn, vector) paired with each of the `reach` entries before, and scored."""
     pairs = band_join(rows, rows, "rn", reach, "p_")

@@ -248,6 +248,30 @@ def payload(hits: DataFrame, answers: DataFrame) -> DataFrame:
     return joined.select("query_id", F.to_json(body).alias("payload"))
 
 
+#: Why there is nothing to serve -> what is said instead.
+EMPTY_LINES = {
+    "DEGRADED": "Recall: memory is unavailable, which is not the same as an empty result.",
+    "PENDING": "Recall: a matching entry was just saved and is not extracted yet.",
+    "ABSENT": "Recall: nothing related is known.",
+}
+
+
+def injection(hits: DataFrame, answers: DataFrame, facts: DataFrame) -> DataFrame:
+    """(query_id, served, message): the text that goes to the assistant. answers (query_id, score, label[, cause]),
+    hits (query_id, edge_id, rank, label), facts (edge_id, fact). An answer that isn't served says why: absent, unless
+    its cause tells otherwise."""
+    lines = hits.join(facts.select("edge_id", "fact"), "edge_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(
+        "rank", F.concat(F.lit("- "), F.col("fact"), F.when(F.col("label") != "", F.concat(F.lit(" ["), F.col("label"), F.lit("]"))).otherwise("")).alias("line")))).alias("_l"))
+    cause = F.coalesce(F.upper("cause"), F.lit("ABSENT")) if "cause" in answers.columns else F.lit("ABSENT")
+    said = F.lit(EMPTY_LINES["ABSENT"])
+    for name, line in EMPTY_LINES.items():
+        said = F.when(cause == name, line).otherwise(said)
+    head = F.concat(F.lit("Recall ["), F.col("label"), F.lit(" "), F.col("score").cast("string"), F.lit("%]:"))
+    body = F.array_join(F.concat(F.array(head), F.transform(F.coalesce("_l", F.array().cast("array<struct<rank:bigint,line:string>>")), lambda x: x["line"])), "\n")
+    served = F.col("score") > 0
+    return answers.join(lines, "query_id", "left").select("query_id", served.alias("served"), F.when(served, body).otherwise(said).alias("message"))
+
+
 def diary_anchors(entries: DataFrame, bodies: DataFrame) -> DataFrame:
     """(entry_id, ids): entries that have links, with the ids they lead to, themselves first; kept where a
     rendered body names them (name substring)."""

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import console, gate, ledger, links, recall, transcript, wal
-from ..values import DIARY_TOKENS, TOP_N
+from ..operators import console, gate, graph, ledger, links, recall, transcript, wal
+from ..values import DIARY_TOKENS, DRAIN_WINDOW, SESSION_DEPTH, TOP_N
+from .saving import confirmation
 from .seams import Extractor, extract, hashed_vector, sentence_facts
 
 
@@ -22,6 +23,54 @@ def extract_queue(entries: DataFrame, wal_lines: DataFrame, episodes: DataFrame,
     return extract(wal.prepared(batch, wal_lines, episodes).select(F.col("entry_id").alias("episode"), "content"), extractor)
 
 
+def drain_once(
+    entries: DataFrame, wal_lines: DataFrame, episodes: DataFrame, edges: DataFrame, replies: DataFrame, decisions: DataFrame | None = None,
+    window: int = DRAIN_WINDOW, extractor: Extractor = sentence_facts,
+) -> dict[str, DataFrame]:
+    """The first entries of the queue from extraction to the end.
+
+    entries: the ledger with annotation, start_ts, end_ts, episode_id; replies: commits for the gate
+    (see gate.run_gate) by commit_id = entry_id as text, an entry without one is held; decisions: edges
+    that later ones supersede. Edges that an entry has from an earlier, broken drain are used again.
+    Returns the created edges with their verdicts, the journal's rows, all edges and the ledger as
+    they are afterwards.
+    """
+    batch = ledger.drain_batch(entries, window)
+    todo = ledger.to_extract(batch.withColumn("entry_id", F.col("entry_id").cast("string")), edges.withColumn("episode", F.col("episode").cast("string")))
+    content = wal.prepared(batch, wal_lines, episodes).select(F.col("entry_id").cast("string").alias("episode"), "content")
+    fresh = extract(content.join(todo.select(F.col("entry_id").alias("episode")), "episode", "left_semi"), extractor)
+    kept = ["episode", "edge_id", "fact", "type", "verdict", "class"]
+    fresh = fresh.withColumn("verdict", F.lit("provisional")).withColumn("class", F.lit(None).cast("string")).select(*kept)
+    again = edges.withColumn("episode", F.col("episode").cast("string")).join(batch.select(F.col("entry_id").cast("string").alias("episode")), "episode", "left_semi").select(*kept)
+    created = fresh.unionByName(again).withColumnRenamed("episode", "commit_id")
+    commits = batch.select(F.col("entry_id").cast("string").alias("commit_id")).join(replies, "commit_id", "left")
+    outcomes = gate.run_gate(commits, created)
+    judged = outcomes.select(F.col("commit_id").alias("episode"), "edge_id", F.col("fact_after").alias("fact"), "type", F.col("after").alias("verdict"), "class")
+    rest = edges.withColumn("episode", F.col("episode").cast("string")).select(*kept).join(judged.select("edge_id"), "edge_id", "left_anti")
+    journal = gate.gate_journal(commits, outcomes)
+    whole = rest.unionByName(judged)
+    if decisions is not None:
+        whole, closed = graph.supersede(whole, decisions)
+        journal = journal.unionByName(closed.select(F.col("scope").cast("string").alias("commit_id"), "action", "target", F.lit(None).cast("string").alias("before"), F.col("after").cast("string")))
+    done = batch.select(F.col("entry_id").alias("_done"))
+    state = F.when(F.col("_done").isNotNull(), "done").otherwise(F.col("extracted"))
+    after = entries.join(done, F.col("entry_id") == F.col("_done"), "left").withColumn("extracted", state).drop("_done")
+    return {"created": outcomes, "journal": journal, "edges": whole, "ledger": after}
+
+
+def session_start(entries: DataFrame, lines: DataFrame, now: Column, cap: int = DIARY_TOKENS) -> tuple[DataFrame, DataFrame]:
+    """(state with its confirmation line, briefing with the anchors of linked entries that it names)."""
+    state = ledger.memory_state(entries, lines, SESSION_DEPTH)
+    state = state.withColumn("message", confirmation(F.col("state"), F.col("sessions")))
+    sections = briefing(entries, now, cap)
+    bodies = sections.select("body")
+    named = recall.diary_anchors(entries.select("entry_id", F.col("summary").alias("name"), "references", "same_topic", "supersedes"), bodies)
+    lines = named.join(entries.select("entry_id", "summary", "ts"), "entry_id").agg(F.array_sort(F.collect_list(F.struct(
+        "ts", "entry_id", F.concat(F.lit("- "), F.col("summary"), F.lit(" -> "), F.array_join(F.col("ids").cast("array<string>"), ", ")).alias("line")))).alias("l"))
+    anchors = lines.where(F.size("l") > 0).select(F.lit("all").alias("owner"), F.lit("ANCHORS").alias("section"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("body"))
+    return state, sections.select("owner", "section", "body").unionByName(anchors)
+
+
 def supervise(commits: DataFrame, created: DataFrame, journal: DataFrame) -> dict[str, DataFrame]:
     """Births, outcomes, journal rows and state changes of commits (see gate.run_gate)."""
     outcomes = gate.run_gate(commits, created)
@@ -66,4 +115,6 @@ def console_model(entries: DataFrame, journal: DataFrame) -> dict[str, DataFrame
     }
 
 
-__all__ = ["briefing", "capture", "console_model", "extract_queue", "link", "search", "search_or_degraded", "supervise"]
+__all__ = [
+    "briefing", "capture", "console_model", "drain_once", "extract_queue", "link", "search", "search_or_degraded", "session_start", "supervise",
+]
