@@ -10,8 +10,8 @@ from ..functions.text import path_is_sensitive, scrub
 from ..values import ASSISTANT_AUTHOR, USER_AUTHOR
 
 EXCLUDED = ("system_prompt", "harness")
-#: event type -> (kind of entry, author or none)
-_DIALOGUE = {"user": ("dialogue.user", USER_AUTHOR), "assistant_text": ("dialogue.assistant", ASSISTANT_AUTHOR)}
+#: event type -> kind of entry
+_DIALOGUE = {"user": "dialogue.user", "assistant_text": "dialogue.assistant"}
 _TASKS = {"task_created": "task.created", "task_completed": "task.completed"}
 TYPES = (*EXCLUDED, *_DIALOGUE, "assistant_thinking", "tool_use", *_TASKS)
 FIELDS = ("author", "tool_name", "tool_input", "tool_response", "description", "task_id")
@@ -27,9 +27,11 @@ def stated_intent() -> Column:
     return F.concat_ws(" — ", F.nullif("description", F.lit("")), F.nullif("text", F.lit("")))
 
 
-def project(events: DataFrame) -> DataFrame:
+def project(events: DataFrame, user: str = USER_AUTHOR, assistant: str = ASSISTANT_AUTHOR) -> DataFrame:
     """(session_id, seq, projection, kind, content, meta): what is kept of each event in each projection.
 
+    user, assistant: the names of the two authors.
+
     One pass, each event fans out to none, one or two scrubbed entries. Thinking is never in the
     memory projection; tools keep their output in the flight recorder and their intent in memory.
     """
@@ -48,8 +50,8 @@ def project(events: DataFrame) -> DataFrame:
             out = F.when(F.col("type") == k, F.lit(x)).otherwise(out)
         return out
 
-    kind = say({k: n for k, (n, _) in _DIALOGUE.items()} | _TASKS)
-    author = F.create_map(F.lit("author"), say({k: a for k, (_, a) in _DIALOGUE.items()}))
+    kind = say(_DIALOGUE | _TASKS)
+    author = F.create_map(F.lit("author"), say({"user": user, "assistant_text": assistant}))
     intent = scrub(stated_intent())
     tool = F.create_map(
         F.lit("tool_name"), F.col("tool_name"), F.lit("stated_intent"), intent,
@@ -59,7 +61,7 @@ def project(events: DataFrame) -> DataFrame:
         F.col("type").isin(*_TASKS), both(kind, text, F.create_map(F.lit("task_id"), F.col("task_id")))
     ).when(
         F.col("type") == "assistant_thinking",
-        F.array(entry("flight_recorder", F.lit("thinking"), text, F.create_map(F.lit("author"), F.lit(ASSISTANT_AUTHOR), F.lit("truth"), F.lit("false")))),
+        F.array(entry("flight_recorder", F.lit("thinking"), text, F.create_map(F.lit("author"), F.lit(assistant), F.lit("truth"), F.lit("false")))),
     ).when(
         F.col("type") == "tool_use",
         F.array(

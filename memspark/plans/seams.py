@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Mapping
+from dataclasses import dataclass, fields
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import words
 from ..operators.gate import worker_verdict
-from ..values import FINDINGS_WRITER
+from ..values import ASSISTANT_AUTHOR, FINDINGS_WRITER, USER_AUTHOR
 
 
 class Extractor(Protocol):
@@ -26,11 +26,17 @@ class Backend(Protocol):
     def complete(self, prompt: str, tier: str) -> str: ...
 
 
+#: Environment variables and keys of the settings file begin so; the file's name is in <prefix>CONFIG.
+ENV_PREFIX = "MEMSPARK_"
+
+
 @dataclass(frozen=True)
 class Options:
     """Settings with their defaults. group_id keeps stores apart and must be set."""
 
     group_id: str
+    user_name: str = USER_AUTHOR
+    assistant_name: str = ASSISTANT_AUTHOR
     small_model: str = "small"
     standard_model: str = "standard"
     lookback: int = 50
@@ -39,12 +45,32 @@ class Options:
     session_depth: int = 3
 
     def __post_init__(self):
-        if not self.group_id:
+        if not (self.group_id or "").strip():
             raise ValueError("group_id must be set")
 
     def model(self, tier: str) -> str:
         return self.small_model if tier == "small" else self.standard_model
 
+    @classmethod
+    def resolve(cls, environ: Mapping[str, str], **given) -> Options:
+        """What is given, else the environment, else the JSON settings file, else the defaults. Blank values and a
+        file that can't be read count as not set."""
+        import json
+
+        try:
+            with open(environ.get(f"{ENV_PREFIX}CONFIG", ""), encoding="utf-8") as f:
+                stored = json.load(f)
+        except (OSError, ValueError):
+            stored = {}
+        stored = stored if isinstance(stored, dict) else {}
+        values = {}
+        for f in fields(cls):
+            for source in (given.get(f.name), environ.get(ENV_PREFIX + f.name.upper()), stored.get(f.name)):
+                if source is not None and str(source).strip():
+                    values[f.name] = int(source) if f.type == "int" else str(source).strip()
+                    break
+        return cls(**{"group_id": "", **values})
+
 
 class EchoBackend:
     """Answers nothing, so that every worker falls back to its cautious default."""

@@ -104,5 +104,18 @@ def read_episodes(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.from_json(parts[0], HEADER).alias("header"), F.get(parts, F.lit(2)).alias("body"))
 
 
+def read_comments(spark: SparkSession, path: str) -> DataFrame:
+    """(ts, episode_id, section, text, hint): what add_comments wrote; lines that are no comments are left out."""
+    rows = spark.read.schema("ts string, episode_id string, section string, text string, hint string").json(path)
+    return rows.where("episode_id is not null")
+
+
+def write_capture(projected: DataFrame, path: str) -> None:
+    """Both projections of captured events as JSON lines, a folder each, in order inside a session."""
+    for name in ("flight_recorder", "memory_grade"):
+        rows = projected.where(F.col("projection") == name).drop("projection")
+        rows.repartition("session_id").sortWithinPartitions("session_id", "seq").write.mode("overwrite").json(f"{path}/{name}")
+
+
 def add_comments(rows: DataFrame, path: str) -> None:
     rows.withColumn("text", scrub(F.col("text"))).write.mode("append").json(path)

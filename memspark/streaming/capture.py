@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -90,20 +90,42 @@ def append_once(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def drain(extract: Callable[[DataFrame], DataFrame], path: str, window: int = DRAIN_WINDOW) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that extracts the first `window` queued entries of each batch and leaves the others
-    in a backlog folder of the batch."""
+    """A foreachBatch sink: each batch's queued entries join the queue, and the first `window` of the whole queue are
+    extracted. What is left waits for the next batch, or for drain_rest()."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        queued = batch.where("extracted = 'no'")
-        if queued.isEmpty():
-            return
-        first = queued.orderBy("ts", "entry_id").limit(window)
-        extract(first).write.mode("overwrite").parquet(f"{path}/edges/batch={batch_id}")
-        rest = queued.join(first.select("entry_id"), "entry_id", "left_anti")
-        rest.write.mode("overwrite").parquet(f"{path}/backlog/batch={batch_id}")
+        batch.where("extracted = 'no'").write.mode("overwrite").parquet(f"{path}/queue/batch={batch_id}")
+        _drain_once(batch.sparkSession, extract, path, window, batch_id)
 
     return write
 
 
+def backlog(spark: SparkSession, path: str, but: int | None = None) -> DataFrame:
+    """Queued entries that no batch has extracted; but: a batch that is taken again."""
+    done = spark.read.parquet(f"{path}/done")
+    done = done if but is None else done.where(F.col("batch") != but)
+    return spark.read.parquet(f"{path}/queue").drop("batch").dropDuplicates(["entry_id"]).join(done.select("entry_id"), "entry_id", "left_anti")
+
+
+def _drain_once(spark: SparkSession, extract: Callable[[DataFrame], DataFrame], path: str, window: int, batch_id: int) -> None:
+    mine = f"{path}/done/batch={batch_id}"
+    spark.read.parquet(f"{path}/queue").select("entry_id").limit(0).write.mode("ignore").parquet(mine)  # so that the folder can be read
+    first = backlog(spark, path, but=batch_id).orderBy("ts", "entry_id").limit(window)
+    extract(first).write.mode("overwrite").parquet(f"{path}/edges/batch={batch_id}")
+    # the limit is taken anew, to the same rows: nothing else has changed; done is written last
+    rows = spark.createDataFrame(first.select("entry_id").collect(), first.select("entry_id").schema)  # `window` rows
+    rows.write.mode("overwrite").parquet(mine)
+
+
+def drain_rest(spark: SparkSession, extract: Callable[[DataFrame], DataFrame], path: str, window: int = DRAIN_WINDOW) -> int:
+    """Drain until the queue is empty; returns the number of passes. A stopped stream leaves no backlog behind."""
+    last = spark.read.parquet(f"{path}/done").agg(F.max("batch")).first()[0]
+    passes = 0
+    while not backlog(spark, path).isEmpty():
+        passes += 1
+        _drain_once(spark, extract, path, window, int(last) + passes)
+    return passes
+
+
 def run_available(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None]) -> None:
     """Take all that is there, in batches, then stop. A crash resumes from the checkpoint."""
     query = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()

@@ -37,7 +37,7 @@ LINK_LABELS = {
     "same_topic": "SAME_TOPIC", "supersedes": "SUPERSEDES", "caused_by": "CAUSED_BY",
 }
 
-# fixed values: the authors written into projections, and the only one who may commit findings
+# fixed values: the authors written into projections unless told otherwise, and the only one who may commit findings
 USER_AUTHOR = "principal"
 ASSISTANT_AUTHOR = "daimon"
 FINDINGS_WRITER = "Daimon"

@@ -41,13 +41,26 @@ def test_wal_batches_are_scrubbed_and_replayed_without_doubling(spark, tmp_path)
     assert len(kept) == 1 and kept[0].text == "<redacted:secret kind=aws_access_key_id>"
 
 
-def test_drain_takes_the_oldest(spark, tmp_path):
-    entries = spark.createDataFrame([(i, dt.datetime(2024, 1, 10 - i), "no") for i in range(9)], "entry_id long, ts timestamp, extracted string")
-    write = capture.drain(lambda batch: batch.select("entry_id"), str(tmp_path / "out"), 5)
+def test_drain_takes_the_oldest_and_leaves_none(spark, tmp_path):
+    entries = spark.createDataFrame([(i, dt.datetime(2024, 1, 20 - i), "no") for i in range(13)] + [(99, dt.datetime(2024, 1, 1), "done")], "entry_id long, ts timestamp, extracted string")
+    path = str(tmp_path / "out")
+
+    def extract(batch):
+        return batch.select("entry_id")
+
+    def taken(batch):
+        return sorted(r.entry_id for r in spark.read.parquet(f"{path}/edges").where(f"batch = {batch}").collect())
+
+    write = capture.drain(extract, path, 5)
     write(entries, 3)
-    assert sorted(r.entry_id for r in spark.read.parquet(str(tmp_path / "out/edges")).collect()) == [4, 5, 6, 7, 8]
-    assert spark.read.parquet(str(tmp_path / "out/backlog")).count() == 4
-    write(entries.where("extracted = 'done'"), 4)
+    assert taken(3) == [8, 9, 10, 11, 12] and capture.backlog(spark, path).count() == 8
+    write(entries.where("extracted = 'done'"), 4)  # nothing new: the backlog goes on
+    assert taken(4) == [3, 4, 5, 6, 7]
+    write(entries, 3)  # a replay takes the same ones
+    assert taken(3) == [8, 9, 10, 11, 12]
+    assert capture.drain_rest(spark, extract, path, 2) == 2 and capture.backlog(spark, path).count() == 0
+    assert sorted(r.entry_id for r in spark.read.parquet(f"{path}/edges").collect()) == list(range(13))
+    assert capture.drain_rest(spark, extract, path) == 0
 
 
 def test_counts_sessions_and_silence(spark, tmp_path):
