@@ -170,11 +170,12 @@ def verdicts(hits: DataFrame) -> DataFrame:
     return by_query.select("query_id", score.alias("score"), label.alias("label"))
 
 
-def search(semantic: DataFrame, keyword: DataFrame, edges: DataFrame, queries: DataFrame, n: int = TOP_N) -> tuple[DataFrame, DataFrame]:
+def search(semantic: DataFrame, keyword: DataFrame, edges: DataFrame, queries: DataFrame, n: int = TOP_N, store: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Ranked edges and one verdict for each query, from two channels' top lists (query_id, edge_id, score, rank).
 
     The lists are cut to n first and gated after that; the union keeps an edge's first place
-    (semantic before keyword); edges that still hold confirm the third channel.
+    (semantic before keyword). The third channel is a look-up of what was found in the store (edges, or a
+    fresher table of (edge_id, invalid_at)): an edge that is there and not invalid confirms it.
     """
     served = gate(edges).select("edge_id", "contested", "verdict")
 
@@ -188,8 +189,11 @@ def search(semantic: DataFrame, keyword: DataFrame, edges: DataFrame, queries: D
         F.count_if(F.col("channel") == "semantic").alias("s"), F.count_if(F.col("channel") == "keyword").alias("k"),
     )
     hits = top(union, n, "pos", "edge_id").select("query_id", "edge_id", "score", "rank", serving_label().alias("label"))
-    # every edge that passed the gate still holds, so it confirms itself in the graph
-    seen = union.groupBy("query_id").agg((F.sum("s") > 0).alias("semantic"), (F.sum("k") > 0).alias("keyword"), F.lit(True).alias("graph"))
+    found = union.select("edge_id").distinct()  # 2 n for each query
+    held = (edges if store is None else store).where("invalid_at is null").select("edge_id")
+    held = held.join(_small(found), "edge_id", "left_semi").select(F.col("edge_id").alias("_held")).distinct()
+    seen = union.join(held, F.col("edge_id") == F.col("_held"), "left").groupBy("query_id").agg(
+        (F.sum("s") > 0).alias("semantic"), (F.sum("k") > 0).alias("keyword"), F.max(F.col("_held").isNotNull()).alias("graph"))
     answers = queries.select("query_id").join(seen, "query_id", "left")
     each = answers.select("query_id", F.explode(F.array(*[
         F.struct(F.lit(c).alias("channel"), F.coalesce(F.col(c), F.lit(False)).alias("hit")) for c in CHANNELS
@@ -197,17 +201,24 @@ def search(semantic: DataFrame, keyword: DataFrame, edges: DataFrame, queries: D
     return hits, verdicts(each)
 
 
-def expand(anchors: DataFrame, edges: DataFrame, n: int | None = None) -> DataFrame:
-    """(anchor_id, edge_id, label, rank): servable edges of the anchors' episodes (anchor_id, tier, episode);
-    none for tier none."""
-    asked = anchors.where("tier <> 'none'").select("anchor_id", "episode")
+def expand(anchors: DataFrame, edges: DataFrame, n: int | None = None, related: Column | None = None) -> DataFrame:
+    """(anchor_id, edge_id, label, rank): servable edges of the anchors' episodes (anchor_id, tier, episode, ..), most
+    related first; none for tier none. related: a score over the columns of both, the edges' weight by default."""
+    asked = anchors.where("tier <> 'none'")
     found = asked.join(gate(edges), "episode")
-    order = Window.partitionBy("anchor_id").orderBy(F.col("weight").desc(), "edge_id")
+    order = Window.partitionBy("anchor_id").orderBy((F.col("weight") if related is None else related).desc(), "edge_id")
     out = found.withColumn("rank", F.row_number().over(order).cast("long"))
     out = out if n is None else out.where(F.col("rank") <= n)
     return out.select("anchor_id", "edge_id", serving_label().alias("label"), "rank")
 
 
+def expand_verdicts(anchors: DataFrame, expanded: DataFrame) -> DataFrame:
+    """(anchor_id, score, label, cause) of the anchors that were read and gave nothing: absent, not an error."""
+    score, label = RECALL_SCORES[0]
+    nothing = anchors.where("tier <> 'none'").join(expanded.select("anchor_id"), "anchor_id", "left_anti")
+    return nothing.select("anchor_id", F.lit(score).alias("score"), F.lit(label).alias("label"), F.lit("ABSENT").alias("cause"))
+
+
 def touch(turns: DataFrame, anchors: DataFrame) -> DataFrame:
     """turns (turn_id, text) with the first anchor (anchor, ord) they name and the tier to recall at.
 

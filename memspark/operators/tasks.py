@@ -7,10 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..values import URGENCY_DAYS
+from .order import with_ordinal
 
 _DAY = 86_400_000_000
 
 
+def with_ordinals(events: DataFrame, log: DataFrame | None = None) -> DataFrame:
+    """Task events (ts, task_id, event) with the ordinals that follow the log's, in the order of their time."""
+    rows = with_ordinal(events.drop("ordinal"), F.date_trunc("hour", F.col("ts")), [F.col("ts"), F.col("task_id"), F.col("event")], "ordinal")
+    if log is None:
+        return rows
+    last = log.agg(F.coalesce(F.max("ordinal"), F.lit(0)).alias("_last"))
+    return rows.crossJoin(F.broadcast(last)).withColumn("ordinal", F.col("ordinal") + F.col("_last")).drop("_last")
+
+
 def task_ids(created: DataFrame) -> DataFrame:
     """created (ts, ordinal) with task_id TS-<date>.<n>, n from 0 each day."""
     date = F.date_format("ts", "yyyy-MM-dd")

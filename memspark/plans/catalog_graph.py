@@ -261,6 +261,15 @@ def recall_expand(v: Views):
     return recall.expand(anchors, v.edges)
 
 
+@query(duck("edges") + f""", a AS (SELECT o_orderkey AS anchor_id FROM orders WHERE o_orderkey % 3 <> 0)
+SELECT anchor_id, 0 AS score, 'honest-empty' AS label, 'ABSENT' AS cause FROM a WHERE anchor_id NOT IN (SELECT episode FROM edges WHERE {_SERVED})""")
+def recall_expand_absent(v: Views):
+    k = F.col("o_orderkey")
+    tier = F.when(k % 3 == 0, "none").when(k % 3 == 1, "episodic").otherwise("deep")
+    anchors = v.table("orders").select(k.alias("anchor_id"), tier.alias("tier"), k.alias("episode"))
+    return recall.expand_verdicts(anchors, recall.expand(anchors, v.edges))
+
+
 _ANCHOR = "[a-z]+ [a-z]+ [a-z]+"
 _GREETED = ", ".join(f"'{g}'" for g in GREETINGS)
 
