@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import scrub
 from ..values import ACTIONS, TASK_EVENTS
@@ -16,15 +17,19 @@ HEADER = "episode_id string, ts string, session_id string, speakers array<string
 def read_jsonl(spark: SparkSession, paths: str | Sequence[str], recursive: bool = True) -> DataFrame:
     """(path, pos, v VARIANT): each line that is a JSON object, in the order of the file.
 
-    Blank, malformed and non-object lines are left out. Lines keep their place through
-    whole-file reads, transcripts being small; one row per file is split in the cluster.
+    Blank, malformed and non-object lines are left out, but count as places. Files of any size are split;
+    a line's place is its distance from the first line of its split, after the lines of the splits before.
     """
-    files = (
-        spark.read.option("pathGlobFilter", "*.jsonl").text(paths, wholetext=True, recursiveFileLookup=recursive)
-        .select(F.col("_metadata.file_path").alias("path"), "value")
+    raw = (
+        spark.read.option("pathGlobFilter", "*.jsonl").text(paths, lineSep="\n", recursiveFileLookup=recursive)
+        .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"),
+                F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", "\r$", "").alias("line"))
     )
-    lines = files.select("path", F.posexplode(F.split("value", "\r?\n")).alias("pos", "line")).where(F.col("line").rlike(r"\S"))
-    return parse_lines(lines)
+    splits = raw.groupBy("path", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))  # a row for each split
+    before = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    placed = raw.join(splits, ["path", "_block"]).select("path", (F.col("_before") + F.col("_id") - F.col("_first")).alias("pos"), "line")
+    return parse_lines(placed.where(F.col("line").rlike(r"\S")))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:

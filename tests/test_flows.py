@@ -219,3 +219,19 @@ def test_task_events_go_on_from_the_log(spark):
     log = spark.createDataFrame([(7,), (3,)], "ordinal long")
     assert {r.task_id: r.ordinal for r in tasks.with_ordinals(events, log).collect()} == {"t1": 8, "t2": 9}
     assert {r.task_id: r.ordinal for r in tasks.with_ordinals(events).collect()} == {"t1": 1, "t2": 2}
+
+
+def test_long_files_are_split_and_keep_their_order(spark, tmp_path):
+    for name, n in (("a", 400), ("b", 3)):
+        lines = [json.dumps({"n": i, "pad": "x" * (i % 37)}) if i % 10 else ("" if i % 20 else "not json") for i in range(n)]
+        (tmp_path / f"{name}.jsonl").write_text(("\r\n" if name == "b" else "\n").join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = files.read_jsonl(spark, str(tmp_path))
+        assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+        got = sorted((files_stem, r.pos, r.n) for r in rows.select("path", "pos", F.try_variant_get("v", "$.n", "int").alias("n")).collect() for files_stem in [r.path[-7]])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == [("a", i, i) for i in range(400) if i % 10] + [("b", i, i) for i in (1, 2)]
