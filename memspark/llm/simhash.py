@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, free_name, least_of_component, materialize, prepare, text_bytes
-from .nearcopies import near_copies, text_hash
+from .nearcopies import near_copies, row_key, text_hash
 
 BITS = 64
 RADIUS = 4
@@ -34,6 +34,7 @@ SHINGLE = 4
 SEED = 42
 #: Largest bucket that is walked whole; larger ones are first cut by blocks of bits.
 WALK = 8192
+NO_ID = (1 << 63) - 1
 _HASHES_AT_ONCE = 1 << 16
 
 
@@ -191,8 +192,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     comp = materialize(components(links(classes, radius)), "components")
     # null ids count as larger than all others
-    order = F.struct(F.col("rep").isNull().alias("no_id"), "rep")
-    of_class = least_of_component(classes.select("fp", order.alias("least")), comp).select("fp", F.col("least.rep").alias("component_id"))
+    order = F.coalesce("rep", F.lit(NO_ID))
+    of_class = least_of_component(classes.select("fp", order.alias("least")), comp).select("fp", F.nullif("least", F.lit(NO_ID)).alias("component_id"))
     return fps.join(of_class, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -204,12 +205,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Rows are told apart by id and text. Rows with a null id count as larger than all others. Equal
     rows are copies: one stays.
     """
-    keep = near_copies(docs, id_col, text_col).select("keeper.*").distinct()
-    one, two, three = (free_name(docs, x) for x in ("_id", "_hash", "_of"))
-    rows = docs.withColumn(three, text_hash(F.col(text_col).cast("string")))
-    keep = keep.select(F.col("doc_id").alias(one), F.col("text_hash").alias(two))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col(one)) & (F.col(three) == F.col(two))
-    return rows.join(keep, same, "left_semi").dropDuplicates([id_col, three]).drop(three)
+    key = free_name(docs, "_key")
+    keep = near_copies(docs, id_col, text_col).select(F.col("keeper").alias(key)).distinct()
+    rows = docs.withColumn(key, row_key(F.col(id_col).cast("long"), text_hash(F.col(text_col).cast("string"))))
+    return rows.join(keep, key, "left_semi").dropDuplicates([key]).drop(key)
 
 
 def hex_fingerprint(fp) -> "F.Column":

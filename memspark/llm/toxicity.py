@@ -39,7 +39,7 @@ BITS = 22
 _MASK = (1 << BITS) - 1
 #: A term's beginnings of so many bytes are features too.
 PREFIXES = (4, 5, 6)
-MEMO = 400_000
+MEMO = 150_000
 #: A feature must be in so many training rows: rarer ones are learnt by heart.
 MIN_DOCS = 8
 #: Least chi-square with one degree of freedom; chance reaches it once in some 10^4 terms.
@@ -85,7 +85,7 @@ class Machine:
     w: np.ndarray = field(default_factory=lambda: np.zeros(0))
     v: np.ndarray = field(default_factory=lambda: np.zeros((0, FACTORS)))
     #: The features of terms met before, MEMO of them at most.
-    known: dict[bytes, list[int]] = field(default_factory=dict)
+    known: dict[bytes, tuple[int, ...]] = field(default_factory=dict)
 
     def score(self, text: bytes | None) -> float:
         seen: dict[int, int] = {}
@@ -94,7 +94,7 @@ class Machine:
             if ids is None:
                 if len(self.known) >= MEMO:
                     self.known.clear()
-                ids = self.known[term] = [i for i in hashed(term) if i in self.column or i | 1 in self.column]
+                ids = self.known[term] = tuple(i for i in hashed(term) if i in self.column or i | 1 in self.column)
             for i in ids:
                 seen[i] = seen.get(i, 0) + n
         cols = [self.column[i] for i in seen if i in self.column]
