@@ -9,8 +9,9 @@ backslash is doubled and <| becomes <\\|, and a line feed inside a role <\\/, so
 the template occur nowhere else and everything can be read back. The loss mask covers the
 assistants' texts.
 
-Everything is DataFrame functions. Deltas meet by message, messages by conversation, whose text
-is one value of the result anyway.
+Everything is DataFrame functions. A log is dealt by conversation once (by_conversation); deltas meet
+by message and messages by conversation where they lie. A conversation's text is one value of the
+result anyway.
 
 Cases: null texts and roles count as empty, an unknown operation changes nothing; events of equal
 seq are taken in the order of op, role and text; null seq comes first; null conv_id is one
@@ -48,17 +49,22 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("<\\/"), F.lit("\n")))
 
 
+def by_conversation(rows: DataFrame) -> DataFrame:
+    """Rows dealt by conversation: the one shuffle that every later step is content with."""
+    return rows.repartition("conv_id")
+
+
 def as_events(turns: DataFrame) -> DataFrame:
     """The log of a table of whole turns (conv_id, turn, role, text)."""
     same = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
-    return turns.select("conv_id", "turn", "role", "text").select(
+    return by_conversation(turns.select("conv_id", "turn", "role", "text")).select(
         "conv_id", F.col("turn").alias("seq"), F.struct("turn", F.row_number().over(same).alias("n")).alias("msg_id"),
         F.lit("message").alias("op"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"),
     )
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """(conv_id, place, msg_id, role, text): the final messages."""
+    """(conv_id, place, msg_id, role, text): the final messages of a log dealt by conversation."""
     part = F.struct("seq", "op", "role", "text")
     by_message = events.groupBy("conv_id", "msg_id").agg(F.sort_array(F.collect_list(part)).alias("e"))
     last = F.array_max(F.transform("e", lambda x, i: F.when(x["op"].isin(*_RESETS), i)))

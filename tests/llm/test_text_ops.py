@@ -331,3 +331,37 @@ def test_what_would_change_the_counts_is_refused(path, value):
     at[path[-1]] = value
     with pytest.raises(ValueError):
         tokens.Counter(json.dumps(spec))
+
+
+def test_chat_texts_are_shuffled_once(spark):
+    from memspark.llm.queries import QUERIES
+
+    plan = QUERIES["op6_chat_format"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1, plan
+
+
+def test_chat_log_of_deltas_edits_and_regenerations(spark):
+    """A log in any order and over partitions equals the fold in plain Python."""
+    rnd = random.Random(4)
+    log, seq = [], 0
+    for conv in range(12):
+        for msg in range(rnd.randrange(1, 6)):
+            for op in ["message", *rnd.choices(["delta", "delta", "edit", "regenerate", "delete"], k=rnd.randrange(5))]:
+                seq += 1
+                log.append((conv, seq, f"m{msg}", op, "assistant" if msg % 2 else "user", f"t{seq}" if rnd.random() < 0.9 else None))
+    want = {}
+    for conv in range(12):
+        state, first = {}, {}
+        for c, s, m, op, role, t in log:
+            if c != conv:
+                continue
+            first.setdefault(m, s)
+            now = state.get(m, "")
+            state[m] = {"message": t or "", "edit": t or "", "delta": (now or "") + (t or ""), "regenerate": "", "delete": None}[op]
+        want[conv] = [("assistant" if int(m[1:]) % 2 else "user", state[m]) for m in sorted(state, key=first.get) if state[m] is not None]
+    shuffled = list(log)
+    rnd.shuffle(shuffled)
+    events = spark.createDataFrame(shuffled, "conv_id long, seq long, msg_id string, op string, role string, text string").repartition(5)
+    out = chat.render(chat.fold(chat.by_conversation(events))).select("conv_id", chat.read_back(F.col("formatted")).alias("t")).collect()
+    got = {r.conv_id: [(x.role, x.text) for x in r.t] for r in out}
+    assert got == {c: turns for c, turns in want.items() if turns}
