@@ -6,7 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +45,18 @@ def _remove(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """The application's folder below the shared one; the driver deletes it when it ends."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/memspark/{spark.sparkContext.applicationId}"
+    if _scratch.get("folder") != folder:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _scratch["folder"] = folder
+    return folder
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet under the shared checkpoint folder and read it again.
 
@@ -52,7 +64,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     the columnar form, so later passes read only the columns they need.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/memspark/{tag}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -78,6 +90,12 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def shelter(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with its columns of these names renamed, and what selects df's columns, as they were, from a later table."""
+    kept = {c: free_name(df, f"_kept_{c}") for c in df.columns if c.lower() in names}
+    return df.withColumnsRenamed(kept), lambda out: out.select([F.col(kept.get(c, c)).alias(c) for c in df.columns])
+
+
 def ranked(df: DataFrame, group: str, cell: str, order: Sequence[Column], out: str) -> DataFrame:
     """Gapless rank from 0 inside each group, without one task per group.
 
@@ -176,5 +194,5 @@ def text_bytes(column) -> list:
 
 __all__ = [
     "arrow_rows", "checkpoint_dir", "components", "drop_scratch", "free_name", "least_of_component",
-    "materialize", "one_text", "prepare", "ranked", "table", "text_bytes",
+    "materialize", "one_text", "prepare", "ranked", "shelter", "table", "text_bytes",
 ]

@@ -27,7 +27,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, ranked
+from .common import free_name, ranked, shelter
 
 Q = 4096
 BLOCK_ROWS = 16
@@ -159,6 +159,5 @@ def mix(
 def arrange(docs: DataFrame, **options) -> DataFrame:
     """docs in the order of the schedule, columns as given: partitions, and so the files of a write,
     follow one another, and rows inside them."""
-    pos = free_name(docs, "_pos")
-    mixed = mix(docs, **options).withColumnRenamed("mix_pos", pos)
-    return mixed.repartitionByRange(pos).sortWithinPartitions(pos).select(*docs.columns)
+    safe, back = shelter(docs, "mix_block", "mix_slot", "mix_pos")
+    return back(mix(safe, **options).repartitionByRange("mix_pos").sortWithinPartitions("mix_pos"))

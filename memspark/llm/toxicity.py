@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_text, prepare, text_bytes
+from .common import one_text, prepare, shelter, text_bytes
 
 MAX_TRAIN = 12_000
 FEATURES = 512
@@ -262,4 +262,5 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, text_
 
 def reject(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those predicted toxic; columns as given."""
-    return score(docs, machine, threshold).where("predicted = 0").select(*docs.columns)
+    safe, back = shelter(docs, "score", "predicted")
+    return back(score(safe, machine, threshold).where("predicted = 0"))

@@ -204,3 +204,29 @@ def test_queries_have_one_row_per_input_row(spark, name):
         assert n > 0
     else:
         assert n == docs
+
+
+def test_every_stage_takes_odd_and_empty_tables(spark, odd, empty, tmp_path):
+    """Nulls in any column, repeated rows, empty and long texts, columns named like our own; and no rows at all."""
+    names = ["_key", "_file", "_row", "_cell", "_src", "_rank", "_component", "score", "predicted", "shard", "slot", "label", "fp", "keeper", "mix_slot"]
+    kinds = [f"{n} string" for n in names]
+    rows = [(None, None, None, None, None), (None, "", None, "s0", 0), (1, "word " * 60_000, "en", None, None), (1, "word " * 60_000, "en", None, None),
+            (2, "ordinary words that say little", None, "s1", 3), (-7, "ordinary words that say something else", "en", "s1", 3)]
+    extra = spark.createDataFrame([(*r, *[f"{i}"] * len(names)) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(kinds))
+    for n, docs in enumerate((odd, extra, empty)):
+        path = str(tmp_path / f"in{n}")
+        docs.write.parquet(path)
+        read = spark.read.parquet(path)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, read, SMALL)
+            got = out.collect()
+            assert n < 2 or not got
+            if name != "sharding":
+                assert out.columns == docs.columns, name
+                assert not Counter(map(str, got)) - Counter(map(str, read.collect())), name  # rows are as they were
+            if name == "mixing":
+                assert Counter(map(str, got)) == Counter(map(str, read.collect()))
+            if name == "sharding":
+                assert len(got) == read.count() and len({(r.shard, r.slot) for r in got}) == len(got)
+            if name == "near_duplicates" and docs is extra:
+                assert sorted((str(r.doc_id), (r.text or "")[:9]) for r in got) == [("-7", "ordinary "), ("1", "word word"), ("2", "ordinary "), ("None", "")]
