@@ -135,6 +135,11 @@ def redact(content: Column, secret: Column, marker: Column) -> Column:
     return F.when((secret != "") & content.contains(secret), F.replace(content, secret, marker)).otherwise(absent)
 
 
+def tombstone(hashed: Column, reason: Column, actor: Column, at: Column) -> Column:
+    """The marker that stands where a secret was; hashed is the keyed hash of what is gone."""
+    return F.concat(F.lit("<tombstone redacted at="), F.date_format(at, "yyyy-MM-dd"), F.lit(" reason='"), reason, F.lit("' hash="), hashed, F.lit(" actor="), actor, F.lit(">"))
+
+
 def number_date_tokens(text: Column) -> Column:
     """Distinct dates (whole), then numbers without separators."""
     date = r"(?U)\b\d{4}-\d{2}-\d{2}\b"

@@ -141,6 +141,11 @@ def reverts(rulings: DataFrame) -> DataFrame:
     return back.select("edge_id", F.explode(F.array(F.lit("revert"), F.lit("contest"))).alias("action"))
 
 
+def judged(invalidated: DataFrame, rulings: DataFrame) -> DataFrame:
+    """(edge_id, ruling): invalidated edges with the judge's ruling; what was not ruled on goes back."""
+    return invalidated.join(rulings, "edge_id", "left").select("edge_id", F.when(F.col("ruling") == "EARNED", "EARNED").otherwise("REVERT").alias("ruling"))
+
+
 def tier0_flags(facts: DataFrame) -> DataFrame:
     """(edge_id, kind, token) for facts (edge_id, fact, corpus, speakers) that claim a number or date the corpus
     lacks, or something said by somebody who did not speak."""

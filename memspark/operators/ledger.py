@@ -58,6 +58,14 @@ def requeue(ledger: DataFrame) -> DataFrame:
     return ledger.withColumn("extracted", state)
 
 
+def requeue_failed(ledger: DataFrame, processed: DataFrame) -> DataFrame:
+    """The ledger when a drain's results were not stored: what it (entry_id) had done goes back to the queue."""
+    lost = processed.select(F.col("entry_id").alias("_lost")).distinct()
+    back = (F.col("extracted") == "done") & F.col("_lost").isNotNull()
+    joined = ledger.join(lost, F.col("entry_id") == F.col("_lost"), "left")
+    return joined.withColumn("extracted", F.when(back, "no").otherwise(F.col("extracted"))).drop("_lost")
+
+
 def reconcile_done(ledger: DataFrame, edges: DataFrame) -> DataFrame:
     """Entries that are done but have no edge."""
     return ledger.where("extracted = 'done'").join(edges.select(F.col("episode").alias("entry_id")), "entry_id", "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -137,6 +137,40 @@ def _first(score: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
     return near[np.lexsort((place[near], -score[near]))[:n]]
 
 
+def fuse(lists: DataFrame, n: int = TOP_N, damp: int = 1) -> DataFrame:
+    """(query_id, item_id, score, rank): several ranked lists (query_id, item_id, rank) as one, by reciprocal ranks."""
+    each = F.lit(1.0) / (F.col("rank") + damp)
+    scored = lists.groupBy("query_id", "item_id").agg(F.round(F.sum(each), 6).alias("score"))
+    return top(scored, n, "item_id")
+
+
+def search_edges(queries: DataFrame, edges: DataFrame, related: DataFrame, n: int = TOP_N, types: Sequence[str] = ALLOWED_TYPES, group: str | None = None) -> DataFrame:
+    """The best edges of queries (query_id, text) by words, fused with a ranked list (query_id, item_id, rank).
+
+    The group (where edges have one) and the relations are filters on the edges before anything is
+    scored, so they reach the scan.
+    """
+    kept = edges.where(F.col("type").isin(*types))
+    kept = kept.where(F.col("group_id") == group) if group else kept
+    words_list = bm25_topk(queries, kept.select(F.col("edge_id").alias("item_id"), F.col("fact").alias("text")), n)
+    near = related.join(kept.select(F.col("edge_id").alias("item_id")), "item_id", "left_semi").select("query_id", "item_id", "rank")
+    return fuse(words_list.select("query_id", "item_id", "rank").unionByName(near), n)
+
+
+def response(hits: DataFrame, answers: DataFrame, facts: DataFrame, dropped: DataFrame) -> DataFrame:
+    """(query_id, response): what a server sends, as JSON: served, verdict, edges, how many edges the closed set of
+    relations keeps back (dropped: one row of drop_count()), message."""
+    said = injection(hits, answers, facts).select("query_id", "served", "message")
+    lists = hits.join(facts.select("edge_id", "fact"), "edge_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "fact", "score", "label"))).alias("_l"))
+    cause = F.lower("cause") if "cause" in answers.columns else F.lit(None).cast("string")
+    rows = answers.select("query_id", "score", "label", cause.alias("cause")).join(said, "query_id").join(lists, "query_id", "left")
+    rows = rows.crossJoin(F.broadcast(dropped.select(F.col("dropped").alias("drop_count"))))
+    empty = F.array().cast("array<struct<rank:bigint,fact:string,score:double,label:string>>")
+    edges = F.transform(F.coalesce("_l", empty), lambda e: F.struct(e["fact"].alias("fact"), e["score"].alias("score"), e["label"].alias("label")))
+    verdict = F.struct("score", "label", F.coalesce("cause", F.lit("absent")).alias("cause"))
+    return rows.select("query_id", F.to_json(F.struct("served", verdict.alias("verdict"), edges.alias("edges"), "drop_count", "message")).alias("response"))
+
+
 def bm25_topk(queries: DataFrame, docs: DataFrame, n: int = TOP_N) -> DataFrame:
     """(query_id, item_id, score, rank): the n documents that match each query's words best.
 

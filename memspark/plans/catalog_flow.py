@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from ..adapters import Views, duck
 from ..functions import text as tx
-from ..operators import gate, graph, links, recall
-from . import memory, saving
+from ..operators import console, gate, graph, links, recall, transcript
+from ..operators import ledger as ledgers
+from ..sources import files
+from . import memory, saving, seams
 from .catalog_graph import _CHANNELS, _search
 from .catalog_state import _WINDOWS_SQL, _windows
-from .catalog_text import _seeded, _SEEDED, _tokens_sql, _patterns_sql, _MASK, _entropy_sql
+from .catalog_text import _MASK, _PADS, _SEEDED, _TEST_KEY, _entropy_sql, _patterns_sql, _seeded, _tokens_sql
 from .registry import query
 
 _EARLIER = """l AS (SELECT CAST(o_orderkey AS VARCHAR) AS entry_id, o_custkey AS session_id, o_orderdate AS ts FROM orders),
@@ -129,9 +131,7 @@ def scrub_matches(v: Views):
 SELECT commit_id, 'cm-' || CAST(row_number() OVER (ORDER BY ts, commit_id) - 1 AS VARCHAR) AS marker, strftime(ts, '%Y-%m-%d %H:%M:%S') AS start_ts,
   strftime(coalesce(lead(ts) OVER (ORDER BY ts, commit_id), ts), '%Y-%m-%d %H:%M:%S') AS end_ts FROM c""")
 def commit_windows(v: Views):
-    from ..operators.ledger import drain_batch
-
-    out = graph.commit_windows(drain_batch(v.ledger).select(F.col("entry_id").alias("commit_id"), "ts"))
+    out = graph.commit_windows(ledgers.drain_batch(v.ledger).select(F.col("entry_id").alias("commit_id"), "ts"))
     return out.select("commit_id", "marker", _stamp("start_ts").alias("start_ts"), _stamp("end_ts").alias("end_ts"))
 
 
@@ -232,3 +232,86 @@ UNION ALL SELECT commit_id, 'gate-flag', NULL, NULL, 'ladder major' FROM r WHERE
 UNION ALL SELECT commit_id, 'gate-resolve', NULL, CASE WHEN rung = 'pass' THEN 'pass' WHEN failed THEN 'verifier-unavailable' WHEN n > 0 AND target <> 'elsewhere' THEN 'remedy-applied' ELSE lower(ruling) END, NULL FROM r""")
 def ladder_journal(v: Views):
     return _ladder(v, True)[1]
+
+
+# ---- smaller pieces
+
+@query("SELECT p_partkey, upper(regexp_replace(p_type, '\\W+', '_', 'g')) AS label FROM part")
+def relation_label(v: Views):
+    return v.table("part").select("p_partkey", graph.relation_label(F.col("p_type")).alias("label"))
+
+
+@query("SELECT c_custkey, array_to_string(list_filter([CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_name END], lambda x: x <> ''), ' — ') AS intent FROM customer")
+def stated_intent(v: Views):
+    k = F.col("c_custkey")
+    rows = v.table("customer").select(k, F.when(k % 3 == 0, "").otherwise(F.col("c_mktsegment")).alias("description"), F.when(k % 4 != 0, F.col("c_name")).alias("text"))
+    return rows.select("c_custkey", transcript.stated_intent().alias("intent"))
+
+
+@query(duck("edges") + " SELECT edge_id FROM edges WHERE expired_at IS NOT NULL AND expired_at NOT BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-12-31'")
+def canary(v: Views):
+    return graph.canary(v.edges, F.expr("TIMESTAMP_NTZ'1996-01-01 00:00:00'"), F.expr("TIMESTAMP_NTZ'1996-12-31 00:00:00'")).select("edge_id")
+
+
+@query("SELECT user_id, array_to_string(list_filter([CASE WHEN max(ts) < TIMESTAMP '2024-01-25' THEN 'silent' END, CASE WHEN count(*) FILTER (event_type = 'click') > 10 THEN 'backlog' END,"
+       " CASE WHEN count(*) FILTER (event_type = 'signup') > 15 THEN 'worker-errors' END], lambda x: x IS NOT NULL), ',') AS alerts FROM events GROUP BY user_id")
+def deadman_strip(v: Views):
+    rows = v.table("events").groupBy("user_id").agg((F.max("ts") < F.expr("TIMESTAMP_NTZ'2024-01-25 00:00:00'")).alias("stale"),
+                                                    F.count_if(F.col("event_type") == "click").alias("q"), F.count_if(F.col("event_type") == "signup").alias("f"))
+    return rows.select("user_id", F.array_join(console.deadman_alerts(F.col("stale"), F.greatest(F.col("q") - 10, F.lit(0)), F.greatest(F.col("f") - 15, F.lit(0))), ",").alias("alerts"))
+
+
+@query(duck("ledger") + " SELECT entry_id, CASE WHEN extracted = 'done' AND session_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) THEN 'no' ELSE extracted END AS extracted FROM ledger")
+def requeue_failed(v: Views):
+    lost = v.ledger.join(v.table("customer").where("c_acctbal > 5000"), F.col("session_id") == F.col("c_custkey"), "left_semi")
+    return ledgers.requeue_failed(v.ledger, lost.select("entry_id")).select("entry_id", "extracted")
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def latest_versions(v: Views):
+    return ledgers.latest(v.table("events"), "user_id", "event_id").select("user_id", "event_id", "event_type")
+
+
+@query("SELECT regexp_extract(url, '^(.*)/[^/]*$', 1) AS folder, arg_max(url, struct_pack(a := page_id % 7, b := url)) AS path FROM pages GROUP BY 1")
+def newest_files(v: Views):
+    return files.newest(v.table("pages").select(F.col("url").alias("path"), (F.col("page_id") % 7).alias("modified")))
+
+
+@query("SELECT item_id AS task_id, unnest(list_filter(string_split(text, ' '), lambda w: w <> '')) AS finding FROM benchmark")
+def fan_out_findings(v: Views):
+    rows = v.table("benchmark").select(F.col("item_id").cast("string").alias("task_id"), F.col("text").alias("payload"))
+    found = seams.fan_out(rows, lambda text: [w for w in text.split(" ") if w])
+    return found.select(F.col("task_id").cast("long").alias("task_id"), "finding")
+
+
+@query("""WITH t AS (SELECT item_id, '## ' || s AS head, s AS section, text, n FROM benchmark, (VALUES ('TOP OF MIND', 1), ('OPEN THREADS', 2)) x(s, n))
+SELECT item_id AS text_id, section, md5(regexp_replace(text || CAST(n AS VARCHAR), '^\\s+|\\s+$', '', 'g')) AS body_md5 FROM t""")
+def briefing_sections(v: Views):
+    body = F.concat(F.lit("preface\n## TOP OF MIND\nold\n##  OPEN THREADS  \n\n"), F.col("text"), F.lit("2\n\n## TOP OF MIND\n"), F.col("text"), F.lit("1\n"))
+    out = console.parse_briefing(v.table("benchmark").select(F.col("item_id").alias("text_id"), body.alias("text")))
+    return out.select("text_id", "section", F.md5("body").alias("body_md5"))
+
+
+@query(duck("edges") + """, i AS (SELECT edge_id, CASE WHEN class = 'C1' THEN 'EARNED' ELSE 'REVERT' END AS ruling FROM edges WHERE invalid_at IS NOT NULL)
+SELECT edge_id, unnest(['revert', 'contest']) AS action FROM i WHERE ruling = 'REVERT'""")
+def judged_reverts(v: Views):
+    gone = v.edges.where("invalid_at is not null")
+    rulings = gone.where("class in ('C1', 'C3')").select("edge_id", F.when(F.col("class") == "C1", "EARNED").otherwise("maybe").alias("ruling"))
+    return gate.reverts(gate.judged(gone, rulings))
+
+
+@query("""WITH k AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, n, (a.vec_id * n + b.vec_id) % 11 + 1 AS rank FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND b.vec_id % 2 = a.vec_id % 2, (VALUES (1), (2)) t(n)),
+f AS (SELECT query_id, item_id, round(sum(1.0::DOUBLE / (rank + 1)), 6) AS score FROM k GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM f) SELECT * FROM r WHERE rank <= 5""")
+def rank_fusion(v: Views):
+    a, b = (v.vectors.select(F.col("vec_id").alias(c)) for c in ("query_id", "item_id"))
+    pairs = a.where("query_id % 20 = 0").join(b, F.col("query_id") % 2 == F.col("item_id") % 2)
+    rows = pairs.select("query_id", "item_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("n"))
+    return recall.fuse(rows.select("query_id", "item_id", ((F.col("query_id") * F.col("n") + F.col("item_id")) % 11 + 1).alias("rank")))
+
+
+@query(f"SELECT doc_id, md5(replace(text, left(text, 4), '<tombstone redacted at=2024-05-01 reason=''asked'' hash=' || sha256('{_PADS[1]}'::BLOB || unhex(sha256('{_PADS[0]}'::BLOB || encode(left(text, 4))))) || ' actor=me>')) AS text_md5 FROM documents WHERE length(text) >= 4")
+def redact_tombstones(v: Views):
+    secret = F.substring("text", 1, 4)
+    marker = tx.tombstone(tx.hmac_sha256(_TEST_KEY, secret), F.lit("asked"), F.lit("me"), F.lit("2024-05-01").cast("date"))
+    return v.docs.where(F.length("text") >= 4).select("doc_id", F.md5(tx.redact(F.col("text"), secret, marker)).alias("text_md5"))

@@ -71,10 +71,18 @@ def session_start(entries: DataFrame, lines: DataFrame, now: Column, cap: int =
     return state, sections.select("owner", "section", "body").unionByName(anchors)
 
 
-def supervise(commits: DataFrame, created: DataFrame, journal: DataFrame) -> dict[str, DataFrame]:
-    """Births, outcomes, journal rows and state changes of commits (see gate.run_gate)."""
+def supervise(
+    commits: DataFrame, created: DataFrame, journal: DataFrame, invalidated: DataFrame | None = None, rulings: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """Births, outcomes, journal rows and state changes of commits (see gate.run_gate); with the edges that a commit
+    invalidated (edge_id, .., evidence_against) and the judge's rulings (edge_id, ruling) also what is reopened."""
     outcomes = gate.run_gate(commits, created)
-    return {
+    more = {}
+    if invalidated is not None:
+        ruled = gate.judged(invalidated, rulings)
+        back = ruled.where("ruling = 'REVERT'").select("edge_id")
+        more = {"reverts": gate.reverts(ruled), "reopened": graph.reopen(invalidated.join(back, "edge_id", "left_semi"), F.col("commit_id").cast("string"))}
+    return more | {
         "births": gate.birth_verdicts(created, journal), "outcomes": outcomes, "journal": gate.gate_journal(commits, outcomes),
         "transitions": outcomes.select("edge_id", F.col("verdict").alias("before"), "after").where("before <> after"),
     }

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import scrub
+from ..functions.text import scrub, scrub_matches
+from ..operators.ledger import latest
 from ..values import ACTIONS, TASK_EVENTS
 
 HEADER = "episode_id string, ts string, session_id string, speakers array<string>, redactions array<struct<kind:string,fingerprint:string,via:string>>"
@@ -84,6 +85,18 @@ def append_journal(rows: DataFrame, path: str) -> None:
     append_log(rows.withColumn("action", checked).withColumn("date", F.to_date("ts")), path, ["date"])
 
 
+def append_edges(rows: DataFrame, path: str) -> None:
+    """Versions of edges (edge_id, version, ..): a change is one more row, nothing is rewritten."""
+    rows.write.mode("append").parquet(path)
+
+
+def read_edges(spark: SparkSession, path: str, known_at: Column | None = None) -> DataFrame:
+    """The edges as they are now, or as they were known at an instant (by created_at)."""
+    rows = spark.read.parquet(path)
+    rows = rows if known_at is None else rows.where(F.col("created_at") <= known_at)
+    return latest(rows, "edge_id")
+
+
 def append_task_events(rows: DataFrame, path: str) -> None:
     """Task events with their ordinals; an unknown event fails the whole append."""
     checked = F.when(F.col("event").isin(*TASK_EVENTS), F.col("event")).otherwise(
@@ -97,8 +110,11 @@ def append_ledger(rows: DataFrame, path: str) -> None:
 
 
 def write_episodes(rows: DataFrame, path: str) -> None:
-    """Episodes (header STRUCT, body) as text: the header's JSON, a blank line, the scrubbed body; one file each."""
-    text = F.concat(F.to_json("header"), F.lit("\n\n"), scrub(F.col("body")))
+    """Episodes (header STRUCT, body) as text: the header's JSON with what was hidden, a blank line, the scrubbed body;
+    one file each."""
+    hidden = F.transform(scrub_matches(F.col("body")), lambda m: F.struct(m["kind"].alias("kind"), F.lit("").alias("fingerprint"), m["via"].alias("via")))
+    header = F.col("header").withField("redactions", hidden)
+    text = F.concat(F.to_json(header), F.lit("\n\n"), scrub(F.col("body")))
     rows.select(F.col("header.episode_id").alias("episode"), text.alias("value")).repartition("episode").write.mode("append").partitionBy("episode").text(path)
 
 
