@@ -8,14 +8,15 @@ from pyspark.sql.window import Window
 
 from ..functions.similarity import cosine
 from ..values import LINK_LABELS, LOOKBACK, REFERENCE, SAME_TOPIC
-from .order import band_join, with_ordinal
+from .order import band_join, instant_part, with_ordinal
 
 
 def structural_links(ledger: DataFrame) -> DataFrame:
     """(entry_id, prev, next): prev is the latest earlier entry of the session, else of all; next is the
     last entry that has this one as prev. An as-of self-join by lag; only sessions' first entries look
     up their global prior, by an equi-join on the global ordinal."""
-    rows = with_ordinal(ledger.select("entry_id", "session_id", "ts"), F.date_trunc("hour", F.col("ts")), [F.col("ts"), F.col("entry_id")], "rn")
+    rows = ledger.select("entry_id", "session_id", "ts")
+    rows = with_ordinal(rows, F.date_trunc("hour", F.col("ts")), [F.col("ts"), F.col("entry_id")], "rn", instant_part(rows, "ts", "entry_id"))
     mine = F.lag("entry_id").over(Window.partitionBy("session_id").orderBy("rn"))
     rows = rows.withColumn("own", mine)
     firsts = rows.where("own is null")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from memspark import __main__ as cli
 from memspark.functions import text
-from memspark.operators import gate, graph, links, recall, tasks
+from memspark.operators import gate, graph, links, order, recall, tasks
 from memspark.plans import memory, saving, seams
 from memspark.sources import files, lock
 
@@ -95,6 +95,20 @@ def test_late_entries_rewire_nothing_old(spark):
     assert got == {"e1": (None, "e2"), "e3": ("e1", "e4"), "e5": ("e3", None), "e2": ("e1", None), "e4": ("e3", None), "e0": (None, None)}
 
 
+def test_ordinals_of_one_hot_instant(spark):
+    """All rows at one time: they are ranked in blocks of ids, and the plan has no task that sees them all."""
+    for rows in ([(i * 1000, at("2024-01-01")) for i in range(400)], [(f"EP-2024-01-01.{i:04d}", at("2024-01-01T10:00:00") if i % 3 else at("2024-01-01T10:30:00")) for i in range(300)], [(None, None), (1, None), (2, at("2024-01-01"))]):
+        kind = "string" if isinstance(rows[0][0], str) else "long"
+        df = spark.createDataFrame(rows, f"entry_id {kind}, ts timestamp_ntz").repartition(4)
+        part = order.instant_part(df, "ts", "entry_id")
+        out = order.with_ordinal(df, F.date_trunc("hour", F.col("ts")), [F.col("ts"), F.col("entry_id")], "n", part)
+        got = [(r.ts, r.entry_id) for r in sorted(out.collect(), key=lambda r: r.n)]
+        none = at("0001-01-01")
+        assert got == sorted(((t, i) for i, t in rows), key=lambda x: (x[0] or none, x[1] is not None, x[1]))
+        assert sorted(r.n for r in out.collect()) == list(range(1, len(rows) + 1))
+    assert df.select(F.count_distinct(order.instant_part(df, "ts", "entry_id"))).first()[0] >= 2
+
+
 def test_injection_says_why_there_is_nothing(spark):
     answers = spark.createDataFrame([(1, 70, "corroborated-partial", None), (2, 0, "honest-empty", "degraded"), (3, 0, "honest-empty", "PENDING"), (4, 0, "honest-empty", None)],
                                     "query_id int, score int, label string, cause string")
