@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,32 +19,54 @@ from ..values import (
 _PLACEHOLDER = r"<redacted:secret kind=[a-z_]+(?: hash=[0-9a-f]+)?>"
 
 
+#: What a text must contain for a rule to find anything; the lower-case ones in any case.
+_NEEDLES = {
+    "home": ("/Users/", "/home/"), "aws_access_key_id": ("AKIA", "ASIA"), "github_token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "slack_token": ("xox",),
+    "openai_key": ("sk-",), "anthropic_key": ("sk-ant-",), "google_api_key": ("AIza",), "private_key_block": ("-----BEGIN",), "jwt": ("eyJ",),
+    "env_assignment": ("=",),
+}
+_NEEDLES_ANY_CASE = {"auth_header": ("authorization",), "api_key_header": ("api-key", "x-auth-token", "apikey")}
+_NEVER = r"\A(?!)"
+
+
+def _where_needed(source: Column, kind: str, pattern: str) -> Column:
+    """The pattern for texts that have one of the rule's needles, one that fails at once for the others. The needles
+    are looked for in the source, so that the expression does not grow with each rule."""
+    low = kind in _NEEDLES_ANY_CASE
+    looked, needles = (F.lower(source), _NEEDLES_ANY_CASE[kind]) if low else (source, _NEEDLES[kind])
+    return F.when(reduce(Column.__or__, [looked.contains(n) for n in needles]), F.lit(pattern)).otherwise(F.lit(_NEVER))
+
+
 def mask_home_paths(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)(?<!\w)/(?:Users|home)/[^/\s]+", "~")
+    return F.regexp_replace(text, _where_needed(text, "home", r"(?U)(?<!\w)/(?:Users|home)/[^/\s]+"), F.lit("~"))
 
 
 def placeholder(kind: str) -> str:
     return f"<redacted:secret kind={kind}>"
 
 
-def scrub_patterns(text: Column) -> Column:
+def scrub_patterns(text: Column, source: Column | None = None) -> Column:
     """Known secrets replaced by placeholders, most specific kind first. A value that is already a
-    placeholder, quoted or not, is left, so a second pass changes nothing."""
+    placeholder, quoted or not, is left, so a second pass changes nothing.
+
+    source: the column that text was made from, if what was done to it takes no secret away.
+    """
     out = text
+    source = text if source is None else source
     for kind, pattern, group in SECRET_PATTERNS:
         if group:
             # no value of these begins inside a placeholder: < is not one of its characters
-            out = F.regexp_replace(out, f"(?U){pattern}", f"$1{placeholder(kind)}")
+            out = F.regexp_replace(out, _where_needed(source, kind, f"(?U){pattern}"), F.lit(f"$1{placeholder(kind)}"))
         else:
-            out = F.regexp_replace(out, f"(?U){pattern}", placeholder(kind))
+            out = F.regexp_replace(out, _where_needed(source, kind, f"(?U){pattern}"), F.lit(placeholder(kind)))
     name = "[A-Za-z0-9_]*(?:" + "|".join(SECRET_NAME_WORDS) + ")[A-Za-z0-9_]*"
     head = rf"(?imdU)^(\s*(?:export\s+)?{name}\s*=\s*)"
     mark = placeholder("env_assignment")
     kept = "(?!<redacted:secret)"
-    out = F.regexp_replace(out, rf'{head}"{kept}[^"]*"', f'$1"{mark}"')
-    out = F.regexp_replace(out, rf"{head}'{kept}[^']*'", f"$1'{mark}'")
+    out = F.regexp_replace(out, _where_needed(source, "env_assignment", rf'{head}"{kept}[^"]*"'), F.lit(f'$1"{mark}"'))
+    out = F.regexp_replace(out, _where_needed(source, "env_assignment", rf"{head}'{kept}[^']*'"), F.lit(f"$1'{mark}'"))
     # bare, or with a quote that is never closed
-    return F.regexp_replace(out, rf"""{head}(?!"[^"]*"|'[^']*'|<redacted:secret)[^\s#]+""", f"$1{mark}")
+    return F.regexp_replace(out, _where_needed(source, "env_assignment", rf"""{head}(?!"[^"]*"|'[^']*'|<redacted:secret)[^\s#]+"""), F.lit(f"$1{mark}"))
 
 
 def shannon_entropy(s: Column) -> Column:
@@ -66,37 +89,45 @@ def scrub_entropy(text: Column) -> Column:
     """Long tokens of high entropy replaced. Tokens and the text between them are taken apart and
     joined again, placeholders count as tokens and stay."""
     token = f"{_PLACEHOLDER}|{ENTROPY_TOKEN}"
-    between = F.split(text, token, -1)
-    found = F.regexp_extract_all(text, F.lit(token), F.lit(0))
 
     def judge(t: Column) -> Column:
         keep = t.startswith("<redacted:secret") | allowed_token(t) | (shannon_entropy(t) < ENTROPY_BITS)
         return F.when(keep, t).otherwise(F.lit(placeholder("high_entropy")))
 
-    judged = F.concat(F.transform(found, judge), F.array(F.lit("")))
-    # most texts have no such token
-    return F.when(
-        text.rlike(ENTROPY_TOKEN), F.array_join(F.zip_with(between, judged, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    ).otherwise(text)
+    def replaced(x: Column) -> Column:
+        between = F.split(x, token, -1)
+        judged = F.concat(F.transform(F.regexp_extract_all(x, F.lit(token), F.lit(0)), judge), F.array(F.lit("")))
+        # most texts have no such token
+        return F.when(
+            x.rlike(ENTROPY_TOKEN), F.array_join(F.zip_with(between, judged, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+        ).otherwise(x)
+
+    # as the variable of a lambda the text, itself a long expression, is there once
+    return F.transform(F.array(text), replaced)[0]
 
 
 def scrub(text: Column) -> Column:
     """Home paths, known secrets, random-looking tokens; null becomes empty."""
-    return scrub_entropy(scrub_patterns(mask_home_paths(F.coalesce(text, F.lit("")))))
+    source = F.coalesce(text, F.lit(""))
+    return scrub_entropy(scrub_patterns(mask_home_paths(source), source))
 
 
 def scrub_matches(text: Column) -> Column:
     """array<struct<kind, via>>: what scrub() replaces, by kind; placeholders that were there before don't count."""
-    pattern = r"<redacted:secret kind=([a-z_]+)(?: hash=[0-9a-f]+)?>"
-    before = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(1))
-    after = F.regexp_extract_all(scrub(text), F.lit(pattern), F.lit(1))
+    pattern = F.lit(r"<redacted:secret kind=([a-z_]+)(?: hash=[0-9a-f]+)?>")
+
+    def listed(out: Column) -> Column:
+        before, after = (F.regexp_extract_all(x, pattern, F.lit(1)) for x in (F.coalesce(text, F.lit("")), out))
+
+        def fresh(kind: Column) -> Column:
+            n = F.size(F.filter(after, lambda k: k == kind)) - F.size(F.filter(before, lambda k: k == kind))
+            via = F.when(kind == "high_entropy", "entropy").otherwise("pattern")
+            return F.array_repeat(F.struct(kind.alias("kind"), via.alias("via")), F.greatest(n, F.lit(0)))
 
-    def fresh(kind: Column) -> Column:
-        n = F.size(F.filter(after, lambda k: k == kind)) - F.size(F.filter(before, lambda k: k == kind))
-        via = F.when(kind == "high_entropy", "entropy").otherwise("pattern")
-        return F.array_repeat(F.struct(kind.alias("kind"), via.alias("via")), F.greatest(n, F.lit(0)))
+        return F.flatten(F.transform(F.array_sort(F.array_distinct(after)), fresh))
 
-    return F.flatten(F.transform(F.array_sort(F.array_distinct(after)), fresh))
+    # as the variable of a lambda the scrubbed text is made once, however often it is used
+    return F.transform(F.array(scrub(text)), listed)[0]
 
 
 def hmac_sha256(key: bytes, message: Column) -> Column:

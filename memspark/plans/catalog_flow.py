@@ -315,3 +315,49 @@ def redact_tombstones(v: Views):
     secret = F.substring("text", 1, 4)
     marker = tx.tombstone(tx.hmac_sha256(_TEST_KEY, secret), F.lit("asked"), F.lit("me"), F.lit("2024-05-01").cast("date"))
     return v.docs.where(F.length("text") >= 4).select("doc_id", F.md5(tx.redact(F.col("text"), secret, marker)).alias("text_md5"))
+
+
+def _tool_lines(v: Views):
+    """Records of tool calls and, later in the file, their results; every third call has none, every fifth has two."""
+    turn, text = F.col("turn"), F.col("text")
+    call = F.concat(F.lit("c"), turn.cast("string"))
+    asked = F.to_json(F.struct(F.lit("assistant").alias("type"), F.struct(F.array(F.struct(
+        F.lit("tool_use").alias("type"), call.alias("id"), F.lit("read").alias("name"), F.struct(F.concat(F.lit("/x/"), turn.cast("string")).alias("path")).alias("input"))).alias("content")).alias("message")))
+
+    def told(content):
+        return F.to_json(F.struct(F.lit("user").alias("type"), F.struct(F.array(F.struct(
+            F.lit("tool_result").alias("type"), call.alias("tool_use_id"), content.alias("content"))).alias("content")).alias("message")))
+
+    base = v.table("conversations").select(F.col("conv_id").alias("session_id"), turn, text)
+    calls = base.select("session_id", (turn * 10).alias("pos"), asked.alias("line"))
+    first = base.where("turn % 3 <> 0").select("session_id", (turn * 10 + 1).alias("pos"), told(F.concat(F.lit("first "), text)).alias("line"))
+    last = base.where("turn % 3 <> 0 and turn % 5 = 0").select("session_id", (turn * 10 + 2).alias("pos"), told(F.array(F.struct(F.lit("text").alias("type"), text.alias("text")))).alias("line"))
+    return calls.unionByName(first).unionByName(last)
+
+
+@query("""SELECT conv_id AS session_id, turn * 10 AS pos, 'tool_use' AS type, 'read' AS tool_name, '{"path":"/x/' || CAST(turn AS VARCHAR) || '"}' AS tool_input,
+ md5(CASE WHEN turn % 3 = 0 THEN '' WHEN turn % 5 = 0 THEN text ELSE 'first ' || text END) AS response_md5 FROM conversations""")
+def tool_events(v: Views):
+    found = transcript.transcript_events(files.parse_lines(_tool_lines(v)))
+    return found.select("session_id", "pos", "type", "tool_name", "tool_input", F.md5("tool_response").alias("response_md5"))
+
+
+_KINDS = """WITH e AS (SELECT user_id AS session_id, event_id AS seq, CASE event_type WHEN 'click' THEN 'assistant_thinking' WHEN 'view' THEN 'tool_use' WHEN 'signup' THEN 'task_created'
+  WHEN 'purchase' THEN 'task_completed' ELSE 'harness' END AS type, 'e' || CAST(event_id AS VARCHAR) AS text, event_id % 2 = 0 AS hot FROM events)
+"""
+
+
+@query(_KINDS + """SELECT session_id, seq, 'flight_recorder' AS projection, 'thinking' AS kind, text AS content, NULL AS sensitive FROM e WHERE type = 'assistant_thinking'
+UNION ALL SELECT session_id, seq, 'flight_recorder', 'action', 'out of ' || text, CAST(hot AS VARCHAR) FROM e WHERE type = 'tool_use'
+UNION ALL SELECT session_id, seq, 'memory_grade', 'action', 'why — ' || text, CAST(hot AS VARCHAR) FROM e WHERE type = 'tool_use'
+UNION ALL SELECT session_id, seq, p, CASE type WHEN 'task_created' THEN 'task.created' ELSE 'task.completed' END, text, NULL FROM e, (VALUES ('flight_recorder'), ('memory_grade')) f(p) WHERE type LIKE 'task%'""")
+def capture_kinds(v: Views):
+    """Thinking, tools and tasks through both projections; the tools' paths are sensitive for every other event."""
+    kind, k = F.col("event_type"), F.col("event_id")
+    kinds = F.when(kind == "click", "assistant_thinking").when(kind == "view", "tool_use").when(kind == "signup", "task_created").when(kind == "purchase", "task_completed").otherwise("harness")
+    text = F.concat(F.lit("e"), k.cast("string"))
+    rows = v.table("events").select(
+        F.col("user_id").alias("session_id"), k.alias("seq"), kinds.alias("type"), text.alias("text"), F.lit("read").alias("tool_name"), F.lit("why").alias("description"),
+        F.when(k % 2 == 0, "/x/.SSH/id_rsa").otherwise("/x/notes").alias("tool_input"), F.concat(F.lit("out of "), text).alias("tool_response"), text.alias("task_id"))
+    out = transcript.project(transcript.events_of(rows))
+    return out.select("session_id", "seq", "projection", "kind", "content", F.col("meta")["sensitive_surface"].alias("sensitive"))

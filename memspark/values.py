@@ -37,10 +37,10 @@ LINK_LABELS = {
     "same_topic": "SAME_TOPIC", "supersedes": "SUPERSEDES", "caused_by": "CAUSED_BY",
 }
 
-# fixed values: the authors written into projections unless told otherwise, and the only one who may commit findings
+# defaults: the authors written into projections unless Options say otherwise, and the only one who may commit findings
 USER_AUTHOR = "principal"
-ASSISTANT_AUTHOR = "daimon"
-FINDINGS_WRITER = "Daimon"
+ASSISTANT_AUTHOR = "assistant"
+FINDINGS_WRITER = "assistant"
 
 # fixed values: recall
 TIER_DEPTHS = {

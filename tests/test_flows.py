@@ -48,23 +48,37 @@ def test_save_moment(spark):
     assert [(r.entry_id, r.prev, r.annotation) for r in tools] == [("EP-2024-01-04.0001", "e0", True)]
 
 
-@pytest.mark.parametrize("event, wal, annotate, delta, session, want", [
+DISPATCH = [
     ("Stop", True, False, False, "a", ("append", False, None, None)), ("PreCompact", True, False, False, "a", ("append", False, None, False)),
     ("SessionEnd", True, True, False, "a", ("annotate", True, None, None)), ("Stop", True, True, False, "c", ("skip", False, "no-new-material", None)),
     ("PreCompact", True, True, False, "c", ("skip", False, None, False)), ("Stop", False, True, False, "a", ("episode", True, None, None)),
     ("Stop", False, True, True, "a", ("skip", False, "no-new-material", None)), ("Stop", False, True, True, "b", ("episode", True, None, None)),
     ("PreCompact", False, True, True, "a", ("episode", True, None, True)), ("Stop", False, False, False, "c", ("episode", True, None, None)),
-])
-def test_dispatch(spark, event, wal, annotate, delta, session, want):
-    events, counts = told(spark)
-    ledger = spark.createDataFrame([("x", "a", at("2024-01-04"), at("2024-01-05"))], LEDGER)
-    hooks = spark.createDataFrame([(session, event, at("2024-01-05"), wal, annotate, delta), ("a", "Notification", at("2024-01-05"), wal, annotate, delta)],
+]
+
+
+def test_dispatch(spark):
+    """Every case is a session of its own, told like the session it names; one more hook is of no concern to saving."""
+    events, _ = told(spark)
+    cases = spark.createDataFrame([(f"{n}", case[4]) for n, case in enumerate(DISPATCH)], "name string, like string")
+    events = cases.join(events, F.col("like") == F.col("session_id")).select(F.col("name").alias("session_id"), "pos", "type", "text").cache()
+    counts = events.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+    ledger = spark.createDataFrame([("x", f"{n}", at("2024-01-04"), at("2024-01-05")) for n, case in enumerate(DISPATCH) if case[4] == "a"], LEDGER)
+    hooks = [(f"{n}", event, at("2024-01-05"), wal, annotate, delta) for n, (event, wal, annotate, delta, *_) in enumerate(DISPATCH)]
+    hooks = spark.createDataFrame([*hooks, ("0", "Notification", at("2024-01-05"), True, True, True)],
                                   "session_id string, event string, now timestamp_ntz, wal boolean, annotate boolean, cursor_delta boolean")
     out = saving.dispatch(hooks, events, counts, spark.createDataFrame([], "session_id string, captured int"), ledger)
-    (r,) = out["outcomes"].collect()
-    assert (r.way, r.entry_id is not None, r.reason, r.diary_regenerated) == want
-    assert out["entries"].count() == out["lines"].count() * 0 + (r.way in ("annotate", "episode")) and out["episodes"].count() == (r.way == "episode")
-    assert out["lines"].count() == (2 if r.way in ("append", "annotate") else 0)
+    got = {int(r.session_id): r for r in out["outcomes"].collect()}
+    assert {n: (r.way, r.entry_id is not None, r.reason, r.diary_regenerated) for n, r in got.items()} == {n: case[5] for n, case in enumerate(DISPATCH)}
+    ways = {str(n): r.way for n, r in got.items()}
+
+    def sessions(name):
+        return sorted(r.session_id for r in out[name].select("session_id").collect())
+
+    assert sessions("entries") == sorted(s for s, w in ways.items() if w in ("annotate", "episode"))
+    assert sessions("episodes") == sorted(s for s, w in ways.items() if w == "episode")
+    assert sessions("lines") == sorted([s for s, w in ways.items() if w in ("append", "annotate")] * 2)
+    assert sessions("captured") == sorted(s for s, w in ways.items() if w == "append")
 
 
 def test_drain_uses_old_edges_again_and_holds_what_nobody_judged(spark):
