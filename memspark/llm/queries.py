@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, pii, quality, sharding, simhash, substring, tokens, toxicity
+from . import chat, decontaminate, filteraudit, language, mixing, pii, quality, resampling, sharding, simhash, substring, tokens, toxicity
 from .common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,70 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_suffix_family_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_spans(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resampling.resample(docs, table(spark, sf_dir, "benchmark"), columns=["doc_id"])
+
+
+ORACLE_SQL["op11_importance_resampling"] = r"""
+WITH RECURSIVE crc(b, c, k) AS (
+  SELECT range, range, 0 FROM range(256)
+  UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc WHERE k < 8
+), byte AS (SELECT list(c ORDER BY b) AS t FROM crc WHERE k = 8),
+words(src, doc_id, word) AS (
+  SELECT 'd', doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM documents
+  UNION ALL SELECT 't', item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark
+), bucket AS (
+  SELECT word, xor(list_reduce(list_transform(range(1, strlen(word) + 1), lambda i: CAST('0x' || substr(hex(encode(word)), 2 * i - 1, 2) AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT word FROM words), byte
+), n AS (SELECT bucket, count(*) FILTER (src = 'd') AS s, count(*) FILTER (src = 't') AS t FROM words JOIN bucket USING (word) GROUP BY 1),
+total AS (SELECT CAST(sum(s) AS DOUBLE) AS ss, CAST(sum(t) AS DOUBLE) AS tt FROM n),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * (ss + 10000) / ((s + 1) * (tt + 10000)))) AS BIGINT) AS gain FROM n, total),
+f AS (SELECT doc_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS g FROM words JOIN bucket USING (word) JOIN gain USING (bucket) WHERE src = 'd' GROUP BY 1),
+w AS (SELECT d.doc_id, coalesce(n, 0) AS n_features, coalesce((g - ((g % n) + n) % n) // n, 0) AS weight,
+  CAST('0x' || substr(sha256('2024:' || CAST(d.doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS h FROM documents d LEFT JOIN f USING (doc_id)),
+s AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM w),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS all_docs FROM s WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * all_docs // 100 THEN rank END AS rank FROM s LEFT JOIN r USING (doc_id)
+"""
+
+
+@_query
+def op12_segmented_unigram_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    found = language.identify(docs.drop("lang"), model)
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op13_bitmap_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLE_SQL["op13_bitmap_filter_audit"] = r"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+b AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  [len(words) < 50, 100 * len(list_distinct(words)) < 65 * len(words), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text),
+   regexp_matches(text, '[#$%&*|]'), doc_id > first] AS f FROM w LEFT JOIN l USING (doc_id)),
+k AS (SELECT part, f, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM b GROUP BY 1, 2),
+o(p) AS (SELECT '' UNION ALL SELECT p || c FROM o, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(c) WHERE NOT contains(p, c)),
+s AS (SELECT p AS filter_order, step, substr(p, step, 1) AS filter, strpos('ABCDE', substr(p, step, 1)) AS i,
+  list_transform(string_split(substr(p, 1, step - 1), ''), lambda c: strpos('ABCDE', c)) AS before FROM o, range(1, 6) r(step) WHERE length(p) = 5),
+j AS (SELECT part, filter_order, CAST(step AS INT) AS step, filter, n, g, x, f[i] AS here,
+  step > 1 AND len(list_filter(before, lambda q: coalesce(f[q], false))) > 0 AS gone, len(list_filter(f, lambda q: q)) AS failed FROM k, s),
+a AS (SELECT part, filter_order, step, filter, CAST(coalesce(sum(n) FILTER (NOT here AND NOT gone), 0) AS BIGINT) AS kept,
+  CAST(coalesce(sum(n) FILTER (here AND NOT gone), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER (here AND gone), 0) AS BIGINT) AS redundant,
+  CAST(coalesce(sum(n) FILTER (here AND failed = 1), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(g) FILTER (here AND NOT gone), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(x) FILTER (here AND NOT gone), 0) AS BIGINT) AS toxic_lost FROM j GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM a
+"""
