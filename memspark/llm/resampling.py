@@ -67,7 +67,9 @@ def positions(rows: DataFrame, order: int = ORDER, keyed: bool = True) -> DataFr
     doc_id = F.col("doc_id") if keyed else F.lit(None)
     key = key_columns(doc_id, F.coalesce(F.col("text").cast("string"), F.lit("")))
     if order == 1:
-        made = rows.select(*(key if keyed else []), F.posexplode(split_words(F.col("text"))).alias("pos", "w1"))
+        # two steps: what stands beside a generator is computed again for each of its rows
+        split = rows.select(*(key if keyed else []), split_words(F.col("text")).alias("words"))
+        made = split.select(*(KEY if keyed else []), F.posexplode("words").alias("pos", "w1"))
         return made.withColumn("copies", F.lit(1)).withColumn("first", (F.col("pos") == 0).cast("int"))
     whole = rows.select(*key, "text").groupBy(*KEY).agg(F.max("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     made = whole.select(*KEY, "copies", F.posexplode(split_words(F.col("text"))).alias("pos", "w1")).where("w1 != ''")
