@@ -9,12 +9,14 @@ code points that occurs in a document with k edits or fewer shares m + 1 - q (k
 q-grams with it at least, all within k of one diagonal.
 
 1. Filter: only stretches of a document in which enough q-grams occur in any window go on.
-2. Count: their hits are laid on diagonal bands of the items joined end to end; bands are
+2. Equal text: where a window's first q-gram hits, hashes of the document's next stretches, one for each length that such
+   windows have, are looked up among the windows' hashes and compared. Equal text needs no alignment.
+3. Count: the hits are laid on diagonal bands of the items joined end to end; bands are
    2 (k + 1) wide and overlap by half, so all hits of one occurrence fall into one band. Only windows
-   with as many hits in a band as the bound asks for go on.
-3. Verify: equal text needs no alignment. Of the other candidates those whose middle lies in equal
-   text are left out, as the place is known to be a benchmark's; the rest must end within k edits
-   by banded alignment.
+   with as many hits in a band as the bound asks for go on, and only where one of these hits reaches out of equal text:
+   else the place is known to be a benchmark's, whatever number of items share it.
+4. Verify: of the candidates those whose middle lies in equal text are left out for the same reason; the rest must end
+   within k edits by banded alignment.
 
 A result is a stretch of a document that windows of one item cover.
 
@@ -50,6 +52,7 @@ INDEX_CHARS = 4_000_000
 TABLE_BITS = 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
+_INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
 #: Code points of documents handled at once; a longer document is handled alone.
 _CHUNK = 1 << 18
 _PAIRS = 1 << 20
@@ -150,14 +153,26 @@ def _distinct(values: np.ndarray) -> np.ndarray:
     return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
 
 
-def _prefix(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of code points times powers of the base, and those powers: hashes of any stretch."""
-    power = np.full(len(codes) + 1, _BASE, dtype=np.uint64)
-    power[0] = 1
-    power = np.multiply.accumulate(power)
+def _prefix(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of code points times powers of the base, those powers and their inverses: hashes of any stretch."""
+    power, inverse = (np.full(len(codes) + 1, x, dtype=np.uint64) for x in (_BASE, _INVERSE))
+    power[0] = inverse[0] = 1
+    power, inverse = np.multiply.accumulate(power), np.multiply.accumulate(inverse)
     sums = np.zeros(len(codes) + 1, dtype=np.uint64)
     np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
-    return sums, power
+    return sums, power, inverse
+
+
+def _digest(sums: np.ndarray, inverse: np.ndarray, at: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Hashes of the stretches of m code points from `at`, wherever they lie."""
+    return (sums[at + m] - sums[at]) * inverse[at] + m.astype(np.uint64) * _MIX
+
+
+def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, number) for the numbers of the ranges low to high, high exclusive."""
+    count = np.maximum(high - low, 0)
+    which = np.repeat(np.arange(len(low)), count)
+    return which, low[which] + np.arange(len(which)) - (np.cumsum(count) - count)[which]
 
 
 class Index:
@@ -202,6 +217,14 @@ class Index:
         self.seen[(self.keys >> self.shift).astype(np.int64)] = True
         self.span = int((self.m + self.k).max(initial=0))
         self.fewest = int(self.least.min(initial=1))
+        # what equals a window: the lengths of the windows that begin with each q-gram, and all windows' hashes in order
+        head = np.searchsorted(self.keys, qgrams(self.codes)[self.at]) if len(self.at) else np.empty(0, np.int64)
+        pairs = _distinct(head * (self.span + 1) + self.m)
+        self.lengths = pairs % (self.span + 1)
+        self.first_length = np.searchsorted(pairs, np.arange(len(self.keys) + 1) * (self.span + 1))
+        digest = _digest(*_prefix(self.codes)[::2], self.at, self.m)
+        self.by_digest = np.argsort(digest, kind="stable")
+        self.digests = digest[self.by_digest]
 
     def window(self, w: int) -> np.ndarray:
         return self.codes[self.at[w]:self.at[w] + self.m[w]]
@@ -231,27 +254,67 @@ class Index:
             np.add.at(cover, (np.arange(len(at)) + after)[dense], -1)
             inside = np.cumsum(cover[:-1]) > 0
             at, place = at[inside], place[inside]
+        out, covered = self._equal(codes, doc, at, place)
+        # hits more than half in equal text name no further window, but add to those of the windows that reach out of it
+        bare = np.concatenate([[0], np.cumsum(covered == 0)])
+        inside = (bare[Q:Q + n] - bare[:n] < Q // 2) & (not every)
+        cover = np.concatenate([[0], np.cumsum(inside)])
+        own = ~inside[at]
+        at, place = at[own], place[own]
+        beside = cover[np.minimum(at + reach, n)] > cover[np.maximum(at - reach, 0)]
         lists = self.first[place + 1] - self.first[place]
         # pieces of bounded work; windows' lengths overlap so that no band is torn
         found, start = [], 0
+        wide = len(codes) + 2 * (self.span + 1)  # a candidate's first place is no further outside
         while start < len(at):
             total = np.cumsum(lists[start:])
             stop = start + int(np.searchsorted(total, _PAIRS))
             stop = max(stop, int(np.searchsorted(at, at[start] + 4 * reach)))
-            w, left = self._count(at[start:stop], place[start:stop], lists[start:stop])
-            found.append(w * (len(codes) + 2 * (self.span + 1)) + left + self.span + 1)
+            w, left = self._count(at[start:stop], place[start:stop], lists[start:stop], beside[start:stop], cover)
+            found.append(w * wide + left + self.span + 1)
             if stop >= len(at):
                 break
             start = int(np.searchsorted(at, at[stop - 1] - 2 * reach))
-        wide = len(codes) + 2 * (self.span + 1)  # a candidate's first place is no further outside
         both = _distinct(np.concatenate(found)) if found else np.empty(0, np.int64)
         w, left = both // wide, both % wide - self.span - 1
-        return self._verify(codes, doc, w, left, every)
-
-    def _count(self, at, place, lists):
-        """The candidates that have enough hits in a band: windows, and the first place for the begin of each."""
-        each = np.repeat(np.arange(len(at)), lists)
-        entry = np.arange(len(each)) - np.repeat(np.cumsum(lists) - lists, lists) + self.first[place][each]
+        return list(dict.fromkeys(out + self._verify(codes, doc, w, left, covered, every)))
+
+    def _equal(self, codes, doc, at, place):
+        """(occurrences of windows' very text, how many of them cover each code point) from the places of hits."""
+        which, entry = _spread(self.first_length[place], self.first_length[place + 1])
+        begin, m = at[which], self.lengths[entry]
+        fits = begin + m <= len(codes)
+        begin, m = begin[fits], m[fits]
+        same = doc[begin] == doc[begin + m - 1]
+        begin, m = begin[same], m[same]
+        covered = np.zeros(len(codes) + 1, dtype=np.int64)
+        digest = _digest(*_prefix(codes)[::2], begin, m)
+        spot = np.searchsorted(self.digests, digest)
+        spot[spot == len(self.digests)] = 0
+        out = []
+        for i in np.flatnonzero(self.digests[spot] == digest).tolist():
+            w, s, e = int(self.by_digest[spot[i]]), int(begin[i]), int(begin[i] + m[i])
+            if np.array_equal(codes[s:e], self.window(w)):
+                out.append((w, int(doc[s]), s, e, 0))
+                covered[s] += 1
+                covered[e] -= 1
+        covered = np.cumsum(covered[:-1])
+        # a gap that no q-gram fits in is no text of its own
+        turn = np.diff(np.concatenate([[0], (covered == 0).astype(np.int8), [0]]))
+        low, high = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+        gap = (low > 0) & (high < len(codes)) & (high - low < Q)
+        gap[gap] = doc[low[gap] - 1] == doc[high[gap]]
+        _, filled = _spread(low[gap], high[gap])
+        covered[filled] = 1
+        return out, covered
+
+    def _count(self, at, place, lists, beside, cover):
+        """The candidates that have enough hits in a band: windows, and the first place for the begin of each.
+
+        beside: hits that have equal text near them; cover: how many q-grams before each place lie in equal text. They
+        may all be hits, so beside them a window needs fewer hits of its own, one at least.
+        """
+        each, entry = _spread(self.first[place], self.first[place] + lists)
         pos = self.pos[entry]
         diagonal = at[each] - pos + self.text  # not negative
         block = self.text + self.span + 1
@@ -261,57 +324,65 @@ class Index:
             begin, reach, need = self.at[mine], int(self.m[mine].max()) - Q, int(self.least[mine].min())
             width = int(k) + 1
             band = diagonal // width
-            # an occurrence's diagonals lie within k of its own: in this band and the next, or the one before
-            key = _distinct(np.concatenate([band + 1, band]) * block + np.concatenate([pos, pos]))
-            if len(key) < need:
-                continue
-            near = np.flatnonzero(key[need - 1:] - key[:len(key) - need + 1] <= reach)
-            base = key[near] // block * block
-            low = np.searchsorted(begin, key[near + need - 1] - reach - base)
-            high = np.searchsorted(begin, key[near] - base, side="right")
-            # bounds rise inside a band: take each window once
-            again = np.flatnonzero(np.diff(base) == 0) + 1
-            low[again] = np.maximum(low[again], high[again - 1])
-            count = np.maximum(high - low, 0)
-            w = mine[np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-            home = np.repeat(base, count)
-            hits = (np.searchsorted(key, home + self.at[w] + self.m[w] - Q, side="right")
-                    - np.searchsorted(key, home + self.at[w]))
-            enough = hits >= self.least[w]
-            w, b = w[enough], home[enough] // block - 1
-            found.append(np.stack([w, b * width - self.text + self.at[w]]))
+
+            def keys(hits):
+                # an occurrence's diagonals lie within k of its own: in this band and the next, or the one before
+                return _distinct(np.concatenate([band[hits] + 1, band[hits]]) * block + np.concatenate([pos[hits], pos[hits]]))
+
+            def hits_in(w, home):
+                return (np.searchsorted(key, home + self.at[w] + self.m[w] - Q, side="right")
+                        - np.searchsorted(key, home + self.at[w]))
+
+            key = keys(slice(None))
+            if len(key) >= need:
+                near = np.flatnonzero(key[need - 1:] - key[:len(key) - need + 1] <= reach)
+                base = key[near] // block * block
+                low = np.searchsorted(begin, key[near + need - 1] - reach - base)
+                high = np.searchsorted(begin, key[near] - base, side="right")
+                # bounds rise inside a band: take each window once
+                again = np.flatnonzero(np.diff(base) == 0) + 1
+                low[again] = np.maximum(low[again], high[again - 1])
+                which, entry = _spread(low, high)
+                w, home = mine[entry], base[which]
+                enough = hits_in(w, home) >= self.least[w]
+                w, b = w[enough], home[enough] // block - 1
+                found.append(np.stack([w, b * width - self.text + self.at[w]]))
+            if beside.any():
+                some = keys(beside[each])
+                base = some // block * block
+                which, entry = _spread(np.searchsorted(begin, some - reach - base), np.searchsorted(begin, some - base, side="right"))
+                w, home = mine[entry], base[which]
+                left = (home // block - 1) * width - self.text + self.at[w]
+                low, high = (np.clip(x, 0, len(cover) - 1) for x in (left, left + self.m[w] + 2 * width))
+                hits = hits_in(w, home)
+                enough = (hits > 0) & (hits + cover[high] - cover[low] >= self.least[w])
+                found.append(np.stack([w[enough], left[enough]]))
         return np.concatenate(found, axis=1)
 
-    def _verify(self, codes, doc, w, left, every):
-        """The occurrences within k edits in each candidate band; left: its first place for the window's begin."""
+    def _verify(self, codes, doc, w, left, covered, every):
+        """The occurrences within k edits in each candidate band; left: its first place for the window's begin.
+
+        covered: how many windows' very text covers each code point; those occurrences are known.
+        """
         if not len(w):
             return []
         out = []
-        # equal text: by polynomial hashes on each diagonal, then code point by code point
-        sums, power = _prefix(codes)
-        own, own_power = _prefix(self.codes)
+        # equal text: by polynomial hashes on each diagonal
+        sums, _, inverse = _prefix(codes)
+        own, _, own_inverse = _prefix(self.codes)
         m, rest = self.m[w], np.ones(len(w), dtype=bool)
-        value = own[self.at[w] + m] - own[self.at[w]]
-        covered = np.zeros(len(codes) + 1, dtype=np.int64)
+        value = _digest(own, own_inverse, self.at[w], m)
         for d in range(int(2 * self.k.max() + 2)):
             at = left + d
             maybe = np.flatnonzero(rest & (d < 2 * self.k[w] + 2) & (at >= 0) & (at + m <= len(codes)))
-            a = at[maybe]
-            same = (sums[a + m[maybe]] - sums[a]) * own_power[self.at[w[maybe]]] == value[maybe] * power[a]
-            for c in maybe[same].tolist():
-                x, p = int(w[c]), int(at[c])
-                if doc[p] == doc[p + m[c] - 1] and np.array_equal(codes[p:p + m[c]], self.window(x)):
-                    out.append((x, int(doc[p]), p, p + int(m[c]), 0))
-                    rest[c] = False
-                    covered[p] += 1
-                    covered[p + m[c]] -= 1
+            rest[maybe[_digest(sums, inverse, at[maybe], m[maybe]) == value[maybe]]] = False
         if not every:
             middle = np.clip(left + self.k[w] + m // 2, 0, len(codes) - 1)
-            rest &= np.cumsum(covered)[middle] == 0
+            rest &= covered[middle] == 0
         w, left = w[rest], left[rest]
         for i in range(0, len(w), 4096):
             out += self._align(codes, doc, w[i:i + 4096], left[i:i + 4096])
-        return list(dict.fromkeys(out))
+        return out
 
     def _align(self, codes, doc, w, left):
         """Banded alignment of each window with its stretch, all at once, row by row."""

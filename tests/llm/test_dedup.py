@@ -10,6 +10,7 @@ import xxhash
 from conftest import prose
 
 from memspark.llm import common, decontaminate, nearcopies, simhash, substring
+from memspark.llm.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -316,6 +317,63 @@ def test_a_sentence_that_all_items_share_is_no_burden():
     assert took < 5 and built - start < 20, (took, built - start)
 
 
+def test_work_does_not_grow_with_the_items_that_share_a_sentence(monkeypatch):
+    """The hits that are laid on bands and the windows aligned do not grow with the items that share a sentence."""
+    work = []
+    for name in ("_count", "_align"):
+        def counted(self, *args, call=getattr(decontaminate.Index, name)):
+            work[-1] += int(args[2].sum()) if call.__name__ == "_count" else len(args[2])
+            return call(self, *args)
+
+        monkeypatch.setattr(decontaminate.Index, name, counted)
+    shared = "all of these items begin with this very sentence that says nothing at all about what they ask "
+    for n in (200, 1600):
+        rnd = random.Random(14)
+        items = [(i, shared + prose(rnd, 30)) for i in range(n)]
+        index = indexed(items)
+        for text in (shared * 100, " ".join(shared + prose(rnd, 12) for _ in range(40)), shared + items[3][1] + " " + edited(rnd, items[4][1], 0.02)):
+            work.append(0)
+            found = decontaminate.find_in(index, [text])
+            assert len(found) < 500 and {d for d, *_ in found} == {0}
+            if text == shared * 100:
+                assert min(s for _, _, s, *_ in found) == 0 and max(e for _, _, _, e, *_ in found) == len(text.strip())
+        assert {3, 4} <= {item for _, item, *_ in found}
+    few, many = work[:3], work[3:]
+    assert few[0] == many[0] == 0 and many[2] < 3 * few[2] + 3000 and many[1] < 8 * few[1] + 3000
+
+
+def plain_decontamination(docs, items):
+    """(document, item) pairs by definition: a window of the item within its edits of some stretch of the document.
+
+    Windows that equal one of an item of a smaller id are that item's.
+    """
+    owner, out = {}, set()
+    for i, text in sorted(items):
+        norm = decontaminate.trimmed(text)
+        for s, e in decontaminate._spans(norm) if len(norm) >= decontaminate.Q else []:
+            owner.setdefault(norm[s:e].tobytes(), i)
+    for d, text in docs:
+        norm, _ = decontaminate.normalise(decontaminate.codes_of(text or ""))
+        for window, i in owner.items():
+            if (d, i) not in out:
+                w = np.frombuffer(window, np.uint32)
+                if edit_distance_inside(w.tolist(), norm.tolist()) <= decontaminate.bound(len(w))[0]:
+                    out.add((d, i))
+    return out
+
+
+def test_decontamination_query_equals_brute_force(spark, tmp_path):
+    """The registered query on a small folder of tables, against every window's edit distance to every document."""
+    rnd = random.Random(31)
+    items = [(n, prose(rnd, 17)) for n in range(4)] + [(7, prose(rnd, 15))]
+    docs = [(n, prose(rnd, 25)) for n in range(4)] + [(10 + n, prose(rnd, 8) + " " + edited(rnd, t, 0.02) + " " + prose(rnd, 8)) for n, t in items]
+    docs += [(30, items[0][1].upper()), (31, None), (32, ""), (33, items[1][1][:40] + " " + prose(rnd, 20))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = QUERIES["op2_qgram_decontamination"](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == plain_decontamination(docs, items)
+
+
 def test_decontamination_in_several_passes(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "INDEX_CHARS", 700)
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
