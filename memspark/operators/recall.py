@@ -54,7 +54,7 @@ def tier_depth(tier: Column) -> Column:
     return out
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
     """Broadcast only what is known to be small."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
@@ -81,11 +81,11 @@ def semantic_topk(queries: DataFrame, items: DataFrame, n: int = TOP_N) -> DataF
     schema = f"query_id {kind[0]}, item_id {kind[1]}, score double"
     narrow = items.select("item_id", F.col("vector").cast("array<double>").alias("vector"))
     id_type = to_arrow_type(queries.schema["query_id"].dataType)
-    passes = [narrow.mapInArrow(_likest(block, id_type, n), schema) for block in _blocks(queries.select("query_id", F.col("query_vector").cast("array<double>")))]
+    passes = [narrow.mapInArrow(_against(block, id_type, n), schema) for block in blocks(queries.select("query_id", F.col("query_vector").cast("array<double>")))]
     return top(reduce(DataFrame.union, passes), n, "item_id")
 
 
-def _blocks(queries: DataFrame) -> Iterator[list]:
+def blocks(queries: DataFrame) -> Iterator[list]:
     """The queries, QUERY_BLOCK at a time; one empty block if there are none."""
     block: list = []
     found = False
@@ -98,38 +98,61 @@ def _blocks(queries: DataFrame) -> Iterator[list]:
         yield block
 
 
-def _likest(block: list, id_type, n: int):
-    """An Arrow function: the n likest items of each batch for each query of the block."""
-    def unit(rows: np.ndarray) -> np.ndarray:
-        norm = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-        return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
+def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length 1; rows of zeros stay."""
+    norm = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
+
+
+def matrix_of(column, width: int) -> np.ndarray:
+    """An Arrow column of lists as a matrix; lists that are null, hold a null or have another length are zeros."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    fits = sizes == width
+    if not width or not fits.any():
+        return np.zeros((len(column), width))
+    flat = pc.list_flatten(column.filter(pa.array(fits)))
+    out = np.zeros((len(column), width))
+    values = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+    out[fits] = np.where(np.isnan(values).any(axis=1, keepdims=True), 0.0, values)
+    return out
 
+
+def _against(block: list, id_type, n: int):
+    """An Arrow function: the n likest items of each batch for each query of the block."""
     ids = [q for q, _ in block]
     width = max((len(v or ()) for _, v in block), default=0)
     matrix = unit(np.array([v if v and None not in v and len(v) == width else [0.0] * width for _, v in block], dtype=np.float64).reshape(len(ids), width)).T
 
     def run(batches):
-        import pyarrow as pa
-
         for b in batches:
-            if not ids or not len(b):
-                continue
-            rows = [v if v and len(v) == width and None not in v else [0.0] * width for v in b.column(1).to_pylist()]
-            score = np.round(np.clip(unit(np.array(rows, dtype=np.float64).reshape(len(rows), width)) @ matrix, 0, 1), 6)
-            items = b.column(0).to_pylist()
-            place = np.empty(len(items), np.int64)  # ties go by id
-            place[sorted(range(len(items)), key=lambda i: (items[i] is not None, items[i]))] = np.arange(len(items))
-            q, at = [], []
-            for j in range(len(ids)):
-                best = np.lexsort((place, -score[:, j]))[:n] if len(items) <= 4 * n else _first(score[:, j], place, n)
-                q += [j] * len(best)
-                at += best.tolist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[j] for j in q], id_type), b.column(0).take(pa.array(at, pa.int64())), pa.array(score[at, q], pa.float64())], names=["query_id", "item_id", "score"])
+            yield from likest(b.column(0), unit(matrix_of(b.column(1), width)), ids, matrix, id_type, n)
 
     return run
 
 
+def likest(items, rows: np.ndarray, ids: list, matrix: np.ndarray, id_type, n: int):
+    """An Arrow batch (query_id, item_id, score) of the n likest items for each query: items' ids, their unit vectors,
+    queries' ids, their unit vectors as columns."""
+    import pyarrow as pa
+
+    if not ids or not len(items):
+        return
+    score = np.round(np.clip(rows @ matrix, 0, 1), 6)
+    names = items.to_pylist()
+    place = np.empty(len(names), np.int64)  # ties go by id
+    place[sorted(range(len(names)), key=lambda i: (names[i] is not None, names[i]))] = np.arange(len(names))
+    q, at = [], []
+    for j in range(len(ids)):
+        best = np.lexsort((place, -score[:, j]))[:n] if len(names) <= 4 * n else _first(score[:, j], place, n)
+        q += [j] * len(best)
+        at += best.tolist()
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([ids[j] for j in q], id_type), items.take(pa.array(at, pa.int64())), pa.array(score[at, q], pa.float64())], names=["query_id", "item_id", "score"])
+
+
 def _first(score: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
     """Places of the n best; all that tie with the last are compared."""
     least = np.partition(score, len(score) - n)[len(score) - n]
@@ -150,13 +173,18 @@ def search_edges(queries: DataFrame, edges: DataFrame, related: DataFrame, n: in
     The group (where edges have one) and the relations are filters on the edges before anything is
     scored, so they reach the scan.
     """
-    kept = edges.where(F.col("type").isin(*types))
-    kept = kept.where(F.col("group_id") == group) if group else kept
+    kept = searchable(edges, types, group)
     words_list = bm25_topk(queries, kept.select(F.col("edge_id").alias("item_id"), F.col("fact").alias("text")), n)
     near = related.join(kept.select(F.col("edge_id").alias("item_id")), "item_id", "left_semi").select("query_id", "item_id", "rank")
     return fuse(words_list.select("query_id", "item_id", "rank").unionByName(near), n)
 
 
+def searchable(edges: DataFrame, types: Sequence[str] = ALLOWED_TYPES, group: str | None = None) -> DataFrame:
+    """The edges of the given relations, of one group if it is given: what an index for edge search is built of."""
+    kept = edges.where(F.col("type").isin(*types))
+    return kept.where(F.col("group_id") == group) if group else kept
+
+
 def response(hits: DataFrame, answers: DataFrame, facts: DataFrame, dropped: DataFrame) -> DataFrame:
     """(query_id, response): what a server sends, as JSON: served, verdict, edges, how many edges the closed set of
     relations keeps back (dropped: one row of drop_count()), message."""
@@ -178,13 +206,13 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, n: int = TOP_N) -> DataFrame:
     they are counted by document.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    asked = _small(terms.select("term").distinct())
+    asked = small(terms.select("term").distinct())
     tokens = docs.select("item_id", words(F.col("text")).alias("w"))
     stats = tokens.agg(F.avg(F.size("w")).alias("avg_len"), F.count(F.lit(1)).alias("n_docs"))
     tf = tokens.select("item_id", F.size("w").alias("len"), F.explode("w").alias("term")).join(asked, "term", "left_semi")
     tf = tf.groupBy("item_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = tf.join(df, "term").join(_small(terms), "term").crossJoin(F.broadcast(stats))
+    scored = tf.join(df, "term").join(small(terms), "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / F.col("avg_len"))
     scored = scored.groupBy("query_id", "item_id").agg(F.round(F.sum(idf * F.col("tf") * (BM25_K1 + 1) / norm), 6).alias("score"))
@@ -204,30 +232,36 @@ def verdicts(hits: DataFrame) -> DataFrame:
     return by_query.select("query_id", score.alias("score"), label.alias("label"))
 
 
-def search(semantic: DataFrame, keyword: DataFrame, edges: DataFrame, queries: DataFrame, n: int = TOP_N, store: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Ranked edges and one verdict for each query, from two channels' top lists (query_id, edge_id, score, rank).
+def search(
+    semantic: DataFrame, keyword: DataFrame, edges: DataFrame, queries: DataFrame, related: Column, n: int = TOP_N, store: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Ranked edges and one verdict for each query, from two channels' top lists (query_id, edge_id, rank).
 
-    The lists are cut to n first and gated after that; the union keeps an edge's first place
-    (semantic before keyword). The third channel is a look-up of what was found in the store (edges, or a
-    fresher table of (edge_id, invalid_at)): an edge that is there and not invalid confirms it.
+    The lists are cut to n first, united and gated after that. The union is ranked by `related`, a score over the
+    columns of queries and edges; equal ones keep the union's order (semantic before keyword). The third
+    channel is a look-up of what was found in the store (edges, or a fresher table of (edge_id, invalid_at)):
+    an edge that is there and not invalid confirms it. What is found has 2 n rows for each query, so
+    it is broadcast to the edges if the queries are few.
     """
-    served = gate(edges).select("edge_id", "contested", "verdict")
-
     def channel(df: DataFrame, name: str, base: int) -> DataFrame:
-        top = df.where(F.col("rank") <= n).join(served, "edge_id")
-        return top.select("query_id", "edge_id", "score", F.lit(name).alias("channel"), (F.col("rank") + base).alias("pos"), "contested", "verdict")
+        cut = df.where(F.col("rank") <= n)
+        return cut.select("query_id", "edge_id", (F.col("rank") + base).alias("pos"), *[F.lit(c == name).alias(c) for c in ("semantic", "keyword")])
 
     both = channel(semantic, "semantic", 0).unionByName(channel(keyword, "keyword", n))
-    union = both.groupBy("query_id", "edge_id").agg(
-        F.max("score").alias("score"), F.min("pos").alias("pos"), F.first("contested").alias("contested"), F.first("verdict").alias("verdict"),
-        F.count_if(F.col("channel") == "semantic").alias("s"), F.count_if(F.col("channel") == "keyword").alias("k"),
-    )
-    hits = top(union, n, "pos", "edge_id").select("query_id", "edge_id", "score", "rank", serving_label().alias("label"))
-    found = union.select("edge_id").distinct()  # 2 n for each query
-    held = (edges if store is None else store).where("invalid_at is null").select("edge_id")
-    held = held.join(_small(found), "edge_id", "left_semi").select(F.col("edge_id").alias("_held")).distinct()
-    seen = union.join(held, F.col("edge_id") == F.col("_held"), "left").groupBy("query_id").agg(
-        (F.sum("s") > 0).alias("semantic"), (F.sum("k") > 0).alias("keyword"), F.max(F.col("_held").isNotNull()).alias("graph"))
+    union = both.groupBy("query_id", "edge_id").agg(F.min("pos").alias("pos"), F.max("semantic").alias("semantic"), F.max("keyword").alias("keyword"))
+    few = 2 * n * queries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    hint = F.broadcast if few else lambda df: df
+    asked = queries.select(*[F.col(c).alias("_q" if c == "query_id" else c) for c in queries.columns])
+    found = gate(edges).join(hint(union), "edge_id").join(hint(asked), F.col("query_id") == F.col("_q"))
+    found = found.select("query_id", "edge_id", "pos", "semantic", "keyword", "invalid_at", serving_label().alias("label"), related.alias("score"))
+    hits = top(found, n, "pos", "edge_id").select("query_id", "edge_id", "score", "rank", "label")
+    if store is None:
+        known = found.withColumn("graph", F.col("invalid_at").isNull())
+    else:
+        held = store.where("invalid_at is null").select(F.col("edge_id").alias("_held"))
+        held = held.join(hint(union.select(F.col("edge_id").alias("_held")).distinct()), "_held", "left_semi").distinct()
+        known = found.join(hint(held), F.col("edge_id") == F.col("_held"), "left").withColumn("graph", F.col("_held").isNotNull())
+    seen = known.groupBy("query_id").agg(*[F.max(c).alias(c) for c in CHANNELS])
     answers = queries.select("query_id").join(seen, "query_id", "left")
     each = answers.select("query_id", F.explode(F.array(*[
         F.struct(F.lit(c).alias("channel"), F.coalesce(F.col(c), F.lit(False)).alias("hit")) for c in CHANNELS
@@ -271,7 +305,7 @@ def touch(turns: DataFrame, anchors: DataFrame) -> DataFrame:
         return F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, n)))
 
     hashes = F.array_distinct(F.flatten(F.transform("_n", runs)))
-    found = spoken.select("turn_id", F.explode(hashes).alias("_h")).join(_small(keyed.where("n > 0")), "_h").select("turn_id", "ord", "anchor")
+    found = spoken.select("turn_id", F.explode(hashes).alias("_h")).join(small(keyed.where("n > 0")), "_h").select("turn_id", "ord", "anchor")
     named = found.groupBy("turn_id").agg(F.array_sort(F.collect_set(F.struct("ord", "anchor"))).alias("_a"))
     bare = keyed.where("n = 0").agg(F.array_sort(F.collect_list(F.struct("ord", "anchor"))).alias("_bare"))
     out = turns.join(named.withColumnRenamed("turn_id", "_id"), F.col("turn_id") == F.col("_id"), "left").drop("_id").crossJoin(F.broadcast(bare))
@@ -322,4 +356,4 @@ def diary_anchors(entries: DataFrame, bodies: DataFrame) -> DataFrame:
     rendered body names them (name substring)."""
     linked = F.concat("references", "same_topic", "supersedes")
     found = entries.where(F.size(linked) > 0).select("entry_id", "name", F.array_distinct(F.concat(F.array("entry_id"), linked)).alias("ids"))
-    return found.join(_small(bodies), F.col("body").contains(F.col("name")), "left_semi").select("entry_id", "ids")
+    return found.join(small(bodies), F.col("body").contains(F.col("name")), "left_semi").select("entry_id", "ids")

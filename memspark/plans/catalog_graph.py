@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..adapters import Views, duck
-from ..operators import gate, graph, links, recall
-from ..values import ALLOWED_TYPES, GREETINGS, PRIOR_EPISODES, RELATIONS, TIER_DEPTHS
+from ..functions.similarity import cosine
+from ..operators import gate, graph, links, recall, vectorindex, wordindex
+from ..sources import scratch
+from ..values import ALLOWED_TYPES, GREETINGS, PRIOR_EPISODES, RELATIONS, TIER_DEPTHS, TOP_N
 from .registry import query
 
 _ALLOWED = ", ".join(f"'{t}'" for t in ALLOWED_TYPES)
@@ -180,6 +182,14 @@ def semantic_topk(v: Views):
     return recall.semantic_topk(_vector_queries(v), items)
 
 
+@query(_TOPK + " SELECT query_id, item_id, score, rank FROM k WHERE rank <= 5")
+def indexed_topk(v: Views):
+    """The same, by an index whose partitions are pruned by the triangle inequality."""
+    path = scratch.folder(v.spark, "vectors")
+    vectorindex.build(v.vectors.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), path)
+    return vectorindex.search(_vector_queries(v), path, TOP_N)
+
+
 _BM25 = """, tok AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM d),
 st AS (SELECT avg(len(w)) AS avg_len, count(*) AS n_docs FROM tok),
 tf AS (SELECT item_id, len(w) AS len, unnest(w) AS term FROM tok),
@@ -199,6 +209,16 @@ def bm25_topk(v: Views):
     return recall.bm25_topk(queries, v.docs.select(F.col("doc_id").alias("item_id"), "text"))
 
 
+@query("WITH d AS (SELECT doc_id AS item_id, text FROM documents), q AS (SELECT item_id AS query_id, text FROM benchmark WHERE item_id % 20 = 0)" + _BM25
+       + "SELECT query_id, item_id, score, rank FROM b WHERE rank <= 5")
+def bm25_indexed_topk(v: Views):
+    """The same, by an index ordered by impact of which only blocks that may matter are read."""
+    path = scratch.folder(v.spark, "words")
+    wordindex.build(v.docs.select(F.col("doc_id").alias("item_id"), "text"), path)
+    queries = v.table("benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text")
+    return wordindex.search(queries, path)
+
+
 @query("SELECT o_custkey AS query_id, CAST(CASE c WHEN 3 THEN 100 WHEN 2 THEN 70 WHEN 1 THEN 30 ELSE 0 END AS INT) AS score,"
        " CASE c WHEN 3 THEN 'answer' WHEN 2 THEN 'corroborated-partial' WHEN 1 THEN 'weak/single-source' ELSE 'honest-empty' END AS label FROM"
        " (SELECT o_custkey, CAST(bool_or(o_orderstatus = 'O') AS INT) + CAST(bool_or(o_orderstatus = 'P') AS INT) + CAST(bool_or(o_orderstatus = 'F') AS INT) AS c FROM orders GROUP BY 1)")
@@ -211,27 +231,64 @@ def recall_verdict(v: Views):
 # Two channels over all edges: by the angle of prices to a query's balance, and by words of the fact.
 _CHANNELS = duck("edges") + """, q0 AS (SELECT s_suppkey AS query_id, 'the ' || CAST(s_suppkey AS VARCHAR) AS text, s_acctbal / 1000 AS price FROM supplier WHERE s_suppkey % 20 = 0),
 d AS (SELECT edge_id AS item_id, fact AS text FROM edges), q AS (SELECT query_id, text FROM q0)""" + _BM25.replace(
-    "b AS (", "kw AS (") + f""", sm AS (SELECT query_id, edge_id AS item_id, round(greatest(0.0, least(1.0, (weight / 10000 * price + 1.0) / (sqrt(weight / 10000 * (weight / 10000) + 1.0) * sqrt(price * price + 1.0)))), 6) AS score,
-  row_number() OVER (PARTITION BY query_id ORDER BY round(greatest(0.0, least(1.0, (weight / 10000 * price + 1.0) / (sqrt(weight / 10000 * (weight / 10000) + 1.0) * sqrt(price * price + 1.0)))), 6) DESC, edge_id) AS rank FROM edges, q0),
+    "b AS (", "kw AS (") + f""", rel AS (SELECT query_id, edge_id AS item_id, round(greatest(0.0, least(1.0, (weight / 10000 * price + 1.0) / (sqrt(weight / 10000 * (weight / 10000) + 1.0) * sqrt(price * price + 1.0)))), 6) AS score FROM edges, q0),
+sm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM rel),
 g AS (SELECT * FROM edges WHERE {_SERVED}),
-u0 AS (SELECT query_id, item_id, score, rank AS pos, 's' AS ch FROM sm WHERE rank <= 5 UNION ALL SELECT query_id, item_id, score, rank + 5, 'k' FROM kw WHERE rank <= 5),
-u AS (SELECT query_id, edge_id, max(score) AS score, min(pos) AS pos, any_value({_LABEL}) AS label, count(*) FILTER (ch = 's') AS s, count(*) FILTER (ch = 'k') AS k
-  FROM u0 JOIN g ON item_id = edge_id GROUP BY 1, 2),
+u0 AS (SELECT query_id, item_id, rank AS pos, 's' AS ch FROM sm WHERE rank <= 5 UNION ALL SELECT query_id, item_id, rank + 5, 'k' FROM kw WHERE rank <= 5),
+u AS (SELECT query_id, edge_id, any_value(rel.score) AS score, min(pos) AS pos, any_value({_LABEL}) AS label, count(*) FILTER (ch = 's') AS s, count(*) FILTER (ch = 'k') AS k
+  FROM u0 JOIN g ON item_id = edge_id JOIN rel USING (query_id, item_id) GROUP BY 1, 2),
 h AS (SELECT query_id, edge_id, score, label, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos, edge_id) AS rank FROM u),
 n AS (SELECT query_id, CAST(sum(s) > 0 AS INT) + CAST(sum(k) > 0 AS INT) + 1 AS n FROM u GROUP BY 1),
 a AS (SELECT query_id, CAST(CASE coalesce(n, 0) WHEN 3 THEN 100 WHEN 2 THEN 70 WHEN 1 THEN 30 ELSE 0 END AS INT) AS score FROM q LEFT JOIN n USING (query_id))
 """
 
 
-def _search(v: Views):
+def _queries(v: Views):
     asked = v.table("supplier").where("s_suppkey % 20 = 0")
-    queries = asked.select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("the "), F.col("s_suppkey").cast("string")).alias("text"), (F.col("s_acctbal") / 1000).alias("price"))
-    one = F.lit(1.0)
-    semantic = recall.semantic_topk(
-        queries.select("query_id", F.array("price", one).alias("query_vector")),
-        v.edges.select(F.col("edge_id").alias("item_id"), F.array(F.col("weight") / 10000, one).alias("vector"))).withColumnRenamed("item_id", "edge_id")
+    price = F.col("s_acctbal") / 1000
+    return asked.select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("the "), F.col("s_suppkey").cast("string")).alias("text"), F.array(price, F.lit(1.0)).alias("query_vector"))
+
+
+def _edge_vector():
+    return F.array(F.col("weight") / 10000, F.lit(1.0))
+
+
+def _search(v: Views, store=None):
+    queries = _queries(v)
+    items = v.edges.select(F.col("edge_id").alias("item_id"), _edge_vector().alias("vector"))
+    semantic = recall.semantic_topk(queries, items).withColumnRenamed("item_id", "edge_id")
     keyword = recall.bm25_topk(queries.select("query_id", "text"), v.edges.select(F.col("edge_id").alias("item_id"), F.col("fact").alias("text")))
-    return recall.search(semantic, keyword.withColumnRenamed("item_id", "edge_id"), v.edges, queries)
+    related = F.round(cosine(F.col("query_vector"), _edge_vector()), 6)
+    return recall.search(semantic, keyword.withColumnRenamed("item_id", "edge_id"), v.edges, queries, related, store=store)
+
+
+@query(duck("edges") + f""", q AS (SELECT s_suppkey AS query_id, 'the ' || CAST(s_suppkey AS VARCHAR) || ' part' AS text, s_acctbal / 1000 AS price, s_suppkey % 40 // 20 AS grp FROM supplier WHERE s_suppkey % 20 = 0),
+e AS (SELECT edge_id AS item_id, episode % 2 AS grp, fact AS text, weight / 10000 AS x FROM edges WHERE type IN ({_ALLOWED})),
+tok AS (SELECT grp, item_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM e),
+st AS (SELECT grp, avg(len(w)) AS avg_len, count(*) AS n_docs FROM tok GROUP BY 1),
+tc AS (SELECT grp, item_id, len, term, count(*) AS tf FROM (SELECT grp, item_id, len(w) AS len, unnest(w) AS term FROM tok) GROUP BY ALL),
+df AS (SELECT grp, term, count(*) AS df FROM tc GROUP BY ALL),
+qt AS (SELECT DISTINCT query_id, grp, unnest(string_split(text, ' ')) AS term FROM q),
+s AS (SELECT query_id, item_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score
+  FROM tc JOIN df USING (grp, term) JOIN qt USING (grp, term) JOIN st USING (grp) GROUP BY 1, 2),
+k AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s),
+m AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY round(greatest(0.0, least(1.0, (x * price + 1.0) / (sqrt(x * x + 1.0) * sqrt(price * price + 1.0)))), 6) DESC, item_id) AS rank FROM e JOIN q USING (grp)),
+f AS (SELECT query_id, item_id, round(sum(1.0::DOUBLE / (rank + 1)), 6) AS score FROM (SELECT * FROM k WHERE rank <= 5 UNION ALL SELECT * FROM m WHERE rank <= 5) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM f) SELECT * FROM r WHERE rank <= 5""")
+def search_edges(v: Views):
+    """Both channels by their indexes, one of each for a group of edges, fused by ranks."""
+    edges = recall.searchable(v.edges.withColumn("group_id", F.concat(F.lit("g"), (F.col("episode") % 2).cast("string"))))
+    path = scratch.folder(v.spark, "edge-words")
+    wordindex.build(edges.select("group_id", F.col("edge_id").alias("item_id"), F.col("fact").alias("text")), path)
+    group = F.concat(F.lit("g"), F.floor(F.col("query_id") % 40 / 20).cast("string"))
+    queries = _queries(v).withColumn("text", F.concat("text", F.lit(" part"))).withColumn("group_id", group)
+    lists = [wordindex.search(queries, path)]
+    for name in ("g0", "g1"):
+        near = scratch.folder(v.spark, "edge-vectors")
+        vectorindex.build(recall.searchable(edges, group=name).select(F.col("edge_id").alias("item_id"), _edge_vector().alias("vector")), near)
+        lists.append(vectorindex.search(queries.where(F.col("group_id") == name), near, TOP_N))
+    ranks = lists[0].unionByName(lists[1]).unionByName(lists[2]).select("query_id", "item_id", "rank")
+    return recall.fuse(ranks)
 
 
 @query(_CHANNELS + "SELECT query_id, edge_id, score, rank, label FROM h WHERE rank <= 5")
@@ -244,6 +301,15 @@ def recall_search_verdict(v: Views):
     return _search(v)[1].select("query_id", "score")
 
 
+@query(_CHANNELS.replace("sum(k) > 0 AS INT) + 1 AS n", "sum(k) > 0 AS INT) + CAST(bool_or(epi % 3 <> 0) AS INT) AS n").replace("count(*) FILTER (ch = 's') AS s", "any_value(episode) AS epi, count(*) FILTER (ch = 's') AS s")
+       + "SELECT query_id, score FROM a")
+def recall_search_stale(v: Views):
+    """The third channel looks into a store in which the edges of every third episode have become invalid or are gone."""
+    gone = F.when(F.col("episode") % 3 == 0, F.current_timestamp())
+    store = v.edges.where("episode % 6 <> 0").select("edge_id", gone.alias("invalid_at"))
+    return _search(v, store)[1].select("query_id", "score")
+
+
 @query(_CHANNELS + """, l AS (SELECT query_id, '[' || string_agg('{"edge_id":"' || edge_id || '","label":"' || label || '"}', ',' ORDER BY rank) || ']' AS edges FROM h WHERE rank <= 5 GROUP BY 1)
 SELECT query_id, '{"score":' || CAST(score AS VARCHAR) || ',"label":"' || CASE score WHEN 100 THEN 'answer' WHEN 70 THEN 'corroborated-partial' WHEN 30 THEN 'weak/single-source' ELSE 'honest-empty' END
  || '","edges":' || coalesce(edges, '[]') || '}' AS payload FROM a LEFT JOIN l USING (query_id)""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.similarity import cosine
 from ..operators import console, gate, graph, ledger, links, recall, transcript, wal
 from ..values import DIARY_TOKENS, DRAIN_WINDOW, SESSION_DEPTH, TOP_N
 from .saving import confirmation
@@ -90,11 +91,12 @@ def supervise(
 
 def search(queries: DataFrame, edges: DataFrame, n: int = TOP_N) -> tuple[DataFrame, DataFrame]:
     """Hits and verdicts of queries (query_id, text) over edges, vectors by the offline embedder."""
-    q = queries.select("query_id", hashed_vector(F.col("text")).alias("query_vector"))
+    q = queries.select("query_id", "text", hashed_vector(F.col("text")).alias("query_vector"))
     items = edges.select(F.col("edge_id").alias("item_id"), hashed_vector(F.col("fact")).alias("vector"))
     semantic = recall.semantic_topk(q, items, n).where("score > 0").withColumnRenamed("item_id", "edge_id")
     keyword = recall.bm25_topk(queries, edges.select(F.col("edge_id").alias("item_id"), F.col("fact").alias("text")), n)
-    return recall.search(semantic, keyword.withColumnRenamed("item_id", "edge_id"), edges, queries, n)
+    related = F.round(cosine(F.col("query_vector"), hashed_vector(F.col("fact"))), 6)
+    return recall.search(semantic, keyword.withColumnRenamed("item_id", "edge_id"), edges, q, related, n)
 
 
 def search_or_degraded(queries: DataFrame, edges: DataFrame, n: int = TOP_N) -> list[dict]:

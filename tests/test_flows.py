@@ -228,10 +228,22 @@ def test_a_verdict_rests_on_a_look_up(spark):
     semantic = spark.createDataFrame([(1, "a", 0.9, 1), (2, "b", 0.9, 1), (3, "c", 0.9, 1)], "query_id int, edge_id string, score double, rank long")
     keyword = semantic.where("query_id < 3")
     for given, want in ((store, {1: 100, 2: 70, 3: 30, 4: 0}), (None, {1: 100, 2: 100, 3: 70, 4: 0})):
-        _, answers = recall.search(semantic, keyword, edges, queries, store=given)
+        _, answers = recall.search(semantic, keyword, edges, queries, F.lit(0.0), store=given)
         assert {r.query_id: r.score for r in answers.collect()} == want
 
 
+def test_the_union_is_ranked_by_relatedness(spark):
+    """Neither channel's own score counts; edges that fail the gate leave no gap; equal ones keep the channels' order."""
+    edges = spark.createDataFrame([("k", "confirmed", 0.9), ("s", "confirmed", 0.2), ("t", "provisional", 0.2), ("q", "quarantined", 1.0)], "edge_id string, verdict string, near double").withColumns(
+        {"type": F.lit("ABOUT"), "contested": F.lit(False), "invalid_at": F.lit(None).cast("timestamp"), "expired_at": F.lit(None).cast("timestamp")})
+    queries = spark.createDataFrame([(1, 2.0)], "query_id int, factor double")
+    semantic = spark.createDataFrame([(1, "t", 0.1, 1), (1, "q", 0.1, 2)], "query_id int, edge_id string, score double, rank long")
+    keyword = spark.createDataFrame([(1, "s", 99.0, 1), (1, "k", 98.0, 2), (1, "t", 97.0, 3)], "query_id int, edge_id string, score double, rank long")
+    hits, answers = recall.search(semantic, keyword, edges, queries, F.col("near") * F.col("factor"))
+    assert [(r.edge_id, r.score, r["rank"], r.label) for r in hits.orderBy("rank").collect()] == [("k", 1.8, 1, ""), ("t", 0.4, 2, "unverified"), ("s", 0.4, 3, "")]
+    assert answers.first().score == 100
+
+
 def test_expand_ranks_by_relatedness_and_admits_nothing(spark):
     edges = spark.createDataFrame([("e1", 1, "red house", 9.0), ("e2", 1, "a blue boat", 1.0)], "edge_id string, episode int, fact string, weight double").withColumns(
         {"verdict": F.lit("confirmed"), "type": F.lit("ABOUT"), "contested": F.lit(False), "invalid_at": F.lit(None), "expired_at": F.lit(None)})
