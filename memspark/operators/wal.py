@@ -2,37 +2,81 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import scrub
+from .recall import small
+
 
 def segments(wal: DataFrame) -> DataFrame:
     """Lines per record and day."""
     return wal.groupBy("record", F.to_date("ts").alias("date")).agg(F.count(F.lit(1)).alias("n_lines"))
 
 
+#: Lines are joined in blocks of 2^level minutes, level 0 to LEVELS (34 hours).
+LEVELS = 11
+
+
+def _minute(df: DataFrame, name: str) -> Column:
+    """The number of the minute of a time; it rises with the time, whatever the session's zone."""
+    if df.schema[name].dataType.typeName() == "timestamp":
+        return F.floor(F.unix_seconds(name) / 60)
+    return F.datediff(F.to_date(name), F.lit("1970-01-01").cast("date")).cast("long") * 1440 + F.hour(name) * 60 + F.minute(name)
+
+
+def _cover(low: str, high: str) -> Column:
+    """(level, block) of the fewest blocks that make up the minutes low to high, high exclusive: two of a level at most,
+    but for the highest. A level is a step of one small lambda: written out, the levels would be too much code to compile."""
+    first, last = f"shiftright({low} + shiftleft(1L, k) - 1, k)", f"shiftright({high}, k)"
+    return F.expr(f"""concat(
+      filter(flatten(transform(sequence(0, {LEVELS - 1}), k -> array(
+        CASE WHEN {first} < {last} AND {first} & 1 = 1 THEN named_struct('level', k, 'block', {first}) END,
+        CASE WHEN {first} < {last} AND {last} & 1 = 1 THEN named_struct('level', k, 'block', {last} - 1) END))), x -> x IS NOT NULL),
+      transform(CASE WHEN {first.replace("k)", f"{LEVELS})")} < {last.replace("k)", f"{LEVELS})")}
+        THEN sequence({first.replace("k)", f"{LEVELS})")}, {last.replace("k)", f"{LEVELS})")} - 1) ELSE array() END, i -> named_struct('level', {LEVELS}, 'block', i)))""")
+
+
 def window_texts(windows: DataFrame, wal: DataFrame, half_open: bool = False, same_session: bool = False) -> DataFrame:
     """windows (window_id, start_ts, end_ts[, session_id]) with the text of the lines inside, both ends included.
 
-    An interval join as an equi-join on days: a window is exploded to the days it touches. Without
-    a start it reads its last day only. Windows without lines, or inverted ones, get "".
+    A window's first and last minute are edges, whose lines are looked at one by one; the minutes
+    between are made up of blocks of 2^k minutes. A block that some window needs is joined to one text once, so
+    a window meets some twenty texts however many lines it holds, and a busy day is many keys.
+    Without a start a window reads its last day only. Windows without lines, or inverted ones, get "".
     """
-    end_day = F.to_date("end_ts")
-    days = F.when(F.col("start_ts").isNull(), F.array(end_day)).when(
-        F.to_date("start_ts") <= end_day, F.sequence(F.to_date("start_ts"), end_day)
-    ).otherwise(F.array().cast("array<date>"))
-    spread = windows.withColumn("_day", F.explode(days))
-    lines = wal.select(F.to_date("ts").alias("_day"), F.col("ts").alias("_ts"), F.col("session_id").alias("_session"), "seq", "text")
-    after = F.col("_ts") > F.col("start_ts") if half_open else F.col("_ts") >= F.col("start_ts")
-    hit = spread.join(lines, "_day").where((F.col("start_ts").isNull() | after) & (F.col("_ts") <= F.col("end_ts")))
-    if same_session:
-        hit = hit.where(F.col("session_id") == F.col("_session"))
-    texts = hit.groupBy("window_id").agg(
-        F.array_sort(F.collect_list(F.struct("_ts", "_session", "seq", "text"))).alias("_l"), F.count(F.lit(1)).alias("n_lines")
-    ).select(F.col("window_id"), F.array_join(F.transform("_l", lambda x: x["text"]), "\n").alias("text"), "n_lines")
-    out = windows.join(texts, "window_id", "left")
+    start = F.coalesce("start_ts", F.date_trunc("day", "end_ts").cast(windows.schema["end_ts"].dataType))
+    own = ["session_id"] if same_session else []
+    asked = windows.select("window_id", *own, F.col("start_ts").isNull().alias("_all_day"), start.alias("_from"), F.col("end_ts").alias("_to"))
+    asked = asked.withColumns({"_low": _minute(asked, "_from"), "_high": _minute(asked, "_to")})
+    # windows are dealt out by id at once, so that their texts, which are long, are put together where they are
+    parts = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = asked.where("_low <= _high").repartition(parts, "window_id")
+    lines = wal.select("session_id", F.col("ts").alias("_ts"), "seq", "text")
+    lines = lines.withColumn("_m", _minute(lines, "_ts"))
+    line = F.struct("_ts", "session_id", "seq", "text")
+    joined = F.when(F.exists("_l", lambda x: x["text"].isNotNull()), F.array_join(F.transform("_l", lambda x: x["text"]), "\n"))
+
+    blocks = asked.select("window_id", *own, F.explode(_cover("(_low + 1)", "_high")).alias("_b")).select("window_id", *own, "_b.level", "_b.block")
+    key = [*own, "level", "block"]
+    needed = small(blocks.select(*key).distinct())
+    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))
+    inside = lines.withColumn("level", levels).withColumn("block", F.expr("_m div shiftleft(1L, level)")).join(needed, key, "left_semi")
+    texts = inside.groupBy(*key).agg(F.array_sort(F.collect_list(line)).alias("_l"), F.count(F.lit(1)).alias("n"))
+    texts = texts.select(*key, joined.alias("t"), "n")
+    middle = blocks.join(texts, key).select("window_id", F.expr("block * shiftleft(1L, level)").alias("_m"), "t", "n")
+
+    edges = asked.withColumn("_m", F.explode(F.array_distinct(F.array("_low", "_high"))))
+    at = lines.join(small(edges.select(*own, "_m").distinct()), [*own, "_m"], "left_semi").groupBy(*own, "_m").agg(F.array_sort(F.collect_list(line)).alias("_l"))
+    after = (lambda x: x["_ts"] > F.col("_from")) if half_open else (lambda x: x["_ts"] >= F.col("_from"))
+    hit = F.filter("_l", lambda x: (F.col("_all_day") | after(x)) & (x["_ts"] <= F.col("_to")))
+    ends = edges.join(at, [*own, "_m"]).withColumn("_l", hit).where("size(_l) > 0")
+    ends = ends.select("window_id", "_m", joined.alias("t"), F.size("_l").cast("long").alias("n"))
+
+    whole = middle.unionByName(ends).groupBy("window_id").agg(F.array_sort(F.collect_list(F.struct("_m", "t"))).alias("_p"), F.sum("n").alias("n_lines"))
+    whole = whole.select(F.col("window_id").alias("_w"), F.array_join(F.transform("_p", lambda x: x["t"]), "\n").alias("text"), "n_lines")
+    out = windows.join(whole, F.col("window_id") == F.col("_w"), "left").drop("_w")
     return out.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("n_lines", F.coalesce("n_lines", F.lit(0)))
 
 

@@ -340,3 +340,36 @@ def test_seams_and_plans(spark, tmp_path):
     entries = spark.createDataFrame([(1, "s", at("2024-01-01"), None, "no")], "entry_id long, session_id string, ts timestamp_ntz, x string, extracted string")
     facts = seams.extract(spark.createDataFrame([("1", "One. Two.")], "episode string, content string"))
     assert facts.count() == 2 and ledger.queue_status(entries).first().queued == 1
+
+
+@pytest.mark.parametrize(("half_open", "same_session"), [(False, False), (True, False), (False, True)])
+def test_window_texts_equal_brute_force(spark, half_open, same_session):
+    """Windows of seconds to months at random places, over lines that come in bursts and tie."""
+    import datetime
+    import random
+
+    rnd = random.Random(6)
+    zero = datetime.datetime(2024, 2, 27)
+    at = lambda s: zero + datetime.timedelta(seconds=s)
+    lines = [(at(rnd.choice([rnd.randrange(8_000_000), 3_000_000 + rnd.randrange(400), 60 * rnd.randrange(5000)])), rnd.randrange(3), n, rnd.choice(["", "a\nb", f"l{n}", None])) for n in range(700)]
+    windows = []
+    for n in range(250):
+        a = rnd.choice([rnd.randrange(8_000_000), 3_000_000 + rnd.randrange(400), 60 * rnd.randrange(5000)])
+        b = a + rnd.choice([-500, 0, 1, 59, 60, 3600, 86_400, rnd.randrange(7_000_000)])
+        windows.append((n, None if n % 9 == 0 else at(a), None if n % 50 == 7 else at(b), rnd.randrange(3)))
+    want = {}
+    for w, s, e, session in windows:
+        mine = []
+        for ts, own, seq, text in lines:
+            first = datetime.datetime.combine(e.date(), datetime.time()) if e and s is None else s
+            inside = e is not None and ts <= e and (ts > s if half_open and s else ts >= first)
+            if inside and (own == session or not same_session):
+                mine.append((ts, own, seq, text))
+        mine.sort(key=lambda x: x[:3])
+        want[w] = ("\n".join(t for *_, t in mine if t is not None), len(mine))
+    wal_lines = spark.createDataFrame(lines, "ts timestamp_ntz, session_id int, seq int, text string").repartition(3)
+    for kind in ("timestamp_ntz", "timestamp"):
+        asked = spark.createDataFrame(windows, "window_id int, start_ts timestamp_ntz, end_ts timestamp_ntz, session_id int")
+        asked = asked.withColumns({c: F.col(c).cast(kind) for c in ("start_ts", "end_ts")})
+        got = wal.window_texts(asked, wal_lines.withColumn("ts", F.col("ts").cast(kind)), half_open, same_session)
+        assert {r.window_id: (r.text, r.n_lines) for r in got.collect()} == want
