@@ -5,11 +5,13 @@ A deployment replaces these by its own tables of the same columns.
 
 from __future__ import annotations
 
+import os
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _TYPES = ("WORKS_ON", "MEMBER_OF", "ASSIGNED", "BLOCKS", "PART_OF", "ABOUT", "PRODUCED", "PARTICIPATED_IN", "RELATES_TO")
 _TYPE_CASE = "CASE l_partkey % 10 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_TYPES)) + " ELSE NULL END"
 
@@ -78,6 +80,11 @@ class Views:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        # Python workers of this host import the package wherever the driver was started (a cluster gets it by --py-files)
+        env = spark.sparkContext.environment
+        parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if _ROOT not in parts:
+            env["PYTHONPATH"] = os.pathsep.join([_ROOT, *parts])
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

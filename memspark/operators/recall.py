@@ -351,9 +351,26 @@ def injection(hits: DataFrame, answers: DataFrame, facts: DataFrame) -> DataFram
     return answers.join(lines, "query_id", "left").select("query_id", served.alias("served"), F.when(served, body).otherwise(said).alias("message"))
 
 
+#: Names and bodies meet on pieces of so many characters.
+PIECE = 4
+
+
 def diary_anchors(entries: DataFrame, bodies: DataFrame) -> DataFrame:
     """(entry_id, ids): entries that have links, with the ids they lead to, themselves first; kept where a
-    rendered body names them (name substring)."""
+    rendered body names them (name substring).
+
+    An equi-join: a name stands for itself by one of its pieces of PIECE characters (or by itself, if it is shorter), the one of the
+    greatest hash, which a body that holds the name has among its pieces.
+    """
+    def pieces(text: Column, n: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, n))
+
     linked = F.concat("references", "same_topic", "supersedes")
     found = entries.where(F.size(linked) > 0).select("entry_id", "name", F.array_distinct(F.concat(F.array("entry_id"), linked)).alias("ids"))
-    return found.join(small(bodies), F.col("body").contains(F.col("name")), "left_semi").select("entry_id", "ids")
+    size = F.least(F.length("name"), F.lit(PIECE))
+    own = F.array_max(F.transform(pieces(F.col("name"), size), lambda p: F.struct(F.xxhash64(p).alias("h"), p.alias("p"))))
+    found = found.withColumn("_piece", own["p"])
+    every = F.flatten(F.array(*[pieces(F.col("body"), F.lit(n)) for n in range(PIECE + 1)]))
+    held = bodies.where("body is not null").select("body", F.explode(F.array_distinct(every)).alias("_p"))
+    named = (F.col("_piece") == F.col("_p")) & F.col("body").contains(F.col("name"))
+    return found.join(small(held), named, "left_semi").select("entry_id", "ids")

@@ -6,6 +6,7 @@ import contextlib
 import json
 import os
 import socket
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
@@ -33,35 +34,68 @@ def _owner_lives(owner: dict) -> bool:
     return _started(owner["pid"]) is not None and _started(owner["pid"]) == owner.get("start")
 
 
+def _read(files, path) -> str | None:
+    """The text of a lock; None if it is gone."""
+    try:
+        stream = files.open(path)
+    except Exception:  # no such file
+        return None
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8", "replace")
+    finally:
+        stream.close()
+
+
+def _clear(files, path, aside, stale: str) -> None:
+    """Take a dead owner's lock away, by a name of our own: of several that saw it, one gets it.
+
+    What was moved is read again: another may have cleared the lock and taken it since we read it;
+    then its lock is put back and we have lost.
+    """
+    try:
+        moved = files.rename(path, aside)
+    except Exception:  # it is gone
+        moved = False
+    if not moved:
+        raise LockHeld("another drain cleared the lock first")
+    if _read(files, aside) != stale:
+        files.rename(aside, path)
+        raise LockHeld("another drain took the lock first")
+    files.delete(aside, False)
+
+
 @contextlib.contextmanager
 def single_instance(spark: SparkSession, folder: str) -> Iterator[list[dict]]:
-    """Hold the folder's lock; yields the journal rows that taking it gave. A lock whose owner is dead is cleared."""
+    """Hold the folder's lock; yields the journal rows that taking it gave. A lock whose owner is dead is cleared.
+
+    The lock holds a token of its own; it is used, and taken away at the end, only while that token is in it.
+    """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{NAME}")
+    token = uuid.uuid4().hex
+    path, aside = (jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{n}") for n in (NAME, f"{NAME}-{token}"))
     files = path.getFileSystem(conf)
     notes: list[dict] = []
-    if files.exists(path):
-        stream = files.open(path)
-        try:
-            raw = bytes(stream.readAllBytes()).decode("utf-8", "replace")
-        finally:
-            stream.close()
+    raw = _read(files, path)
+    if raw is not None:
         try:
             owner = json.loads(raw)
         except ValueError:
             owner = {}
         if _owner_lives(owner if isinstance(owner, dict) else {}):
             raise LockHeld(f"held by {raw[:200]}")
-        files.delete(path, False)
+        _clear(files, path, aside, raw)
         notes.append({"action": "stale-lock-cleared", "scope": "drain"})
-    mine = json.dumps({"host": socket.gethostname(), "pid": os.getpid(), "start": _started(os.getpid())}).encode()
+    mine = json.dumps({"host": socket.gethostname(), "pid": os.getpid(), "start": _started(os.getpid()), "token": token})
     try:
         out = files.create(path, False)  # fails if another made it in between
     except Exception as error:
         raise LockHeld("another drain took the lock first") from error
-    out.write(bytearray(mine))
+    out.write(bytearray(mine.encode()))
     out.close()
+    if _read(files, path) != mine:
+        raise LockHeld("another drain took the lock")
     try:
         yield notes
     finally:
-        files.delete(path, False)
+        if _read(files, path) == mine:
+            files.delete(path, False)

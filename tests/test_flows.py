@@ -219,6 +219,31 @@ def test_comments_come_back(spark, tmp_path):
     assert [(r.episode_id, r.text) for r in files.read_comments(spark, str(tmp_path / "c")).collect()] == [("e1", "see <redacted:secret kind=aws_access_key_id>")]
 
 
+def test_two_drains_that_see_one_stale_lock(spark, tmp_path, monkeypatch):
+    """The slower one moves the faster one's fresh lock, sees that it is not what it read, and puts it back."""
+    path, lives = tmp_path / lock.NAME, lock._owner_lives
+    path.write_text("left by a dead drain")
+    taken = []
+
+    def slow(owner):
+        if not taken:  # meanwhile another drain goes through all of it
+            taken.append(lock.single_instance(spark, str(tmp_path)))
+            taken.append(taken[0].__enter__())
+            return False
+        return lives(owner)
+
+    monkeypatch.setattr(lock, "_owner_lives", slow)
+    with pytest.raises(lock.LockHeld):
+        with lock.single_instance(spark, str(tmp_path)):
+            pass
+    assert taken[1] == [{"action": "stale-lock-cleared", "scope": "drain"}] and json.loads(path.read_text())["token"]
+    with pytest.raises(lock.LockHeld):
+        with lock.single_instance(spark, str(tmp_path)):
+            pass
+    taken[0].__exit__(None, None, None)
+    assert not path.exists() and not list(tmp_path.glob(f"{lock.NAME}-*"))
+
+
 def test_a_verdict_rests_on_a_look_up(spark):
     """Edges that the store no longer has, or has as invalid, do not confirm a hit."""
     edges = spark.createDataFrame([(e, "confirmed", "ABOUT", False) for e in ("a", "b", "c")], "edge_id string, verdict string, type string, contested boolean")

@@ -373,3 +373,14 @@ def test_window_texts_equal_brute_force(spark, half_open, same_session):
         asked = asked.withColumns({c: F.col(c).cast(kind) for c in ("start_ts", "end_ts")})
         got = wal.window_texts(asked, wal_lines.withColumn("ts", F.col("ts").cast(kind)), half_open, same_session)
         assert {r.window_id: (r.text, r.n_lines) for r in got.collect()} == want
+
+
+def test_anchors_are_names_inside_bodies(spark):
+    """Substrings at any place, of any length, empty ones too; null bodies and entries without links are none."""
+    names = ["", "a", "ab", "abcd", "bcde f", "cdefgh", "zz", "é-ü", "no such", None, "f g"]
+    entries = spark.createDataFrame([(n, x, [n + 100] if n != 4 else [], [], []) for n, x in enumerate(names)],
+                                    "entry_id int, name string, references array<int>, same_topic array<int>, supersedes array<int>")
+    bodies = ["abcde f gé-ü", None, "", "xcdefgh"]
+    got = {r.entry_id: r.ids for r in recall.diary_anchors(entries, spark.createDataFrame([(b,) for b in bodies], "body string")).collect()}
+    assert got == {n: [n, n + 100] for n, x in enumerate(names) if x is not None and n != 4 and any(x in b for b in bodies if b is not None)}
+    assert recall.diary_anchors(entries, spark.createDataFrame([], "body string")).count() == 0

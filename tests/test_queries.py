@@ -57,5 +57,6 @@ def test_plans_are_the_ones_wanted(spark):
         return entry.queries()[name](spark, SMALL)._jdf.queryExecution().toString()
 
     assert "PushedFilters: [" in plan("ledger_read_since") and "GreaterThanOrEqual(o_orderdate" in plan("ledger_read_since")
-    for name in ("semantic_links", "wal_window_text", "invalidated_in_window", "structural_links"):
-        assert "CartesianProduct" not in plan(name) and "NestedLoop" not in plan(name)
+    for name in ("semantic_links", "wal_window_text", "invalidated_in_window", "structural_links", "diary_anchors", "touch_tier"):
+        joins = plan(name).count("NestedLoop") if name != "touch_tier" else 0  # touch_tier joins tables of one row
+        assert "CartesianProduct" not in plan(name) and not joins
