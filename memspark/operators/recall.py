@@ -254,9 +254,13 @@ def search(
     asked = queries.select(*[F.col(c).alias("_q" if c == "query_id" else c) for c in queries.columns])
     found = gate(edges).join(hint(union), "edge_id").join(hint(asked), F.col("query_id") == F.col("_q"))
     found = found.select("query_id", "edge_id", "pos", "semantic", "keyword", "invalid_at", serving_label().alias("label"), related.alias("score"))
+    # an id that several edges have is one hit, the most related of them
+    found = found.groupBy("query_id", "edge_id").agg(
+        F.min("pos").alias("pos"), *[F.max(c).alias(c) for c in ("semantic", "keyword", "score")], F.max_by("label", F.struct("score", "label")).alias("label"),
+        F.min(F.col("invalid_at").isNotNull()).alias("gone"))
     hits = top(found, n, "pos", "edge_id").select("query_id", "edge_id", "score", "rank", "label")
     if store is None:
-        known = found.withColumn("graph", F.col("invalid_at").isNull())
+        known = found.withColumn("graph", ~F.col("gone"))
     else:
         held = store.where("invalid_at is null").select(F.col("edge_id").alias("_held"))
         held = held.join(hint(union.select(F.col("edge_id").alias("_held")).distinct()), "_held", "left_semi").distinct()

@@ -228,15 +228,18 @@ def recall_verdict(v: Views):
     return recall.verdicts(hits)
 
 
+_RELATED = "round(greatest(0.0, least(1.0, (weight / 10000 * price + 1.0) / (sqrt(weight / 10000 * (weight / 10000) + 1.0) * sqrt(price * price + 1.0)))), 6)"
+
+
 # Two channels over all edges: by the angle of prices to a query's balance, and by words of the fact.
 _CHANNELS = duck("edges") + """, q0 AS (SELECT s_suppkey AS query_id, 'the ' || CAST(s_suppkey AS VARCHAR) AS text, s_acctbal / 1000 AS price FROM supplier WHERE s_suppkey % 20 = 0),
 d AS (SELECT edge_id AS item_id, fact AS text FROM edges), q AS (SELECT query_id, text FROM q0)""" + _BM25.replace(
-    "b AS (", "kw AS (") + f""", rel AS (SELECT query_id, edge_id AS item_id, round(greatest(0.0, least(1.0, (weight / 10000 * price + 1.0) / (sqrt(weight / 10000 * (weight / 10000) + 1.0) * sqrt(price * price + 1.0)))), 6) AS score FROM edges, q0),
+    "b AS (", "kw AS (") + f""", rel AS (SELECT query_id, edge_id AS item_id, {_RELATED} AS score FROM edges, q0),
 sm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM rel),
 g AS (SELECT * FROM edges WHERE {_SERVED}),
 u0 AS (SELECT query_id, item_id, rank AS pos, 's' AS ch FROM sm WHERE rank <= 5 UNION ALL SELECT query_id, item_id, rank + 5, 'k' FROM kw WHERE rank <= 5),
-u AS (SELECT query_id, edge_id, any_value(rel.score) AS score, min(pos) AS pos, any_value({_LABEL}) AS label, count(*) FILTER (ch = 's') AS s, count(*) FILTER (ch = 'k') AS k
-  FROM u0 JOIN g ON item_id = edge_id JOIN rel USING (query_id, item_id) GROUP BY 1, 2),
+u AS (SELECT query_id, edge_id, max({_RELATED}) AS score, min(pos) AS pos, arg_max({_LABEL}, struct_pack(a := {_RELATED}, b := {_LABEL})) AS label, count(*) FILTER (ch = 's') AS s, count(*) FILTER (ch = 'k') AS k
+  FROM u0 JOIN g ON item_id = edge_id JOIN q0 USING (query_id) GROUP BY 1, 2),
 h AS (SELECT query_id, edge_id, score, label, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos, edge_id) AS rank FROM u),
 n AS (SELECT query_id, CAST(sum(s) > 0 AS INT) + CAST(sum(k) > 0 AS INT) + 1 AS n FROM u GROUP BY 1),
 a AS (SELECT query_id, CAST(CASE coalesce(n, 0) WHEN 3 THEN 100 WHEN 2 THEN 70 WHEN 1 THEN 30 ELSE 0 END AS INT) AS score FROM q LEFT JOIN n USING (query_id))
