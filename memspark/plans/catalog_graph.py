@@ -120,10 +120,25 @@ def reopen_edges(v: Views):
 _PAIRS = [(s, t, r) for r, (ss, ts) in RELATIONS.items() for s in ss for t in ts]
 
 
-@query("SELECT s AS source, t AS target, string_agg(r, ',' ORDER BY n) AS relations FROM (VALUES "
-       + ", ".join(f"('{s}', '{t}', '{r}', {n})" for n, (s, t, r) in enumerate(_PAIRS)) + ") x(s, t, r, n) GROUP BY 1, 2")
+_SOURCES, _TARGETS = (sorted({p[i] for p in _PAIRS}) for i in (0, 1))
+
+
+def _kind(kinds: list[str], n: str) -> str:
+    return "CASE " + " ".join(f"WHEN {n} % {len(kinds)} = {i} THEN '{k}'" for i, k in enumerate(kinds)) + " END"
+
+
+@query(duck("edges") + ", o AS (SELECT s AS source, t AS target, string_agg(r, ',' ORDER BY n) AS relations FROM (VALUES "
+       + ", ".join(f"('{s}', '{t}', '{r}', {n})" for n, (s, t, r) in enumerate(_PAIRS)) + f""") x(s, t, r, n) GROUP BY 1, 2),
+k AS (SELECT {_kind(_SOURCES, 'episode')} AS source, {_kind(_TARGETS, 'length(fact)')} AS target, type FROM edges)
+SELECT source, target, coalesce(relations, '') AS relations, count(*) AS n_edges, count(*) FILTER (coalesce(list_contains(string_split(relations, ','), type), false)) AS n_legal
+FROM k LEFT JOIN o USING (source, target) GROUP BY ALL""")
 def ontology_map(v: Views):
-    return graph.ontology_map(v.spark)
+    """How many edges between two kinds there are, and how many have a relation that the ontology gives the pair."""
+    kinds = v.edges.select(F.expr(_kind(_SOURCES, "episode")).alias("source"), F.expr(_kind(_TARGETS, "length(fact)")).alias("target"), "type")
+    legal = F.array_contains(F.split("relations", ","), F.col("type"))
+    joined = kinds.join(F.broadcast(graph.ontology_map(v.spark)), ["source", "target"], "left")
+    return joined.groupBy("source", "target", F.coalesce("relations", F.lit("")).alias("relations")).agg(
+        F.count(F.lit(1)).alias("n_edges"), F.count_if(F.coalesce(legal, F.lit(False))).alias("n_legal"))
 
 
 @query(duck("ledger") + " SELECT entry_id, coalesce(array_to_string(list(entry_id) OVER (PARTITION BY session_id ORDER BY ts, entry_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), ','), '') AS prior FROM ledger")
@@ -162,10 +177,15 @@ def serving_labels(v: Views):
     return recall.gate(v.edges).select("edge_id", recall.serving_label().alias("label"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{d}')" for t, d in TIER_DEPTHS.items()) + ") x(tier, depth)")
+_TIERS = list(TIER_DEPTHS)
+_TIER = _kind(_TIERS, "entry_id")
+
+
+@query(duck("ledger") + f", t AS (SELECT entry_id AS anchor_id, {_TIER} AS tier FROM ledger) SELECT anchor_id, tier, CASE tier "
+       + " ".join(f"WHEN '{t}' THEN '{d}'" for t, d in TIER_DEPTHS.items()) + " END AS depth FROM t")
 def tier_depth(v: Views):
-    tiers = v.spark.createDataFrame([(t,) for t in TIER_DEPTHS], "tier string")
-    return tiers.select("tier", recall.tier_depth(F.col("tier")).alias("depth"))
+    anchors = v.ledger.select(F.col("entry_id").alias("anchor_id"), F.expr(_TIER).alias("tier"))
+    return anchors.withColumn("depth", recall.tier_depth(F.col("tier")))
 
 
 _TOPK = f"""WITH r AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, round({_COSINE.replace('vector', 'embedding')}, 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0),

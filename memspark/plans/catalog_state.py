@@ -125,9 +125,13 @@ def infra_view(v: Views):
     return console.infra_view(v.journal).select("entry_id", "action")
 
 
-@query("SELECT a AS action FROM (VALUES " + ", ".join(f"('{a}')" for a in ACTIONS) + ") t(a) WHERE a LIKE 'snapshot%'")
+@query(duck("journal") + ", a(action) AS (VALUES " + ", ".join(f"('{a}')" for a in ACTIONS) + """)
+SELECT action, count(entry_id) AS n FROM a LEFT JOIN journal USING (action) WHERE action LIKE 'snapshot%' OR action LIKE 'gate%' GROUP BY 1""")
 def obs_coverage(v: Views):
-    return console.uncovered(v.spark, {a: s for a, s in ACTION_VIEWS.items() if not a.startswith("snapshot")})
+    """Actions that no view would show if the views of snapshots and gates were missing, with their rows in the journal."""
+    open_ = console.uncovered(v.spark, {a: s for a, s in ACTION_VIEWS.items() if not a.startswith(("snapshot", "gate"))})
+    seen = v.journal.groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+    return open_.join(seen, "action", "left").select("action", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(duck("ledger") + " SELECT entry_id, session_id, summary, extracted <> 'done' AS unverified FROM ledger WHERE ts >= TIMESTAMP '1998-08-01 00:00:00' - INTERVAL 6 DAY")
