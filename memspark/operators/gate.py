@@ -107,7 +107,8 @@ def run_ladder(commits: DataFrame, created: DataFrame, shadow: bool = True, rate
     """
     corpus = F.concat(F.coalesce("window", F.lit("")), F.lit("\n"), F.coalesce("ride_along", F.lit("")))
     facts = created.join(commits.select("commit_id", corpus.alias("corpus"), "speakers"), "commit_id")
-    hard = tier0_flags(facts).join(created.select("edge_id", "commit_id"), "edge_id").groupBy("commit_id").agg(F.collect_list("edge_id").alias("_hard"))
+    # an edge that a commit holds several times is flagged once for each of its tokens
+    hard = tier0_flags(facts, "commit_id").distinct().groupBy("commit_id").agg(F.collect_list("edge_id").alias("_hard"))
     n = created.groupBy("commit_id").agg(F.count(F.lit(1)).alias("_n"))
     rows = commits.join(hard, "commit_id", "left").join(n, "commit_id", "left")
     n_hard = F.coalesce(F.size("_hard"), F.lit(0))
@@ -146,9 +147,9 @@ def judged(invalidated: DataFrame, rulings: DataFrame) -> DataFrame:
     return invalidated.join(rulings, "edge_id", "left").select("edge_id", F.when(F.col("ruling") == "EARNED", "EARNED").otherwise("REVERT").alias("ruling"))
 
 
-def tier0_flags(facts: DataFrame) -> DataFrame:
+def tier0_flags(facts: DataFrame, *columns: str) -> DataFrame:
     """(edge_id, kind, token) for facts (edge_id, fact, corpus, speakers) that claim a number or date the corpus
-    lacks, or something said by somebody who did not speak."""
+    lacks, or something said by somebody who did not speak. Further columns of facts may be kept."""
     fact = F.coalesce("fact", F.lit(""))
     absent = F.array_except(number_date_tokens(fact), number_date_tokens(F.col("corpus")))
     strangers = F.array_except(attributed_names(fact), F.col("speakers"))
@@ -157,7 +158,7 @@ def tier0_flags(facts: DataFrame) -> DataFrame:
         return F.transform(tokens, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("token")))
 
     both = F.concat(listed(absent, "number_date_absent"), listed(strangers, "non_participant"))
-    return facts.select("edge_id", F.inline(both))
+    return facts.select(*columns, "edge_id", F.inline(both))
 
 
 def entity_hints(facts: DataFrame) -> DataFrame:
@@ -177,7 +178,7 @@ def size_route(text: Column, cap: int = SCREEN_WINDOW_CHARS) -> Column:
 
 def sampled(key: Column, rate: float = AUDIT_RATE) -> Column:
     """A fixed pseudo-random part of the keys; the same in every engine that has md5."""
-    return F.conv(F.substring(F.md5(key.cast("string")), 1, 4), 16, 10).cast("int") < int(rate * 65536)
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, 4), 16, 10).cast("int") < round(rate * 65536)
 
 
 def ladder_route(too_long: Column, screen: Column, hard_flags: Column, audit: Column) -> Column:

@@ -160,6 +160,20 @@ def test_ladder_notes_in_shadow_and_acts_when_live(spark):
     assert {r.edge_id: (r.rung, r.after) for r in out.collect()} == {"e1": ("audit", "confirmed"), "e2": ("audit", "confirmed"), "e3": ("screen-flag", "quarantined")}
 
 
+def test_audits_round_their_rate_as_the_sql_does(spark):
+    """md5 of 184025 and 260267 begins with 0ccc: 3276 of 65536, which is below a rate of 0.05 as rounded (3277), not as cut (3276)."""
+    keys = spark.createDataFrame([(184025,), (260267,), (1,)], "doc_id long")
+    assert [r.s for r in keys.select(gate.sampled(F.col("doc_id")).alias("s")).collect()] == [True, True, False]
+
+
+def test_equal_edges_of_a_commit_are_flagged_once(spark):
+    commits = spark.createDataFrame([(1, "nothing", "", ["Anna"], "PASS", None, False, "none", "", None)],
+                                    "commit_id long, window string, ride_along string, speakers array<string>, screen string, ruling string, verifier_failed boolean, remedy string, remedy_target string, content string")
+    created = spark.createDataFrame([(1, "e1", "provisional", "C1", "part 7 of 8")] * 2 + [(1, "e2", "provisional", "C1", "nothing")], "commit_id long, edge_id string, verdict string, class string, fact string")
+    _, journal = gate.run_ladder(commits, created, True, rate=0.0)
+    assert sorted((r.action, r.target) for r in journal.where("reason = 'tier0-shadow'").collect()) == [("gate-flag", "e1")] * 2  # a token each
+
+
 def test_session_start_names_anchors(spark):
     entries = spark.createDataFrame([(1, "s", at("2024-01-05"), "the plan", "no", [2], [], []), (2, "s", at("2024-01-05"), "the sequel", "done", [], [], [])],
                                     "entry_id long, session_id string, ts timestamp_ntz, summary string, extracted string, references array<bigint>, same_topic array<bigint>, supersedes array<bigint>")
