@@ -384,3 +384,16 @@ def test_anchors_are_names_inside_bodies(spark):
     got = {r.entry_id: r.ids for r in recall.diary_anchors(entries, spark.createDataFrame([(b,) for b in bodies], "body string")).collect()}
     assert got == {n: [n, n + 100] for n, x in enumerate(names) if x is not None and n != 4 and any(x in b for b in bodies if b is not None)}
     assert recall.diary_anchors(entries, spark.createDataFrame([], "body string")).count() == 0
+
+
+def test_expired_edges_are_dealt_to_partitions_of_few_ids(spark, monkeypatch):
+    """Windows of several days, inverted and null ones; the number of partitions follows that of the edges."""
+    monkeypatch.setattr(graph, "IDS", 10)
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(hours=n)
+    edges = spark.createDataFrame([(f"e{n}", day(7 * n) if n % 3 else None) for n in range(300)], "edge_id string, expired_at timestamp_ntz")
+    windows = [(w, day(31 * w), day(31 * w + 50 - w)) for w in range(70)] + [(98, None, day(5)), (99, day(9), day(3))]
+    found = graph.invalidated_in(edges, spark.createDataFrame(windows, "window_id int, start_ts timestamp_ntz, end_ts timestamp_ntz"))
+    want = {(w, f"e{n}") for w, s, e in windows if s for n in range(300) if n % 3 and s <= day(7 * n) <= e}
+    rows = [(r.window_id, r.edge_id) for r in found.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    assert found.rdd.getNumPartitions() == 20
