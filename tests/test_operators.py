@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from memspark.functions import replies, text
 from memspark.operators import console, gate, graph, ledger, links, recall, tasks, transcript, wal
-from memspark.plans import memory, seams
+from memspark.plans import catalog_flow, memory, seams
 from memspark.sources import files
 
 
@@ -397,3 +397,14 @@ def test_expired_edges_are_dealt_to_partitions_of_few_ids(spark, monkeypatch):
     rows = [(r.window_id, r.edge_id) for r in found.collect()]
     assert len(rows) == len(want) and set(rows) == want
     assert found.rdd.getNumPartitions() == 20
+
+
+def test_fused_classes_give_what_all_pairs_give(spark):
+    """Ids that repeat, and lists in which many items share a place."""
+    ids = [i for i in range(400)] + [20, 40, 42, 42, 2]
+    vectors = spark.createDataFrame([(i,) for i in ids], "vec_id long")
+    pairs = [(q, b, (q * n + b) % 11 + 1) for q in ids if q % 20 == 0 for b in ids if b % 2 == q % 2 for n in (1, 2)]
+    want = recall.fuse(spark.createDataFrame(pairs, "query_id long, item_id long, rank long"))
+    got = catalog_flow.fused_by_place(vectors)
+    assert sorted(map(tuple, got.select("query_id", "item_id", "score", "rank").collect())) == sorted(map(tuple, want.select("query_id", "item_id", "score", "rank").collect()))
+    assert "Exchange SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
