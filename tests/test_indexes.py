@@ -1,6 +1,7 @@
 """The vector and the word index against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,30 @@ def test_groups_are_indexes_of_their_own(spark, texts, tmp_path):
     queries = spark.createDataFrame([(q, t, g) for q, (_, t) in enumerate(QUERIES) for g in "a"], "query_id int, text string, group_id string")
     got = {tuple(r) for r in wordindex.search(queries, path, 5).collect()}
     assert got == {tuple(r) for r in recall.bm25_topk(queries, both.where("group_id = 'a'"), 5).collect()}
+
+
+def test_scores_of_few_queries_are_held_at_once(spark):
+    """20,000 items in a batch and 1,500 queries: one matrix of all scores would take 240 MB, and its copies as much again."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    rows, asked_for = recall.unit(rng.normal(size=(20_000, 8))), recall.unit(rng.normal(size=(1_500, 8)))
+    items = pa.array(range(20_000), pa.int64())
+    tracemalloc.start()
+    found = list(recall.likest(items, rows, list(range(1_500)), asked_for.T, pa.int64(), 3))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6
+    score = np.round(np.clip(rows @ asked_for[777], 0, 1), 6)
+    want = sorted(range(20_000), key=lambda i: (-score[i], i))[:3]
+    assert [(r["item_id"], r["score"]) for r in found[0].to_pylist() if r["query_id"] == 777] == [(i, score[i]) for i in want]
+
+
+def test_equal_vectors_are_one_class(spark):
+    """Of 40 copies of each of 30 vectors, null and short ones too, n take part, and nothing else changes."""
+    rows = [(f"i{k:02d}-{c:02d}", None if k == 7 else [float(k % 5), 1.0][: 1 + (k != 8)]) for k in range(30) for c in range(40)]
+    items = spark.createDataFrame(rows, "item_id string, vector array<double>")
+    queries = spark.createDataFrame([(q, [q / 3, 1.0]) for q in range(12)] + [(99, None)], "query_id int, query_vector array<double>")
+    few = recall.first_of_equal(items, 5)
+    assert few.count() == 7 * 5
+    assert sorted(map(tuple, recall.semantic_topk(queries, few, 5).collect())) == sorted(map(tuple, recall.semantic_topk(queries, items, 5).collect()))
