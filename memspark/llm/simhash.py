@@ -200,16 +200,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component of near copies (five-word shingles, Jaccard similarity 0.8 or
     more: see nearcopies): that of the smallest doc_id, and of the least hash where texts share it;
-    columns as given.
+    columns as given. The components of near_duplicates() are candidates, all checked exactly; MinHash adds those
+    that differ in more bits.
 
     Rows are told apart by id and text. Rows with a null id count as larger than all others. Equal
     rows are copies: one stays.
     """
     key = free_name(docs, "_key")
-    keep = near_copies(docs, id_col, text_col).select(F.col("keeper").alias(key)).distinct()
+    keep = near_copies(docs, id_col, text_col, _alike(docs, text_col)).select(F.col("keeper").alias(key)).distinct()
     rows = docs.withColumn(key, row_key(F.col(id_col).cast("long"), text_hash(F.col(text_col).cast("string"))))
     return rows.join(keep, key, "left_semi").dropDuplicates([key]).drop(key)
 
 
+def _alike(docs: DataFrame, text_col: str) -> DataFrame:
+    """(text_hash, group): distinct texts by the component that near_duplicates() puts them in."""
+    text = F.col(text_col).cast("string")
+    found = near_duplicates(docs.select(text_hash(text).alias("text_hash"), text.alias("text")), "text_hash", "text")
+    return found.select(F.col("doc_id").alias("text_hash"), F.col("component_id").alias("group")).distinct()
+
+
 def hex_fingerprint(fp) -> "F.Column":
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

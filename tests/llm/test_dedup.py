@@ -8,6 +8,7 @@ import time
 import numpy as np
 import xxhash
 from conftest import prose
+from pyspark.sql import functions as F
 
 from memspark.llm import common, decontaminate, nearcopies, simhash, substring
 from memspark.llm.queries import QUERIES
@@ -421,3 +422,15 @@ def test_every_window_within_the_budget_is_found():
             assert (n in found) == (edit_distance_inside(index.window(n).tolist(), norm.tolist()) <= index.k[n])
         some = {w for w, *_ in index.find(norm, np.zeros(len(norm), int))}
         assert some <= found and bool(some) == bool(found)
+
+
+def test_dedup_gets_candidates_from_simhash(spark, monkeypatch):
+    """With MinHash keys that never meet, near copies are still found by their fingerprints, and only those that are similar."""
+    words = [f"w{i}" for i in range(400)]
+    other = [f"x{i}" for i in range(400)]
+    texts = {1: " ".join(words), 2: " ".join(words) + " end", 3: " ".join(other), 4: " ".join(other) + " end"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert len({r.component_id for r in simhash.near_duplicates(docs).collect()}) == 2
+    whole = nearcopies.signatures
+    monkeypatch.setattr(nearcopies, "signatures", lambda *a: whole(*a).withColumn("keys", F.array("fp")))
+    assert sorted(r.doc_id for r in simhash.dedup(docs).collect()) == [1, 3]
