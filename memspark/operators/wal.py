@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import scrub
-from .recall import small
+from .recall import BROADCAST_ROWS, small
 
 
 def segments(wal: DataFrame) -> DataFrame:
@@ -38,19 +40,27 @@ def _cover(low: str, high: str) -> Column:
         THEN sequence({first.replace("k)", f"{LEVELS})")}, {last.replace("k)", f"{LEVELS})")} - 1) ELSE array() END, i -> named_struct('level', {LEVELS}, 'block', i)))""")
 
 
-def window_texts(windows: DataFrame, wal: DataFrame, half_open: bool = False, same_session: bool = False) -> DataFrame:
-    """windows (window_id, start_ts, end_ts[, session_id]) with the text of the lines inside, both ends included.
+def window_texts(
+    windows: DataFrame, wal: DataFrame, half_open: bool = False, same_session: bool = False, of: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """windows (start_ts, end_ts[, session_id], ..) with the text of the lines inside, both ends included.
 
     A window's first and last minute are edges, whose lines are looked at one by one; the minutes
     between are made up of blocks of 2^k minutes. A block that some window needs is joined to one text once, so
     a window meets some twenty texts however many lines it holds, and a busy day is many keys.
     Without a start a window reads its last day only. Windows without lines, or inverted ones, get "".
+
+    Windows of the same ends are one class, whose text is made once. of: what is wanted of the text (a digest, a
+    length), taken once of each class, so that only it meets the windows.
     """
     start = F.coalesce("start_ts", F.date_trunc("day", "end_ts").cast(windows.schema["end_ts"].dataType))
     own = ["session_id"] if same_session else []
-    asked = windows.select("window_id", *own, F.col("start_ts").isNull().alias("_all_day"), start.alias("_from"), F.col("end_ts").alias("_to"))
+    ends_of = {"_all_day": F.col("start_ts").isNull(), "_from": start, "_to": F.col("end_ts")}
+    windows = windows.withColumn("_class", F.struct(*own, *[c.alias(n) for n, c in ends_of.items()]))
+    asked = windows.select("_class").distinct().select(F.col("_class").alias("window_id"), "_class.*")
     asked = asked.withColumns({"_low": _minute(asked, "_from"), "_high": _minute(asked, "_to")})
-    # windows are dealt out by id at once, so that their texts, which are long, are put together where they are
+    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    # classes are dealt out at once, so that their texts, which are long, are put together where they are
     parts = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asked = asked.where("_low <= _high").repartition(parts, "window_id")
     lines = wal.select("session_id", F.col("ts").alias("_ts"), "seq", "text")
@@ -75,9 +85,13 @@ def window_texts(windows: DataFrame, wal: DataFrame, half_open: bool = False, sa
     ends = ends.select("window_id", "_m", joined.alias("t"), F.size("_l").cast("long").alias("n"))
 
     whole = middle.unionByName(ends).groupBy("window_id").agg(F.array_sort(F.collect_list(F.struct("_m", "t"))).alias("_p"), F.sum("n").alias("n_lines"))
-    whole = whole.select(F.col("window_id").alias("_w"), F.array_join(F.transform("_p", lambda x: x["t"]), "\n").alias("text"), "n_lines")
-    out = windows.join(whole, F.col("window_id") == F.col("_w"), "left").drop("_w")
-    return out.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("n_lines", F.coalesce("n_lines", F.lit(0)))
+    narrow, of = of is not None, of or (lambda x: x)
+    whole = whole.select(F.col("window_id").alias("_w"), of(F.array_join(F.transform("_p", lambda x: x["t"]), "\n")).alias("text"), "n_lines")
+    if few and narrow:
+        whole = F.broadcast(whole)
+    text = F.when(F.col("_w").isNull(), of(F.lit(""))).otherwise(F.col("text"))
+    out = windows.join(whole, F.col("_class") == F.col("_w"), "left").withColumn("text", text).drop("_w", "_class")
+    return out.withColumn("n_lines", F.coalesce("n_lines", F.lit(0)))
 
 
 def pending_sessions(plan: DataFrame, ledger: DataFrame) -> DataFrame:

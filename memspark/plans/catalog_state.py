@@ -200,7 +200,7 @@ def _windows(v: Views):
   md5(coalesce(string_agg(text, chr(10) ORDER BY ts, session_id, seq), '')) AS text_md5
   FROM w LEFT JOIN wal ON ts <= end_ts AND ((start_ts IS NULL AND CAST(ts AS DATE) = CAST(end_ts AS DATE)) OR ts >= start_ts) GROUP BY window_id""")
 def wal_window_text(v: Views):
-    return wal.window_texts(_windows(v), v.wal).select("window_id", "n_lines", F.md5("text").alias("text_md5"))
+    return wal.window_texts(_windows(v), v.wal, of=F.md5).select("window_id", "n_lines", F.col("text").alias("text_md5"))
 
 
 @query(_WINDOWS_SQL + """SELECT window_id AS entry_id, window_id % 20 AS session_id, strftime(end_ts, '%Y-%m-%d %H:%M:%S') AS ts, 'jot ' || CAST(window_id AS VARCHAR) || CASE WHEN window_id % 4 = 0 THEN ' with <redacted:secret kind=aws_access_key_id>' ELSE '' END AS summary,

@@ -408,3 +408,27 @@ def test_fused_classes_give_what_all_pairs_give(spark):
     got = catalog_flow.fused_by_place(vectors)
     assert sorted(map(tuple, got.select("query_id", "item_id", "score", "rank").collect())) == sorted(map(tuple, want.select("query_id", "item_id", "score", "rank").collect()))
     assert "Exchange SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def _counted(spark):
+    """Lengths of texts, and how many texts that are not empty were looked at."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def length(x):
+        if x:
+            seen.add(1)
+        return str(len(x))
+
+    return seen, F.udf(length)
+
+
+def test_windows_of_the_same_ends_are_one_class(spark):
+    """500 windows of five pairs of ends, one pair inverted, one without a start and one without an end: three texts are made."""
+    seen, length = _counted(spark)
+    log = spark.createDataFrame([(1, n, at(f"2024-01-01 {n:02d}:30"), "x" * 50) for n in range(20)], "session_id int, seq int, ts timestamp_ntz, text string")
+    ends = [(at("2024-01-01 01:00"), at("2024-01-01 04:00")), (at("2024-01-01 00:30"), at("2024-01-01 00:30")), (None, at("2024-01-01 02:00")), (at("2024-01-02"), at("2024-01-01")), (at("2024-01-01"), None)]
+    windows = spark.createDataFrame([(w, *ends[w % 5]) for w in range(500)], "window_id int, start_ts timestamp_ntz, end_ts timestamp_ntz")
+    got = {(r.window_id, r.text, r.n_lines) for r in wal.window_texts(windows, log, of=length).collect()}
+    assert got == {(w, *[("152", 3), ("50", 1), ("101", 2), ("0", 0), ("0", 0)][w % 5]) for w in range(500)} and seen.value == 3
+    plain = {(r.window_id, str(len(r.text)), r.n_lines) for r in wal.window_texts(windows, log).collect()}
+    assert plain == got
