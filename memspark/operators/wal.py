@@ -120,12 +120,14 @@ def annotations(saves: DataFrame) -> DataFrame:
     )
 
 
-def prepared(entries: DataFrame, wal: DataFrame, episodes: DataFrame) -> DataFrame:
+def prepared(entries: DataFrame, wal: DataFrame, episodes: DataFrame, of: Callable[[Column], Column] | None = None) -> DataFrame:
     """Entries (entry_id, annotation, start_ts, end_ts, episode_id) with what is to be extracted: the window's
-    text for annotations, the episode's body for others."""
-    windows = entries.where("annotation").select(F.col("entry_id").alias("window_id"), "start_ts", "end_ts")
-    text = window_texts(windows, wal).select(F.col("window_id").alias("_w"), F.col("text").alias("_text"))
-    body = episodes.select(F.col("episode_id").alias("_e"), F.col("body").alias("_body"))
-    joined = entries.join(text, F.col("entry_id") == F.col("_w"), "left").join(body, F.col("episode_id") == F.col("_e"), "left")
-    content = F.coalesce(F.when(F.col("annotation"), F.col("_text")).otherwise(F.col("_body")), F.lit(""))
-    return joined.withColumn("content", content).drop("_w", "_e", "_text", "_body")
+    text for annotations, the episode's body for others. of: what is wanted of a text, taken before it meets the entries."""
+    of_it = of or (lambda x: x)
+    kept = [c for c in entries.columns if c != "content"]
+    body = episodes.select(F.col("episode_id").alias("_e"), of_it(F.coalesce("body", F.lit(""))).alias("_body"), F.lit(True).alias("_found"))
+    joined = entries.join(body, F.col("episode_id") == F.col("_e"), "left")
+    noted = joined.where("annotation").select(F.struct(*kept).alias("_entry"), "start_ts", "end_ts")
+    noted = window_texts(noted, wal, of=of).select("_entry.*", F.col("text").alias("content"))
+    content = F.when(F.col("_found"), F.col("_body")).otherwise(of_it(F.lit("")))
+    return noted.unionByName(joined.where("NOT coalesce(annotation, false)").select(*kept, content.alias("content")))

@@ -217,8 +217,8 @@ SELECT window_id AS entry_id, md5(coalesce(CASE WHEN window_id % 2 = 0 THEN t.te
   FROM w LEFT JOIN t USING (window_id) LEFT JOIN documents d ON d.doc_id = window_id""")
 def prepared_episodes(v: Views):
     entries = _windows(v).withColumnRenamed("window_id", "entry_id").withColumn("annotation", F.col("entry_id") % 2 == 0).withColumn("episode_id", F.col("entry_id"))
-    out = wal.prepared(entries, v.wal, v.docs.select(F.col("doc_id").alias("episode_id"), F.col("text").alias("body")))
-    return out.select("entry_id", F.md5("content").alias("content_md5"))
+    out = wal.prepared(entries, v.wal, v.docs.select(F.col("doc_id").alias("episode_id"), F.col("text").alias("body")), of=F.md5)
+    return out.select("entry_id", F.col("content").alias("content_md5"))
 
 
 @query(duck("transcript") + """, c AS (SELECT session_id, CASE WHEN session_id % 4 = 0 THEN 99 ELSE session_id % 4 END AS captured, count(*) AS n FROM transcript GROUP BY session_id)

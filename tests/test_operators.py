@@ -432,3 +432,17 @@ def test_windows_of_the_same_ends_are_one_class(spark):
     assert got == {(w, *[("152", 3), ("50", 1), ("101", 2), ("0", 0), ("0", 0)][w % 5]) for w in range(500)} and seen.value == 3
     plain = {(r.window_id, str(len(r.text)), r.n_lines) for r in wal.window_texts(windows, log).collect()}
     assert plain == got
+
+
+def test_bodies_are_looked_at_before_they_meet_entries(spark):
+    """300 entries of one episode or one window, and such with none; an entry's own columns stay, whatever their names."""
+    seen, length = _counted(spark)
+    log = spark.createDataFrame([(1, n, at(f"2024-01-01 {n:02d}:30"), "x" * 50) for n in range(20)], "session_id int, seq int, ts timestamp_ntz, text string")
+    episodes = spark.createDataFrame([(7, "y" * 70), (8, None)], "episode_id int, body string")
+    rows = [(n, [True, False, None][n % 3], at("2024-01-01 01:00"), at("2024-01-01 04:00"), [7, 8, 9, None][n % 4], f"t{n}") for n in range(300)]
+    entries = spark.createDataFrame(rows, "entry_id int, annotation boolean, start_ts timestamp_ntz, end_ts timestamp_ntz, episode_id int, text string")
+    want = {(n, f"t{n}", "152" if a else "70" if e == 7 else "0") for n, a, _, _, e, _ in rows}
+    out = wal.prepared(entries, log, episodes, of=length)
+    assert {(r.entry_id, r.text, r.content) for r in out.collect()} == want and seen.value <= 3
+    assert out.columns == [*entries.columns, "content"]
+    assert {(r.entry_id, r.text, str(len(r.content))) for r in wal.prepared(entries, log, episodes).collect()} == want
