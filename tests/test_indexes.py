@@ -129,3 +129,18 @@ def test_equal_vectors_are_one_class(spark):
     few = recall.first_of_equal(items, 5)
     assert few.count() == 7 * 5
     assert sorted(map(tuple, recall.semantic_topk(queries, few, 5).collect())) == sorted(map(tuple, recall.semantic_topk(queries, items, 5).collect()))
+
+
+def test_a_word_of_all_texts_is_looked_up_not_read_for_each_query(spark, tmp_path, monkeypatch):
+    """Every text has `part`; queries of it and a rarer word read no block of it. Ids repeat with texts of equal lengths."""
+    monkeypatch.setattr(wordindex, "BLOCK", 8)
+    rows = [(i, f"part {i % 40} from s{i % 7}") for i in range(800)]
+    rows += [(i, f"part {i % 3} part s1") for i in range(50)] + [(5000 + i % 10, "part 5 from s5 5") for i in range(20)] + [(9000, None), (9000, None), (9001, "")]
+    docs = spark.createDataFrame(rows, "item_id long, text string").repartition(3)
+    path = f"{tmp_path}/words"
+    wordindex.build(docs, path)
+    queries = spark.createDataFrame([(q, f"the {q} part") for q in range(40)] + [(99, "part"), (98, "part s3 from")], "query_id int, text string")
+    read = wordindex.wanted(queries.where("query_id < 40"), path, 5)
+    assert {(r.lead, r["count"]) for r in read.where("term = 'part'").groupBy("query_id", "lead").count().collect()} == {(False, 1)}
+    got = sorted(tuple(r) for r in wordindex.search(queries, path, 5).collect())
+    assert got == sorted(tuple(r) for r in recall.bm25_topk(queries, docs, 5).collect()) and len(got) == 42 * 5
