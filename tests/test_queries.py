@@ -60,3 +60,8 @@ def test_plans_are_the_ones_wanted(spark):
     for name in ("semantic_links", "wal_window_text", "invalidated_in_window", "structural_links", "diary_anchors", "touch_tier"):
         joins = plan(name).count("NestedLoop") if name != "touch_tier" else 0  # touch_tier joins tables of one row
         assert "CartesianProduct" not in plan(name) and not joins
+
+
+def test_detect_takes_every_order_as_a_commit(spark, duck):
+    got = entry.queries()["detect"](spark, SMALL).where("how = 'created'").count()
+    assert got == duck.execute("select count(*) from lineitem join orders on l_orderkey = o_orderkey").fetchall()[0][0]
