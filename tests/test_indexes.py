@@ -144,3 +144,25 @@ def test_a_word_of_all_texts_is_looked_up_not_read_for_each_query(spark, tmp_pat
     assert {(r.lead, r["count"]) for r in read.where("term = 'part'").groupBy("query_id", "lead").count().collect()} == {(False, 1)}
     got = sorted(tuple(r) for r in wordindex.search(queries, path, 5).collect())
     assert got == sorted(tuple(r) for r in recall.bm25_topk(queries, docs, 5).collect()) and len(got) == 42 * 5
+
+
+@pytest.mark.parametrize("n", [1, 3, 5])
+def test_contenders_give_what_all_items_give(spark, n):
+    """Pairs of numbers crowd some sectors; ids rise, fall and repeat along the circle; others than pairs are kept."""
+    rng = np.random.default_rng(5)
+    turns = np.concatenate([rng.uniform(0, 0.02, 4000), np.linspace(1.2, 1.21, 1500), np.linspace(3.145, 3.135, 1500), rng.uniform(-np.pi, np.pi, 300)])
+    sizes = rng.uniform(0.01, 50, len(turns))
+    names = [f"i{i:05d}" for i in rng.permutation(4000)] + [f"j{i:05d}" for i in range(1500)] + [f"h{i:05d}" for i in range(1500)] + [f"j{i:05d}" for i in range(300)]
+    rows = [(i, [float(s * np.cos(t)), float(s * np.sin(t))]) for i, t, s in zip(names, turns, sizes)]
+    rows += [(f"a{i}", v) for i, v in enumerate([None, [], [1.0], [0.0, 0.0], [None, 1.0], [1.0, 2.0, 3.0], [float("nan"), 1.0]])] + [(f"k{i}", [1.0, 1.0]) for i in range(40)]
+    items = spark.createDataFrame(rows, "item_id string, vector array<double>").repartition(3)
+    aims = [*rng.uniform(-np.pi, np.pi, 60), *rng.uniform(-0.001, 0.021, 60), *rng.uniform(1.199, 1.211, 30), *rng.uniform(3.13, 3.15, 30), np.pi / 4]
+    asked = [(i, [float(np.cos(t)), float(np.sin(t))]) for i, t in enumerate(aims)] + [(900, [0.0, 0.0]), (901, None)]
+    queries = spark.createDataFrame(asked, "query_id int, query_vector array<double>")
+    kept = recall.contenders(items, n)
+    assert kept.count() < len(rows) - 3000
+    got, want = (sorted(tuple(r) for r in recall.semantic_topk(queries, i, n).collect()) for i in (kept, items))
+    assert got == want
+    odd = spark.createDataFrame([(1, [1.0, 2.0, 3.0])], "query_id int, query_vector array<double>")
+    got, want = (sorted(tuple(r) for r in recall.semantic_topk(odd, i, n).collect()) for i in (kept, items))
+    assert got == want
