@@ -166,3 +166,13 @@ def test_contenders_give_what_all_items_give(spark, n):
     odd = spark.createDataFrame([(1, [1.0, 2.0, 3.0])], "query_id int, query_vector array<double>")
     got, want = (sorted(tuple(r) for r in recall.semantic_topk(odd, i, n).collect()) for i in (kept, items))
     assert got == want
+
+
+def test_words_are_counted_in_pieces(monkeypatch):
+    texts = ["a b", None, "", "c" * 50, "d e f", "g"]
+    batch = pa.record_batch([pa.array(["g"] * 6), pa.array(range(6)), pa.array(texts)], names=["group_id", "item_id", "text"])
+    monkeypatch.setattr(wordindex, "PIECE", 6)
+    pieces = list(wordindex._pieces(batch))
+    assert [len(p) for p in pieces] == [3, 1, 2] and pa.concat_tables([pa.Table.from_batches([p]) for p in pieces]).column("text").to_pylist() == texts
+    assert all(sum(len(t or "") for t in p.column(2).to_pylist()) <= 6 for p in pieces if len(p) > 1)
+    assert not list(wordindex._pieces(batch.slice(0, 0)))
